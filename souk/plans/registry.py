@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.operators import kpi, semantic
+from souk.operators import cohorts, kpi, quality, semantic, states
 from souk.session import configure
 from souk.sources.testdata import adapt
 
@@ -43,7 +43,39 @@ def monthly_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kpi.monthly_kpi(_olm(_tables(spark, sf_dir), reviews=False))
 
 
+def check_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.check_constraints(_tables(spark, sf_dir))
+
+
+def missing_timestamp_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.missing_timestamp_count(_tables(spark, sf_dir)["orders"])
+
+
+def payment_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return quality.payment_reconciliation(t["order_items"], t["order_payments"])
+
+
+def payment_reconciliation_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return quality.payment_reconciliation(t["order_items"], t["order_payments"], limit=10)
+
+
+def cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cohorts.cohort_retention(_olm(_tables(spark, sf_dir), reviews=False))
+
+
+def state_service_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return states.state_service_gap(_olm(_tables(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     "order_level_metrics": order_level_metrics,
     "monthly_kpi": monthly_kpi,
+    "check_constraints": check_constraints,
+    "missing_timestamp_count": missing_timestamp_count,
+    "payment_reconciliation": payment_reconciliation,
+    "payment_reconciliation_sample": payment_reconciliation_sample,
+    "cohort_retention": cohort_retention,
+    "state_service_gap": state_service_gap,
 }
