@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.operators import cohorts, kpi, quality, semantic, states
+from souk.operators import actions, categories, cohorts, kpi, quality, rfm, sellers, semantic, states
 from souk.session import configure
 from souk.sources.testdata import adapt
 
@@ -69,6 +69,47 @@ def state_service_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.state_service_gap(_olm(_tables(spark, sf_dir)))
 
 
+def rfm_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return rfm.rfm_segments(_olm(t, reviews=False), t["orders"])
+
+
+def seller_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return sellers.seller_risk(t["order_items"], t["orders"], t["sellers"], t["order_reviews"])
+
+
+def category_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return categories.category_economics(t["order_items"], t["orders"], t["products"],
+                                         t["product_category_name_translation"], t["order_reviews"])
+
+
+def repeat_rate_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actions.repeat_rate_gap(_olm(_tables(spark, sf_dir), reviews=False))
+
+
+def revenue_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return actions.revenue_concentration(_olm(_tables(spark, sf_dir), reviews=False))
+
+
+def seller_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return sellers.seller_pareto(t["order_items"], t["orders"])
+
+
+def category_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return categories.category_alerts(t["order_items"], t["orders"], t["products"],
+                                      t["product_category_name_translation"])
+
+
+def action_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _tables(spark, sf_dir)
+    return actions.action_board(_olm(t, reviews=False), t["order_items"], t["orders"], t["products"],
+                                t["product_category_name_translation"])
+
+
 QUERIES: dict[str, Query] = {
     "order_level_metrics": order_level_metrics,
     "monthly_kpi": monthly_kpi,
@@ -78,4 +119,12 @@ QUERIES: dict[str, Query] = {
     "payment_reconciliation_sample": payment_reconciliation_sample,
     "cohort_retention": cohort_retention,
     "state_service_gap": state_service_gap,
+    "rfm_segments": rfm_segments,
+    "seller_risk": seller_risk,
+    "category_economics": category_economics,
+    "repeat_rate_gap": repeat_rate_gap,
+    "revenue_concentration": revenue_concentration,
+    "seller_pareto": seller_pareto,
+    "category_alerts": category_alerts,
+    "action_board": action_board,
 }
