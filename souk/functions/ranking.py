@@ -5,12 +5,12 @@ the customer- and seller-level rankings of the reference (NTILE, ROW_NUMBER
 and running SUM over the whole table) that does not survive scale, so the
 ordering is split into contiguous key ranges ("buckets"):
 
-1. One job samples a bounded number of rows (``buckets * per_bucket``) and
-   sorts them with Spark; every ``per_bucket``-th key becomes a bound. The
-   bounds include the unique tie-break column, so a value shared by most rows
-   still spreads over many buckets.
+1. One job samples a bounded number of rows (``buckets * per_bucket``); after
+   sorting them, every ``per_bucket``-th key becomes a bound. The bounds
+   include the unique tie-break column, so a value shared by most rows still
+   spreads over many buckets.
 2. A row's bucket is found by a balanced tree of comparisons against the
-   literal bounds (``log2(buckets)`` comparisons, all inside generated code).
+   literal bounds (``log2(buckets)`` comparisons, inside generated code).
    The bucket is a pure function of the row, so re-reading the input after a
    lost executor gives the same assignment.
 3. A per-bucket aggregate (count, sum: one row per bucket) is prefix-summed
@@ -25,9 +25,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cmp_to_key
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from souk.sources.staging import stage
 
 OrderSpec = Sequence[tuple[str, bool]]   # (column, ascending); ASC puts NULLs first, DESC last
 
@@ -36,6 +40,7 @@ OrderSpec = Sequence[tuple[str, bool]]   # (column, ascending); ASC puts NULLs f
 class Bounds:
     order: tuple[tuple[str, bool], ...]
     keys: tuple[tuple, ...]          # strictly increasing bound keys
+    types: tuple = ()                # Spark types of the order columns
 
     @property
     def buckets(self) -> int:
@@ -53,61 +58,102 @@ def _sort_cols(order: OrderSpec) -> list[Column]:
     return [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in order]
 
 
+# Types whose Python ordering equals Spark's (strings: code point order is
+# UTF-8 byte order).
+_PY_SORTABLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.StringType)
+
+
+def _key_cmp(order: OrderSpec):
+    dirs = [asc for _, asc in order]
+
+    def cmp(x: tuple, y: tuple) -> int:
+        for a, b, asc in zip(x, y, dirs):
+            if a is None or b is None:
+                if a is None and b is None:
+                    continue
+                first = -1 if a is None else 1          # NULL before values when ASC,
+                return first if asc else -first         # after them when DESC
+            c = (a > b) - (a < b)
+            if c:
+                return c if asc else -c
+        return 0
+    return cmp
+
+
 def plan_bounds(df: DataFrame, orders: Sequence[OrderSpec], buckets: int | None = None,
                 per_bucket: int = 20, seed: int = 7) -> list[Bounds]:
     """Bounds for several orderings of ``df`` from one bounded sample.
 
     The sample is ``buckets * per_bucket`` rows picked by a seeded random
-    key (a per-task top-k, never more than that many rows reach the driver).
+    key (a per-task top-k: never more than that many rows reach the driver).
+    When the sample holds the whole input, the input is small by proof and a
+    single bucket is used.
     """
     buckets = buckets or default_buckets(df)
     cols = list(dict.fromkeys(c for order in orders for c, _ in order))
     if buckets <= 1:
         return [Bounds(tuple(o), ()) for o in orders]
-    spark = df.sparkSession
-    rows = df.select(*cols).orderBy(F.rand(seed)).limit(buckets * per_bucket).collect()
-    if not rows:
+    limit = buckets * per_bucket
+    rows = df.select(*cols).orderBy(F.rand(seed)).limit(limit).collect()
+    if len(rows) < limit:
         return [Bounds(tuple(o), ()) for o in orders]
-    sample = spark.createDataFrame(rows, df.select(*cols).schema)
+    schema = df.select(*cols).schema
     out = []
     for order in orders:
-        keys = [tuple(r) for r in sample.select(*[c for c, _ in order])
-                .orderBy(*_sort_cols(order)).collect()]
+        idx = [cols.index(c) for c, _ in order]
+        if all(isinstance(schema[c].dataType, _PY_SORTABLE) for c, _ in order):
+            keys = sorted((tuple(r[i] for i in idx) for r in rows), key=cmp_to_key(_key_cmp(order)))
+        else:
+            sample = df.sparkSession.createDataFrame(rows, schema)
+            keys = [tuple(r) for r in sample.select(*[c for c, _ in order])
+                    .orderBy(*_sort_cols(order)).collect()]
         step = max(1, len(keys) // buckets)
         picked: list[tuple] = []
         for i in range(step, len(keys), step):
             if not picked or keys[i] != picked[-1]:
                 picked.append(keys[i])
-        out.append(Bounds(tuple(order), tuple(picked)))
+        out.append(Bounds(tuple(order), tuple(picked), tuple(schema[c].dataType for c, _ in order)))
     return out
 
 
-def _less(order: OrderSpec, bound: tuple) -> Column:
+def _sql_literal(v, dtype: T.DataType) -> str:
+    if isinstance(dtype, T.StringType):
+        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if isinstance(dtype, T.DecimalType):
+        return f"CAST('{v}' AS DECIMAL({dtype.precision},{dtype.scale}))"
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return f"CAST({int(v)} AS {dtype.simpleString().upper()})"
+    return f"CAST('{v}' AS {dtype.simpleString().upper()})"
+
+
+def _less_sql(order: OrderSpec, bound: tuple, types: tuple) -> str:
     """Row key strictly before ``bound`` in ``order`` (Spark's null placement)."""
     if not order:
-        return F.lit(False)
+        return "false"
     (name, asc), rest = order[0], order[1:]
-    c, b = F.col(name), bound[0]
-    tail = _less(rest, bound[1:])
+    c, b = f"`{name}`", bound[0]
+    tail = _less_sql(rest, bound[1:], types[1:])
     if b is None:
-        return (c.isNull() & tail) if asc else (c.isNotNull() | (c.isNull() & tail))
-    lit = F.lit(b)
+        return f"({c} IS NULL AND {tail})" if asc else f"({c} IS NOT NULL OR ({c} IS NULL AND {tail}))"
+    lit = _sql_literal(b, types[0])
     if asc:
-        return c.isNull() | (c < lit) | ((c == lit) & tail)
-    return c.isNotNull() & ((c > lit) | ((c == lit) & tail))
+        return f"({c} IS NULL OR {c} < {lit} OR ({c} = {lit} AND {tail}))"
+    return f"({c} IS NOT NULL AND ({c} > {lit} OR ({c} = {lit} AND {tail})))"
 
 
 def bucket_of(bounds: Bounds) -> Column:
-    """Bucket id in ``[0, len(keys)]`` by binary search over the bounds."""
+    """Bucket id in ``[0, len(keys)]`` by binary search over the bounds, built
+    as one SQL expression (one round trip to the JVM)."""
     keys = bounds.keys
 
-    def tree(lo: int, hi: int) -> Column:
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi + 1) // 2           # keys[mid-1] separates bucket mid-1 from mid
-        return F.when(_less(bounds.order, keys[mid - 1]), tree(lo, mid - 1)).otherwise(tree(mid, hi))
+        cond = _less_sql(bounds.order, keys[mid - 1], bounds.types)
+        return f"CASE WHEN {cond} THEN {tree(lo, mid - 1)} ELSE {tree(mid, hi)} END"
 
-    return tree(0, len(keys))
+    return F.expr(tree(0, len(keys)))
 
 
 def number_rows(df: DataFrame, bounds: Bounds, *, prefix: str, value: str | None = None) -> DataFrame:
@@ -159,7 +205,11 @@ def ntile(rn: str, n: str, k: int) -> Column:
 
 
 def global_rank(df: DataFrame, order: OrderSpec, *, prefix: str, value: str | None = None,
-                buckets: int | None = None) -> DataFrame:
-    """Convenience: plan bounds for one ordering and number the rows."""
+                buckets: int | None = None, materialize: bool = True) -> DataFrame:
+    """Plan bounds for one ordering and number the rows. The input is read by
+    the sample job and twice by the main job, so by default it is first
+    materialised once (:func:`souk.sources.staging.stage`)."""
+    if materialize:
+        df = stage(df, f"rank-{prefix}")
     (bounds,) = plan_bounds(df, [order], buckets)
     return number_rows(df, bounds, prefix=prefix, value=value)

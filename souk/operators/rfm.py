@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import ranking
 from souk.functions.numeric import calendar_days
+from souk.sources.staging import stage
 from souk.operators.semantic import delivered
 
 CUSTOMER = "customer_unique_id"
@@ -53,7 +54,7 @@ def rfm_scores(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = No
 
     Each score is a global ranking (:mod:`souk.functions.ranking`); one
     bounded sample serves all three."""
-    rfm = customer_rfm(olm, orders, as_of)
+    rfm = stage(customer_rfm(olm, orders, as_of), "rfm")
     orders_ = [[("recency", False), (CUSTOMER, True)],
                [("frequency", True), (CUSTOMER, True)],
                [("monetary", True), (CUSTOMER, True)]]

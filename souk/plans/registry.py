@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 
 from souk.operators import actions, categories, cohorts, kpi, quality, rfm, sellers, semantic, states
 from souk.session import configure
-from souk.sources.testdata import adapt
+from souk.sources.testdata import adapted_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     configure(spark)
-    return adapt(spark, sf_dir)
+    return adapted_tables(spark, sf_dir)
 
 
 def _olm(t: dict[str, DataFrame], reviews: bool = True) -> DataFrame:
