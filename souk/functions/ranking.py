@@ -188,8 +188,11 @@ def number_rows(df: DataFrame, bounds: Bounds, *, prefix: str, value: str | None
              .withColumn(f"{prefix}_n", F.col(f"{prefix}_n").cast("bigint"))
     drop = [b, "__rn_local", "__cnt_before"]
     if value is not None:
+        # SUM ignores NULLs: NULL only while no value has been seen at all.
+        loc, bef = F.col("__run_local"), F.col("__sum_before")
         out = out.withColumn(f"{prefix}_running",
-                             F.col("__run_local") + F.coalesce(F.col("__sum_before"), F.lit(0)))
+                             F.when(loc.isNull() & bef.isNull(), F.lit(None))
+                             .otherwise(F.coalesce(loc, F.lit(0)) + F.coalesce(bef, F.lit(0))))
         drop += ["__run_local", "__sum_before"]
     return out.drop(*drop)
 
