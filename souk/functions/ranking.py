@@ -156,45 +156,73 @@ def bucket_of(bounds: Bounds) -> Column:
     return F.expr(tree(0, len(keys)))
 
 
-def number_rows(df: DataFrame, bounds: Bounds, *, prefix: str, value: str | None = None) -> DataFrame:
-    """Adds ``{prefix}_rn`` (global 1-based row number in ``bounds.order``)
-    and ``{prefix}_n`` (row count); with ``value`` also ``{prefix}_running``
-    (running sum over ``ROWS UNBOUNDED PRECEDING``) and ``{prefix}_total``.
-    """
-    b = f"__{prefix}_bucket"
-    keyed = df.withColumn(b, bucket_of(bounds).cast("int"))
+@dataclass(frozen=True)
+class RankSpec:
+    bounds: Bounds
+    prefix: str
+    value: str | None = None
+
+
+def _offsets(keyed: DataFrame, spec: RankSpec) -> DataFrame:
+    """Per-bucket counts (and sums) with their prefix totals: at most
+    ``spec.bounds.buckets`` rows, so one ordered partition is fine here."""
+    b, p = f"__{spec.prefix}_bucket", spec.prefix
     aggs = [F.count(F.lit(1)).alias("__cnt")]
-    if value is not None:
-        aggs.append(F.sum(value).alias("__sum"))
+    if spec.value is not None:
+        aggs.append(F.sum(spec.value).alias("__sum"))
     stats = keyed.groupBy(b).agg(*aggs)
-    # At most `bounds.buckets` rows: a single ordered partition is fine here.
     before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(F.lit(1))
-    offs = [F.col(b),
-            F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__cnt_before"),
-            F.sum("__cnt").over(whole).alias(f"{prefix}_n")]
-    if value is not None:
-        offs += [F.sum("__sum").over(before).alias("__sum_before"),
-                 F.sum("__sum").over(whole).alias(f"{prefix}_total")]
-    offsets = stats.select(*offs)
-
-    w = Window.partitionBy(b).orderBy(*_sort_cols(bounds.order))
-    local = keyed.withColumn("__rn_local", F.row_number().over(w))
-    if value is not None:
-        local = local.withColumn("__run_local",
-                                 F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = local.join(F.broadcast(offsets), b, "inner")
-    out = out.withColumn(f"{prefix}_rn", (F.col("__rn_local") + F.col("__cnt_before")).cast("bigint")) \
-             .withColumn(f"{prefix}_n", F.col(f"{prefix}_n").cast("bigint"))
-    drop = [b, "__rn_local", "__cnt_before"]
-    if value is not None:
-        # SUM ignores NULLs: NULL only while no value has been seen at all.
-        loc, bef = F.col("__run_local"), F.col("__sum_before")
-        out = out.withColumn(f"{prefix}_running",
-                             F.when(loc.isNull() & bef.isNull(), F.lit(None))
-                             .otherwise(F.coalesce(loc, F.lit(0)) + F.coalesce(bef, F.lit(0))))
-        drop += ["__run_local", "__sum_before"]
-    return out.drop(*drop)
+    cols = [F.col(b),
+            F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias(f"__{p}_cnt_before"),
+            F.sum("__cnt").over(whole).cast("bigint").alias(f"{p}_n")]
+    if spec.value is not None:
+        cols += [F.sum("__sum").over(before).alias(f"__{p}_sum_before"),
+                 F.sum("__sum").over(whole).alias(f"{p}_total")]
+    return stats.select(*cols)
+
+
+def rank_many(df: DataFrame, specs: Sequence[RankSpec]) -> DataFrame:
+    """Global row numbers for several orderings of the same rows.
+
+    All bucket ids are computed in one projection; each ordering then costs
+    one exchange on its bucket id and one window, chained, and a broadcast
+    of its per-bucket offsets. The input is read once more per ordering for
+    the offsets, so it should be cheap to re-read (staged).
+    Adds ``{prefix}_rn`` and ``{prefix}_n``; with a value also
+    ``{prefix}_running`` and ``{prefix}_total``.
+    """
+    keyed = df.select("*", *[bucket_of(s.bounds).cast("int").alias(f"__{s.prefix}_bucket") for s in specs])
+    offsets = [_offsets(keyed, s) for s in specs]
+    out = keyed
+    for s in specs:
+        w = Window.partitionBy(f"__{s.prefix}_bucket").orderBy(*_sort_cols(s.bounds.order))
+        out = out.withColumn(f"__{s.prefix}_rn_local", F.row_number().over(w))
+        if s.value is not None:
+            out = out.withColumn(f"__{s.prefix}_run_local",
+                                 F.sum(s.value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    for s, off in zip(specs, offsets):
+        p, b = s.prefix, f"__{s.prefix}_bucket"
+        out = out.join(F.broadcast(off), b, "inner")
+        out = out.withColumn(f"{p}_rn", (F.col(f"__{p}_rn_local") + F.col(f"__{p}_cnt_before")).cast("bigint"))
+        drop = [b, f"__{p}_rn_local", f"__{p}_cnt_before"]
+        if s.value is not None:
+            # SUM ignores NULLs: NULL only while no value has been seen at all.
+            loc, bef = F.col(f"__{p}_run_local"), F.col(f"__{p}_sum_before")
+            out = out.withColumn(f"{p}_running",
+                                 F.when(loc.isNull() & bef.isNull(), F.lit(None))
+                                 .otherwise(F.coalesce(loc, F.lit(0)) + F.coalesce(bef, F.lit(0))))
+            drop += [f"__{p}_run_local", f"__{p}_sum_before"]
+        out = out.drop(*drop)
+    return out
+
+
+def number_rows(df: DataFrame, bounds: Bounds, *, prefix: str, value: str | None = None) -> DataFrame:
+    """One ordering: adds ``{prefix}_rn`` (global 1-based row number in
+    ``bounds.order``) and ``{prefix}_n`` (row count); with ``value`` also
+    ``{prefix}_running`` (running sum over ``ROWS UNBOUNDED PRECEDING``) and
+    ``{prefix}_total``."""
+    return rank_many(df, [RankSpec(bounds, prefix, value)])
 
 
 def ntile(rn: str, n: str, k: int) -> Column:

@@ -59,9 +59,8 @@ def rfm_scores(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = No
                [("frequency", True), (CUSTOMER, True)],
                [("monetary", True), (CUSTOMER, True)]]
     br, bf, bm = ranking.plan_bounds(rfm, orders_, buckets)
-    x = ranking.number_rows(rfm, br, prefix="r")
-    x = ranking.number_rows(x, bf, prefix="f")
-    x = ranking.number_rows(x, bm, prefix="m")
+    x = ranking.rank_many(rfm, [ranking.RankSpec(br, "r"), ranking.RankSpec(bf, "f"),
+                                ranking.RankSpec(bm, "m")])
     return x.select(
         CUSTOMER, "recency", "frequency", F.col("monetary").cast("double").alias("monetary"),
         ranking.ntile("r_rn", "r_n", tiles).alias("r_score"),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from souk.functions import ranking
 from souk.functions.numeric import as_double, pct, round2, safe_div, whole_days, zscore
 from souk.operators.semantic import DELIVERED
+from souk.sources.staging import stage
 
 SELLER = "seller_id"
 
@@ -65,13 +66,14 @@ def seller_risk(items: DataFrame, orders: DataFrame, sellers: DataFrame, reviews
     cumulative share and z-scores of late rate and review against the
     qualifying sellers. Kept: rank <= ``top`` or cumulative share <= ``cum_pct``.
     """
-    sm = seller_metrics(items, orders, sellers, reviews, min_orders)
+    # Read three times (benchmarks, bounds sample, ranking): materialise once.
+    sm = stage(seller_metrics(items, orders, sellers, reviews, min_orders), "seller-metrics")
     stats = sm.agg(F.avg("late_delivery_rate_pct").alias("mu_late"),
                    F.stddev_pop("late_delivery_rate_pct").alias("sd_late"),
                    F.avg("avg_review_score").alias("mu_review"),
                    F.stddev_pop("avg_review_score").alias("sd_review"))
     ranked = ranking.global_rank(sm, [("gmv", False), (SELLER, True)], prefix="g", value="gmv",
-                                 buckets=buckets)
+                                 buckets=buckets, materialize=False)
     ranked = ranked.crossJoin(F.broadcast(stats))
     cum = round2(pct("g_running", "g_total"))
     cols = [

@@ -47,20 +47,22 @@ def order_level_metrics(orders: DataFrame, customers: DataFrame, payments: DataF
     NULL score) for callers that never read it; Spark cannot prove the join
     is one-to-one and would otherwise keep it.
 
-    Shuffles: orders and customers meet on ``customer_id``; the result, the
-    per-order payment totals and the reviews then all meet on ``order_id``,
-    sharing one partitioning.
+    Join order: orders, per-order payment totals and reviews meet first on
+    ``order_id`` (one partitioning; no exchange at all when the tables are
+    bucketed by order), then the order rows meet customers on
+    ``customer_id`` -- one shuffle of order-grain rows.
     """
     o = orders.select(
         "order_id", "customer_id", "order_status", "order_purchase_timestamp",
         "order_delivered_customer_date", "order_estimated_delivery_date")
     c = customers.select("customer_id", "customer_unique_id", "customer_state", "customer_city")
-    df = o.join(c, "customer_id", "inner").join(order_payment_totals(payments), "order_id", "left")
+    df = o.join(order_payment_totals(payments), "order_id", "left")
     if reviews is not None:
         df = df.join(reviews.select("order_id", "review_score"), "order_id", "left")
         score = F.col("review_score")
     else:
         score = F.lit(None).cast("int")
+    df = df.join(c, "customer_id", "inner")
     return df.select(
         "order_id", "customer_id", "customer_unique_id", "customer_state", "customer_city",
         "order_status", "order_purchase_timestamp", "order_delivered_customer_date",

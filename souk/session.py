@@ -36,6 +36,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "16g")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Local runs: small shuffles would otherwise be coalesced into one
+        # task; keep the cores busy. Clusters keep their own setting.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64KB")
     )
     for key, value in REQUIRED_CONF.items():
         builder = builder.config(key, value)
