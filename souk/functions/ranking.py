@@ -80,20 +80,24 @@ def _key_cmp(order: OrderSpec):
     return cmp
 
 
+# Below this many rows a single ordered partition is cheaper than buckets.
+SMALL_INPUT_ROWS = 20_000
+
+
 def plan_bounds(df: DataFrame, orders: Sequence[OrderSpec], buckets: int | None = None,
-                per_bucket: int = 20, seed: int = 7) -> list[Bounds]:
+                per_bucket: int = 20, seed: int = 7, small_rows: int = SMALL_INPUT_ROWS) -> list[Bounds]:
     """Bounds for several orderings of ``df`` from one bounded sample.
 
-    The sample is ``buckets * per_bucket`` rows picked by a seeded random
-    key (a per-task top-k: never more than that many rows reach the driver).
-    When the sample holds the whole input, the input is small by proof and a
-    single bucket is used.
+    The sample is ``max(buckets * per_bucket, small_rows)`` rows picked by a
+    seeded random key (a per-task top-k: never more than that many rows
+    reach the driver). When the sample holds the whole input, the input is
+    small by proof and a single bucket is used.
     """
     buckets = buckets or default_buckets(df)
     cols = list(dict.fromkeys(c for order in orders for c, _ in order))
     if buckets <= 1:
         return [Bounds(tuple(o), ()) for o in orders]
-    limit = buckets * per_bucket
+    limit = max(buckets * per_bucket, small_rows)
     rows = df.select(*cols).orderBy(F.rand(seed)).limit(limit).collect()
     if len(rows) < limit:
         return [Bounds(tuple(o), ()) for o in orders]
@@ -235,12 +239,21 @@ def ntile(rn: str, n: str, k: int) -> Column:
                   f"ELSE {r} + ({rn} - {big} - 1) div greatest({q}, 1) + 1 END AS BIGINT)")
 
 
+def prepare(df: DataFrame, orders: Sequence[OrderSpec], buckets: int | None = None,
+            label: str = "rank", materialize: bool = True, **kw) -> tuple[DataFrame, list[Bounds]]:
+    """Bounds for ``orders`` and the input to rank. When the input is large
+    (more than one bucket) it is read again by the per-bucket offsets and by
+    the windows, so it is materialised once (:func:`souk.sources.staging.stage`);
+    a small input is simply recomputed. Bounds from the unstaged input stay
+    valid: a row's bucket depends only on its key."""
+    bounds = plan_bounds(df, orders, buckets, **kw)
+    if materialize and any(b.buckets > 1 for b in bounds):
+        df = stage(df, label)
+    return df, bounds
+
+
 def global_rank(df: DataFrame, order: OrderSpec, *, prefix: str, value: str | None = None,
-                buckets: int | None = None, materialize: bool = True) -> DataFrame:
-    """Plan bounds for one ordering and number the rows. The input is read by
-    the sample job and twice by the main job, so by default it is first
-    materialised once (:func:`souk.sources.staging.stage`)."""
-    if materialize:
-        df = stage(df, f"rank-{prefix}")
-    (bounds,) = plan_bounds(df, [order], buckets)
+                buckets: int | None = None, materialize: bool = True, **kw) -> DataFrame:
+    """Plan bounds for one ordering and number the rows."""
+    df, (bounds,) = prepare(df, [order], buckets, f"rank-{prefix}", materialize, **kw)
     return number_rows(df, bounds, prefix=prefix, value=value)

@@ -73,11 +73,12 @@ def repeat_rate_gap(olm: DataFrame, days: int = 90) -> DataFrame:
     return rates.agg(F.coalesce(round2(on - late), F.lit(0.0)).alias("repeat_rate_gap_pp"))
 
 
-def revenue_concentration(olm: DataFrame, tiles: int = 5, buckets: int | None = None) -> DataFrame:
+def revenue_concentration(olm: DataFrame, tiles: int = 5, buckets: int | None = None, **kw) -> DataFrame:
     """O12b (one row): percent of delivered revenue from the top spend tile
     (NTILE over spend ascending, ties by person id)."""
     rev = delivered(olm).groupBy(CUSTOMER).agg(F.sum("payment_value").alias("monetary"))
-    ranked = ranking.global_rank(rev, [("monetary", True), (CUSTOMER, True)], prefix="m", buckets=buckets)
+    ranked = ranking.global_rank(rev, [("monetary", True), (CUSTOMER, True)], prefix="m", buckets=buckets,
+                                 **kw)
     top = ranking.ntile("m_rn", "m_n", tiles) == tiles
     return ranked.agg(round2(pct(F.sum(F.when(top, F.col("monetary")).otherwise(F.lit(0))),
                                  F.sum("monetary"))).alias("top_customer_quintile_revenue_share_pct"))

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from souk.functions import ranking
 from souk.functions.numeric import as_double, pct, round2, safe_div, whole_days, zscore
 from souk.operators.semantic import DELIVERED
-from souk.sources.staging import stage
 
 SELLER = "seller_id"
 
@@ -61,19 +60,18 @@ def seller_metrics(items: DataFrame, orders: DataFrame, sellers: DataFrame, revi
 
 def seller_risk(items: DataFrame, orders: DataFrame, sellers: DataFrame, reviews: DataFrame,
                 min_orders: int = 30, top: int = 50, cum_pct: float = 80.0,
-                with_decile: bool = False, buckets: int | None = None) -> DataFrame:
+                with_decile: bool = False, buckets: int | None = None, **kw) -> DataFrame:
     """Sellers ranked by GMV (ties by seller id) with GMV share,
     cumulative share and z-scores of late rate and review against the
     qualifying sellers. Kept: rank <= ``top`` or cumulative share <= ``cum_pct``.
     """
-    # Read three times (benchmarks, bounds sample, ranking): materialise once.
-    sm = stage(seller_metrics(items, orders, sellers, reviews, min_orders), "seller-metrics")
+    sm, (bounds,) = ranking.prepare(seller_metrics(items, orders, sellers, reviews, min_orders),
+                                    [[("gmv", False), (SELLER, True)]], buckets, "seller-metrics", **kw)
     stats = sm.agg(F.avg("late_delivery_rate_pct").alias("mu_late"),
                    F.stddev_pop("late_delivery_rate_pct").alias("sd_late"),
                    F.avg("avg_review_score").alias("mu_review"),
                    F.stddev_pop("avg_review_score").alias("sd_review"))
-    ranked = ranking.global_rank(sm, [("gmv", False), (SELLER, True)], prefix="g", value="gmv",
-                                 buckets=buckets, materialize=False)
+    ranked = ranking.number_rows(sm, bounds, prefix="g", value="gmv")
     ranked = ranked.crossJoin(F.broadcast(stats))
     cum = round2(pct("g_running", "g_total"))
     cols = [
@@ -101,13 +99,13 @@ def seller_revenue(items: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def seller_pareto(items: DataFrame, orders: DataFrame, target: float = 0.80,
-                  buckets: int | None = None) -> DataFrame:
+                  buckets: int | None = None, **kw) -> DataFrame:
     """O12c (one row): percent of sellers, by descending GMV, needed to reach
     ``target`` of delivered GMV: the first rank whose running GMV reaches the
     target, over the seller count."""
     sr = seller_revenue(items, orders)
     ranked = ranking.global_rank(sr, [("gmv", False), (SELLER, True)], prefix="g", value="gmv",
-                                 buckets=buckets)
+                                 buckets=buckets, **kw)
     reached = F.col("g_running") >= F.col("g_total") * F.lit(Decimal(str(target)))
     return ranked.agg(round2(pct(F.min(F.when(reached, F.col("g_rn"))), F.max("g_n")))
                       .alias("seller_pct_for_80pct_gmv"))

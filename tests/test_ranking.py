@@ -26,7 +26,7 @@ def _data(spark, n=5000, nulls=False):
 def test_equals_builtin_window(spark, asc, nulls, buckets):
     df = _data(spark, nulls=nulls)
     order = [("v", asc), ("k", True)]
-    (bounds,) = R.plan_bounds(df, [order], buckets=buckets, per_bucket=10)
+    (bounds,) = R.plan_bounds(df, [order], buckets=buckets, per_bucket=10, small_rows=0)
     got = R.number_rows(df, bounds, prefix="g", value="v").withColumn("t", R.ntile("g_rn", "g_n", 5))
     w = Window.orderBy(*R._sort_cols(order))
     ref = (df.withColumn("rn", F.row_number().over(w))
@@ -41,7 +41,7 @@ def test_equals_builtin_window(spark, asc, nulls, buckets):
 
 def test_buckets_are_balanced_under_heavy_ties(spark):
     df = _data(spark, n=20000)                     # 90% of rows share one value
-    (bounds,) = R.plan_bounds(df, [[("v", True), ("k", True)]], buckets=16)
+    (bounds,) = R.plan_bounds(df, [[("v", True), ("k", True)]], buckets=16, small_rows=0)
     sizes = [r[1] for r in df.groupBy(R.bucket_of(bounds).alias("b")).count().collect()]
     assert len(sizes) == bounds.buckets
     assert max(sizes) < 4 * 20000 / 16
@@ -57,7 +57,7 @@ def test_ntile_formula(spark, n, k):
 
 def test_plan_keeps_rows_off_a_single_partition(spark):
     df = _data(spark)
-    (bounds,) = R.plan_bounds(df, [[("v", True), ("k", True)]], buckets=16)
+    (bounds,) = R.plan_bounds(df, [[("v", True), ("k", True)]], buckets=16, small_rows=0)
     out = R.number_rows(df, bounds, prefix="g", value="v")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(__g_bucket" in plan
