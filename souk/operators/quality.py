@@ -104,17 +104,29 @@ def _report_row(df: DataFrame, table: str, name: str, kind: str, count: Column)
         F.lit(kind).alias("kind"), "violations")
 
 
-def row_rule_counts(tables: dict[str, DataFrame], rules=ROW_RULES) -> list[DataFrame]:
-    """All row rules of one table in a single scan, unpivoted to report rows."""
-    out = []
-    for table in dict.fromkeys(r.table for r in rules):
-        mine = [r for r in rules if r.table == table]
-        counts = tables[table].agg(*[F.count_if(F.expr(r.bad)).alias(f"c{i}") for i, r in enumerate(mine)])
-        pairs = ", ".join(f"'{r.name}', '{r.kind}', c{i}" for i, r in enumerate(mine))
-        out.append(counts.selectExpr(f"stack({len(mine)}, {pairs}) as (constraint_name, kind, violations)")
-                   .select(F.lit(table).alias("table_name"), "constraint_name", "kind",
-                           F.col("violations").cast("bigint").alias("violations")))
-    return out
+def table_rule_counts(df: DataFrame, table: str, key: KeyRule | None,
+                      rules: list[RowRule]) -> DataFrame:
+    """One pass over ``table``: its primary-key uniqueness plus all of its
+    row rules, unpivoted to one report row per rule.
+
+    Rows are first grouped by the key (no exchange when the table is
+    bucketed on it), counting rows and rule breaches per key value; a second,
+    global aggregate counts repeated keys and sums the breaches.
+    """
+    per_row = [F.count_if(F.expr(r.bad)).alias(f"c{i}") for i, r in enumerate(rules)]
+    if key is not None:
+        g = df.groupBy(*key.columns).agg(F.count(F.lit(1)).alias("__n"), *per_row)
+        totals = g.agg(F.count_if(F.col("__n") > 1).alias("pk"),
+                       *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(rules))])
+        entries = [(key.name, "primary_key", "pk")]
+    else:
+        totals = df.agg(*per_row)
+        entries = []
+    entries += [(r.name, r.kind, f"c{i}") for i, r in enumerate(rules)]
+    pairs = ", ".join(f"'{n}', '{k}', coalesce({c}, 0)" for n, k, c in entries)
+    return (totals.selectExpr(f"stack({len(entries)}, {pairs}) as (constraint_name, kind, violations)")
+            .select(F.lit(table).alias("table_name"), "constraint_name", "kind",
+                    F.col("violations").cast("bigint").alias("violations")))
 
 
 def duplicate_keys(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -133,11 +145,13 @@ def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     """O2: one row per constraint of the reference schema with the number of
     violations: NULLs in NOT NULL columns, repeated primary-key values,
     references without a parent (a NULL reference is not a violation) and
-    rows failing a CHECK."""
-    parts = row_rule_counts(tables)
-    for r in KEY_RULES:
-        parts.append(_report_row(duplicate_keys(tables[r.table], r.columns),
-                                 r.table, r.name, "primary_key", F.count(F.lit(1))))
+    rows failing a CHECK. One pass per table for keys and row rules, one
+    anti join per reference."""
+    keys = {k.table: k for k in KEY_RULES}
+    parts = []
+    for table in dict.fromkeys([k.table for k in KEY_RULES] + [r.table for r in ROW_RULES]):
+        parts.append(table_rule_counts(tables[table], table, keys.get(table),
+                                       [r for r in ROW_RULES if r.table == table]))
     for r in REFERENCE_RULES:
         parts.append(_report_row(dangling_references(tables[r.table], r.column,
                                                      tables[r.parent], r.parent_column),
