@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import ranking
 from souk.functions.numeric import decimal_text, pct, round2
+from souk.functions.skew import salted_join
 from souk.operators import categories, sellers
 from souk.operators.semantic import LATE, ON_TIME, delivered
 
@@ -42,30 +43,31 @@ def first_delivered_orders(olm: DataFrame) -> DataFrame:
     its delivery experience, as a keyed aggregate of a struct (combined
     map-side, so a person with very many orders is not one task's work)."""
     first = F.min(F.struct("order_purchase_timestamp", "order_id", "delivery_experience")).alias("f")
-    return (delivered(olm).groupBy(CUSTOMER).agg(first)
+    return (delivered(olm).groupBy(CUSTOMER).agg(first, F.count(F.lit(1)).alias("n_orders"))
             .select(CUSTOMER, F.col("f.order_purchase_timestamp").alias("first_ts"),
                     F.col("f.order_id").alias("first_order_id"),
-                    F.col("f.delivery_experience").alias("first_experience")))
+                    F.col("f.delivery_experience").alias("first_experience"), "n_orders"))
 
 
-def repeat_flags(olm: DataFrame, days: int = 90) -> DataFrame:
+def repeat_flags(olm: DataFrame, days: int = 90, **skew) -> DataFrame:
     """Per person: 1 if any later delivered order falls at or before the
-    first purchase plus ``days`` (time of day kept), else 0."""
+    first purchase plus ``days`` (time of day kept), else 0. The join back to
+    the orders salts persons with very many orders."""
     firsts = first_delivered_orders(olm)
     d = delivered(olm).select(CUSTOMER, "order_id", "order_purchase_timestamp")
     later = ((F.col("order_id") != F.col("first_order_id"))
              & (F.col("order_purchase_timestamp")
                 <= F.col("first_ts") + F.make_dt_interval(days=F.lit(days))))
-    return (firsts.join(d, CUSTOMER, "inner")
+    return (salted_join(d, firsts, CUSTOMER, count_col="n_orders", salt_by="order_id", **skew)
             .groupBy(CUSTOMER, "first_experience")
             .agg(F.max(F.when(later, 1).otherwise(0)).alias("repeated_within_90d")))
 
 
-def repeat_rate_gap(olm: DataFrame, days: int = 90) -> DataFrame:
+def repeat_rate_gap(olm: DataFrame, days: int = 90, **skew) -> DataFrame:
     """O12a (one row): 90-day repeat rate after an on-time first order minus
     after a late one, in points; unknown first orders are left out; 0 when
     either side is missing."""
-    rates = (repeat_flags(olm, days).filter(F.col("first_experience").isin(ON_TIME, LATE))
+    rates = (repeat_flags(olm, days, **skew).filter(F.col("first_experience").isin(ON_TIME, LATE))
              .groupBy("first_experience")
              .agg((F.lit(100.0) * F.avg("repeated_within_90d")).alias("rate")))
     on = F.max(F.when(F.col("first_experience") == ON_TIME, F.col("rate")))

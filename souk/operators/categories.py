@@ -79,18 +79,18 @@ def category_economics(items: DataFrame, orders: DataFrame, products: DataFrame,
         round2(pct("freight_sum", "price_sum")).alias("freight_to_revenue_pct"),
         round2(pct("late_items", "items")).alias("late_delivery_rate_pct"),
         round2(safe_div("score_sum", "scored_items")).alias("avg_review_score"))
-    stats = cm.agg(F.avg("freight_to_revenue_pct").alias("mu"),
-                   F.stddev_pop("freight_to_revenue_pct").alias("sd"),
-                   F.sum("gmv_dec").alias("total_gmv"))
-    x = cm.crossJoin(F.broadcast(stats))
-    share = pct("gmv_dec", "total_gmv")
+    stats = cm.agg(F.struct(F.avg("freight_to_revenue_pct").alias("mu"),
+                            F.stddev_pop("freight_to_revenue_pct").alias("sd"),
+                            F.sum("gmv_dec").alias("total_gmv"))).scalar()
+    x = cm
+    share = pct("gmv_dec", stats["total_gmv"])
     action = (F.when((F.col("freight_to_revenue_pct") >= margin_ratio) & (F.col("avg_item_price") < margin_price),
                      F.lit(MARGIN))
               .when((F.col("late_delivery_rate_pct") >= late_pct) & (F.col("avg_review_score") < low_review),
                     F.lit(CX))
               .when(share >= core_share, F.lit(CORE))
               .otherwise(F.lit(MONITOR)))
-    z = zscore("freight_to_revenue_pct", "mu", "sd")
+    z = zscore("freight_to_revenue_pct", stats["mu"], stats["sd"])
     return x.select(
         "category_name", "delivered_orders",
         as_double("gmv_dec").alias("gross_merchandise_value"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from souk.functions.numeric import month_start_text, pct, round2, whole_months
+from souk.functions.skew import salted_join
 from souk.operators.semantic import delivered
 
 CUSTOMER = "customer_unique_id"
@@ -19,24 +20,26 @@ def first_purchases(olm: DataFrame) -> DataFrame:
     partition.
     """
     return (delivered(olm).groupBy(CUSTOMER)
-            .agg(F.min("order_purchase_timestamp").alias("first_purchase_date"))
+            .agg(F.min("order_purchase_timestamp").alias("first_purchase_date"),
+                 F.count(F.lit(1)).alias("n_orders"))
             .withColumn("cohort_month", month_start_text("first_purchase_date")))
 
 
-def cohort_retention(olm: DataFrame, max_month: int = 12) -> DataFrame:
+def cohort_retention(olm: DataFrame, max_month: int = 12, **skew) -> DataFrame:
     """Cohort = month of the first delivered purchase; month number = whole
     months elapsed since that first timestamp (so a purchase in the next
     calendar month can still be month 0). Months 0..``max_month``; months
     without activity are absent, not zero.
 
     Plan: first purchases are aggregated per person, joined back to the
-    delivered orders on the person (AQE splits a skewed person across
-    tasks), aggregated per (cohort, month number); cohort sizes are a tiny
-    aggregate joined at the end.
+    delivered orders on the person (a person with very many orders is
+    salted over several tasks, :func:`souk.functions.skew.salted_join`),
+    aggregated per (cohort, month number); cohort sizes are a tiny aggregate
+    joined at the end.
     """
     firsts = first_purchases(olm)
-    orders = delivered(olm).select(CUSTOMER, "order_purchase_timestamp", "payment_value")
-    activity = (firsts.join(orders, CUSTOMER, "inner")
+    orders = delivered(olm).select(CUSTOMER, "order_id", "order_purchase_timestamp", "payment_value")
+    activity = (salted_join(orders, firsts, CUSTOMER, count_col="n_orders", salt_by="order_id", **skew)
                 .select(CUSTOMER, "cohort_month",
                         whole_months("first_purchase_date", "order_purchase_timestamp").alias("month_number"),
                         "payment_value")

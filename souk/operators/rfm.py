@@ -22,18 +22,17 @@ GENERAL = "4. General"
 def customer_rfm(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
     """Per person over delivered orders: days from the reference date to the
     last purchase, distinct orders and total payments. The reference date is
-    the latest purchase of *any* status unless ``as_of`` is given; it is a
-    one-row aggregate joined by broadcast."""
+    the latest purchase of *any* status unless ``as_of`` is given (a scalar
+    subquery, computed once)."""
     per = (delivered(olm).groupBy(CUSTOMER)
            .agg(F.max("order_purchase_timestamp").alias("last_purchase"),
                 F.countDistinct("order_id").cast("bigint").alias("frequency"),
                 F.sum("payment_value").alias("monetary")))
     if as_of is None:
-        ref = orders.agg(F.max("order_purchase_timestamp").alias("as_of"))
-        per = per.crossJoin(F.broadcast(ref))
+        ref = orders.agg(F.max("order_purchase_timestamp")).scalar()
     else:
-        per = per.withColumn("as_of", F.lit(as_of).cast("timestamp_ntz"))
-    return per.select(CUSTOMER, calendar_days("as_of", "last_purchase").cast("bigint").alias("recency"),
+        ref = F.lit(as_of).cast("timestamp_ntz")
+    return per.select(CUSTOMER, calendar_days(ref, "last_purchase").cast("bigint").alias("recency"),
                       "frequency", "monetary")
 
 

@@ -67,12 +67,11 @@ def seller_risk(items: DataFrame, orders: DataFrame, sellers: DataFrame, reviews
     """
     sm, (bounds,) = ranking.prepare(seller_metrics(items, orders, sellers, reviews, min_orders),
                                     [[("gmv", False), (SELLER, True)]], buckets, "seller-metrics", **kw)
-    stats = sm.agg(F.avg("late_delivery_rate_pct").alias("mu_late"),
-                   F.stddev_pop("late_delivery_rate_pct").alias("sd_late"),
-                   F.avg("avg_review_score").alias("mu_review"),
-                   F.stddev_pop("avg_review_score").alias("sd_review"))
+    stats = sm.agg(F.struct(F.avg("late_delivery_rate_pct").alias("mu_late"),
+                            F.stddev_pop("late_delivery_rate_pct").alias("sd_late"),
+                            F.avg("avg_review_score").alias("mu_review"),
+                            F.stddev_pop("avg_review_score").alias("sd_review"))).scalar()
     ranked = ranking.number_rows(sm, bounds, prefix="g", value="gmv")
-    ranked = ranked.crossJoin(F.broadcast(stats))
     cum = round2(pct("g_running", "g_total"))
     cols = [
         F.col("g_rn").alias("seller_rank"), SELLER, "seller_state", "delivered_orders",
@@ -80,9 +79,9 @@ def seller_risk(items: DataFrame, orders: DataFrame, sellers: DataFrame, reviews
         round2(pct("gmv", "g_total")).alias("gmv_share_pct"),
         cum.alias("cumulative_gmv_share_pct"),
         "avg_delivery_days", "late_delivery_rate_pct",
-        zscore("late_delivery_rate_pct", "mu_late", "sd_late").alias("late_rate_z_score"),
+        zscore("late_delivery_rate_pct", stats["mu_late"], stats["sd_late"]).alias("late_rate_z_score"),
         "avg_review_score",
-        zscore("avg_review_score", "mu_review", "sd_review").alias("review_score_z_score"),
+        zscore("avg_review_score", stats["mu_review"], stats["sd_review"]).alias("review_score_z_score"),
     ]
     if with_decile:
         cols.append(ranking.ntile("g_rn", "g_n", 10).alias("gmv_decile"))

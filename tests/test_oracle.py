@@ -82,3 +82,16 @@ def test_ranking_queries_with_forced_buckets(spark, duck, name):
     res = duck.execute(oracle_sql()[name])
     d_cols = [d[0] for d in res.description]
     assert _canon([tuple(r) for r in sdf.collect()], sdf.columns) == _canon(res.fetchall(), d_cols)
+
+
+@pytest.mark.parametrize("name", ["cohort_retention", "repeat_rate_gap"])
+def test_person_joins_with_forced_salting(spark, duck, name):
+    from souk.operators import actions, cohorts
+    from souk.plans import registry as R
+    olm = R._olm(R._tables(spark, SF), reviews=False)
+    skew = {"target_rows": 1, "max_hot": 10**9}      # every person with 2+ orders is salted
+    sdf = (cohorts.cohort_retention(olm, **skew) if name == "cohort_retention"
+           else actions.repeat_rate_gap(olm, **skew))
+    res = duck.execute(oracle_sql()[name])
+    d_cols = [d[0] for d in res.description]
+    assert _canon([tuple(r) for r in sdf.collect()], sdf.columns) == _canon(res.fetchall(), d_cols)
