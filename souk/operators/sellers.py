@@ -43,19 +43,24 @@ def seller_metrics(items: DataFrame, orders: DataFrame, sellers: DataFrame, revi
     """Item-weighted seller metrics. GMV, delivery days and review use
     delivered items; the late rate divides by items of *any* status."""
     g = _order_seller_grain(items, orders, reviews)
-    g = g.join(sellers.select(SELLER, "seller_state"), SELLER, "inner")
     dlv = F.col("is_delivered")
     n = F.col("n_items")
     days_w = F.when(dlv & F.col("days").isNotNull(), n)
     score_w = F.when(dlv & F.col("review_score").isNotNull(), n)
-    return (g.groupBy(SELLER, "seller_state").agg(
+    # Aggregate per seller first (combined map-side, so a seller with a third
+    # of all items is not one task's work), then attach the state: the same
+    # groups as joining first and grouping by (seller, state).
+    per_seller = g.groupBy(SELLER).agg(
         F.count(F.when(dlv, 1)).cast("bigint").alias("delivered_orders"),
         F.round(F.sum(F.when(dlv, F.col("amount")).otherwise(F.lit(0))), 2).alias("gmv"),
         round2(safe_div(F.sum(days_w * F.col("days")), F.sum(days_w))).alias("avg_delivery_days"),
         round2(pct(F.sum(F.when(dlv & F.col("is_late"), n).otherwise(0)), F.sum(n)))
         .alias("late_delivery_rate_pct"),
         round2(safe_div(F.sum(score_w * F.col("review_score")), F.sum(score_w))).alias("avg_review_score"))
-        .filter(F.col("delivered_orders") >= min_orders))
+    return (per_seller.filter(F.col("delivered_orders") >= min_orders)
+            .join(sellers.select(SELLER, "seller_state"), SELLER, "inner")
+            .select(SELLER, "seller_state", "delivered_orders", "gmv", "avg_delivery_days",
+                    "late_delivery_rate_pct", "avg_review_score"))
 
 
 def seller_risk(items: DataFrame, orders: DataFrame, sellers: DataFrame, reviews: DataFrame,
