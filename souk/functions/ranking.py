@@ -196,16 +196,31 @@ def rank_many(df: DataFrame, specs: Sequence[RankSpec]) -> DataFrame:
     Adds ``{prefix}_rn`` and ``{prefix}_n``; with a value also
     ``{prefix}_running`` and ``{prefix}_total``.
     """
-    keyed = df.select("*", *[bucket_of(s.bounds).cast("int").alias(f"__{s.prefix}_bucket") for s in specs])
-    offsets = [_offsets(keyed, s) for s in specs]
+    big = [s for s in specs if s.bounds.buckets > 1]
+    keyed = df.select("*", *[bucket_of(s.bounds).cast("int").alias(f"__{s.prefix}_bucket") for s in big])
+    offsets = [_offsets(keyed, s) for s in big]
     out = keyed
     for s in specs:
-        w = Window.partitionBy(f"__{s.prefix}_bucket").orderBy(*_sort_cols(s.bounds.order))
+        if s.bounds.buckets > 1:
+            w = Window.partitionBy(f"__{s.prefix}_bucket").orderBy(*_sort_cols(s.bounds.order))
+        else:
+            # Input proven small by the sample: one ordered partition.
+            w = Window.orderBy(*_sort_cols(s.bounds.order))
         out = out.withColumn(f"__{s.prefix}_rn_local", F.row_number().over(w))
         if s.value is not None:
             out = out.withColumn(f"__{s.prefix}_run_local",
                                  F.sum(s.value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    for s, off in zip(specs, offsets):
+    for s in specs:
+        if s.bounds.buckets > 1:
+            continue
+        p = s.prefix
+        out = out.withColumnRenamed(f"__{p}_rn_local", f"{p}_rn") \
+                 .withColumn(f"{p}_rn", F.col(f"{p}_rn").cast("bigint")) \
+                 .withColumn(f"{p}_n", df.agg(F.count(F.lit(1))).scalar().cast("bigint"))
+        if s.value is not None:
+            out = out.withColumnRenamed(f"__{p}_run_local", f"{p}_running") \
+                     .withColumn(f"{p}_total", df.agg(F.sum(s.value)).scalar())
+    for s, off in zip(big, offsets):
         p, b = s.prefix, f"__{s.prefix}_bucket"
         out = out.join(F.broadcast(off), b, "inner")
         out = out.withColumn(f"{p}_rn", (F.col(f"__{p}_rn_local") + F.col(f"__{p}_cnt_before")).cast("bigint"))

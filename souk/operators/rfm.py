@@ -45,7 +45,7 @@ def segment(r: str = "r_score", f: str = "f_score", m: str = "m_score") -> F.Col
 
 
 def rfm_scores(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = None,
-               tiles: int = 5, buckets: int | None = None, small_rows: int | None = None) -> DataFrame:
+               tiles: int = 5, buckets: int | None = None, **kw) -> DataFrame:
     """All customers with their three scores and segment. Higher is better
     on every score: recency is tiled descending. Every ordering ends with the
     person id so tiles are deterministic when values tie.
@@ -55,8 +55,7 @@ def rfm_scores(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = No
     orders_ = [[("recency", False), (CUSTOMER, True)],
                [("frequency", True), (CUSTOMER, True)],
                [("monetary", True), (CUSTOMER, True)]]
-    rfm, (br, bf, bm) = ranking.prepare(customer_rfm(olm, orders, as_of), orders_, buckets, "rfm",
-                                        **({"small_rows": small_rows} if small_rows is not None else {}))
+    rfm, (br, bf, bm) = ranking.prepare(customer_rfm(olm, orders, as_of), orders_, buckets, "rfm", **kw)
     x = ranking.rank_many(rfm, [ranking.RankSpec(br, "r"), ranking.RankSpec(bf, "f"),
                                 ranking.RankSpec(bm, "m")])
     return x.select(
@@ -68,10 +67,9 @@ def rfm_scores(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = No
 
 
 def rfm_segments(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = None,
-                 limit: int | None = 50, buckets: int | None = None,
-                 small_rows: int | None = None) -> DataFrame:
+                 limit: int | None = 50, buckets: int | None = None, **kw) -> DataFrame:
     """The ``limit`` customers with the highest spend (top-k report),
     ties broken by person id."""
-    out = rfm_scores(olm, orders, as_of, buckets=buckets, small_rows=small_rows) \
+    out = rfm_scores(olm, orders, as_of, buckets=buckets, **kw) \
         .orderBy(F.col("monetary").desc(), F.col(CUSTOMER).asc())
     return out.limit(limit) if limit is not None else out

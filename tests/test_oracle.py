@@ -62,7 +62,7 @@ def test_query_matches_oracle(spark, duck, name):
 def _forced(name):
     from souk.operators import actions, rfm, sellers
     from souk.plans import registry as R
-    kw = {"buckets": 8, "small_rows": 0}
+    kw = {"buckets": 8, "small_rows": 0, "per_bucket": 1}
 
     def run(spark, sf):
         t = R._tables(spark, sf)
