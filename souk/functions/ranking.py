@@ -213,13 +213,16 @@ def rank_many(df: DataFrame, specs: Sequence[RankSpec]) -> DataFrame:
     for s in specs:
         if s.bounds.buckets > 1:
             continue
+        # Same ordered partition, whole frame: computed by the same Window operator.
         p = s.prefix
+        whole = Window.orderBy(*_sort_cols(s.bounds.order)) \
+            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         out = out.withColumnRenamed(f"__{p}_rn_local", f"{p}_rn") \
                  .withColumn(f"{p}_rn", F.col(f"{p}_rn").cast("bigint")) \
-                 .withColumn(f"{p}_n", df.agg(F.count(F.lit(1))).scalar().cast("bigint"))
+                 .withColumn(f"{p}_n", F.count(F.lit(1)).over(whole).cast("bigint"))
         if s.value is not None:
             out = out.withColumnRenamed(f"__{p}_run_local", f"{p}_running") \
-                     .withColumn(f"{p}_total", df.agg(F.sum(s.value)).scalar())
+                     .withColumn(f"{p}_total", F.sum(s.value).over(whole))
     for s, off in zip(big, offsets):
         p, b = s.prefix, f"__{s.prefix}_bucket"
         out = out.join(F.broadcast(off), b, "inner")
