@@ -66,11 +66,12 @@ def category_economics(items: DataFrame, orders: DataFrame, products: DataFrame,
                        translation: DataFrame, reviews: DataFrame, min_orders: int = 100,
                        margin_ratio: float = 40.0, margin_price: float = 80.0,
                        late_pct: float = 15.0, low_review: float = 4.0,
-                       core_share: float = 5.0) -> DataFrame:
+                       core_share: float = 5.0, flags: bool = False, outlier_z: float = 2.0) -> DataFrame:
     """Categories with at least ``min_orders`` delivered orders: GMV,
     share, average price, freight ratio and its z-score, late rate, review,
     and an action label (first match wins). Shares and the freight
-    benchmark are relative to the qualifying categories."""
+    benchmark are relative to the qualifying categories. ``flags`` adds
+    ``freight_outlier`` (z above ``outlier_z``), the reference's prose rule."""
     b = category_base(items, orders, products, translation, reviews)
     cm = b.filter(F.col("delivered_orders") >= min_orders).select(
         "category_name", "delivered_orders",
@@ -91,6 +92,7 @@ def category_economics(items: DataFrame, orders: DataFrame, products: DataFrame,
               .when(share >= core_share, F.lit(CORE))
               .otherwise(F.lit(MONITOR)))
     z = zscore("freight_to_revenue_pct", stats["mu"], stats["sd"])
+    extra = [F.coalesce(z > outlier_z, F.lit(False)).alias("freight_outlier")] if flags else []
     return x.select(
         "category_name", "delivered_orders",
         as_double("gmv_dec").alias("gross_merchandise_value"),
@@ -98,7 +100,7 @@ def category_economics(items: DataFrame, orders: DataFrame, products: DataFrame,
         "avg_item_price", "freight_to_revenue_pct",
         z.alias("freight_pressure_z_score"),
         "late_delivery_rate_pct", "avg_review_score",
-        action.alias("category_action"),
+        action.alias("category_action"), *extra,
     ).orderBy(F.col("freight_pressure_z_score").desc(), F.col("gross_merchandise_value").desc())
 
 

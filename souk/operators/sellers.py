@@ -65,10 +65,16 @@ def seller_metrics(items: DataFrame, orders: DataFrame, sellers: DataFrame, revi
 
 def seller_risk(items: DataFrame, orders: DataFrame, sellers: DataFrame, reviews: DataFrame,
                 min_orders: int = 30, top: int = 50, cum_pct: float = 80.0,
-                with_decile: bool = False, buckets: int | None = None, **kw) -> DataFrame:
+                with_decile: bool = False, flags: bool = False, alert_z: float = 1.5,
+                outlier_z: float = 2.0, buckets: int | None = None, **kw) -> DataFrame:
     """Sellers ranked by GMV (ties by seller id) with GMV share,
     cumulative share and z-scores of late rate and review against the
     qualifying sellers. Kept: rank <= ``top`` or cumulative share <= ``cum_pct``.
+
+    Optional columns: ``with_decile`` adds ``gmv_decile`` (NTILE(10) by GMV);
+    ``flags`` adds ``late_rate_alert`` (top GMV decile and late-rate z above
+    ``alert_z``) and ``late_rate_outlier`` (z above ``outlier_z``), the alert
+    rules the reference recommends in prose.
     """
     sm, (bounds,) = ranking.prepare(seller_metrics(items, orders, sellers, reviews, min_orders),
                                     [[("gmv", False), (SELLER, True)]], buckets, "seller-metrics", **kw)
@@ -88,8 +94,13 @@ def seller_risk(items: DataFrame, orders: DataFrame, sellers: DataFrame, reviews
         "avg_review_score",
         zscore("avg_review_score", stats["mu_review"], stats["sd_review"]).alias("review_score_z_score"),
     ]
+    decile = ranking.ntile("g_rn", "g_n", 10)
     if with_decile:
-        cols.append(ranking.ntile("g_rn", "g_n", 10).alias("gmv_decile"))
+        cols.append(decile.alias("gmv_decile"))
+    if flags:
+        z = zscore("late_delivery_rate_pct", stats["mu_late"], stats["sd_late"])
+        cols.append(F.coalesce((decile == 1) & (z > alert_z), F.lit(False)).alias("late_rate_alert"))
+        cols.append(F.coalesce(z > outlier_z, F.lit(False)).alias("late_rate_outlier"))
     return (ranked.filter((F.col("g_rn") <= top) | (cum <= cum_pct))
             .select(*cols).orderBy("seller_rank"))
 

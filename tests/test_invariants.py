@@ -62,3 +62,19 @@ def test_order_grain_joins_do_not_shuffle_bucketed_tables(spark):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(order_id" not in plan
     assert t["orders"].filter(F.col("order_id").isNull()).count() == 0
+
+
+def test_optional_alert_flags(spark):
+    from souk.operators import categories
+    t = adapted_tables(spark, SF)
+    s = sellers.seller_risk(t["order_items"], t["orders"], t["sellers"], t["order_reviews"],
+                            min_orders=1, flags=True, with_decile=True).collect()
+    for r in s:
+        z = r.late_rate_z_score
+        assert r.late_rate_outlier == (z is not None and z > 2.0)
+        assert r.late_rate_alert == (r.gmv_decile == 1 and z is not None and z > 1.5)
+    c = categories.category_economics(t["order_items"], t["orders"], t["products"],
+                                      t["product_category_name_translation"], t["order_reviews"],
+                                      min_orders=1, flags=True).collect()
+    assert all(r.freight_outlier == (r.freight_pressure_z_score is not None and r.freight_pressure_z_score > 2.0)
+               for r in c)

@@ -66,3 +66,16 @@ def test_normalise_status_state_and_category(spark):
     assert n["orders"].collect()[0].order_status == "delivered"
     assert n["customers"].collect()[0].customer_state == "SP"
     assert n["products"].collect()[0].product_category_name == "beleza"
+
+
+def test_sinks_round_trip_and_views(spark):
+    from souk.sources.sinks import register_views, save_tables, write_table
+    folder = tempfile.mkdtemp(prefix="souk-sink-", dir=os.environ.get("SOUK_SCRATCH", "/tmp"))
+    t = make_tables(spark, orders=[{"order_id": "o1", "customer_id": "c1", "order_status": "delivered"}])
+    save_tables(t, folder)
+    back = load_tables(spark, folder, "parquet", unique_reviews=False)
+    assert back["orders"].collect()[0].order_id == "o1"
+    write_table(back["orders"], os.path.join(folder, "tall"), partition_by=["order_status"])
+    assert spark.read.parquet(os.path.join(folder, "tall")).count() == 1
+    register_views(spark, {"souk_test_orders": back["orders"]})
+    assert spark.sql("SELECT count(*) FROM souk_test_orders").collect()[0][0] == 1
