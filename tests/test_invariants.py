@@ -78,3 +78,14 @@ def test_optional_alert_flags(spark):
                                       min_orders=1, flags=True).collect()
     assert all(r.freight_outlier == (r.freight_pressure_z_score is not None and r.freight_pressure_z_score > 2.0)
                for r in c)
+
+
+def test_top_quintile_share_bounds(spark):
+    from souk.operators import actions
+    t = adapted_tables(spark, SF)
+    olm = _olm(t, False)
+    share = actions.revenue_concentration(olm).collect()[0][0]
+    n = olm.filter("order_status = 'delivered'").select("customer_unique_id").distinct().count()
+    assert 100.0 * (n // 5) / n - 0.01 <= share <= 100.0
+    forced = actions.revenue_concentration(olm, buckets=8, small_rows=0, per_bucket=1).collect()[0][0]
+    assert forced == share
