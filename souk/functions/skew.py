@@ -6,11 +6,14 @@ extra shuffle and is skipped, so a person holding a third of all orders would
 be one task's work. Here such keys are salted explicitly:
 
 * the one-row-per-key side already carries each key's row count (it is the
-  aggregate that produced it), so hot keys cost no extra pass;
-* a key is hot above ``max(target_rows, total / max_hot)`` rows, so there are
-  at most ``max_hot`` of them: the hot list is broadcast with a proven bound;
-* a hot key's rows are spread over ``ceil(count / per_task)`` salts by a hash
-  of a row id, and its single row on the other side is replicated once per salt.
+  aggregate that produced it), so finding hot keys costs no extra pass;
+* the hot keys are the ``max_hot`` largest keys above ``target_rows`` rows (a
+  top-k, so the broadcast list has a proven bound); a key outside that list is
+  smaller than all ``max_hot`` listed ones and so holds at most
+  ``1 / max_hot`` of the rows;
+* a hot key's rows are spread over ``ceil(count / target_rows)`` salts by a
+  hash of a row id, and its single row on the other side is replicated once
+  per salt.
 Every row still meets its key's row exactly once, so the result equals the
 plain inner join.
 """
@@ -28,12 +31,14 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, *, count_col: str, sa
                 target_rows: int = TARGET_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
     """Inner join of ``many`` with ``one`` (unique ``key``, ``count_col`` =
     rows of the key in ``many``), spreading hot keys over several tasks."""
-    total = one.agg(F.sum(count_col)).scalar()
-    per_task = F.greatest(total / F.lit(max_hot), F.lit(float(target_rows)))
-    salts = F.when(F.col(count_col) > per_task, F.ceil(F.col(count_col) / per_task)).otherwise(F.lit(1))
-    hot = one.filter(F.col(count_col) > per_task).select(key, salts.cast("bigint").alias("__salts"))
-    m = (many.join(F.broadcast(hot), key, "left")
+    hot = (one.filter(F.col(count_col) > target_rows)
+           .orderBy(F.col(count_col).desc()).limit(max_hot)
+           .select(key, F.ceil(F.col(count_col) / F.lit(float(target_rows))).cast("bigint").alias("__salts")))
+    hot = F.broadcast(hot)
+    m = (many.join(hot, key, "left")
          .withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("__salts")), F.lit(0)))
          .drop("__salts"))
-    o = one.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts.cast("bigint") - 1)))
+    o = (one.join(hot, key, "left")
+         .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__salts"), F.lit(1)) - 1)))
+         .drop("__salts"))
     return m.join(o, [key, "__salt"], "inner").drop("__salt")

@@ -12,6 +12,7 @@ from souk.functions.numeric import decimal_text, pct, round2
 from souk.functions.skew import salted_join
 from souk.operators import categories, sellers
 from souk.operators.semantic import LATE, ON_TIME, delivered
+from souk.sources.staging import stage
 
 CUSTOMER = "customer_unique_id"
 
@@ -53,7 +54,8 @@ def repeat_flags(olm: DataFrame, days: int = 90, **skew) -> DataFrame:
     """Per person: 1 if any later delivered order falls at or before the
     first purchase plus ``days`` (time of day kept), else 0. The join back to
     the orders salts persons with very many orders."""
-    firsts = first_delivered_orders(olm)
+    # Read by the hot-key list and both sides of the join: materialised once.
+    firsts = stage(first_delivered_orders(olm), "first-orders")
     d = delivered(olm).select(CUSTOMER, "order_id", "order_purchase_timestamp")
     later = ((F.col("order_id") != F.col("first_order_id"))
              & (F.col("order_purchase_timestamp")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions.numeric import as_double, pct, round2, safe_div, zscore
@@ -80,18 +80,20 @@ def category_economics(items: DataFrame, orders: DataFrame, products: DataFrame,
         round2(pct("freight_sum", "price_sum")).alias("freight_to_revenue_pct"),
         round2(pct("late_items", "items")).alias("late_delivery_rate_pct"),
         round2(safe_div("score_sum", "scored_items")).alias("avg_review_score"))
-    stats = cm.agg(F.struct(F.avg("freight_to_revenue_pct").alias("mu"),
-                            F.stddev_pop("freight_to_revenue_pct").alias("sd"),
-                            F.sum("gmv_dec").alias("total_gmv"))).scalar()
-    x = cm
-    share = pct("gmv_dec", stats["total_gmv"])
+    # Benchmarks over the qualifying categories: whole-frame windows over a
+    # table with one row per category (bounded by the category vocabulary).
+    every = Window.partitionBy()
+    x = cm.select("*", F.avg("freight_to_revenue_pct").over(every).alias("__mu"),
+                  F.stddev_pop("freight_to_revenue_pct").over(every).alias("__sd"),
+                  F.sum("gmv_dec").over(every).alias("__total_gmv"))
+    share = pct("gmv_dec", "__total_gmv")
     action = (F.when((F.col("freight_to_revenue_pct") >= margin_ratio) & (F.col("avg_item_price") < margin_price),
                      F.lit(MARGIN))
               .when((F.col("late_delivery_rate_pct") >= late_pct) & (F.col("avg_review_score") < low_review),
                     F.lit(CX))
               .when(share >= core_share, F.lit(CORE))
               .otherwise(F.lit(MONITOR)))
-    z = zscore("freight_to_revenue_pct", stats["mu"], stats["sd"])
+    z = zscore("freight_to_revenue_pct", "__mu", "__sd")
     extra = [F.coalesce(z > outlier_z, F.lit(False)).alias("freight_outlier")] if flags else []
     return x.select(
         "category_name", "delivered_orders",

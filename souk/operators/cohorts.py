@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from souk.functions.numeric import month_start_text, pct, round2, whole_months
 from souk.functions.skew import salted_join
 from souk.operators.semantic import delivered
+from souk.sources.staging import stage
 
 CUSTOMER = "customer_unique_id"
 
@@ -37,7 +38,9 @@ def cohort_retention(olm: DataFrame, max_month: int = 12, **skew) -> DataFrame:
     aggregated per (cohort, month number); cohort sizes are a tiny aggregate
     joined at the end.
     """
-    firsts = first_purchases(olm)
+    # Read three times (cohort sizes, hot-key list, join): one row per person,
+    # materialised once.
+    firsts = stage(first_purchases(olm), "first-purchases")
     orders = delivered(olm).select(CUSTOMER, "order_id", "order_purchase_timestamp", "payment_value")
     activity = (salted_join(orders, firsts, CUSTOMER, count_col="n_orders", salt_by="order_id", **skew)
                 .select(CUSTOMER, "cohort_month",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions.numeric import as_double, round2, safe_div
@@ -24,36 +24,51 @@ def state_service_gap(olm: DataFrame, min_orders: int = 500) -> DataFrame:
     delivered orders, and the mean revenue of the states with at least
     ``min_orders`` delivered orders. All comparisons use the rounded values.
 
-    Both benchmarks are global aggregates evaluated once as scalar
-    subqueries; the state aggregate is keyed by state (a few dozen groups),
-    with partial aggregation before the exchange.
+    One keyed aggregate per state (partial aggregation before the exchange)
+    keeps the raw sums; the network benchmark is the sum of those sums over
+    every state, taken before the ``min_orders`` filter, and the revenue
+    benchmark an average over the qualifying states. Both are whole-frame
+    window aggregates over the state table, which holds one row per state.
     """
     d = delivered(olm)
-    network = d.agg(F.struct(
-        round2(F.avg("actual_delivery_days")).alias("days"),
-        round2(F.lit(100.0) * F.avg(_late_flag())).alias("late"),
-        round2(F.avg("review_score")).alias("review"))).scalar()
-    states = (d.groupBy("customer_state").agg(
+    per_state = d.groupBy("customer_state").agg(
         F.countDistinct("order_id").cast("bigint").alias("delivered_orders"),
         F.countDistinct("customer_unique_id").cast("bigint").alias("active_customers"),
-        round2(F.sum("payment_value")).alias("revenue"),
-        round2(safe_div(F.sum("payment_value"), F.count("payment_value"))).alias("aov"),
-        round2(F.avg("actual_delivery_days")).alias("avg_delivery_days"),
-        round2(F.lit(100.0) * F.avg(_late_flag())).alias("late_rate_pct"),
-        round2(F.avg("review_score")).alias("avg_review_score"))
-        .filter(F.col("delivered_orders") >= min_orders))
-    revenue_bench = states.agg(round2(F.avg("revenue"))).scalar()
-
-    big = F.col("revenue") >= revenue_bench
-    late = F.col("late_rate_pct") > network["late"]
+        F.sum("payment_value").alias("pay_sum"),
+        F.count("payment_value").alias("pay_n"),
+        F.sum("actual_delivery_days").alias("days_sum"),
+        F.count("actual_delivery_days").alias("days_n"),
+        F.sum(_late_flag()).alias("late_sum"),
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("review_score").alias("score_sum"),
+        F.count("review_score").alias("score_n"))
+    every = Window.partitionBy()                      # one row per state: a small table
+    network = per_state.select(
+        "*",
+        round2(safe_div(F.sum("days_sum").over(every), F.sum("days_n").over(every))).alias("net_days"),
+        round2(F.lit(100.0) * safe_div(F.sum("late_sum").over(every), F.sum("rows").over(every)))
+        .alias("net_late"),
+        round2(safe_div(F.sum("score_sum").over(every), F.sum("score_n").over(every))).alias("net_review"))
+    states = network.filter(F.col("delivered_orders") >= min_orders).select(
+        "customer_state", "delivered_orders", "active_customers",
+        round2("pay_sum").alias("revenue"),
+        round2(safe_div("pay_sum", "pay_n")).alias("aov"),
+        round2(safe_div("days_sum", "days_n")).alias("avg_delivery_days"),
+        round2(F.lit(100.0) * safe_div("late_sum", "rows")).alias("late_rate_pct"),
+        round2(safe_div("score_sum", "score_n")).alias("avg_review_score"),
+        "net_days", "net_late", "net_review")
+    states = states.withColumn("bench_revenue", round2(F.avg("revenue").over(every)))
+
+    big = F.col("revenue") >= F.col("bench_revenue")
+    late = F.col("late_rate_pct") > F.col("net_late")
     action = (F.when(big & late, F.lit(PRIORITY))
               .when(big, F.lit(CORE))
-              .when(late & (F.col("avg_review_score") < network["review"]), F.lit(WATCH))
+              .when(late & (F.col("avg_review_score") < F.col("net_review")), F.lit(WATCH))
               .otherwise(F.lit(STABLE)))
     return states.select(
         "customer_state", "delivered_orders", "active_customers", "revenue", "aov",
         "avg_delivery_days", "late_rate_pct", "avg_review_score",
-        round2(as_double("avg_delivery_days") - network["days"]).alias("delivery_days_vs_avg"),
-        round2(F.col("late_rate_pct") - network["late"]).alias("late_rate_vs_avg"),
+        round2(as_double("avg_delivery_days") - F.col("net_days")).alias("delivery_days_vs_avg"),
+        round2(F.col("late_rate_pct") - F.col("net_late")).alias("late_rate_vs_avg"),
         action.alias("market_action"),
     ).orderBy(F.col("revenue").desc(), F.col("late_rate_pct").desc())

@@ -14,6 +14,8 @@ def test_salted_join_equals_plain_join_and_spreads_hot_key(spark):
         F.col("id").cast("string").alias("row_id"))
     one = many.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("payload", F.col("k") * 10)
     got = salted_join(many, one, "k", count_col="n", salt_by="row_id", target_rows=1000, max_hot=100)
+    few = salted_join(many, one, "k", count_col="n", salt_by="row_id", target_rows=10, max_hot=3)
+    assert few.count() == 30000
     plain = many.join(one, "k", "inner")
     assert got.count() == plain.count() == 30000
     assert got.select("k", "row_id", "n", "payload").exceptAll(plain.select("k", "row_id", "n", "payload")).count() == 0
