@@ -25,12 +25,16 @@ from pyspark.sql import functions as F
 
 TARGET_ROWS = 1_000_000     # rows per salt of a hot key
 MAX_HOT = 100_000           # bound on the broadcast hot-key list
+MAX_HOT_CAP = 1_000_000
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, *, count_col: str, salt_by: str,
                 target_rows: int = TARGET_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
     """Inner join of ``many`` with ``one`` (unique ``key``, ``count_col`` =
-    rows of the key in ``many``), spreading hot keys over several tasks."""
+    rows of the key in ``many``), spreading hot keys over several tasks.
+    ``max_hot`` is kept at or below ``MAX_HOT_CAP``: the top-k holds that
+    many rows per task in memory."""
+    max_hot = min(max_hot, MAX_HOT_CAP)
     hot = (one.filter(F.col(count_col) > target_rows)
            .orderBy(F.col(count_col).desc()).limit(max_hot)
            .select(key, F.ceil(F.col(count_col) / F.lit(float(target_rows))).cast("bigint").alias("__salts")))

@@ -89,7 +89,7 @@ def test_person_joins_with_forced_salting(spark, duck, name):
     from souk.operators import actions, cohorts
     from souk.plans import registry as R
     olm = R._olm(R._tables(spark, SF), reviews=False)
-    skew = {"target_rows": 1, "max_hot": 10**9}      # every person with 2+ orders is salted
+    skew = {"target_rows": 1}      # every person with 2+ orders is salted (up to the top-k bound)
     sdf = (cohorts.cohort_retention(olm, **skew) if name == "cohort_retention"
            else actions.repeat_rate_gap(olm, **skew))
     res = duck.execute(oracle_sql()[name])
