@@ -377,3 +377,17 @@ def test_empty_tables_give_empty_or_null_results(spark):
                                  t["product_category_name_translation"]).collect()
     assert len(board) == 4
     assert quality.check_constraints(t).filter("violations > 0").count() == 0
+
+
+def test_rfm_reference_date_defaults_to_latest_purchase_of_any_status(spark):
+    import datetime as dt
+    t = make_tables(
+        spark,
+        customers=[_cust("c1"), _cust("c2")],
+        orders=[_order("o1", "c1", "2018-01-01 23:00:00"),
+                _order("o2", "c2", "2018-01-05 01:00:00", status="shipped")],   # not delivered, sets the date
+        order_payments=[_pay("o1", 1, "5.00")])
+    rows = rfm.rfm_segments(_olm(t, False), t["orders"]).collect()
+    assert [(r.customer_unique_id, r.recency) for r in rows] == [("c1", 4)]    # calendar days
+    fixed = rfm.rfm_segments(_olm(t, False), t["orders"], as_of=dt.datetime(2018, 1, 31)).collect()
+    assert fixed[0].recency == 30
