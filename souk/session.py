@@ -63,8 +63,10 @@ def configure(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the setting is absent (local tests) a private scratch folder is
-    created and registered.
+    A private scratch folder is created only when the setting is absent *and*
+    the master runs in this one process (tests, benchmark). On a cluster a
+    machine-local folder would be invisible to the other executors, so the
+    missing setting is an error there.
     """
     sc = spark.sparkContext
     configured = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
@@ -72,6 +74,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
+    if not is_single_process(sc.master):
+        raise ValueError(
+            f"spark.checkpoint.dir is not set (master {sc.master}); set it to a folder "
+            "that the driver and every executor share")
     local = tempfile.mkdtemp(prefix="souk-ckpt-", dir=os.environ.get("SOUK_SCRATCH", "/tmp"))
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir()
+
+
+def is_single_process(master: str) -> bool:
+    """``local``, ``local[n]``, ``local[n,m]`` -- not ``local-cluster[...]``."""
+    return master == "local" or master.startswith("local[")
