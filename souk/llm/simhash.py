@@ -156,4 +156,6 @@ def simhash_groups(docs: DataFrame, words_per_shingle: int = SHINGLE, max_bits:
               .groupBy("fp").agg(F.count(F.lit(1)).alias("n_links")))
     classes = (named.join(least, "root").join(degree, "fp", "left")
                .select("fp", "component_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links")))
-    return base.join(classes, "fp").select("doc_id", "fp", "n_links", "component_id")
+    # Staged, so that both sides of the last join are shuffled for it alone and a
+    # fingerprint that very many rows share can be split over tasks.
+    return base.join(stage(classes, "simhash-classes"), "fp").select("doc_id", "fp", "n_links", "component_id")
