@@ -5,12 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import pieces, sharding, simhash
+from souk.llm import langid, pieces, sharding, simhash
 from souk.llm.common import documents
 
 SHARDS = 40
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from rows whose crc32 remainder by 4 is not 2."""
+    docs = documents(spark, sf_dir)
+    model = langid.fit(docs, pieces.default_model(), ~langid.held_out())
+    out = langid.identify(docs, model)
+    return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards by the permutation of global row numbers."""
     out = sharding.shard_documents(documents(spark, sf_dir), SHARDS)
@@ -31,6 +39,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_langid": op1_langid,
     "op4_sharding": op4_sharding,
     "op6_pieces": op6_pieces,
     "op8_simhash": op8_simhash,
