@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import langid, pieces, sharding, simhash
+from souk.llm import langid, pieces, repeats, sharding, simhash
 from souk.llm.common import documents
 
 SHARDS = 40
@@ -19,6 +19,11 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 200-byte strings that repeat anywhere."""
+    return repeats.repeat_report(documents(spark, sf_dir))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards by the permutation of global row numbers."""
     out = sharding.shard_documents(documents(spark, sf_dir), SHARDS)
@@ -40,6 +45,7 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_langid": op1_langid,
+    "op2_repeats": op2_repeats,
     "op4_sharding": op4_sharding,
     "op6_pieces": op6_pieces,
     "op8_simhash": op8_simhash,
