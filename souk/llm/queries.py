@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import langid, pieces, repeats, sharding, simhash
+from souk.llm import gru_lm, langid, pieces, repeats, sharding, simhash
 from souk.llm.common import documents
 
 SHARDS = 40
@@ -43,12 +43,21 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "component_id", "n_links")
 
 
+def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text, learned from rows whose crc32 remainder by 7 is not 2."""
+    docs = documents(spark, sf_dir)
+    out = gru_lm.score_corpus(docs, ~gru_lm.held_out())
+    return out.select("doc_id", gru_lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_repeats": op2_repeats,
     "op4_sharding": op4_sharding,
     "op6_pieces": op6_pieces,
     "op8_simhash": op8_simhash,
+    "op10_lm_score": op10_lm_score,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
