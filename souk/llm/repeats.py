@@ -241,6 +241,9 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _parse_table(keyed: DataFrame, length: int, trigger: int) -> DataFrame:
+    """One row per phrase: ord (number of the text's row), g, c and ``place`` (t, t - lo
+    and t - hi in one long). The first phrase of a row also has its doc_id and k1,
+    so that the shuffles that follow carry four longs and no keys."""
     kind = keyed.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -251,15 +254,24 @@ def _parse_table(keyed: DataFrame, length: int, trigger: int) -> DataFrame:
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             text, g, c, t, lo, hi = parse(texts, length, trigger)
-            rows = pa.array(text)
+            first = np.ones(len(text), bool)
+            first[1:] = text[1:] != text[:-1]
+            rows = pa.array(text, mask=~first)
+            place = (t << 16) | ((t - lo) << 8) | (t - hi)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(text + at, pa.int64()), batch.column("doc_id").take(rows), batch.column("k1").take(rows),
-                 *(pa.array(x.view(np.int64), pa.int64()) for x in (g, c, t.astype(np.int64), lo, hi))],
-                names=["ord", "doc_id", "k1", "g", "c", "t", "lo", "hi"])
+                 *(pa.array(x.view(np.int64), pa.int64()) for x in (g, c, place.astype(np.int64)))],
+                names=["ord", "doc_id", "k1", "g", "c", "place"])
             at += len(texts)
 
     return keyed.select("doc_id", "k1", "text").mapInArrow(
-        run, f"ord bigint, doc_id {kind}, k1 bigint, g bigint, c bigint, t bigint, lo bigint, hi bigint")
+        run, f"ord bigint, doc_id {kind}, k1 bigint, g bigint, c bigint, place bigint")
+
+
+# Parts of ``place``.
+_T = "shiftright(place, 16)"
+_LO = "shiftright(place, 16) - (shiftright(place, 8) & 255)"
+_HI = "shiftright(place, 16) - (place & 255)"
 
 
 def _same_key(a: DataFrame, b: DataFrame):
@@ -356,22 +368,28 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER,
     ship(spark)
     small_batches(spark)
     keyed = _keyed(docs.select("doc_id", "text"))
+    if length - trigger > 255:
+        raise ValueError("a trigger may be at most 255 bytes shorter than the string")
     parsed = stage(_parse_table(keyed, length, trigger), "repeats-parse")
     seen = parsed.groupBy("g").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").select("g")
     # Staged, so that the joins below shuffle both sides for themselves.
-    shared = stage(parsed.join(stage(seen, "repeats-seen"), "g"), "repeats-shared")
-    drop_staged(parsed)
-    place = F.struct("ord", "doc_id", "k1", "t", "lo", "hi")
-    phrases = stage(shared.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("at")), "repeats-phrases")
+    shared = stage(parsed.select("ord", "g", "c", "place").join(stage(seen, "repeats-seen"), "g"), "repeats-shared")
+    phrases = stage(shared.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ord", "place")).alias("at")),
+                    "repeats-phrases")
     groups = stage(phrases.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m >= 2"), "repeats-groups")
     dictionary = phrases.join(groups, "g").select("g", "c", "m", "at.*")
 
-    keys = stage(shared.select("doc_id", "k1").distinct(), "repeats-keys")
+    rows = parsed.filter("k1 is not null").select("ord", "doc_id", "k1")
+    owners = stage(rows.join(shared.select("ord").distinct(), "ord"), "repeats-owners")
+    drop_staged(parsed)
+    keys = stage(owners.select("doc_id", "k1").distinct(), "repeats-keys")
     texts = stage(keyed.join(keys.withColumnsRenamed({"doc_id": "doc_id2", "k1": "k2"}),
                              F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("k1") == F.col("k2")))
                   .select("doc_id", "k1", "text"), "repeats-texts")
-    asks = stage(dictionary.groupBy("doc_id", "k1").agg(
-        F.collect_list(F.struct("g", "c", "m", "t", "lo", "hi")).alias("asks")), "repeats-asks")
+    asked = dictionary.groupBy("ord").agg(F.collect_list(F.struct(
+        "g", "c", "m", F.expr(_T).alias("t"), F.expr(_LO).alias("lo"), F.expr(_HI).alias("hi"))).alias("asks"))
+    asks = stage(asked.join(owners, "ord").groupBy("doc_id", "k1").agg(F.flatten(F.collect_list("asks")).alias("asks")),
+                 "repeats-asks")
     cut = stage(_cut_phrases(texts.join(asks, _same_key(texts, asks)).select("text", "asks"), length), "repeats-cut")
     found = _compare_sorted(cut.filter(F.col("m") <= group_limit), length, trigger)
     if not groups.filter(F.col("m") > group_limit).isEmpty():
@@ -381,14 +399,14 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER,
     decided = stage(phrases.filter("n >= 2").select("g", "c", F.lit(None).cast("array<struct<a:int,b:int>>").alias("runs"))
                     .unionAll(once), "repeats-decided")
     hits = shared.join(decided, ["g", "c"])
-    whole = F.array(F.struct(F.col("lo").alias("start"), (F.col("hi") + length).alias("stop")))
-    moved = F.transform("runs", lambda x: F.struct((F.col("t") + x["a"]).alias("start"), (F.col("t") + x["b"]).alias("stop")))
+    whole = F.array(F.struct(F.expr(_LO).alias("start"), (F.expr(_HI) + length).alias("stop")))
+    moved = F.transform("runs", lambda x: F.struct((F.expr(_T) + x["a"]).alias("start"), (F.expr(_T) + x["b"]).alias("stop")))
     # Spans of one text: as many as its phrases at most.
-    per_row = (hits.select("ord", "doc_id", "k1", F.coalesce(moved, whole).alias("spans"))
-               .groupBy("ord", "doc_id", "k1").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    spans = stage(per_row.groupBy("doc_id", "k1").agg(F.min(F.struct("ord", "spans")).alias("x"))
+    per_row = (hits.select("ord", F.coalesce(moved, whole).alias("spans"))
+               .groupBy("ord").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    spans = stage(per_row.join(owners, "ord").groupBy("doc_id", "k1").agg(F.min(F.struct("ord", "spans")).alias("x"))
                   .select("doc_id", "k1", "x.spans"), "repeats-spans")
-    drop_staged(cut, phrases, groups, shared, keys, asks, decided)
+    drop_staged(cut, phrases, groups, shared, keys, owners, asks, decided)
     return spans, texts
 
 
