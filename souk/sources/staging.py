@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,16 +52,6 @@ def drop_staged(*frames: DataFrame) -> None:
         files = df.inputFiles()
         for path in [p for p in _STAGED if any(p.split(":", 1)[-1].lstrip("/") in f for f in files)]:
             _delete(df.sparkSession, path)
-    for df in frames[:1]:
-        release_shuffles(df.sparkSession)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Shuffle files go when the driver's JVM collects the plans that wrote them.
-    A long job with a small driver heap may not collect for a long time, so ask
-    for it once a result is staged and its shuffles are not needed any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
 
 
 def drop_all_staged() -> None:
