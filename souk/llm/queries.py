@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import gru_lm, langid, pieces, repeats, sharding, simhash
-from souk.llm.common import documents
+from souk.llm import decontaminate, embed_graph, gru_lm, langid, pieces, repeats, sharding, simhash
+from souk.llm.common import documents, table
 
 SHARDS = 40
 
@@ -24,6 +24,11 @@ def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_report(documents(spark, sf_dir))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that each document contains, up to a fifth of their words edited."""
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 40 shards by the permutation of global row numbers."""
     out = sharding.shard_documents(documents(spark, sf_dir), SHARDS)
@@ -43,6 +48,11 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "component_id", "n_links")
 
 
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors with equal labels and cosine >= 0.93."""
+    return embed_graph.embedding_groups(table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log10 probability of every text, learned from rows whose crc32 remainder by 7 is not 2."""
     docs = documents(spark, sf_dir)
@@ -54,9 +64,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_repeats": op2_repeats,
+    "op3_decontaminate": op3_decontaminate,
     "op4_sharding": op4_sharding,
     "op6_pieces": op6_pieces,
     "op8_simhash": op8_simhash,
+    "op9_embeddings": op9_embeddings,
     "op10_lm_score": op10_lm_score,
 }
 
