@@ -382,15 +382,15 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER,
     rows = parsed.filter("k1 is not null").select("ord", "doc_id", "k1")
     owners = stage(rows.join(shared.select("ord").distinct(), "ord"), "repeats-owners")
     drop_staged(parsed)
-    keys = stage(owners.select("doc_id", "k1").distinct(), "repeats-keys")
-    texts = stage(keyed.join(keys.withColumnsRenamed({"doc_id": "doc_id2", "k1": "k2"}),
-                             F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("k1") == F.col("k2")))
-                  .select("doc_id", "k1", "text"), "repeats-texts")
     asked = dictionary.groupBy("ord").agg(F.collect_list(F.struct(
         "g", "c", "m", F.expr(_T).alias("t"), F.expr(_LO).alias("lo"), F.expr(_HI).alias("hi"))).alias("asks"))
-    asks = stage(asked.join(owners, "ord").groupBy("doc_id", "k1").agg(F.flatten(F.collect_list("asks")).alias("asks")),
-                 "repeats-asks")
-    cut = stage(_cut_phrases(texts.join(asks, _same_key(texts, asks)).select("text", "asks"), length), "repeats-cut")
+    # One row per text to fetch, with the phrases to cut from it (as many as it has, at most).
+    keys = stage(owners.join(asked, "ord", "left").groupBy("doc_id", "k1")
+                 .agg(F.flatten(F.collect_list("asks")).alias("asks")), "repeats-keys")
+    fetched = keyed.join(keys.withColumnsRenamed({"doc_id": "doc_id2", "k1": "k2"}),
+                         F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("k1") == F.col("k2")))
+    texts = stage(fetched.select("doc_id", "k1", "text", "asks"), "repeats-texts")
+    cut = stage(_cut_phrases(texts.filter(F.size("asks") > 0), length), "repeats-cut")
     found = _compare_sorted(cut.filter(F.col("m") <= group_limit), length, trigger)
     if not groups.filter(F.col("m") > group_limit).isEmpty():
         found = found.unionAll(_compare_hashed(cut.filter(F.col("m") > group_limit), length))
@@ -406,8 +406,8 @@ def find_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER,
                .groupBy("ord").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     spans = stage(per_row.join(owners, "ord").groupBy("doc_id", "k1").agg(F.min(F.struct("ord", "spans")).alias("x"))
                   .select("doc_id", "k1", "x.spans"), "repeats-spans")
-    drop_staged(cut, phrases, groups, shared, keys, owners, asks, decided)
-    return spans, texts
+    drop_staged(cut, phrases, groups, shared, keys, owners, decided)
+    return spans, texts.drop("asks")
 
 
 def repeat_report(docs: DataFrame, length: int = LENGTH, **kw) -> DataFrame:
