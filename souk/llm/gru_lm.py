@@ -288,6 +288,24 @@ def count_tokens(docs: DataFrame) -> DataFrame:
             .groupBy("token").agg(F.sum("n").alias("c")))
 
 
+def most_frequent(counts: DataFrame, most: int) -> list:
+    """At most ``most`` of the most frequent tokens (and the end mark), by falling count.
+
+    A limit after a sort would send that many rows from *every* task to the driver.
+    Here the counts are put into eighth-powers of two (a few hundred rows at any
+    size), the least power that keeps within ``most`` is chosen, and only the rows
+    above it are collected."""
+    power = F.floor(F.log2(F.col("c").cast("double")) * 8)
+    total, least = 0, None
+    for r in sorted(counts.groupBy(power.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: -r["p"]):
+        total += r["n"]
+        if total > most:
+            break
+        least = r["p"]
+    rows = counts.filter((F.col("token") == END) | ((power >= least) if least is not None else F.lit(False))).collect()
+    return sorted(rows, key=lambda r: (-r["c"], r["token"]))
+
+
 @dataclass
 class Scorer:
     """What a task needs: the model, the head counts, and the corpus totals."""
@@ -340,7 +358,7 @@ def fit(docs: DataFrame, train_on: Column, *, vocabulary: int = VOCABULARY, head
     rows = docs.select("doc_id", "text").filter(train_on)
     counts = stage(count_tokens(rows), "lm-counts")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("c"), "token").limit(head).collect()                 # bounded by ``head``
+    top = most_frequent(counts, head)
     scorer = Scorer(None, ["\0rare"], [r["token"] for r in top], np.array([r["c"] for r in top], np.float64), int(n), int(v))
     if not top:
         return counts, scorer

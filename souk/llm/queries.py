@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import decontaminate, embed_graph, gru_lm, langid, pieces, repeats, sharding, simhash
+from souk.llm import decontaminate, embed_graph, gru_lm, langid, pieces, repeats, sharding, simhash, toxicity
 from souk.llm.common import documents, table
 
 SHARDS = 40
@@ -41,6 +41,12 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_documents(documents(spark, sf_dir), pieces.default_model())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Category probabilities of every document from the chain trained on ``labels``."""
+    docs = documents(spark, sf_dir)
+    return toxicity.score_documents(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and their components at 3 bits or fewer."""
     out = simhash.simhash_groups(documents(spark, sf_dir))
@@ -67,6 +73,7 @@ QUERIES = {
     "op3_decontaminate": op3_decontaminate,
     "op4_sharding": op4_sharding,
     "op6_pieces": op6_pieces,
+    "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
     "op9_embeddings": op9_embeddings,
     "op10_lm_score": op10_lm_score,
