@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import decontaminate, embed_graph, gru_lm, langid, pieces, repeats, sharding, simhash, toxicity
+from souk.llm import decontaminate, embed_graph, gru_lm, langid, licenses, pieces, repeats, sharding, simhash, toxicity
 from souk.llm.common import documents, table
 
 SHARDS = 40
@@ -36,6 +36,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"), "row_no")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of every document, native operations only."""
+    return licenses.licence_report(documents(spark, sf_dir))
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text encoded and decoded with the public 32k merge vocabulary."""
     return pieces.encode_documents(documents(spark, sf_dir), pieces.default_model())
@@ -72,6 +77,7 @@ QUERIES = {
     "op2_repeats": op2_repeats,
     "op3_decontaminate": op3_decontaminate,
     "op4_sharding": op4_sharding,
+    "op5_licenses": op5_licenses,
     "op6_pieces": op6_pieces,
     "op7_toxicity": op7_toxicity,
     "op8_simhash": op8_simhash,
