@@ -26,6 +26,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -283,3 +284,18 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                 names=[*keep, "lang_pred", "score"])
 
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
+
+
+def language_of(model: Model, spark):
+    """A column function: struct (lang_pred, score) of a text column."""
+    ship(spark)
+    small_batches(spark)
+    shared = spark.sparkContext.broadcast(model)
+    key = f"{spark.sparkContext.applicationId}-{id(shared)}-udf"
+
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(text: pd.Series) -> pd.DataFrame:
+        lang, score = _scorer(key, shared.value).predict([t if isinstance(t, str) else None for t in text])
+        return pd.DataFrame({"lang_pred": lang, "score": score})
+
+    return predict

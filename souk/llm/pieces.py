@@ -29,6 +29,7 @@ import hashlib
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from souk.llm.common import ship, small_batches
@@ -201,14 +202,22 @@ class Codec:
         return self._plain(ids).removeprefix(" ")
 
     # -- whole texts -------------------------------------------------------
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, their sha256 (decimal, comma-joined), sha256 of the decoded text."""
+    def lines(self, text: str | None) -> tuple[str, str]:
+        """Ids (decimal, comma-joined) and decoded text."""
         self.changed.clear()
         chunks = self.chunks(text)
         ids = ",".join(map(self.encoded.__getitem__, chunks))
-        back = "".join([self.changed.get(c, c) for c in chunks] if self.changed else chunks).removeprefix(" ")
-        return (ids.count(",") + 1 if ids else 0,
-                hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+        back = "".join([self.changed.get(c, c) for c in chunks] if self.changed else chunks)
+        return ids, back.removeprefix(" ")
+
+    def digest(self, text: str | None) -> tuple[int, str, str]:
+        """Number of ids, sha256 of the ids' line, sha256 of the decoded text."""
+        return digest(*self.lines(text))
+
+
+def digest(ids: str, back: str) -> tuple[int, str, str]:
+    return (ids.count(",") + 1 if ids else 0,
+            hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
 
 
 class _Table(dict):
@@ -254,17 +263,16 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False) -
 
         c = codec(shared.value)
         for batch in batches:
-            texts = batch.column("text").to_pylist()
-            rows = [c.digest(t) for t in texts]
+            made = [c.lines(t) for t in batch.column("text").to_pylist()]
+            rows = [digest(*x) for x in made]
             cols = [batch.column("doc_id"),
                     pa.array([r[0] for r in rows], pa.int64()),
                     pa.array([r[1] for r in rows], pa.string()),
                     pa.array([r[2] for r in rows], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                ids = [c.encode(t) for t in texts]
-                cols += [pa.array(ids, pa.list_(pa.int32())),
-                         pa.array([c.decode(x) for x in ids], pa.string())]
+                cols += [pa.array([np.fromstring(x[0], np.int32, sep=",") if x[0] else [] for x in made], pa.list_(pa.int32())),
+                         pa.array([x[1] for x in made], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 

@@ -1,5 +1,66 @@
-"""The stages of the corpus pipeline."""
+"""The stages of the corpus pipeline.
+
+Each takes ``(spark, docs, sf_dir)`` and works on all its predecessor kept. All but
+the last return the columns of ``docs``. Null texts leave in the first stage (they have
+no language); null ids are kept apart by their text; an empty table stays empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from souk.llm import decontaminate, langid, pieces, repeats, simhash
+from souk.llm.common import table
+
+MIN_LANGUAGE_SCORE = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a letter and those whose best language has a
+    posterior below ``MIN_LANGUAGE_SCORE``."""
+    model = langid.fit(docs, pieces.default_model())
+    if not model.languages:                      # nothing labelled: only the first rule can decide
+        return docs.filter(F.col("text").rlike(r"\p{L}"))
+    guess = langid.language_of(model, spark)
+    marked = docs.withColumn("__guess", guess("text"))
+    kept = marked.filter((F.col("__guess.lang_pred") != langid.UNDETERMINED) & (F.col("__guess.score") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents whose fingerprints are linked the one with the least id
+    stays. A null id stands for an id made from the text (greater than usual ids)."""
+    made = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
+    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), made))
+    groups = simhash.simhash_groups(named.select(F.col("__id").alias("doc_id"), "text"))
+    stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    return named.join(stay, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated 200-byte strings out of the texts; documents with nothing left go."""
+    out = repeats.remove_repeats(docs).filter(F.col("text").isNull() | (F.trim("text") != ""))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and digests of every document that is left."""
+    return pieces.encode_documents(docs, pieces.default_model(), with_ids=True).select(
+        "doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [
+    ("language ID", language),
+    ("SimHash near-dedup", near_duplicates),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_leaks),
+    ("SentencePiece encoding", encoding),
+]
