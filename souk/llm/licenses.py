@@ -16,9 +16,10 @@ log loss; a family is predicted only where its calibrated probability reaches
 family's templates: the share of the best template's word pairs that the paragraph
 has; ``confirmed`` from ``CONFIRM`` on.
 
-Scoring all paragraphs stays cheap and exact: a family can win only if one of its
-features outweighs ``unknown``, so a paragraph without the rarest word of any such
-feature is ``unknown`` and is not exploded. The weights (bounded by ``VOCABULARY`` terms)
+Scoring all paragraphs stays cheap and exact: a family can win only with a positive
+margin over ``unknown``; common words whose terms cannot lift any family that far, all
+together, are left out, and a paragraph without any of the other words
+(:func:`gate_words`) is ``unknown`` and is not exploded. The weights (bounded by ``VOCABULARY`` terms)
 are the only broadcast table.
 
 Cases: null and empty texts have no paragraph; repeated rows get equal results;
@@ -139,9 +140,10 @@ def fit(docs: DataFrame, **bounds) -> Model:
     families = sorted({r["family"] for r in rows.select("family").distinct().collect()} | {UNKNOWN})
     number = F.create_map(*[x for k, f in enumerate(families) for x in (F.lit(f), F.lit(float(k)))])
     rows = rows.withColumn("label", number[F.col("family")])
-    # Rare families count as much as the large unknown class.
+    # Families count alike; unknown counts as much as all of them, as most paragraphs are.
     sizes = {r["family"]: r["n"] for r in rows.groupBy("family").agg(F.count(F.lit(1)).alias("n")).collect()}
-    weight = F.create_map(*[x for f, n in sizes.items() for x in (F.lit(f), F.lit(sum(sizes.values()) / len(sizes) / n))])
+    share = {f: (len(families) - 1 if f == UNKNOWN else 1) * sum(sizes.values()) / len(sizes) / n for f, n in sizes.items()}
+    weight = F.create_map(*[x for f, v in share.items() for x in (F.lit(f), F.lit(float(v)))])
     rows = rows.withColumn("w", weight[F.col("family")])
     vector = CountVectorizer(inputCol="terms", outputCol="features", vocabSize=VOCABULARY, minDF=2.0, binary=True).fit(rows)
     model = LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", family="multinomial",
@@ -156,10 +158,9 @@ def fit(docs: DataFrame, **bounds) -> Model:
             table += [(t, f, float(w)) for t, w in zip(vector.vocabulary, matrix[k] - matrix[unknown]) if w != 0.0]
     if any(b >= 0 for b in biases.values()):        # nothing known at all must stay unknown
         biases = {f: min(b, -1e-6) for f, b in biases.items()}
-    # The rarest word of each term that speaks for a family.
     common = {r["t"]: r["n"] for r in rows.filter(F.col("family") == UNKNOWN).select(F.explode("terms").alias("t"))
               .groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
-    gate = sorted({min(t.split(" "), key=lambda w: (common.get(w, 0), w)) for t, _, w in table if w > 0})
+    gate = gate_words(table, biases, common)
     weights = spark.createDataFrame(table, "term string, family string, weight double")
     out = Model(weights, biases, 1.0, gate)
     held = rows.filter("fold = 0").select(F.monotonically_increasing_id().alias("row"), "family", "terms", "w")
@@ -167,6 +168,33 @@ def fit(docs: DataFrame, **bounds) -> Model:
     return out
 
 
+def gate_words(table: list[tuple[str, str, float]], biases: dict[str, float], common: dict[str, int]) -> list[str]:
+    """Words without which no family can reach the margin 0. Common words are left out
+    one by one, as long as all terms made of left-out words together cannot lift any
+    family's bias to 0 (a term counts once in a paragraph, so their sum is a bound)."""
+    lifting: dict[str, list[tuple[str, float]]] = {}
+    for term, family, w in table:
+        if w > 0:
+            lifting.setdefault(term, []).append((family, w))
+    names = sorted({w for t in lifting for w in t.split(" ")}, key=lambda w: (-common.get(w, 0), w))
+    out: set[str] = set()
+    room = {f: -b - 1e-9 for f, b in biases.items()}
+    for name in names:
+        if common.get(name, 0) == 0:
+            break
+        need: dict[str, float] = {}
+        for term, uses in lifting.items():
+            parts = term.split(" ")
+            if name in parts and all(p == name or p in out for p in parts):
+                for f, w in uses:
+                    need[f] = need.get(f, 0.0) + w
+        if all(room[f] > x for f, x in need.items()):
+            out.add(name)
+            for f, x in need.items():
+                room[f] -= x
+    return [w for w in names if w not in out]
+
+
 def _margins(rows: DataFrame, keys: list[str], model: Model) -> DataFrame:
     """``keys`` and margins: array of (family, margin over unknown), from exploded terms."""
     bias = F.create_map(*[x for f, b in model.biases.items() for x in (F.lit(f), F.lit(b))])
