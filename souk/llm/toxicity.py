@@ -131,7 +131,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, feat
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "toxic")), pa.array(words, pa.list_(pa.string()))],
                                              names=["row", "toxic", "words"])
 
-    rows = stage(docs.select("doc_id", "text").join(drawn, "doc_id")
+    rows = stage(docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")      # bounded by SAMPLE_ROWS
+                
                  .select(F.xxhash64("doc_id", "text").alias("row"), "toxic", "text")
                  .mapInArrow(split, "row bigint, toxic int, words array<string>").dropDuplicates(["row"]), "toxic-rows")
     count = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
