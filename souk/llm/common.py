@@ -55,11 +55,17 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
-def text_keys(text: str = "text") -> list[Column]:
-    """128 bits that stand for a text: two independent 64-bit hashes. Null counts as empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    return [F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(7), t, F.length(t)).alias("k2")]
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+_HELD: dict[str, object] = {}
+
+
+def held(key: str, make):
+    """What a Python worker keeps between tasks (automata, finished words). A worker
+    serves one operator after the other: only the last one's state stays."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]

@@ -31,13 +31,14 @@ match; extra columns are ignored (or kept by :func:`clean_documents`).
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import ship, small_batches
+from souk.llm.common import held, ship, small_batches
 from souk.sources.staging import stage
 
 EDITS = 0.2
@@ -227,9 +228,6 @@ class Items:
         return out
 
 
-_READY: dict[str, Items] = {}
-
-
 def item_blocks(items: DataFrame, max_items: int = BLOCK_ITEMS, max_words: int = BLOCK_WORDS) -> list[Items]:
     """The items in blocks of bounded size; each block is one pass over the documents.
     Sizes are summed before any text is collected, one block at a time."""
@@ -256,15 +254,12 @@ def find_items(docs: DataFrame, items: DataFrame, **bounds) -> DataFrame:
     found = spark.createDataFrame([], schema)
     for block in item_blocks(items, **bounds):
         shared = spark.sparkContext.broadcast(block)
-        key = f"{spark.sparkContext.applicationId}-{id(shared)}-{hash(tuple(block.texts))}"
+        key = f"items-{uuid.uuid4().hex}"
 
         def run(batches, shared=shared, key=key):
             import pyarrow as pa
 
-            if key not in _READY:
-                _READY.clear()
-                _READY[key] = shared.value.prepare()
-            ready = _READY[key]
+            ready = held(key, shared.value.prepare)
             for batch in batches:
                 rows, item = [], []
                 for k, m in enumerate(ready.matches(batch.column("text").to_pylist())):

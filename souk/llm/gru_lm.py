@@ -30,6 +30,7 @@ an empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -37,7 +38,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from souk.llm.common import crc_of_id, ship, small_batches
+from souk.llm.common import crc_of_id, held, ship, small_batches
 from souk.sources.staging import stage
 
 END = "\n"                   # no word contains it
@@ -316,7 +317,7 @@ class Scorer:
     n: int
     v: int
 
-    def prepare(self) -> None:
+    def prepare(self) -> Scorer:
         class Numbers(dict):
             def __missing__(self, key):
                 return -1
@@ -330,6 +331,7 @@ class Scorer:
         self.spelled = np.append(np.where(self.word_of[:-1] == 0, per, 0.0), 0.0)
         inside = sum((self.head_counts[self.number[w]] + 1.0) / (self.n + self.v + 1.0) for w in self.words[1:])
         self.rest = float(np.log10(max(1.0 - inside, 1e-300)))
+        return self
 
     def run(self, texts: list[str | None]):
         """Per text: tokens, known ones, base score and score without the tail, and the
@@ -349,9 +351,6 @@ class Scorer:
         return out
 
 
-_READY: dict[str, Scorer] = {}
-
-
 def fit(docs: DataFrame, train_on: Column, *, vocabulary: int = VOCABULARY, head: int = HEAD,
         sample_docs: int = SAMPLE_DOCS, sample_tokens: int = SAMPLE_TOKENS, **options) -> tuple[DataFrame, Scorer]:
     """Counts of all training tokens (staged) and the scorer."""
@@ -391,18 +390,14 @@ def score_documents(docs: DataFrame, counts: DataFrame, scorer: Scorer) -> DataF
     ship(spark)
     small_batches(spark)
     shared = spark.sparkContext.broadcast(scorer)            # bounded by HEAD and VOCABULARY
-    key = f"{spark.sparkContext.applicationId}-{id(scorer)}-{scorer.n}"
+    key = f"gru-{uuid.uuid4().hex}"
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        if key not in _READY:
-            _READY.clear()
-            _READY[key] = shared.value
-            _READY[key].prepare()
-        ready, at = _READY[key], TaskContext.get().partitionId() << 40
+        ready, at = held(key, shared.value.prepare), TaskContext.get().partitionId() << 40
         ids, texts, size = [], [], 0
 
         def table():

@@ -23,6 +23,7 @@ same small probability in each language; with no labelled row everything is
 from __future__ import annotations
 
 import re
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,14 +31,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.llm.common import crc_of_id, ship, small_batches
+from souk.llm.common import crc_of_id, held, ship, small_batches
 
 SAMPLE_DOCS = 300            # training documents per language, in expectation
 TYPES_PER_LANGUAGE = 50_000  # most frequent word types of a language's sample
 EM_ROUNDS = 4
 SMOOTHING = 0.05             # pseudo-count of every piece in every language
 UNKNOWN_LOG = -14.0          # natural log probability of a letter without a piece
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 LONGEST_WORD = 64            # longer letter runs are scored in parts of this length
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -223,16 +224,6 @@ class Scorer:
                 [float(x) if n else 0.0 for x, n in zip(post, lengths)])
 
 
-_SCORERS: dict[str, Scorer] = {}
-
-
-def _scorer(key: str, model: Model) -> Scorer:
-    if key not in _SCORERS:
-        _SCORERS.clear()
-        _SCORERS[key] = Scorer(model)
-    return _SCORERS[key]
-
-
 def training_counts(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS,
                     types: int = TYPES_PER_LANGUAGE) -> list[tuple[str, str, int]]:
     """(language, word, count) of a bounded sample of labelled rows (text, lang, doc_id)."""
@@ -270,13 +261,13 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     small_batches(spark)
     keep = keep or ["doc_id"]
     shared = spark.sparkContext.broadcast(model)         # fixed size: pieces x languages
-    key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast else id(shared)}"
+    key = f"langid-{uuid.uuid4().hex}"
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):
         import pyarrow as pa
 
-        scorer = _scorer(key, shared.value)
+        scorer = held(key, lambda: Scorer(shared.value))
         for batch in batches:
             lang, score = scorer.predict(batch.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays(
@@ -291,11 +282,11 @@ def language_of(model: Model, spark):
     ship(spark)
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    key = f"{spark.sparkContext.applicationId}-{id(shared)}-udf"
+    key = f"langid-{uuid.uuid4().hex}"
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
-        lang, score = _scorer(key, shared.value).predict([t if isinstance(t, str) else None for t in text])
+        lang, score = held(key, lambda: Scorer(shared.value)).predict([t if isinstance(t, str) else None for t in text])
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     return predict

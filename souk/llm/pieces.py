@@ -32,11 +32,11 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 
-from souk.llm.common import ship, small_batches
+from souk.llm.common import held, ship, small_batches
 
 SPACE = "▁"
-#: Bound of each per-worker table of finished chunks, and the longest chunk kept there.
-CACHE_ENTRIES = 600_000
+#: Bound of a generation of the per-worker table of finished chunks, and the longest chunk kept there.
+CACHE_ENTRIES = 150_000
 CACHE_CHARS = 48
 
 
@@ -130,7 +130,7 @@ class Codec:
         key = a * len(self.score) + b
         ok = self.pair_ok.get(key)
         if ok is None:
-            if len(self.pair_ok) >= 2 * CACHE_ENTRIES:
+            if len(self.pair_ok) >= CACHE_ENTRIES:
                 self.pair_ok.clear()
             ok = self.pair_ok[key] = self.merge(self.text_of[a] + self.text_of[b]) == [a, b]
         return ok
@@ -221,31 +221,28 @@ def digest(ids: str, back: str) -> tuple[int, str, str]:
 
 
 class _Table(dict):
-    """Results of a function for short keys (but those in ``skip``); emptied when full."""
+    """Results of a function for short keys (but those in ``skip``). When full, the
+    table becomes the old generation; what is asked for again moves back."""
 
     def __init__(self, make, skip):
         super().__init__()
-        self.make, self.skip = make, skip
+        self.make, self.skip, self.old = make, skip, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= CACHE_CHARS and key not in self.skip:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def codec(vocab: Vocabulary) -> Codec:
     """The worker's codec of a vocabulary."""
-    key = hash(vocab.pieces)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(vocab)
-    return _CODECS[key]
+    return held(f"codec-{hash(vocab.pieces)}", lambda: Codec(vocab))
 
 
 def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False) -> DataFrame:
