@@ -1,250 +1,72 @@
 """Global row numbers, running sums and tiles without a single-task window.
 
-``Window.orderBy(...)`` with no partition moves every row into one task. For
-the customer- and seller-level rankings of the reference (NTILE, ROW_NUMBER
-and running SUM over the whole table) that does not survive scale, so the
-ordering is split into contiguous key ranges ("buckets"):
-
-1. One job samples a bounded number of rows (``buckets * per_bucket``); after
-   sorting them, every ``per_bucket``-th key becomes a bound. The bounds
-   include the unique tie-break column, so a value shared by most rows still
-   spreads over many buckets.
-2. A row's bucket is found by a balanced tree of comparisons against the
-   literal bounds (``log2(buckets)`` comparisons, inside generated code).
-   The bucket is a pure function of the row, so re-reading the input after a
-   lost executor gives the same assignment.
-3. A per-bucket aggregate (count, sum: one row per bucket) is prefix-summed
-   over at most ``buckets`` rows and broadcast back.
-4. Inside each bucket a partitioned window yields the local row number and
-   running sum; adding the bucket's offsets makes them global.
-
-``ntile`` is then arithmetic on the global row number and the total count.
+``Window.orderBy(...)`` with no partition moves every row into one task. For the
+customer- and seller-level rankings of the reference (NTILE, ROW_NUMBER and
+running SUM over the whole table) the rows are range partitioned instead:
+
+1. ``repartitionByRange`` on the order columns (the last one is unique, so one
+   value held by most rows still spreads) and a sort inside each partition. The
+   engine's own range partitioner picks the bounds; no row reaches the driver.
+2. Partition number and place inside the partition are written with the rows
+   (staged once): later reads see the same numbers whatever task is run again.
+3. Counts (and sums) per partition, one row each, are prefix-summed and joined
+   back; a running sum is a window per partition plus the sum before it.
+
+There is one path for all sizes; the number of partitions is the session's
+``spark.sql.shuffle.partitions`` unless given.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
-from functools import cmp_to_key
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from souk.sources.staging import stage
 
 OrderSpec = Sequence[tuple[str, bool]]   # (column, ascending); ASC puts NULLs first, DESC last
 
 
-@dataclass(frozen=True)
-class Bounds:
-    order: tuple[tuple[str, bool], ...]
-    keys: tuple[tuple, ...]          # strictly increasing bound keys
-    types: tuple = ()                # Spark types of the order columns
-
-    @property
-    def buckets(self) -> int:
-        return len(self.keys) + 1
-
-
-def default_buckets(df: DataFrame) -> int:
-    """Four buckets per shuffle partition (hash placement of bucket ids then
-    evens out), capped so the comparison tree stays small."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(1, min(4 * parts, 2048))
-
-
-def _sort_cols(order: OrderSpec) -> list[Column]:
+def sort_columns(order: OrderSpec) -> list[Column]:
     return [F.col(c).asc_nulls_first() if asc else F.col(c).desc_nulls_last() for c, asc in order]
 
 
-# Types whose Python ordering equals Spark's (strings: code point order is
-# UTF-8 byte order).
-_PY_SORTABLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType, T.StringType)
-
-
-def _key_cmp(order: OrderSpec):
-    dirs = [asc for _, asc in order]
-
-    def cmp(x: tuple, y: tuple) -> int:
-        for a, b, asc in zip(x, y, dirs):
-            if a is None or b is None:
-                if a is None and b is None:
-                    continue
-                first = -1 if a is None else 1          # NULL before values when ASC,
-                return first if asc else -first         # after them when DESC
-            c = (a > b) - (a < b)
-            if c:
-                return c if asc else -c
-        return 0
-    return cmp
-
-
-# Below this many rows a single ordered partition is cheaper than buckets.
-SMALL_INPUT_ROWS = 20_000
-
-
-def plan_bounds(df: DataFrame, orders: Sequence[OrderSpec], buckets: int | None = None,
-                per_bucket: int = 20, seed: int = 7, small_rows: int = SMALL_INPUT_ROWS) -> list[Bounds]:
-    """Bounds for several orderings of ``df`` from one bounded sample.
-
-    The sample is ``max(buckets * per_bucket, small_rows)`` rows picked by a
-    seeded random key (a per-task top-k: never more than that many rows
-    reach the driver). When the sample holds the whole input, the input is
-    small by proof and a single bucket is used.
-    """
-    buckets = buckets or default_buckets(df)
-    cols = list(dict.fromkeys(c for order in orders for c, _ in order))
-    if buckets <= 1:
-        return [Bounds(tuple(o), ()) for o in orders]
-    limit = max(buckets * per_bucket, small_rows)
-    rows = df.select(*cols).orderBy(F.rand(seed)).limit(limit).collect()
-    if len(rows) < limit:
-        return [Bounds(tuple(o), ()) for o in orders]
-    schema = df.select(*cols).schema
-    out = []
-    for order in orders:
-        idx = [cols.index(c) for c, _ in order]
-        if all(isinstance(schema[c].dataType, _PY_SORTABLE) for c, _ in order):
-            keys = sorted((tuple(r[i] for i in idx) for r in rows), key=cmp_to_key(_key_cmp(order)))
-        else:
-            sample = df.sparkSession.createDataFrame(rows, schema)
-            keys = [tuple(r) for r in sample.select(*[c for c, _ in order])
-                    .orderBy(*_sort_cols(order)).collect()]
-        step = max(1, len(keys) // buckets)
-        picked: list[tuple] = []
-        for i in range(step, len(keys), step):
-            if not picked or keys[i] != picked[-1]:
-                picked.append(keys[i])
-        out.append(Bounds(tuple(order), tuple(picked), tuple(schema[c].dataType for c, _ in order)))
-    return out
-
-
-def _sql_literal(v, dtype: T.DataType) -> str:
-    if isinstance(dtype, T.StringType):
-        return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-    if isinstance(dtype, T.DecimalType):
-        return f"CAST('{v}' AS DECIMAL({dtype.precision},{dtype.scale}))"
-    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
-        return f"CAST({int(v)} AS {dtype.simpleString().upper()})"
-    return f"CAST('{v}' AS {dtype.simpleString().upper()})"
-
-
-def _less_sql(order: OrderSpec, bound: tuple, types: tuple) -> str:
-    """Row key strictly before ``bound`` in ``order`` (Spark's null placement)."""
-    if not order:
-        return "false"
-    (name, asc), rest = order[0], order[1:]
-    c, b = f"`{name}`", bound[0]
-    tail = _less_sql(rest, bound[1:], types[1:])
-    if b is None:
-        return f"({c} IS NULL AND {tail})" if asc else f"({c} IS NOT NULL OR ({c} IS NULL AND {tail}))"
-    lit = _sql_literal(b, types[0])
-    if asc:
-        return f"({c} IS NULL OR {c} < {lit} OR ({c} = {lit} AND {tail}))"
-    return f"({c} IS NOT NULL AND ({c} > {lit} OR ({c} = {lit} AND {tail})))"
-
-
-def bucket_of(bounds: Bounds) -> Column:
-    """Bucket id in ``[0, len(keys)]`` by binary search over the bounds, built
-    as one SQL expression (one round trip to the JVM)."""
-    keys = bounds.keys
-
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo)
-        mid = (lo + hi + 1) // 2           # keys[mid-1] separates bucket mid-1 from mid
-        cond = _less_sql(bounds.order, keys[mid - 1], bounds.types)
-        return f"CASE WHEN {cond} THEN {tree(lo, mid - 1)} ELSE {tree(mid, hi)} END"
-
-    return F.expr(tree(0, len(keys)))
-
-
-@dataclass(frozen=True)
-class RankSpec:
-    bounds: Bounds
-    prefix: str
-    value: str | None = None
-
-
-def _offsets(keyed: DataFrame, spec: RankSpec) -> DataFrame:
-    """Per-bucket counts (and sums) with their prefix totals: at most
-    ``spec.bounds.buckets`` rows, so one ordered partition is fine here."""
-    b, p = f"__{spec.prefix}_bucket", spec.prefix
-    aggs = [F.count(F.lit(1)).alias("__cnt")]
-    if spec.value is not None:
-        aggs.append(F.sum(spec.value).alias("__sum"))
-    stats = keyed.groupBy(b).agg(*aggs)
-    before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(F.lit(1))
-    cols = [F.col(b),
-            F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias(f"__{p}_cnt_before"),
-            F.sum("__cnt").over(whole).cast("bigint").alias(f"{p}_n")]
-    if spec.value is not None:
-        cols += [F.sum("__sum").over(before).alias(f"__{p}_sum_before"),
-                 F.sum("__sum").over(whole).alias(f"{p}_total")]
-    return stats.select(*cols)
-
-
-def rank_many(df: DataFrame, specs: Sequence[RankSpec]) -> DataFrame:
-    """Global row numbers for several orderings of the same rows.
-
-    All bucket ids are computed in one projection; each ordering then costs
-    one exchange on its bucket id and one window, chained, and a broadcast
-    of its per-bucket offsets. The input is read once more per ordering for
-    the offsets, so it should be cheap to re-read (staged).
-    Adds ``{prefix}_rn`` and ``{prefix}_n``; with a value also
-    ``{prefix}_running`` and ``{prefix}_total``.
-    """
-    big = [s for s in specs if s.bounds.buckets > 1]
-    keyed = df.select("*", *[bucket_of(s.bounds).cast("int").alias(f"__{s.prefix}_bucket") for s in big])
-    offsets = [_offsets(keyed, s) for s in big]
-    out = keyed
-    for s in specs:
-        if s.bounds.buckets > 1:
-            w = Window.partitionBy(f"__{s.prefix}_bucket").orderBy(*_sort_cols(s.bounds.order))
-        else:
-            # Input proven small by the sample: one ordered partition.
-            w = Window.orderBy(*_sort_cols(s.bounds.order))
-        out = out.withColumn(f"__{s.prefix}_rn_local", F.row_number().over(w))
-        if s.value is not None:
-            out = out.withColumn(f"__{s.prefix}_run_local",
-                                 F.sum(s.value).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    for s in specs:
-        if s.bounds.buckets > 1:
-            continue
-        # Same ordered partition, whole frame: computed by the same Window operator.
-        p = s.prefix
-        whole = Window.orderBy(*_sort_cols(s.bounds.order)) \
-            .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        out = out.withColumnRenamed(f"__{p}_rn_local", f"{p}_rn") \
-                 .withColumn(f"{p}_rn", F.col(f"{p}_rn").cast("bigint")) \
-                 .withColumn(f"{p}_n", F.count(F.lit(1)).over(whole).cast("bigint"))
-        if s.value is not None:
-            out = out.withColumnRenamed(f"__{p}_run_local", f"{p}_running") \
-                     .withColumn(f"{p}_total", F.sum(s.value).over(whole))
-    for s, off in zip(big, offsets):
-        p, b = s.prefix, f"__{s.prefix}_bucket"
-        out = out.join(F.broadcast(off), b, "inner")
-        out = out.withColumn(f"{p}_rn", (F.col(f"__{p}_rn_local") + F.col(f"__{p}_cnt_before")).cast("bigint"))
-        drop = [b, f"__{p}_rn_local", f"__{p}_cnt_before"]
-        if s.value is not None:
-            # SUM ignores NULLs: NULL only while no value has been seen at all.
-            loc, bef = F.col(f"__{p}_run_local"), F.col(f"__{p}_sum_before")
-            out = out.withColumn(f"{p}_running",
-                                 F.when(loc.isNull() & bef.isNull(), F.lit(None))
-                                 .otherwise(F.coalesce(loc, F.lit(0)) + F.coalesce(bef, F.lit(0))))
-            drop += [f"__{p}_run_local", f"__{p}_sum_before"]
-        out = out.drop(*drop)
-    return out
-
-
-def number_rows(df: DataFrame, bounds: Bounds, *, prefix: str, value: str | None = None) -> DataFrame:
-    """One ordering: adds ``{prefix}_rn`` (global 1-based row number in
-    ``bounds.order``) and ``{prefix}_n`` (row count); with ``value`` also
-    ``{prefix}_running`` (running sum over ``ROWS UNBOUNDED PRECEDING``) and
-    ``{prefix}_total``."""
-    return rank_many(df, [RankSpec(bounds, prefix, value)])
+def global_rank(df: DataFrame, order: OrderSpec, *, prefix: str, value: str | None = None,
+                partitions: int | None = None) -> DataFrame:
+    """Adds ``{prefix}_rn`` (global 1-based row number in ``order``, whose last
+    column must be unique) and ``{prefix}_n`` (row count); with ``value`` also
+    ``{prefix}_running`` (running sum, ROWS UNBOUNDED PRECEDING; NULL until the
+    first value) and ``{prefix}_total``."""
+    spark = df.sparkSession
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    cols = sort_columns(order)
+    placed = (df.repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+              .withColumn("__id", F.monotonically_increasing_id())
+              .withColumn("__part", F.shiftright("__id", 33))
+              .withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))).drop("__id"))
+    placed = stage(placed, f"rank-{prefix}")
+    aggs = [F.count(F.lit(1)).alias("__cnt")] + ([F.sum(value).alias("__sum")] if value else [])
+    stats = placed.groupBy("__part").agg(*aggs)
+    # One row per range partition: bounded by the partition count.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    offsets = [F.col("__part"), F.coalesce(F.sum("__cnt").over(before), F.lit(0)).alias("__cnt_before"),
+               F.sum("__cnt").over(whole).cast("bigint").alias(f"{prefix}_n")]
+    if value:
+        offsets += [F.sum("__sum").over(before).alias("__sum_before"),
+                    F.sum("__sum").over(whole).alias(f"{prefix}_total")]
+        local = Window.partitionBy("__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+        placed = placed.withColumn("__run", F.sum(value).over(local))
+    out = placed.join(F.broadcast(stats.select(*offsets)), "__part")
+    out = out.withColumn(f"{prefix}_rn", (F.col("__cnt_before") + F.col("__at") + 1).cast("bigint"))
+    drop = ["__part", "__at", "__cnt_before"]
+    if value:
+        none = F.col("__run").isNull() & F.col("__sum_before").isNull()
+        out = out.withColumn(f"{prefix}_running", F.when(none, F.lit(None)).otherwise(
+            F.coalesce("__run", F.lit(0)) + F.coalesce("__sum_before", F.lit(0))))
+        drop += ["__run", "__sum_before"]
+    return out.drop(*drop)
 
 
 def ntile(rn: str, n: str, k: int) -> Column:
@@ -255,23 +77,3 @@ def ntile(rn: str, n: str, k: int) -> Column:
     big = f"({r} * ({q} + 1))"
     return F.expr(f"CAST(CASE WHEN {rn} <= {big} THEN ({rn} - 1) div ({q} + 1) + 1 "
                   f"ELSE {r} + ({rn} - {big} - 1) div greatest({q}, 1) + 1 END AS BIGINT)")
-
-
-def prepare(df: DataFrame, orders: Sequence[OrderSpec], buckets: int | None = None,
-            label: str = "rank", materialize: bool = True, **kw) -> tuple[DataFrame, list[Bounds]]:
-    """Bounds for ``orders`` and the input to rank. When the input is large
-    (more than one bucket) it is read again by the per-bucket offsets and by
-    the windows, so it is materialised once (:func:`souk.sources.staging.stage`);
-    a small input is simply recomputed. Bounds from the unstaged input stay
-    valid: a row's bucket depends only on its key."""
-    bounds = plan_bounds(df, orders, buckets, **kw)
-    if materialize and any(b.buckets > 1 for b in bounds):
-        df = stage(df, label)
-    return df, bounds
-
-
-def global_rank(df: DataFrame, order: OrderSpec, *, prefix: str, value: str | None = None,
-                buckets: int | None = None, materialize: bool = True, **kw) -> DataFrame:
-    """Plan bounds for one ordering and number the rows."""
-    df, (bounds,) = prepare(df, [order], buckets, f"rank-{prefix}", materialize, **kw)
-    return number_rows(df, bounds, prefix=prefix, value=value)

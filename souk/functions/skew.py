@@ -7,13 +7,10 @@ be one task's work. Here such keys are salted explicitly:
 
 * the one-row-per-key side already carries each key's row count (it is the
   aggregate that produced it), so finding hot keys costs no extra pass;
-* the hot keys are the ``max_hot`` largest keys above ``target_rows`` rows (a
-  top-k, so the broadcast list has a proven bound); a key outside that list is
-  smaller than all ``max_hot`` listed ones and so holds at most
-  ``1 / max_hot`` of the rows;
-* a hot key's rows are spread over ``ceil(count / target_rows)`` salts by a
-  hash of a row id, and its single row on the other side is replicated once
-  per salt.
+* a key is hot if it holds more than ``1 / SHARES`` of all rows, so there are
+  fewer than ``SHARES`` hot keys at any size: the broadcast list needs no limit;
+* a hot key's rows are spread over ``ceil(count / target)`` salts by a hash of
+  a row id, and its single row on the other side is replicated once per salt.
 Every row still meets its key's row exactly once, so the result equals the
 plain inner join.
 """
@@ -23,22 +20,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TARGET_ROWS = 1_000_000     # rows per salt of a hot key
-MAX_HOT = 100_000           # bound on the broadcast hot-key list
-MAX_HOT_CAP = 1_000_000
+SHARES = 2_000              # a key above 1 / SHARES of all rows is split
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, *, count_col: str, salt_by: str,
-                target_rows: int = TARGET_ROWS, max_hot: int = MAX_HOT) -> DataFrame:
+                shares: int = SHARES) -> DataFrame:
     """Inner join of ``many`` with ``one`` (unique ``key``, ``count_col`` =
-    rows of the key in ``many``), spreading hot keys over several tasks.
-    ``max_hot`` is kept at or below ``MAX_HOT_CAP``: the top-k holds that
-    many rows per task in memory."""
-    max_hot = min(max_hot, MAX_HOT_CAP)
-    hot = (one.filter(F.col(count_col) > target_rows)
-           .orderBy(F.col(count_col).desc()).limit(max_hot)
-           .select(key, F.ceil(F.col(count_col) / F.lit(float(target_rows))).cast("bigint").alias("__salts")))
-    hot = F.broadcast(hot)
+    rows of the key in ``many``), spreading hot keys over several tasks."""
+    target = F.greatest(F.lit(1.0), one.agg(F.sum(count_col) / F.lit(float(shares))).scalar())
+    hot = (one.filter(F.col(count_col) > target)
+           .select(key, F.ceil(F.col(count_col) / target).cast("bigint").alias("__salts")))
+    hot = F.broadcast(hot)                        # fewer than ``shares`` rows
     m = (many.join(hot, key, "left")
          .withColumn("__salt", F.coalesce(F.pmod(F.xxhash64(salt_by), F.col("__salts")), F.lit(0)))
          .drop("__salts"))

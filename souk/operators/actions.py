@@ -4,15 +4,13 @@ sellers and categories)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions import ranking
 from souk.functions.numeric import decimal_text, pct, round2
-from souk.functions.skew import salted_join
 from souk.operators import categories, sellers
 from souk.operators.semantic import LATE, ON_TIME, delivered
-from souk.sources.staging import stage
 
 CUSTOMER = "customer_unique_id"
 
@@ -39,37 +37,29 @@ CATEGORY_ACT = ("Bundle bulky low-ticket products, enforce minimum basket rules,
 CATEGORY_KEEP = "No major category breaches the freight pressure threshold; keep monitoring as mix evolves."
 
 
-def first_delivered_orders(olm: DataFrame) -> DataFrame:
-    """Each person's first delivered order by (purchase time, order id) and
-    its delivery experience, as a keyed aggregate of a struct (combined
-    map-side, so a person with very many orders is not one task's work)."""
-    first = F.min(F.struct("order_purchase_timestamp", "order_id", "delivery_experience")).alias("f")
-    return (delivered(olm).groupBy(CUSTOMER).agg(first, F.count(F.lit(1)).alias("n_orders"))
-            .select(CUSTOMER, F.col("f.order_purchase_timestamp").alias("first_ts"),
-                    F.col("f.order_id").alias("first_order_id"),
-                    F.col("f.delivery_experience").alias("first_experience"), "n_orders"))
-
-
-def repeat_flags(olm: DataFrame, days: int = 90, **skew) -> DataFrame:
-    """Per person: 1 if any later delivered order falls at or before the
-    first purchase plus ``days`` (time of day kept), else 0. The join back to
-    the orders salts persons with very many orders."""
-    # Read by the hot-key list and both sides of the join: materialised once.
-    firsts = stage(first_delivered_orders(olm), "first-orders")
-    d = delivered(olm).select(CUSTOMER, "order_id", "order_purchase_timestamp")
-    later = ((F.col("order_id") != F.col("first_order_id"))
-             & (F.col("order_purchase_timestamp")
-                <= F.col("first_ts") + F.make_dt_interval(days=F.lit(days))))
-    return (salted_join(d, firsts, CUSTOMER, count_col="n_orders", salt_by="order_id", **skew)
-            .groupBy(CUSTOMER, "first_experience")
-            .agg(F.max(F.when(later, 1).otherwise(0)).alias("repeated_within_90d")))
-
-
-def repeat_rate_gap(olm: DataFrame, days: int = 90, **skew) -> DataFrame:
+def repeat_flags(olm: DataFrame, days: int = 90) -> DataFrame:
+    """Per person: 1 if the second delivered order (by purchase time, order id)
+    falls at or before the first purchase plus ``days`` (time of day kept), else 0;
+    a later order can only be later than the second. Two rows per person are enough:
+    the engine cuts each task's rows to two per person before the shuffle, so a person
+    with very many orders is not one task's work."""
+    w = Window.partitionBy(CUSTOMER).orderBy(F.col("order_purchase_timestamp").asc_nulls_first(), "order_id")
+    top = (delivered(olm).select(CUSTOMER, "order_id", "order_purchase_timestamp", "delivery_experience")
+           .withColumn("nth", F.row_number().over(w)).filter(F.col("nth") <= 2))
+    first, second = F.col("nth") == 1, F.col("nth") == 2
+    per = top.groupBy(CUSTOMER).agg(
+        F.max(F.when(first, F.col("order_purchase_timestamp"))).alias("first_ts"),
+        F.max(F.when(first, F.col("delivery_experience"))).alias("first_experience"),
+        F.max(F.when(second, F.col("order_purchase_timestamp"))).alias("second_ts"))
+    back = F.col("second_ts") <= F.col("first_ts") + F.make_dt_interval(days=F.lit(days))
+    return per.select(CUSTOMER, "first_experience", F.when(back, 1).otherwise(0).alias("repeated_within_90d"))
+
+
+def repeat_rate_gap(olm: DataFrame, days: int = 90) -> DataFrame:
     """O12a (one row): 90-day repeat rate after an on-time first order minus
     after a late one, in points; unknown first orders are left out; 0 when
     either side is missing."""
-    rates = (repeat_flags(olm, days, **skew).filter(F.col("first_experience").isin(ON_TIME, LATE))
+    rates = (repeat_flags(olm, days).filter(F.col("first_experience").isin(ON_TIME, LATE))
              .groupBy("first_experience")
              .agg((F.lit(100.0) * F.avg("repeated_within_90d")).alias("rate")))
     on = F.max(F.when(F.col("first_experience") == ON_TIME, F.col("rate")))
@@ -77,12 +67,12 @@ def repeat_rate_gap(olm: DataFrame, days: int = 90, **skew) -> DataFrame:
     return rates.agg(F.coalesce(round2(on - late), F.lit(0.0)).alias("repeat_rate_gap_pp"))
 
 
-def revenue_concentration(olm: DataFrame, tiles: int = 5, buckets: int | None = None, **kw) -> DataFrame:
+def revenue_concentration(olm: DataFrame, tiles: int = 5, partitions: int | None = None) -> DataFrame:
     """O12b (one row): percent of delivered revenue from the top spend tile
     (NTILE over spend ascending, ties by person id)."""
     rev = delivered(olm).groupBy(CUSTOMER).agg(F.sum("payment_value").alias("monetary"))
-    ranked = ranking.global_rank(rev, [("monetary", True), (CUSTOMER, True)], prefix="m", buckets=buckets,
-                                 **kw)
+    ranked = ranking.global_rank(rev, [("monetary", True), (CUSTOMER, True)], prefix="m",
+                                 partitions=partitions)
     top = ranking.ntile("m_rn", "m_n", tiles) == tiles
     return ranked.agg(round2(pct(F.sum(F.when(top, F.col("monetary")).otherwise(F.lit(0))),
                                  F.sum("monetary"))).alias("top_customer_quintile_revenue_share_pct"))
@@ -94,29 +84,32 @@ def _row(priority: str, initiative: str, evidence: F.Column, recommendation: F.C
 
 
 def action_board(olm: DataFrame, items: DataFrame, orders: DataFrame, products: DataFrame,
-                 translation: DataFrame, buckets: int | None = None) -> DataFrame:
+                 translation: DataFrame, *, days: int = 90, tiles: int = 5, target: float = 0.80,
+                 ratio: float = 40.0, min_orders: int = 100, gap_pp: float = 5.0, share_pct: float = 50.0,
+                 seller_pct: float = 20.0, categories_over: int = 0, partitions: int | None = None) -> DataFrame:
     """Four prioritised actions, each from a one-row analysis.
-    Numbers are printed as two-place decimals, counts as integers."""
-    gap = repeat_rate_gap(olm)
-    share = revenue_concentration(olm, buckets=buckets)
-    pareto = sellers.seller_pareto(items, orders, buckets=buckets)
-    alerts = categories.category_alerts(items, orders, products, translation)
+    Numbers are printed as two-place decimals, counts as integers. The parameters
+    of the analyses and the thresholds of the advice are arguments."""
+    gap = repeat_rate_gap(olm, days)
+    share = revenue_concentration(olm, tiles, partitions)
+    pareto = sellers.seller_pareto(items, orders, target, partitions)
+    alerts = categories.category_alerts(items, orders, products, translation, min_orders, ratio)
 
     g, s = F.col("repeat_rate_gap_pp"), F.col("top_customer_quintile_revenue_share_pct")
     p, c = F.col("seller_pct_for_80pct_gmv"), F.col("margin_destructive_categories")
     rows = [
         gap.select(*_row("P1", REPEAT_INITIATIVE,
                          F.concat(F.lit(REPEAT_EVIDENCE[0]), decimal_text(g), F.lit(REPEAT_EVIDENCE[1])),
-                         F.when(g >= 5, F.lit(REPEAT_ACT)).otherwise(F.lit(REPEAT_KEEP)))),
+                         F.when(g >= gap_pp, F.lit(REPEAT_ACT)).otherwise(F.lit(REPEAT_KEEP)))),
         share.select(*_row("P1", VIP_INITIATIVE,
                            F.concat(F.lit(VIP_EVIDENCE[0]), decimal_text(s), F.lit(VIP_EVIDENCE[1])),
-                           F.when(s >= 50, F.lit(VIP_ACT)).otherwise(F.lit(VIP_KEEP)))),
+                           F.when(s >= share_pct, F.lit(VIP_ACT)).otherwise(F.lit(VIP_KEEP)))),
         pareto.select(*_row("P1", SELLER_INITIATIVE,
                             F.concat(decimal_text(p), F.lit(SELLER_EVIDENCE[0])),
-                            F.when(p <= 20, F.lit(SELLER_ACT)).otherwise(F.lit(SELLER_KEEP)))),
+                            F.when(p <= seller_pct, F.lit(SELLER_ACT)).otherwise(F.lit(SELLER_KEEP)))),
         alerts.select(*_row("P2", CATEGORY_INITIATIVE,
                             F.concat(c.cast("string"), F.lit(CATEGORY_EVIDENCE[0])),
-                            F.when(c > 0, F.lit(CATEGORY_ACT)).otherwise(F.lit(CATEGORY_KEEP)))),
+                            F.when(c > categories_over, F.lit(CATEGORY_ACT)).otherwise(F.lit(CATEGORY_KEEP)))),
     ]
     board = rows[0]
     for r in rows[1:]:

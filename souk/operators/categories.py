@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from souk.functions.numeric import as_double, pct, round2, safe_div, zscore
+from souk.operators.sellers import review_totals
 from souk.operators.semantic import DELIVERED
 
 MARGIN = "Margin destructive"
@@ -28,28 +29,31 @@ def category_base(items: DataFrame, orders: DataFrame, products: DataFrame, tran
                   reviews: DataFrame | None) -> DataFrame:
     """Delivered items per category, as raw sums (nothing rounded yet).
 
-    Items meet products first (on ``product_id``), then delivered orders and
-    reviews on ``order_id``; collapsing to (order, category) reuses that
-    partitioning and turns distinct orders into a plain count.
+    Items meet delivered orders and reviews first, on ``order_id`` (no shuffle of
+    bucketed tables), and are summed per (order, product); only those rows meet
+    products, and collapsing to (order, category) turns distinct orders into a
+    plain count.
     """
     it = items.select("order_id", "product_id", "price", "freight_value")
-    x = it.join(product_categories(products, translation), "product_id", "inner")
     o = (orders.filter(F.col("order_status") == DELIVERED)
          .select("order_id", F.coalesce(F.col("order_delivered_customer_date")
                                         > F.col("order_estimated_delivery_date"), F.lit(False))
                  .alias("is_late")))
-    x = x.join(o, "order_id", "inner")
+    x = it.join(o, "order_id", "inner")
     if reviews is not None:
-        x = x.join(reviews.select("order_id", "review_score"), "order_id", "left")
+        x = x.join(review_totals(reviews), "order_id", "left")
     else:
-        x = x.withColumn("review_score", F.lit(None).cast("int"))
-    g = x.groupBy("order_id", "category_name", "is_late", "review_score").agg(
+        x = x.withColumns({"score_sum": F.lit(None).cast("bigint"), "score_n": F.lit(None).cast("bigint")})
+    order = ["order_id", "is_late", "score_sum", "score_n"]
+    sums = ["n_items", "price", "n_priced", "freight", "gmv"]
+    p = x.groupBy(*order, "product_id").agg(
         F.count(F.lit(1)).alias("n_items"),
         F.sum("price").alias("price"), F.count("price").alias("n_priced"),
         F.sum("freight_value").alias("freight"),
         F.sum(F.col("price") + F.col("freight_value")).alias("gmv"))
+    p = p.join(product_categories(products, translation), "product_id", "inner")
+    g = p.groupBy(*order, "category_name").agg(*[F.sum(c).alias(c) for c in sums])
     n = F.col("n_items")
-    score_w = F.when(F.col("review_score").isNotNull(), n)
     return g.groupBy("category_name").agg(
         F.count(F.lit(1)).cast("bigint").alias("delivered_orders"),
         F.sum("price").alias("price_sum"),
@@ -58,8 +62,8 @@ def category_base(items: DataFrame, orders: DataFrame, products: DataFrame, tran
         F.sum("gmv").alias("gmv_sum"),
         F.sum(F.when(F.col("is_late"), n).otherwise(0)).alias("late_items"),
         F.sum(n).alias("items"),
-        F.sum(score_w * F.col("review_score")).alias("score_sum"),
-        F.sum(score_w).alias("scored_items"))
+        F.sum(n * F.col("score_sum")).alias("score_sum"),
+        F.sum(n * F.col("score_n")).alias("scored_items"))
 
 
 def category_economics(items: DataFrame, orders: DataFrame, products: DataFrame,

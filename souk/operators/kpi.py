@@ -17,11 +17,15 @@ def monthly_kpi(olm: DataFrame) -> DataFrame:
     per calendar month (a few hundred rows at most), where a single ordered
     partition is the right plan.
     """
-    monthly = (delivered(olm)
-               .groupBy(month_start_text("order_purchase_timestamp").alias("cohort_month"))
-               .agg(F.countDistinct("order_id").alias("total_orders"),
-                    F.countDistinct("customer_unique_id").alias("active_customers"),
-                    F.sum("payment_value").alias("total_revenue")))
+    # One row per order in, one per (month, person), then one per month: distinct
+    # customers become a plain count, without an Expand.
+    person = (delivered(olm)
+              .groupBy(month_start_text("order_purchase_timestamp").alias("cohort_month"), "customer_unique_id")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum("payment_value").alias("paid")))
+    monthly = (person.groupBy("cohort_month")
+               .agg(F.sum("n").alias("total_orders"),
+                    F.count("customer_unique_id").alias("active_customers"),
+                    F.sum("paid").alias("total_revenue")))
     prev = F.lag("total_revenue").over(Window.orderBy("cohort_month"))
     return monthly.select(
         "cohort_month",

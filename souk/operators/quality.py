@@ -135,9 +135,11 @@ def duplicate_keys(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
 
 
 def dangling_references(child: DataFrame, column: str, parent: DataFrame, parent_column: str) -> DataFrame:
-    """Child rows whose non-NULL reference has no parent row."""
+    """Non-NULL references without a parent row, one row per value with its number of
+    child rows (``count``). Child rows are counted per value before the join (combined
+    map-side), so a value that very many rows share is one row there."""
     keys = parent.select(F.col(parent_column).alias("__parent_key"))
-    return (child.select(column).filter(F.col(column).isNotNull())
+    return (child.filter(F.col(column).isNotNull()).groupBy(column).count()
             .join(keys, F.col(column) == F.col("__parent_key"), "left_anti"))
 
 
@@ -155,7 +157,7 @@ def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     for r in REFERENCE_RULES:
         parts.append(_report_row(dangling_references(tables[r.table], r.column,
                                                      tables[r.parent], r.parent_column),
-                                 r.table, r.name, "foreign_key", F.count(F.lit(1))))
+                                 r.table, r.name, "foreign_key", F.coalesce(F.sum("count"), F.lit(0))))
     report = parts[0]
     for p in parts[1:]:
         report = report.unionByName(p)
@@ -176,8 +178,8 @@ def payment_reconciliation(items: DataFrame, payments: DataFrame, tolerance: flo
     Both sides are summed per order first (instalments would otherwise
     multiply items) and then meet on ``order_id``; both aggregates are
     already partitioned by it, so the join adds no exchange. Orders lacking
-    items or payments are not reported (inner join). Ordered by the size of
-    the difference, then order id; ``limit`` keeps that many examples.
+    items or payments are not reported (inner join). ``limit`` keeps that many
+    examples, by the size of the difference, then order id.
     """
     cost = items.groupBy("order_id").agg(
         F.sum(F.col("price") + F.col("freight_value")).alias("total_items_cost"))
@@ -189,5 +191,7 @@ def payment_reconciliation(items: DataFrame, payments: DataFrame, tolerance: flo
                    F.col("total_items_cost").cast("double").alias("total_items_cost"),
                    F.col("total_payment").cast("double").alias("total_payment"),
                    diff.cast("double").alias("difference"))
-           .orderBy(F.abs(F.col("difference")).desc(), F.col("order_id")))
-    return out.limit(limit) if limit is not None else out
+           )
+    if limit is None:
+        return out
+    return out.orderBy(F.abs(F.col("difference")).desc(), F.col("order_id")).limit(limit)

@@ -20,13 +20,13 @@ GENERAL = "4. General"
 
 
 def customer_rfm(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = None) -> DataFrame:
-    """Per person over delivered orders: days from the reference date to the
+    """Per person over delivered orders (the view has one row per order): days from the reference date to the
     last purchase, distinct orders and total payments. The reference date is
     the latest purchase of *any* status unless ``as_of`` is given (a scalar
     subquery, computed once)."""
     per = (delivered(olm).groupBy(CUSTOMER)
            .agg(F.max("order_purchase_timestamp").alias("last_purchase"),
-                F.countDistinct("order_id").cast("bigint").alias("frequency"),
+                F.count(F.lit(1)).cast("bigint").alias("frequency"),
                 F.sum("payment_value").alias("monetary")))
     if as_of is None:
         ref = orders.agg(F.max("order_purchase_timestamp")).scalar()
@@ -45,19 +45,14 @@ def segment(r: str = "r_score", f: str = "f_score", m: str = "m_score") -> F.Col
 
 
 def rfm_scores(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = None,
-               tiles: int = 5, buckets: int | None = None, **kw) -> DataFrame:
+               tiles: int = 5, partitions: int | None = None) -> DataFrame:
     """All customers with their three scores and segment. Higher is better
     on every score: recency is tiled descending. Every ordering ends with the
-    person id so tiles are deterministic when values tie.
-
-    Each score is a global ranking (:mod:`souk.functions.ranking`); one
-    bounded sample serves all three."""
-    orders_ = [[("recency", False), (CUSTOMER, True)],
-               [("frequency", True), (CUSTOMER, True)],
-               [("monetary", True), (CUSTOMER, True)]]
-    rfm, (br, bf, bm) = ranking.prepare(customer_rfm(olm, orders, as_of), orders_, buckets, "rfm", **kw)
-    x = ranking.rank_many(rfm, [ranking.RankSpec(br, "r"), ranking.RankSpec(bf, "f"),
-                                ranking.RankSpec(bm, "m")])
+    person id so tiles are deterministic when values tie. Each score is a
+    global ranking (:func:`souk.functions.ranking.global_rank`)."""
+    x = customer_rfm(olm, orders, as_of)
+    for prefix, column, ascending in (("r", "recency", False), ("f", "frequency", True), ("m", "monetary", True)):
+        x = ranking.global_rank(x, [(column, ascending), (CUSTOMER, True)], prefix=prefix, partitions=partitions)
     return x.select(
         CUSTOMER, "recency", "frequency", F.col("monetary").cast("double").alias("monetary"),
         ranking.ntile("r_rn", "r_n", tiles).alias("r_score"),
@@ -67,9 +62,9 @@ def rfm_scores(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = No
 
 
 def rfm_segments(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = None,
-                 limit: int | None = 50, buckets: int | None = None, **kw) -> DataFrame:
+                 limit: int | None = 50, partitions: int | None = None) -> DataFrame:
     """The ``limit`` customers with the highest spend (top-k report),
     ties broken by person id."""
-    out = rfm_scores(olm, orders, as_of, buckets=buckets, **kw) \
+    out = rfm_scores(olm, orders, as_of, partitions=partitions) \
         .orderBy(F.col("monetary").desc(), F.col(CUSTOMER).asc())
     return out.limit(limit) if limit is not None else out

@@ -32,13 +32,20 @@ def _order_seller_grain(items: DataFrame, orders: DataFrame, reviews: DataFrame
                    F.lit(False)).alias("is_late"))
     x = it.join(o, "order_id", "inner")
     if reviews is not None:
-        x = x.join(reviews.select("order_id", "review_score"), "order_id", "left")
+        x = x.join(review_totals(reviews), "order_id", "left")
     else:
-        x = x.withColumn("review_score", F.lit(None).cast("int"))
-    return x.groupBy("order_id", SELLER, "is_delivered", "days", "is_late", "review_score").agg(
+        x = x.withColumns({"score_sum": F.lit(None).cast("bigint"), "score_n": F.lit(None).cast("bigint")})
+    return x.groupBy("order_id", SELLER, "is_delivered", "days", "is_late", "score_sum", "score_n").agg(
         F.count(F.lit(1)).alias("n_items"), F.sum("amount").alias("amount"))
 
 
+def review_totals(reviews: DataFrame) -> DataFrame:
+    """Scores summed per order before any join: an order with several reviews
+    stays one row, so item and order counts do not rely on the review key."""
+    return reviews.groupBy("order_id").agg(F.sum("review_score").alias("score_sum"),
+                                           F.count("review_score").alias("score_n"))
+
+
 def seller_metrics(items: DataFrame, orders: DataFrame, sellers: DataFrame, reviews: DataFrame,
                    min_orders: int = 30) -> DataFrame:
     """Item-weighted seller metrics. GMV, delivery days and review use
@@ -47,7 +54,7 @@ def seller_metrics(items: DataFrame, orders: DataFrame, sellers: DataFrame, revi
     dlv = F.col("is_delivered")
     n = F.col("n_items")
     days_w = F.when(dlv & F.col("days").isNotNull(), n)
-    score_w = F.when(dlv & F.col("review_score").isNotNull(), n)
+    score_w = F.when(dlv, n * F.col("score_n"))
     # Aggregate per seller first (combined map-side, so a seller with a third
     # of all items is not one task's work), then attach the state: the same
     # groups as joining first and grouping by (seller, state).
@@ -57,7 +64,7 @@ def seller_metrics(items: DataFrame, orders: DataFrame, sellers: DataFrame, revi
         round2(safe_div(F.sum(days_w * F.col("days")), F.sum(days_w))).alias("avg_delivery_days"),
         round2(pct(F.sum(F.when(dlv & F.col("is_late"), n).otherwise(0)), F.sum(n)))
         .alias("late_delivery_rate_pct"),
-        round2(safe_div(F.sum(score_w * F.col("review_score")), F.sum(score_w))).alias("avg_review_score"))
+        round2(safe_div(F.sum(F.when(dlv, n * F.col("score_sum"))), F.sum(score_w))).alias("avg_review_score"))
     return (per_seller.filter(F.col("delivered_orders") >= min_orders)
             .join(sellers.select(SELLER, "seller_state"), SELLER, "inner")
             .select(SELLER, "seller_state", "delivered_orders", "gmv", "avg_delivery_days",
@@ -67,7 +74,7 @@ def seller_metrics(items: DataFrame, orders: DataFrame, sellers: DataFrame, revi
 def seller_risk(items: DataFrame, orders: DataFrame, sellers: DataFrame, reviews: DataFrame,
                 min_orders: int = 30, top: int = 50, cum_pct: float = 80.0,
                 with_decile: bool = False, flags: bool = False, alert_z: float = 1.5,
-                outlier_z: float = 2.0, buckets: int | None = None, **kw) -> DataFrame:
+                outlier_z: float = 2.0, partitions: int | None = None) -> DataFrame:
     """Sellers ranked by GMV (ties by seller id) with GMV share,
     cumulative share and z-scores of late rate and review against the
     qualifying sellers. Kept: rank <= ``top`` or cumulative share <= ``cum_pct``.
@@ -77,15 +84,14 @@ def seller_risk(items: DataFrame, orders: DataFrame, sellers: DataFrame, reviews
     ``alert_z``) and ``late_rate_outlier`` (z above ``outlier_z``), the alert
     rules the reference recommends in prose.
     """
-    # Read by the benchmark subquery, the bounds sample and the ranking:
-    # materialise once (one row per qualifying seller).
+    # Read by the benchmark subquery and the ranking: materialise once (one row
+    # per qualifying seller).
     sm = stage(seller_metrics(items, orders, sellers, reviews, min_orders), "seller-metrics")
-    sm, (bounds,) = ranking.prepare(sm, [[("gmv", False), (SELLER, True)]], buckets, materialize=False, **kw)
     stats = sm.agg(F.struct(F.avg("late_delivery_rate_pct").alias("mu_late"),
                             F.stddev_pop("late_delivery_rate_pct").alias("sd_late"),
                             F.avg("avg_review_score").alias("mu_review"),
                             F.stddev_pop("avg_review_score").alias("sd_review"))).scalar()
-    ranked = ranking.number_rows(sm, bounds, prefix="g", value="gmv")
+    ranked = ranking.global_rank(sm, [("gmv", False), (SELLER, True)], prefix="g", value="gmv", partitions=partitions)
     cum = round2(pct("g_running", "g_total"))
     cols = [
         F.col("g_rn").alias("seller_rank"), SELLER, "seller_state", "delivered_orders",
@@ -117,13 +123,13 @@ def seller_revenue(items: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def seller_pareto(items: DataFrame, orders: DataFrame, target: float = 0.80,
-                  buckets: int | None = None, **kw) -> DataFrame:
+                  partitions: int | None = None) -> DataFrame:
     """O12c (one row): percent of sellers, by descending GMV, needed to reach
     ``target`` of delivered GMV: the first rank whose running GMV reaches the
     target, over the seller count."""
     sr = seller_revenue(items, orders)
     ranked = ranking.global_rank(sr, [("gmv", False), (SELLER, True)], prefix="g", value="gmv",
-                                 buckets=buckets, **kw)
+                                 partitions=partitions)
     reached = F.col("g_running") >= F.col("g_total") * F.lit(Decimal(str(target)))
     return ranked.agg(round2(pct(F.min(F.when(reached, F.col("g_rn"))), F.max("g_n")))
                       .alias("seller_pct_for_80pct_gmv"))

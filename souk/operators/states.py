@@ -31,9 +31,9 @@ def state_service_gap(olm: DataFrame, min_orders: int = 500) -> DataFrame:
     window aggregates over the state table, which holds one row per state.
     """
     d = delivered(olm)
-    per_state = d.groupBy("customer_state").agg(
-        F.countDistinct("order_id").cast("bigint").alias("delivered_orders"),
-        F.countDistinct("customer_unique_id").cast("bigint").alias("active_customers"),
+    # (state, person) first: distinct customers become a plain count, without an Expand.
+    sums = ("pay_sum", "pay_n", "days_sum", "days_n", "late_sum", "rows", "score_sum", "score_n")
+    person = d.groupBy("customer_state", "customer_unique_id").agg(
         F.sum("payment_value").alias("pay_sum"),
         F.count("payment_value").alias("pay_n"),
         F.sum("actual_delivery_days").alias("days_sum"),
@@ -42,6 +42,10 @@ def state_service_gap(olm: DataFrame, min_orders: int = 500) -> DataFrame:
         F.count(F.lit(1)).alias("rows"),
         F.sum("review_score").alias("score_sum"),
         F.count("review_score").alias("score_n"))
+    per_state = person.groupBy("customer_state").agg(
+        F.sum("rows").cast("bigint").alias("delivered_orders"),
+        F.count("customer_unique_id").cast("bigint").alias("active_customers"),
+        *[F.sum(c).alias(c) for c in sums])
     every = Window.partitionBy()                      # one row per state: a small table
     network = per_state.select(
         "*",

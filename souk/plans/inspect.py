@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def physical_plan(df: DataFrame, run: bool = True) -> str:
-    """The final physical plan as text. With ``run`` the query is executed
-    first (``noop`` sink) so adaptive re-planning is included."""
+    """The final physical plan as text. With ``run`` the frame's own query
+    execution is run (rows are counted, none are collected), so the plan is the
+    one adaptive execution ended with."""
+    execution = df._jdf.queryExecution()
     if run:
-        df.write.format("noop").mode("overwrite").save()
-    return df._jdf.queryExecution().executedPlan().toString()
+        execution.toRdd().count()
+    return execution.executedPlan().toString()
 
 
 def cross_products(plan: str) -> list[str]:
@@ -22,9 +24,29 @@ def cross_products(plan: str) -> list[str]:
 
 
 def unpartitioned_windows(plan: str) -> list[str]:
-    """``Window`` operators with an empty PARTITION BY (all rows in one task)."""
+    """``Window`` operators without a PARTITION BY (all rows in one task). The plan
+    prints ``Window [functions], [partition keys], [order keys]`` and leaves out
+    empty lists, so such a window has one list after its functions, which holds sort
+    orders -- or none."""
     out = []
     for line in plan.splitlines():
-        if re.search(r"\bWindow \[", line) and re.search(r"\], \[\], \[", line):
-            out.append(line.strip())
+        m = re.search(r"\bWindow \[", line)
+        if m:
+            lists = _top_lists(line[m.end() - 1:])[1:]
+            if not lists or re.search(r"\b(ASC|DESC) NULLS (FIRST|LAST)$", lists[0]):
+                out.append(line.strip())
+    return out
+
+
+def _top_lists(text: str) -> list[str]:
+    """Contents of the outermost bracketed lists."""
+    out, depth, start = [], 0, 0
+    for k, c in enumerate(text):
+        if c == "[":
+            depth += 1
+            start = k + 1 if depth == 1 else start
+        elif c == "]":
+            depth -= 1
+            if depth == 0:
+                out.append(text[start:k].strip())
     return out

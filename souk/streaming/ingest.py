@@ -1,9 +1,11 @@
 """Incremental import of CSV exports into the Parquet tables.
 
 A file-source stream per table with the declared schema (never inferred),
-appended to the table's Parquet folder. The checkpoint under the shared
-``spark.checkpoint.dir`` records which files were taken, so a rerun (or a
-restart after a lost driver or executor) imports each file exactly once.
+appended to the table's Parquet folder. The checkpoint records which files were
+taken, so a rerun with the same checkpoint (by another application too, after a
+lost driver) imports each file exactly once. It must be a stable folder that
+belongs to the target, so it has no default: a folder that is new in each application
+would disagree with the target's own log.
 """
 
 from __future__ import annotations
@@ -11,13 +13,12 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from souk.session import checkpoint_dir
 from souk.sources.loader import CSV_OPTIONS
 from souk.sources.schemas import TABLES
 
 
 def ingest_csv(spark: SparkSession, table: str, source_dir: str, target_dir: str,
-               checkpoint: str | None = None, available_now: bool = True,
+               checkpoint: str, available_now: bool = True,
                max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start importing CSV files that arrive in ``source_dir`` into
     ``target_dir`` as Parquet. ``available_now`` processes what is there and
@@ -26,8 +27,7 @@ def ingest_csv(spark: SparkSession, table: str, source_dir: str, target_dir: str
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     stream = reader.csv(source_dir)
-    location = checkpoint or f"{checkpoint_dir(spark).rstrip('/')}/souk_stream/{table}"
     writer = (stream.writeStream.format("parquet").outputMode("append")
-              .option("checkpointLocation", location).option("path", target_dir))
+              .option("checkpointLocation", checkpoint).option("path", target_dir))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()

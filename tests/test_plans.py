@@ -5,33 +5,47 @@ from __future__ import annotations
 import os
 
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
-from __spark_entry__ import queries
 from souk.plans.inspect import cross_products, physical_plan, unpartitioned_windows
+from souk.plans.registry import QUERIES
 
 SF = os.environ.get("SOUK_TEST_SF", "/root/testdata/sf0.001")
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+def test_unpartitioned_windows_are_found(spark):
+    df = spark.range(100).withColumn("k", F.col("id") % 3)
+    one = df.withColumn("n", F.row_number().over(Window.orderBy("id")))
+    whole = df.withColumn("n", F.sum("id").over(Window.partitionBy()))
+    many = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("id")))
+    assert len(unpartitioned_windows(physical_plan(one))) >= 1
+    assert len(unpartitioned_windows(physical_plan(whole))) >= 1
+    assert unpartitioned_windows(physical_plan(many)) == []
+
+
+def test_plan_is_the_executed_one(spark):
+    assert "isFinalPlan=true" in physical_plan(spark.range(100).groupBy(F.col("id") % 3).count())
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cross_products(spark, name):
-    plan = physical_plan(queries()[name](spark, SF))
-    assert cross_products(plan) == []
-    if "order_status" in plan and "FileScan" in plan:
-        assert "PushedFilters" in plan            # filters reach the Parquet scans
+    assert cross_products(physical_plan(QUERIES[name](spark, SF))) == []
 
 
 @pytest.mark.parametrize("name", ["rfm_segments", "seller_risk", "seller_pareto", "revenue_concentration"])
-def test_large_input_rankings_keep_rows_partitioned(spark, name):
-    from test_oracle import _forced
-    plan = physical_plan(_forced(name)(spark, SF))
-    assert cross_products(plan) == []
+def test_rankings_keep_rows_partitioned(spark, name):
+    plan = physical_plan(QUERIES[name](spark, SF))
     for line in unpartitioned_windows(plan):
-        # only the per-bucket offsets table (at most `buckets` rows) is ordered in one task
-        assert "_bucket" in line, line
-    assert "hashpartitioning(__" in plan
+        assert "__part" in line, line             # one row per range partition
+    assert "64 KB" not in plan
 
 
 def test_monthly_kpi_single_partition_only_over_months(spark):
-    plan = physical_plan(queries()["monthly_kpi"](spark, SF))
-    for line in unpartitioned_windows(plan):
-        assert "cohort_month" in line, line
+    windows = unpartitioned_windows(physical_plan(QUERIES["monthly_kpi"](spark, SF)))
+    assert windows and all("cohort_month" in line for line in windows)
+
+
+def test_repeat_rate_cuts_each_person_to_two_rows_before_the_shuffle(spark):
+    plan = physical_plan(QUERIES["repeat_rate_gap"](spark, SF))
+    assert "WindowGroupLimit" in plan and "Partial" in plan

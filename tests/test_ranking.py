@@ -22,13 +22,12 @@ def _data(spark, n=5000, nulls=False):
 
 @pytest.mark.parametrize("asc", [True, False])
 @pytest.mark.parametrize("nulls", [False, True])
-@pytest.mark.parametrize("buckets", [1, 7, 32])
-def test_equals_builtin_window(spark, asc, nulls, buckets):
+@pytest.mark.parametrize("partitions", [1, 7, 32])
+def test_equals_builtin_window(spark, asc, nulls, partitions):
     df = _data(spark, nulls=nulls)
     order = [("v", asc), ("k", True)]
-    (bounds,) = R.plan_bounds(df, [order], buckets=buckets, per_bucket=10, small_rows=0)
-    got = R.number_rows(df, bounds, prefix="g", value="v").withColumn("t", R.ntile("g_rn", "g_n", 5))
-    w = Window.orderBy(*R._sort_cols(order))
+    got = R.global_rank(df, order, prefix="g", value="v", partitions=partitions).withColumn("t", R.ntile("g_rn", "g_n", 5))
+    w = Window.orderBy(*R.sort_columns(order))
     ref = (df.withColumn("rn", F.row_number().over(w))
            .withColumn("run", F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)))
            .withColumn("t5", F.ntile(5).over(w)))
@@ -39,11 +38,14 @@ def test_equals_builtin_window(spark, asc, nulls, buckets):
     assert bad == 0
 
 
-def test_buckets_are_balanced_under_heavy_ties(spark):
+def test_empty_input(spark):
+    assert R.global_rank(_data(spark).limit(0), [("v", True), ("k", True)], prefix="g", value="v").collect() == []
+
+
+def test_ranges_are_balanced_under_heavy_ties(spark):
     df = _data(spark, n=20000)                     # 90% of rows share one value
-    (bounds,) = R.plan_bounds(df, [[("v", True), ("k", True)]], buckets=16, small_rows=0)
-    sizes = [r[1] for r in df.groupBy(R.bucket_of(bounds).alias("b")).count().collect()]
-    assert len(sizes) == bounds.buckets
+    cols = R.sort_columns([("v", True), ("k", True)])
+    sizes = [r[1] for r in df.repartitionByRange(16, *cols).groupBy(F.spark_partition_id()).count().collect()]
     assert max(sizes) < 4 * 20000 / 16
 
 
@@ -53,13 +55,3 @@ def test_ntile_formula(spark, n, k):
     df = spark.range(n).withColumn("rn", F.col("id") + 1).withColumn("n", F.lit(n).cast("bigint"))
     got = df.select(R.ntile("rn", "n", k).alias("a"), F.ntile(k).over(Window.orderBy("id")).alias("b"))
     assert got.filter("a != b").count() == 0
-
-
-def test_plan_keeps_rows_off_a_single_partition(spark):
-    df = _data(spark)
-    (bounds,) = R.plan_bounds(df, [[("v", True), ("k", True)]], buckets=16, small_rows=0)
-    out = R.number_rows(df, bounds, prefix="g", value="v")
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(__g_bucket" in plan
-    # the only single-partition exchange is over the per-bucket table
-    assert plan.count("SinglePartition") <= 1

@@ -79,3 +79,27 @@ def test_sinks_round_trip_and_views(spark):
     assert spark.read.parquet(os.path.join(folder, "tall")).count() == 1
     register_views(spark, {"souk_test_orders": back["orders"]})
     assert spark.sql("SELECT count(*) FROM souk_test_orders").collect()[0][0] == 1
+
+
+def test_cluster_without_checkpoint_dir_is_an_error():
+    import pytest
+    from types import SimpleNamespace
+
+    from souk import session
+
+    fake = SimpleNamespace(sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077"),
+                           conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.checkpoint_dir(fake)
+    assert not session.is_single_process("local-cluster[2,1,512]") and session.is_single_process("local[*]")
+
+
+def test_staged_folders_are_dropped(spark):
+    from souk.sources import staging
+
+    kept, gone = (staging.stage(spark.range(10), "t") for _ in range(2))
+    folder = os.path.dirname(gone.inputFiles()[0].split(":", 1)[1].replace("///", "/"))
+    assert os.path.isdir(folder)
+    staging.drop_staged(gone)
+    assert not os.path.exists(folder) and kept.count() == 10
+    staging.drop_staged(kept)

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import subprocess
+import sys
 import tempfile
 from decimal import Decimal
 
@@ -24,8 +26,13 @@ def test_ingest_is_incremental_and_exactly_once(spark):
     assert first.count() == 2
     with open(os.path.join(src, "b.csv"), "w") as fh:
         fh.write(HEADER + "o2,1,credit_card,3,99.99\n")
-    q = ingest_csv(spark, "order_payments", src, dst, checkpoint=ckpt)
-    q.awaitTermination(120)
+    # Another application (a fresh Python and JVM) goes on with the same checkpoint.
+    run = ("import sys; sys.path.insert(0, sys.argv[1])\n"
+           "from souk.session import build_session\nfrom souk.streaming.ingest import ingest_csv\n"
+           "s = build_session(master='local[2]', shuffle_partitions=2)\n"
+           "ingest_csv(s, 'order_payments', *sys.argv[2:4], checkpoint=sys.argv[4]).awaitTermination(120)\n")
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", run, repo, src, dst, ckpt], check=True, timeout=240)
     rows = spark.read.schema(TABLES["order_payments"]).parquet(dst).collect()
     assert sorted((r.order_id, r.payment_sequential, r.payment_value) for r in rows) == [
         ("o1", 1, Decimal("10.50")), ("o1", 2, Decimal("2.00")), ("o2", 1, Decimal("99.99"))]
