@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Python code runs on Arrow batches of at most this many rows; whole texts of
-#: a batch are in memory at once, so the count is kept low.
-BATCH_ROWS = 2000
+#: a batch are in memory at once, in the worker and (pooled, off the heap) in the
+#: executor's JVM, so the count is kept low.
+BATCH_ROWS = 400
 
 _SHIPPED: dict[str, str] = {}
 

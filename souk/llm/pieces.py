@@ -245,15 +245,15 @@ def codec(vocab: Vocabulary) -> Codec:
     return held(f"codec-{hash(vocab.pieces)}", lambda: Codec(vocab))
 
 
-def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and, with ``with_ids``, the
-    ids and the decoded text) of every document."""
+def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; ``with_ids`` adds
+    the ids, ``with_text`` the decoded text."""
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark)
     shared = spark.sparkContext.broadcast(Vocabulary.load(model_file))   # fixed size: the model's pieces
     kind = docs.schema["doc_id"].dataType.simpleString()
-    extra = ", ids array<int>, decoded string" if with_ids else ""
+    extra = (", ids array<int>" if with_ids else "") + (", decoded string" if with_text else "")
 
     def run(batches):
         import pyarrow as pa
@@ -268,9 +268,12 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False) -
                     pa.array([r[2] for r in rows], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                cols += [pa.array([np.fromstring(x[0], np.int32, sep=",") if x[0] else [] for x in made], pa.list_(pa.int32())),
-                         pa.array([x[1] for x in made], pa.string())]
-                names += ["ids", "decoded"]
+                ids = [np.fromstring(x[0], np.int32, sep=",") if x[0] else [] for x in made]
+                cols.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("ids")
+            if with_text:
+                cols.append(pa.array([x[1] for x in made], pa.string()))
+                names.append("decoded")
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(
