@@ -52,8 +52,8 @@ from souk.sources.staging import drop_staged, stage
 LENGTH = 200
 TRIGGER = 64
 GROUP_LIMIT = 50_000
-BLOCK = 1 << 19              # bytes parsed at a time; a longer text is parsed in blocks
-COMPARE_ROWS = 20_000        # dictionary phrases compared at a time
+BLOCK = 1 << 18              # bytes parsed at a time; a longer text is parsed in blocks
+COMPARE_ROWS = 10_000        # dictionary phrases compared at a time
 
 _RNG = np.random.default_rng(71)
 _VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
