@@ -36,7 +36,7 @@ from souk.llm.common import held, ship, small_batches
 
 SPACE = "▁"
 #: Bound of a generation of the per-worker table of finished chunks, and the longest chunk kept there.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 220_000
 CACHE_CHARS = 48
 
 
