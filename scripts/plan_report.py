@@ -4,7 +4,7 @@
 
 Automatic broadcasts are switched off (``autoBroadcastJoinThreshold=-1``) so
 the plans show the shape large inputs get; hinted broadcasts of bounded
-tables remain. Each query is run once (noop sink) so AQE's final plan is shown.
+tables remain. Each query is executed once, so the plan AQE ended with is shown.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from collections import Counter
 
 sys.path.insert(0, __file__.rsplit("/scripts/", 1)[0])
 
-from __spark_entry__ import queries  # noqa: E402
+from souk.plans.registry import QUERIES  # noqa: E402
 from souk.plans.inspect import physical_plan  # noqa: E402
 from souk.session import build_session  # noqa: E402
 
@@ -55,7 +55,7 @@ def main(argv):
           "(the shape large inputs get). Generated by `scripts/plan_report.py`.\n")
     print("| Query | Exchanges (partitioning keys) | Reused | SMJ | BHJ | Bucketed scans | Windows | Scalar subqueries | Expand |")
     print("| --- | --- | --- | --- | --- | --- | --- | --- | --- |")
-    for name, fn in queries().items():
+    for name, fn in QUERIES.items():
         s = summary(physical_plan(fn(spark, sf)))
         ex = "; ".join(f"{k} x{v}" if v > 1 else k for k, v in s["exchanges"].items()) or "none"
         ex = re.sub(r"spark_catalog\.default\.souk_[0-9a-f]+_\w+?\.", "", ex)
