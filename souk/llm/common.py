@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import zipfile
@@ -67,6 +68,10 @@ def held(key: str, make):
     """What a Python worker keeps between tasks (automata, finished words). A worker
     serves one operator after the other: only the last one's state stays."""
     if key not in _HELD:
+        import pyarrow as pa
+
         _HELD.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _HELD[key] = make()
     return _HELD[key]

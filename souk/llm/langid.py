@@ -154,15 +154,15 @@ def train(rows: list[tuple[str, str, int]], pieces: tuple[str, ...]) -> Model:
 class Scorer:
     """Word log-likelihoods of one model, kept per worker in a bounded table."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, model: Model, limit: int = CACHE_WORDS):
+        self.model, self.limit = model, limit
         self.matches = _automaton(model.pieces)
         self.p = np.exp(model.log_p)
         self.rows: dict[str, int] = {}
         self.table = np.zeros((0, len(model.languages)))
 
     def _add(self, words: list[str]) -> None:
-        if len(self.rows) + len(words) > CACHE_WORDS:
+        if len(self.rows) + len(words) > self.limit:
             self.rows.clear()
             self.table = self.table[:0]
         out = []
@@ -198,11 +198,11 @@ class Scorer:
                 flat, owner = parts, np.array(owner, np.int64)
             else:
                 owner = np.repeat(np.arange(start, k), lengths[start:k])
-            for a in range(0, len(flat), CACHE_WORDS // 2):
-                piece = flat[a:a + CACHE_WORDS // 2]
+            for a in range(0, len(flat), self.limit // 2):
+                piece = flat[a:a + self.limit // 2]
                 fresh = list(set(piece).difference(self.rows))
                 if fresh:
-                    if len(self.rows) + len(fresh) > CACHE_WORDS:
+                    if len(self.rows) + len(fresh) > self.limit:
                         self.rows.clear()
                         self.table = self.table[:0]
                         fresh = list(set(piece))
@@ -277,7 +277,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, f"{fields}, lang_pred string, score double")
 
 
-def language_of(model: Model, spark):
+def language_of(model: Model, spark, cache_words: int = CACHE_WORDS):
     """A column function: struct (lang_pred, score) of a text column."""
     ship(spark)
     small_batches(spark)
@@ -286,7 +286,7 @@ def language_of(model: Model, spark):
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(text: pd.Series) -> pd.DataFrame:
-        lang, score = held(key, lambda: Scorer(shared.value)).predict([t if isinstance(t, str) else None for t in text])
+        lang, score = held(key, lambda: Scorer(shared.value, cache_words)).predict([t if isinstance(t, str) else None for t in text])
         return pd.DataFrame({"lang_pred": lang, "score": score})
 
     return predict

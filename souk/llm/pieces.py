@@ -63,9 +63,10 @@ class Vocabulary:
 class Codec:
     """Encoder and decoder of one vocabulary (built once per Python worker)."""
 
-    def __init__(self, vocab: Vocabulary):
+    def __init__(self, vocab: Vocabulary, entries: int = CACHE_ENTRIES):
         import ahocorasick
 
+        self.entries = entries
         self.vocab = vocab
         self.id_of = {p.replace(SPACE, " "): i for i, p in enumerate(vocab.pieces) if vocab.kinds[i] == "n"}
         self.text_of = {i: p for p, i in self.id_of.items()}
@@ -89,7 +90,7 @@ class Codec:
         self.pair_ok: dict[int, bool] = {}
         self.cut = self._cutter().findall
         self.changed: dict[str, str] = {}     # chunks of the text in hand whose decoded text differs
-        self.encoded = _Table(self._encode_kept, self.changed)
+        self.encoded = _Table(self._encode_kept, self.changed, entries)
 
     def _cutter(self) -> re.Pattern:
         """Cut where no piece reaches across: before a space after a non-space,
@@ -130,7 +131,7 @@ class Codec:
         key = a * len(self.score) + b
         ok = self.pair_ok.get(key)
         if ok is None:
-            if len(self.pair_ok) >= CACHE_ENTRIES:
+            if len(self.pair_ok) >= self.entries:
                 self.pair_ok.clear()
             ok = self.pair_ok[key] = self.merge(self.text_of[a] + self.text_of[b]) == [a, b]
         return ok
@@ -224,28 +225,29 @@ class _Table(dict):
     """Results of a function for short keys (but those in ``skip``). When full, the
     table becomes the old generation; what is asked for again moves back."""
 
-    def __init__(self, make, skip):
+    def __init__(self, make, skip, entries):
         super().__init__()
-        self.make, self.skip, self.old = make, skip, {}
+        self.make, self.skip, self.entries, self.old = make, skip, entries, {}
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= CACHE_CHARS and key not in self.skip:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= self.entries:
                 self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
 
 
-def codec(vocab: Vocabulary) -> Codec:
+def codec(vocab: Vocabulary, entries: int = CACHE_ENTRIES) -> Codec:
     """The worker's codec of a vocabulary."""
-    return held(f"codec-{hash(vocab.pieces)}", lambda: Codec(vocab))
+    return held(f"codec-{entries}-{hash(vocab.pieces)}", lambda: Codec(vocab, entries))
 
 
-def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False, with_text: bool = False,
+                     cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; ``with_ids`` adds
     the ids, ``with_text`` the decoded text."""
     spark = docs.sparkSession
@@ -258,7 +260,7 @@ def encode_documents(docs: DataFrame, model_file: str, with_ids: bool = False, w
     def run(batches):
         import pyarrow as pa
 
-        c = codec(shared.value)
+        c = codec(shared.value, cache_entries)
         for batch in batches:
             made = [c.lines(t) for t in batch.column("text").to_pylist()]
             rows = [digest(*x) for x in made]

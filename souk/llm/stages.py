@@ -14,6 +14,8 @@ from souk.llm import decontaminate, langid, pieces, repeats, simhash
 from souk.llm.common import table
 
 MIN_LANGUAGE_SCORE = 0.5
+#: Finished words a worker keeps: few, as the stages share their workers and executors.
+STAGE_CACHE = 60_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs, pieces.default_model())
     if not model.languages:                      # nothing labelled: only the first rule can decide
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    guess = langid.language_of(model, spark)
+    guess = langid.language_of(model, spark, STAGE_CACHE)
     marked = docs.withColumn("__guess", guess("text"))
     kept = marked.filter((F.col("__guess.lang_pred") != langid.UNDETERMINED) & (F.col("__guess.score") >= MIN_LANGUAGE_SCORE))
     return kept.select(*docs.columns)
@@ -53,7 +55,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and digests of every document that is left."""
-    return pieces.encode_documents(docs, pieces.default_model(), with_ids=True).select(
+    return pieces.encode_documents(docs, pieces.default_model(), with_ids=True, cache_entries=STAGE_CACHE).select(
         "doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 
