@@ -7,7 +7,8 @@ Links are pairs of vectors with equal labels and cosine of at least a threshold.
 2. Nodes are put into overlapping shards: every label is cut by spherical k-means
    fitted on a bounded sample (``SAMPLE`` nodes a parent), a node enters the shards
    of its ``overlap`` nearest centroids, the nearest is its home; shards that are
-   still larger than ``SHARD_MAX`` are cut again, up to ``LEVELS`` times.
+   still larger than ``SHARD_MAX`` are cut again, up to ``LEVELS`` times. Centroids
+   that would link with each other are merged, so a dense group is not torn apart.
 3. In each shard every node gets candidate neighbours (the most similar ones and a
    few random ones), robustly pruned: a candidate goes if a kept one is closer to
    it, times ``ALPHA``, than the node itself is.
@@ -15,6 +16,11 @@ Links are pairs of vectors with equal labels and cosine of at least a threshold.
 5. Each node is searched for in its home shard, with the shard's members and
    their neighbours from elsewhere: a greedy beam search from the shard's
    medoid, then expansion of everything within range (and a little beyond).
+   A shard that centroids cannot cut below ``SHARD_MAX`` (a dense group) is cut into
+   blocks by a hash; each block has a graph of its own, and every node is searched for in
+   every block, one task a pair of blocks. Memory of a task is bounded, nothing is
+   lost, and only counts leave these tasks; their work grows with the square of the
+   group, as its links do.
 6. Every pair found is verified by its cosine in double precision. A pair within
    one home is counted there; only pairs across homes are shuffled. Components are
    first joined inside each shard, so dense groups give one row per node.
@@ -73,6 +79,15 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     return c
 
 
+def apart(centres: np.ndarray, threshold: float) -> np.ndarray:
+    """Centroids without those that are as close as a link to an earlier one."""
+    kept: list[int] = []
+    for k in range(len(centres)):
+        if not kept or (centres[kept] @ centres[k]).max() < threshold:
+            kept.append(k)
+    return centres[kept]
+
+
 def robust_prune(x: np.ndarray, p: int, candidates: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
     """Kept neighbours of node ``p``: nearest first, dropping what a kept one covers."""
     near = x[candidates]
@@ -147,15 +162,20 @@ def range_search(x: np.ndarray, adjacent: list[np.ndarray], query: np.ndarray, s
     return np.concatenate(found_ids), np.concatenate(found_sims)
 
 
+FAR, OWN, ELSEWHERE = 0, 1, 2    # how a link to a row is reported: as a pair, as a count, by another task
+
+
 def _search_shard(pdf: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
-    """Rows (kind, a, b, n): 'n' node a with n linked vectors inside its home, 'r' node a
-    joined with node b here, 'x' verified pair a < b across homes."""
-    pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
-    node, home, member = pdf["node"].to_numpy(), pdf["home"].to_numpy(bool), pdf["member"].to_numpy(bool)
-    count, x = pdf["copies"].to_numpy(), unit(pdf["vector"])
+    """Rows (kind, a, b, n): 'n' node a with n linked vectors among the task's own ones,
+    'r' node a joined with node b here, 'x' verified pair a < b across homes."""
+    pdf = pdf.sort_values(["node", "member"], kind="stable").reset_index(drop=True)
+    node, asks, member = pdf["node"].to_numpy(), pdf["asks"].to_numpy(bool), pdf["member"].to_numpy(bool)
+    count, state, x = pdf["copies"].to_numpy(), pdf["state"].to_numpy(), unit(pdf["vector"])
     place = {v: k for k, v in enumerate(node)}
     adjacent = [np.array([place[v] for v in (a if a is not None else ()) if v in place], np.int64) for a in pdf["adjacent"]]
     inside = np.nonzero(member)[0]
+    if not len(inside):
+        return pd.DataFrame([], columns=["kind", "a", "b", "n"])
     middle = x[inside].mean(axis=0)
     start = int(inside[(x[inside] @ middle).argmax()])
     stamp = np.zeros(len(node), np.int64)
@@ -167,10 +187,10 @@ def _search_shard(pdf: pd.DataFrame, threshold: float, beam: int) -> pd.DataFram
             k = root[k]
         return k
 
-    queries = np.nonzero(home)[0]
-    at_home = np.full(len(node), -1, np.int64)
-    at_home[queries] = np.arange(len(queries))
-    same = np.zeros((len(queries), len(queries)), bool)       # links inside the home, both directions
+    queries, own = np.nonzero(asks)[0], np.nonzero(state == OWN)[0]
+    at_own = np.full(len(node), -1, np.int64)
+    at_own[own] = np.arange(len(own))
+    same = np.zeros((len(queries), len(own)), bool)           # links to the task's own nodes
     across = []
     for mark, q in enumerate(queries, 1):
         ids, sims = range_search(x, adjacent, x[q], start, stamp, mark, threshold, beam)
@@ -179,13 +199,15 @@ def _search_shard(pdf: pd.DataFrame, threshold: float, beam: int) -> pd.DataFram
             a, b = find(int(q)), find(k)
             if a != b:
                 root[max(a, b)] = min(a, b)
-        same[mark - 1, at_home[ids[home[ids]]]] = True
-        across += [(int(q), k) for k in ids[~home[ids]].tolist()]
-    linked = np.zeros(len(node), np.int64)
-    weight = count[queries].astype(np.float64)
+        same[mark - 1, at_own[ids[state[ids] == OWN]]] = True
+        across += [(int(q), k) for k in ids[state[ids] == FAR].tolist()]
+    both_ways = np.array_equal(queries, own)                  # else the other direction is another task
+    weight = count[own].astype(np.float64)
+    linked = np.zeros(len(queries), np.int64)
     for a in range(0, len(queries), 1024):
-        linked[queries[a:a + 1024]] = ((same[a:a + 1024] | same[:, a:a + 1024].T) @ weight).astype(np.int64)
-    rows = [("n", int(node[q]), int(node[q]), int(linked[q])) for q in queries]
+        part = same[a:a + 1024] | same[:, a:a + 1024].T if both_ways else same[a:a + 1024]
+        linked[a:a + 1024] = (part @ weight).astype(np.int64)
+    rows = [("n", int(node[q]), int(node[q]), int(n)) for q, n in zip(queries, linked)]
     rows += [("r", int(node[k]), int(node[find(k)]), 0) for k in range(len(node)) if root[k] != k]
     rows += [("x", int(min(node[a], node[b])), int(max(node[a], node[b])), 0) for a, b in across]
     return pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
@@ -204,9 +226,10 @@ def nodes_of(rows: DataFrame) -> DataFrame:
                     F.col("embedding").alias("vector"), "copies", "name"))
 
 
-def _cut(members: DataFrame, overlap: int, level: int) -> tuple[DataFrame, bool]:
+def _cut(members: DataFrame, overlap: int, level: int, threshold: float) -> tuple[DataFrame, bool]:
     """Members of shards that are too large, put into the shards of their nearest
-    centroids. Centroids of at most PARENTS parents are broadcast at a time."""
+    centroids (left whole where fewer than two centroids stand apart). Centroids of
+    at most PARENTS parents are broadcast at a time."""
     spark = members.sparkSession
     limit = SHARD if level == 0 else SHARD_MAX
     sizes = stage(members.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("home").cast("int")).alias("homes")),
@@ -219,15 +242,17 @@ def _cut(members: DataFrame, overlap: int, level: int) -> tuple[DataFrame, bool]
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        k = int(min(FANOUT, max(2, -(-int(pdf["homes"].iloc[0]) // SHARD))))
-        c = kmeans(unit(pdf["vector"]), k)
+        k = int(min(FANOUT, max(2 * overlap, -(-int(pdf["size"].iloc[0]) // SHARD))))
+        c = apart(kmeans(unit(pdf["vector"]), k), threshold)
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "centres": [c.reshape(-1).tolist()], "k": [len(c)]})
 
-    table = stage(drawn.select("shard", "homes", "node", "vector").groupBy("shard")
-                  .applyInPandas(centres, "shard string, centres array<double>, k int"), "graph-centres")
+    table = stage(drawn.select("shard", "size", "node", "vector").groupBy("shard")
+                  .applyInPandas(centres, "shard string, centres array<double>, k int").filter("k >= 2"), "graph-centres")
+    if table.isEmpty():
+        return members, False
     table = table.withColumn("pass", F.floor((F.row_number().over(_by_shard()) - 1) / PARENTS))
     passes = (table.agg(F.max("pass")).first()[0] or 0) + 1
-    out = members.join(large.select("shard"), "shard", "left_anti").select(*members.columns)
+    out = members.join(table.select("shard"), "shard", "left_anti").select(*members.columns)
     for k in range(passes):
         rows = table.filter(F.col("pass") == k).collect()              # at most PARENTS x FANOUT centroids
         shared = spark.sparkContext.broadcast(
@@ -240,7 +265,7 @@ def _cut(members: DataFrame, overlap: int, level: int) -> tuple[DataFrame, bool]
                     c = shared.value.get(shard)
                     if c is None:
                         continue
-                    near = np.argsort(-(unit(part["vector"]) @ c.T), axis=1, kind="stable")[:, :overlap]
+                    near = np.argsort(-(unit(part["vector"]) @ c.T), axis=1, kind="stable")[:, :min(overlap, len(c) - 1)]
                     for j in range(near.shape[1]):
                         p = part.copy()
                         p["shard"] = [f"{shard}.{v}" for v in near[:, j]]
@@ -266,9 +291,18 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, overlap: int = O
     nodes = stage(nodes_of(rows), "graph-nodes")
     members = nodes.select("shard", "node", F.lit(True).alias("home"), "vector", "copies")
     for level in range(LEVELS):
-        members, more = _cut(members, overlap, level)
+        members, more = _cut(members, overlap, level, threshold)
         if not more:
             break
+    members = members.withColumn("base", F.col("shard"))
+    sizes = stage(members.groupBy("base").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > SHARD_MAX), "graph-dense")
+    dense = not sizes.isEmpty()
+    if dense:
+        members = members.join(sizes, "base", "left").withColumn(
+            "blocks", F.ceil(F.col("size") / SHARD).cast("int")).withColumn(
+            "block", F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")).withColumn(
+            "shard", F.concat_ws("#", "base", "block")).drop("size")
+        members = stage(members, "graph-blocks")
 
     def adjacency(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
@@ -281,11 +315,29 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, overlap: int = O
     both = edges.unionAll(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
     # In- and out-neighbours of a node lie in its own shards: bounded by their size.
     united = stage(both.groupBy("node").agg(F.collect_list("other").alias("adjacent")), "graph-united")
-    halo = (members.select("shard", "node").join(united, "node").select("shard", F.explode("adjacent").alias("node")).distinct()
+    place = members.select("shard", "base", "node")
+    halo = (place.join(united, "node").select("shard", "base", F.explode("adjacent").alias("node")).distinct()
             .join(members.select("shard", "node"), ["shard", "node"], "left_anti")
-            .join(nodes.select("node", "vector", "copies"), "node")
-            .select("shard", "node", F.lit(False).alias("home"), "vector", "copies", F.lit(False).alias("member")))
-    block = members.withColumn("member", F.lit(True)).select(*halo.columns).unionAll(halo).join(united, "node", "left")
+            .join(nodes.select("node", "vector", "copies"), "node"))
+    # A neighbour whose home is another block of the same shard is counted by the pair of blocks.
+    state = F.lit(FAR)
+    if dense:
+        halo = halo.join(members.filter("home and blocks is not null").select("node", "base", F.lit(ELSEWHERE).alias("at_home")),
+                         ["node", "base"], "left")
+        state = F.coalesce("at_home", F.lit(FAR))
+    cols = ["shard", "node", "vector", "copies", "member", "asks", "state"]
+    inside = F.when(F.col("home"), F.lit(OWN)).otherwise(F.lit(FAR)).alias("state")
+    no, yes = F.lit(False), F.lit(True)
+    block = (members.select("shard", "node", "vector", "copies", yes.alias("member"), F.col("home").alias("asks"), inside)
+             .unionAll(halo.select("shard", "node", "vector", "copies", no.alias("member"), no.alias("asks"), state.alias("state"))))
+    if dense:
+        # Every ordered pair of blocks: the nodes at home in one are searched for in the other.
+        parts = members.filter("blocks is not null").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        parts = parts.filter("other != block")
+        task = lambda asking, asked: F.concat_ws("#", "base", asked, asking).alias("shard")
+        block = (block.unionAll(parts.select(task("other", "block"), "node", "vector", "copies", yes, no, inside))
+                 .unionAll(parts.filter("home").select(task("block", "other"), "node", "vector", "copies", no, yes, F.lit(ELSEWHERE))))
+    block = block.select(*cols).join(united, "node", "left")
     found = stage(block.groupBy("shard").applyInPandas(
         lambda pdf: _search_shard(pdf, threshold, beam), "kind string, a bigint, b bigint, n bigint"), "graph-found")
     pairs = found.filter("kind = 'x'").select("a", "b").distinct()

@@ -55,6 +55,29 @@ def test_links_and_components(spark, monkeypatch):
     assert embed_graph.embedding_groups(docs.limit(0)).collect() == []
 
 
+def test_dense_group_in_blocks(spark, monkeypatch):
+    """A dense group larger than a shard may be: blocks, every link counted once."""
+    rng = np.random.default_rng(9)
+    centre = rng.standard_normal(16)
+    rows = [(k, (centre + rng.standard_normal(16) * 0.15).tolist(), 1) for k in range(240)]
+    rows += [(300 + k, rng.standard_normal(16).tolist(), 1) for k in range(150)]
+    rows += [(500 + k, rows[k][1], 1) for k in range(20)]                       # copies inside the group
+    monkeypatch.setattr(embed_graph, "SHARD", 40)
+    monkeypatch.setattr(embed_graph, "SHARD_MAX", 80)
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    out = {r["vec_id"]: r for r in embed_graph.embedding_groups(docs).collect()}
+    links = brute(rows)
+    degree = dict.fromkeys((r[0] for r in rows), 0)
+    for a, b in links:
+        degree[rows[a][0]] += 1
+        degree[rows[b][0]] += 1
+    assert len(links) > 10_000
+    assert all(out[v]["n_links"] <= n for v, n in degree.items())
+    assert sum(r["n_links"] for r in out.values()) >= 0.98 * sum(degree.values())
+    comp = plain_components(range(len(rows)), links)
+    assert sum(out[rows[k][0]]["component_id"] == rows[comp[k]][0] for k in range(len(rows))) >= 0.99 * len(rows)
+
+
 def test_pipeline_against_plain_python(spark, tmp_path):
     """Every stage's decisions against brute force, on a small corpus."""
     from test_decontaminate import brute as leaks
