@@ -161,7 +161,7 @@ def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     report = parts[0]
     for p in parts[1:]:
         report = report.unionByName(p)
-    return report.orderBy("table_name", "constraint_name")
+    return report
 
 
 def missing_timestamp_count(orders: DataFrame) -> DataFrame:

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 
 from souk.operators import actions, categories, cohorts, kpi, quality, rfm, sellers, semantic, states
 from souk.session import configure
-from souk.sources.testdata import adapted_tables
+from souk.sources.loader import import_report as _import_report
+from souk.sources.loader import load_tables
+from souk.sources.testdata import adapted_tables, raw_import
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +31,20 @@ def _olm(t: dict[str, DataFrame], reviews: bool = True) -> DataFrame:
                                         t["order_reviews"] if reviews else None)
 
 
+def import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1 on the raw import: rows read, kept and dropped per table."""
+    configure(spark)
+    base = raw_import(spark, sf_dir)
+    return _import_report(load_tables(spark, base, unique_reviews=False), load_tables(spark, base))
+
+
+def loaded_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1: the review that the load keeps for every reviewed order."""
+    configure(spark)
+    reviews = load_tables(spark, raw_import(spark, sf_dir))["order_reviews"]
+    return reviews.select("order_id", "review_id", F.col("review_score").cast("bigint").alias("review_score"))
+
+
 def order_level_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     olm = _olm(_tables(spark, sf_dir))
     return olm.select(
@@ -79,6 +95,19 @@ def seller_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sellers.seller_risk(t["order_items"], t["orders"], t["sellers"], t["order_reviews"])
 
 
+def seller_risk_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O9 with the optional decile and alert columns."""
+    t = _tables(spark, sf_dir)
+    return sellers.seller_risk(t["order_items"], t["orders"], t["sellers"], t["order_reviews"], with_decile=True, flags=True)
+
+
+def category_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O10 with the optional outlier column."""
+    t = _tables(spark, sf_dir)
+    return categories.category_economics(t["order_items"], t["orders"], t["products"],
+                                         t["product_category_name_translation"], t["order_reviews"], flags=True)
+
+
 def category_economics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
     return categories.category_economics(t["order_items"], t["orders"], t["products"],
@@ -111,6 +140,8 @@ def action_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "import_report": import_report,
+    "loaded_reviews": loaded_reviews,
     "order_level_metrics": order_level_metrics,
     "monthly_kpi": monthly_kpi,
     "check_constraints": check_constraints,
@@ -121,7 +152,9 @@ QUERIES: dict[str, Query] = {
     "state_service_gap": state_service_gap,
     "rfm_segments": rfm_segments,
     "seller_risk": seller_risk,
+    "seller_risk_alerts": seller_risk_alerts,
     "category_economics": category_economics,
+    "category_outliers": category_outliers,
     "repeat_rate_gap": repeat_rate_gap,
     "revenue_concentration": revenue_concentration,
     "seller_pareto": seller_pareto,

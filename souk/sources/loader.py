@@ -72,6 +72,20 @@ def normalise(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
+def import_report(raw: dict[str, DataFrame], loaded: dict[str, DataFrame]) -> DataFrame:
+    """One row per table: rows read, rows kept and rows dropped by the load (repeated
+    reviews of an order; no other table loses rows)."""
+    parts = []
+    for name in sorted(raw):
+        read, kept = (t[name].agg(F.count(F.lit(1)).alias(c)) for t, c in ((raw, "rows_read"), (loaded, "rows_kept")))
+        # Two one-row frames: a scalar each, no join.
+        parts.append(read.select(F.lit(name).alias("table_name"), "rows_read", kept.scalar().alias("rows_kept")))
+    report = parts[0]
+    for p in parts[1:]:
+        report = report.unionByName(p)
+    return report.withColumn("rows_dropped", F.col("rows_read") - F.col("rows_kept"))
+
+
 def load_tables(spark: SparkSession, base: str, fmt: str = "parquet", *,
                 paths: dict[str, str] | None = None, unique_reviews: bool = True,
                 normalise_text: bool = False) -> dict[str, DataFrame]:

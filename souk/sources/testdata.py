@@ -31,6 +31,7 @@ FREIGHT_CENTS_PER_UNIT = 12            # freight cents = qty * 12 * (brand % 8 +
 NO_PAYMENT_MODULUS = 97                # orders with key % 97 = 0 have no payments
 NO_REVIEW_MODULUS = 11                 # orders with key % 11 = 0 have no review
 UNTRANSLATED_MODULUS = 3               # brands with number % 3 = 0 lack a translation
+SECOND_REVIEW_MODULUS = 9              # reviewed orders with key % 9 = 0 come with two reviews in the raw import
 
 CENT = Decimal("0.01")
 
@@ -196,6 +197,32 @@ def adapt(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+_RAW: dict[tuple[str, str], str] = {}
+
+
+def raw_import(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the nine tables as an export would bring them, before any load rule:
+    some orders have a second review, answered (odd keys) or not (even keys). Written
+    once per application under the shared checkpoint folder."""
+    from souk.sources.sinks import save_tables
+    from souk.sources.staging import staged_path
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _RAW:
+        tables = adapt(spark, sf_dir)
+        ok = F.col("order_id").cast("bigint")
+        again = (tables["orders"].filter((ok % SECOND_REVIEW_MODULUS == 0) & (ok % NO_REVIEW_MODULUS != 0)).select(
+            F.concat(F.lit("d"), F.col("order_id")).alias("review_id"), "order_id", (1 + ok % 5).alias("review_score"),
+            F.lit(None).alias("review_comment_title"), F.lit(None).alias("review_comment_message"),
+            F.lit(None).alias("review_creation_date"),
+            F.when(ok % 2 == 1, F.col("order_purchase_timestamp")).alias("review_answer_timestamp")))
+        tables["order_reviews"] = tables["order_reviews"].unionByName(_conform(again, "order_reviews"))
+        folder = staged_path(spark, "raw-import")
+        save_tables(tables, folder)
+        _RAW[key] = folder
+    return _RAW[key]
+
+
 _LOADED: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 # Bucketing key per table: the order-grain tables share ``order_id`` so their
