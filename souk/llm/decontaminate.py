@@ -45,6 +45,7 @@ EDITS = 0.2
 WALKS, TABLES, SAMPLES = 12, 6, 2
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 BATCH_WORDS = 1_000_000
+CELLS = 4_000_000            # cells of embeddings in memory at a time (one window at least)
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -94,6 +95,16 @@ def embed(line: np.ndarray, start: np.ndarray, size: np.ndarray, walk: int, long
     return out
 
 
+def in_parts(size: np.ndarray):
+    """Places in order of size, in parts whose embeddings together have at most CELLS cells."""
+    order, a = np.argsort(size, kind="stable"), 0
+    while a < len(order):
+        near = order[a:a + 4096]
+        b = a + max(1, int(np.searchsorted(np.arange(1, len(near) + 1) * 3 * size[near], CELLS, "right")))
+        yield order[a:b]
+        a = b
+
+
 @dataclass
 class Items:
     """A block of items, prepared once per worker."""
@@ -133,11 +144,19 @@ class Items:
         longest = int(self.size.max(initial=0))
         self.keys = []
         for walk in range(WALKS if longest else 0):
-            e = embed(self.line, self.begin, self.size, walk, longest)
             places = (rng.random((len(self.size), TABLES, SAMPLES)) * (2 * self.size)[:, None, None]).astype(np.int64)
-            self.keys.append((places, np.take_along_axis(e, places.reshape(len(e), -1), axis=1).reshape(places.shape)))
+            symbols = np.full(places.shape, -1, np.int64)
+            for k in in_parts(self.size):
+                symbols[k] = self.sampled(self.line, self.begin[k], k, places, walk)
+            self.keys.append((places, symbols))
         return self
 
+    def sampled(self, line: np.ndarray, start: np.ndarray, item: np.ndarray, places: np.ndarray, walk: int) -> np.ndarray:
+        """The items' sampled places of the embeddings of windows of their sizes."""
+        e = embed(line, start, self.size[item], walk, max(1, int(self.size[item].max())))
+        p = places[item].reshape(len(item), -1)
+        return np.take_along_axis(e, p, axis=1).reshape(-1, TABLES, SAMPLES)
+
     def codes(self, line: np.ndarray, q: int) -> np.ndarray:
         n = len(line) - q + 1
         if n <= 0:
@@ -182,16 +201,11 @@ class Items:
         both sides for windows that begin before or end after a text."""
         found = np.zeros(len(item), bool)
         for walk, (places, symbols) in enumerate(self.keys):
-            for a in range(0, len(item), 4096):
-                left = a + np.nonzero(~found[a:a + 4096])[0]
-                if not len(left):
-                    continue
-                k = item[left]
-                size = self.size[k]
-                e = embed(line, start[left], size, walk, int(size.max()))
-                p = places[k].reshape(len(k), -1)
-                got = np.take_along_axis(e, np.minimum(p, e.shape[1] - 1), axis=1).reshape(-1, TABLES, SAMPLES)
-                found[left] = (got == symbols[k]).all(axis=2).any(axis=1)
+            left = np.nonzero(~found)[0]
+            for part in in_parts(self.size[item[left]]):
+                w = left[part]
+                got = self.sampled(line, start[w], item[w], places, walk)
+                found[w] = (got == symbols[item[w]]).all(axis=2).any(axis=1)
         return found
 
     def matches(self, texts: list[str | None]) -> list[list[int]]:
@@ -201,7 +215,7 @@ class Items:
         k = 0
         while k < len(texts) and len(self.line):
             first, parts, sizes = k, [], []
-            while k < len(texts) and sum(sizes) < BATCH_WORDS:
+            while k < len(texts) and sum(sizes) + room * len(sizes) < BATCH_WORDS:
                 w = words_of(texts[k])
                 parts.append(np.fromiter(map(self.number.__getitem__, w), np.int64, len(w)))
                 sizes.append(len(w))

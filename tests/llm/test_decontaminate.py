@@ -82,3 +82,17 @@ def test_empty_tables(spark):
     assert [r["contaminated"] for r in dc.contaminated(docs, none).collect()] == [False]
     items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert dc.contaminated(docs.limit(0), items).collect() == []
+
+
+def test_very_long_item_beside_short_ones(monkeypatch):
+    """An item of thousands of words is embedded in bounded parts, with the same results."""
+    rng = random.Random(12)
+    vocab = [f"w{k}" for k in range(900)]
+    items = [[rng.choice(vocab) for _ in range(n)] for n in (4000, 30, 30, 12, 60)]
+    texts = [" ".join(edited(rng, items[0], 200, vocab)), " ".join(rng.choice(vocab) for _ in range(300)), None,
+             *(" ".join(["x", "y", *edited(rng, it, 2, vocab), "z"]) for it in items[1:])]
+    block = dc.Items(list(range(5)), [" ".join(x) for x in items])
+    want = [[0], [], [], [1], [2], [3], [4]]
+    assert [sorted(m) for m in block.prepare().matches(texts)] == want
+    monkeypatch.setattr(dc, "CELLS", 1_000)                 # one or a few windows a part
+    assert [sorted(m) for m in block.prepare().matches(texts)] == want
