@@ -8,7 +8,9 @@ Links are pairs of vectors with equal labels and cosine of at least a threshold.
    fitted on a bounded sample (``SAMPLE`` nodes a parent), a node enters the shards
    of its ``overlap`` nearest centroids, the nearest is its home; shards that are
    still larger than ``SHARD_MAX`` are cut again, up to ``LEVELS`` times. Centroids
-   that would link with each other are merged, so a dense group is not torn apart.
+   that would link with each other are merged, so a dense group is not torn apart;
+   a parent with no more than ``overlap`` centroids left stays whole, as its nodes
+   could only be parted without overlap.
 3. In each shard every node gets candidate neighbours (the most similar ones and a
    few random ones), robustly pruned: a candidate goes if a kept one is closer to
    it, times ``ALPHA``, than the node itself is.
@@ -227,9 +229,10 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 
 
 def _cut(members: DataFrame, overlap: int, level: int, threshold: float) -> tuple[DataFrame, bool]:
-    """Members of shards that are too large, put into the shards of their nearest
-    centroids (left whole where fewer than two centroids stand apart). Centroids of
-    at most PARENTS parents are broadcast at a time."""
+    """Members of shards that are too large, put into the shards of their ``overlap``
+    nearest centroids (left whole where no more than these stand apart: every node would
+    enter every shard, or the shards would share no node). Centroids of at most PARENTS
+    parents are broadcast at a time."""
     spark = members.sparkSession
     limit = SHARD if level == 0 else SHARD_MAX
     sizes = stage(members.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("home").cast("int")).alias("homes")),
@@ -247,7 +250,7 @@ def _cut(members: DataFrame, overlap: int, level: int, threshold: float) -> tupl
         return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "centres": [c.reshape(-1).tolist()], "k": [len(c)]})
 
     table = stage(drawn.select("shard", "size", "node", "vector").groupBy("shard")
-                  .applyInPandas(centres, "shard string, centres array<double>, k int").filter("k >= 2"), "graph-centres")
+                  .applyInPandas(centres, "shard string, centres array<double>, k int").filter(F.col("k") > overlap), "graph-centres")
     if table.isEmpty():
         return members, False
     table = table.withColumn("pass", F.floor((F.row_number().over(_by_shard()) - 1) / PARENTS))
@@ -265,7 +268,7 @@ def _cut(members: DataFrame, overlap: int, level: int, threshold: float) -> tupl
                     c = shared.value.get(shard)
                     if c is None:
                         continue
-                    near = np.argsort(-(unit(part["vector"]) @ c.T), axis=1, kind="stable")[:, :min(overlap, len(c) - 1)]
+                    near = np.argsort(-(unit(part["vector"]) @ c.T), axis=1, kind="stable")[:, :overlap]
                     for j in range(near.shape[1]):
                         p = part.copy()
                         p["shard"] = [f"{shard}.{v}" for v in near[:, j]]

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import sentencepiece
 
 import corpus_pipeline
@@ -78,6 +79,24 @@ def test_dense_group_in_blocks(spark, monkeypatch):
     assert sum(out[rows[k][0]]["component_id"] == rows[comp[k]][0] for k in range(len(rows))) >= 0.99 * len(rows)
 
 
+@pytest.mark.parametrize("most", [1000, 100])
+def test_elongated_group_is_not_parted_without_overlap(spark, monkeypatch, most):
+    """A dense arc of 40 degrees, larger than a shard: two centroids stand apart on it.
+    It stays one shard, or (above SHARD_MAX) becomes blocks; no link across a cut is lost."""
+    rng = np.random.default_rng(6)
+    angle = np.radians(rng.random(320) * 40)
+    arc = np.zeros((320, 16))
+    arc[:, 0], arc[:, 1] = np.cos(angle), np.sin(angle)
+    arc += rng.standard_normal(arc.shape) * 0.005
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(arc)]
+    monkeypatch.setattr(embed_graph, "SHARD", 60)
+    monkeypatch.setattr(embed_graph, "SHARD_MAX", most)
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    _, classes = embed_graph.link_vectors(docs)
+    found, links = sum(r["n_links"] for r in classes.collect()), len(brute(rows))
+    assert links > 10_000 and 0.98 * 2 * links <= found <= 2 * links, (found, links)
+
+
 def test_pipeline_against_plain_python(spark, tmp_path):
     """Every stage's decisions against brute force, on a small corpus."""
     from test_decontaminate import brute as leaks
