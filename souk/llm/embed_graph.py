@@ -26,8 +26,11 @@ Links are pairs of vectors with equal labels and cosine of at least a threshold.
 6. Every pair found is verified by its cosine in double precision. A pair within
    one home is counted there; only pairs across homes are shuffled. Components are
    first joined inside each shard, so dense groups give one row per node.
-7. ``recall`` compares a bounded sample of nodes with all nodes by brute force;
-   below ``RECALL_GOAL`` the search is repeated with more overlap and a wider beam.
+7. ``recall`` compares a sample of nodes with all nodes by brute force: links between
+   different nodes only, averaged over nodes that have one, over all and in every label
+   that the sample meets often enough. Below ``RECALL_GOAL`` the search is repeated with
+   more overlap and a wider beam; labels that are still short after the last repeat are
+   compared exactly, block by block (``compare_all``).
 
 Cases: null, empty, zero or non-finite vectors and null labels link with nothing
 and stand alone; vectors of different lengths do not link; vec_id may repeat or
@@ -56,7 +59,10 @@ OVERLAP = 2
 DEGREE, NEAREST, RANDOM, ALPHA = 24, 48, 12, 1.2
 BEAM = 40
 SLACK = 0.06                 # nodes this far below the threshold are still expanded
-AUDIT = 200                  # nodes of the recall audit
+AUDIT = 200                  # nodes of the recall audit's first draw
+AUDIT_LINKED = 100           # nodes with a true link that it wants to see; it draws more until then
+AUDIT_MOST = 6_400           # nodes drawn, at most
+AUDIT_PART = 20              # nodes with a true link from which on a label is judged alone
 RECALL_GOAL = 0.95
 PARENTS = 512                # parents cut in one pass: bounds the broadcast centroids
 
@@ -164,12 +170,13 @@ def range_search(x: np.ndarray, adjacent: list[np.ndarray], query: np.ndarray, s
     return np.concatenate(found_ids), np.concatenate(found_sims)
 
 
+FOUND = "kind string, a bigint, b bigint, n bigint, m bigint"
 FAR, OWN, ELSEWHERE = 0, 1, 2    # how a link to a row is reported: as a pair, as a count, by another task
 
 
 def _search_shard(pdf: pd.DataFrame, threshold: float, beam: int) -> pd.DataFrame:
-    """Rows (kind, a, b, n): 'n' node a with n linked vectors among the task's own ones,
-    'r' node a joined with node b here, 'x' verified pair a < b across homes."""
+    """Rows (kind, a, b, n, m): 'n' node a with n linked vectors (m different ones) among the
+    task's own ones, 'r' node a joined with node b here, 'x' verified pair a < b across homes."""
     pdf = pdf.sort_values(["node", "member"], kind="stable").reset_index(drop=True)
     node, asks, member = pdf["node"].to_numpy(), pdf["asks"].to_numpy(bool), pdf["member"].to_numpy(bool)
     count, state, x = pdf["copies"].to_numpy(), pdf["state"].to_numpy(), unit(pdf["vector"])
@@ -177,7 +184,7 @@ def _search_shard(pdf: pd.DataFrame, threshold: float, beam: int) -> pd.DataFram
     adjacent = [np.array([place[v] for v in (a if a is not None else ()) if v in place], np.int64) for a in pdf["adjacent"]]
     inside = np.nonzero(member)[0]
     if not len(inside):
-        return pd.DataFrame([], columns=["kind", "a", "b", "n"])
+        return pd.DataFrame([], columns=["kind", "a", "b", "n", "m"])
     middle = x[inside].mean(axis=0)
     start = int(inside[(x[inside] @ middle).argmax()])
     stamp = np.zeros(len(node), np.int64)
@@ -205,14 +212,51 @@ def _search_shard(pdf: pd.DataFrame, threshold: float, beam: int) -> pd.DataFram
         across += [(int(q), k) for k in ids[state[ids] == FAR].tolist()]
     both_ways = np.array_equal(queries, own)                  # else the other direction is another task
     weight = count[own].astype(np.float64)
-    linked = np.zeros(len(queries), np.int64)
+    linked, others = np.zeros(len(queries), np.int64), np.zeros(len(queries), np.int64)
     for a in range(0, len(queries), 1024):
         part = same[a:a + 1024] | same[:, a:a + 1024].T if both_ways else same[a:a + 1024]
         linked[a:a + 1024] = (part @ weight).astype(np.int64)
-    rows = [("n", int(node[q]), int(node[q]), int(n)) for q, n in zip(queries, linked)]
-    rows += [("r", int(node[k]), int(node[find(k)]), 0) for k in range(len(node)) if root[k] != k]
-    rows += [("x", int(min(node[a], node[b])), int(max(node[a], node[b])), 0) for a, b in across]
-    return pd.DataFrame(rows, columns=["kind", "a", "b", "n"])
+        others[a:a + 1024] = part.sum(axis=1)
+    rows = [("n", int(node[q]), int(node[q]), int(n), int(m)) for q, n, m in zip(queries, linked, others)]
+    rows += [("r", int(node[k]), int(node[find(k)]), 0, 0) for k in range(len(node)) if root[k] != k]
+    rows += [("x", int(min(node[a], node[b])), int(max(node[a], node[b])), 0, 0) for a, b in across]
+    return pd.DataFrame(rows, columns=["kind", "a", "b", "n", "m"])
+
+
+def _compare_blocks(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Rows like those of :func:`_search_shard` from all cosines of a pair of blocks (or of a
+    block with itself)."""
+    pdf = pdf.sort_values(["second", "node"], kind="stable")
+    node, count, x = pdf["node"].to_numpy(), pdf["copies"].to_numpy(), unit(pdf["vector"])
+    edge = int((~pdf["second"].to_numpy(bool)).sum())
+    alone = edge == len(node)
+    right = slice(0, edge) if alone else slice(edge, len(node))
+    linked, others, root = np.zeros(len(node), np.int64), np.zeros(len(node), np.int64), np.arange(len(node))
+
+    def find(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for a in range(0, edge, 256):
+        b = min(a + 256, edge)
+        hit = x[a:b] @ x[right].T >= threshold
+        if alone:
+            hit[np.arange(b - a), np.arange(a, b)] = False
+        linked[a:b] += hit @ count[right]
+        others[a:b] += hit.sum(axis=1)
+        if not alone:
+            linked[right] += count[a:b] @ hit
+            others[right] += hit.sum(axis=0)
+        for k in range(a, b):
+            for j in (np.nonzero(hit[k - a])[0] + right.start).tolist():
+                p, q = find(k), find(j)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+    rows = [("n", int(v), int(v), int(n), int(m)) for v, n, m in zip(node, linked, others) if m]
+    rows += [("r", int(node[k]), int(node[find(k)]), 0, 0) for k in range(len(node)) if root[k] != k]
+    return pd.DataFrame(rows, columns=["kind", "a", "b", "n", "m"])
 
 
 # -- Spark -----------------------------------------------------------------------
@@ -288,7 +332,7 @@ def _by_shard():
 
 
 def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, beam: int = BEAM) -> tuple[DataFrame, DataFrame]:
-    """(nodes, classes): distinct vectors, and node, n_links, root for each."""
+    """(nodes, classes): distinct vectors, and node, n_links, n_others (linked nodes), root for each."""
     spark = rows.sparkSession
     ship(spark)
     nodes = stage(nodes_of(rows), "graph-nodes")
@@ -342,34 +386,69 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, overlap: int = O
                  .unionAll(parts.filter("home").select(task("block", "other"), "node", "vector", "copies", no, yes, F.lit(ELSEWHERE))))
     block = block.select(*cols).join(united, "node", "left")
     found = stage(block.groupBy("shard").applyInPandas(
-        lambda pdf: _search_shard(pdf, threshold, beam), "kind string, a bigint, b bigint, n bigint"), "graph-found")
+        lambda pdf: _search_shard(pdf, threshold, beam), FOUND), "graph-found")
+    classes = _classes(nodes, found)
+    drop_staged(edges, united, found)
+    return nodes, classes
+
+
+def compare_all(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Classes of ``nodes`` from the cosines of all pairs of equal label: hash blocks of about
+    SHARD nodes, one task a pair of blocks, so a task's memory is bounded and only counts leave
+    it. Work grows with the square of a label."""
+    sizes = nodes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("blocks"))
+    placed = nodes.select("shard", "node", "vector", "copies").join(sizes, "shard").withColumn(
+        "block", F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = placed.select(F.concat_ws("#", "shard", F.least("block", "other"), F.greatest("block", "other")).alias("pair"),
+                         "node", "vector", "copies", (F.col("block") > F.col("other")).alias("second"))
+    found = stage(pair.groupBy("pair").applyInPandas(lambda pdf: _compare_blocks(pdf, threshold), FOUND), "graph-compared")
+    classes = _classes(nodes, found)
+    drop_staged(found)
+    return classes
+
+
+def _classes(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """node, name, n_links, n_others, root from the rows of the searches."""
     pairs = found.filter("kind = 'x'").select("a", "b").distinct()
     copies = nodes.select("node", "copies")
     far = (pairs.join(copies, pairs["b"] == copies["node"]).select(F.col("a").alias("node"), "copies")
            .unionAll(pairs.join(copies, pairs["a"] == copies["node"]).select(F.col("b").alias("node"), "copies"))
-           .groupBy("node").agg(F.sum("copies").alias("far")))
-    near = found.filter("kind = 'n'").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("near"))
+           .groupBy("node").agg(F.sum("copies").alias("far"), F.count(F.lit(1)).alias("far_nodes")))
+    near = found.filter("kind = 'n'").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("near"), F.sum("m").alias("near_nodes"))
     joined = components(found.filter("kind = 'r'").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     named = (nodes.select("node", "copies", "name").join(near, "node", "left").join(far, "node", "left").join(joined, "node", "left")
              .select("node", "name", (F.coalesce("near", F.lit(0)) + F.coalesce("far", F.lit(0)) + F.col("copies") - 1)
-                     .cast("bigint").alias("n_links"), F.coalesce("component", "node").alias("root")))
-    classes = stage(named, "graph-classes")
-    drop_staged(edges, united, found)
-    return nodes, classes
-
-
-def recall(nodes: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT) -> float:
-    """Share of the true links of a bounded sample of nodes that were found (verified
-    links only are counted, so found links are a part of the true ones)."""
-    total = nodes.count()
-    if not total:
-        return 1.0
-    draw = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / total)) + 1
-    picked = nodes.filter(draw).limit(4 * sample).select("node", F.col("shard").alias("part"), "vector").collect()
-    if not picked:
-        return 1.0
+                     .cast("bigint").alias("n_links"),
+                     (F.coalesce("near_nodes", F.lit(0)) + F.coalesce("far_nodes", F.lit(0))).cast("bigint").alias("n_others"),
+                     F.coalesce("component", "node").alias("root")))
+    return stage(named, "graph-classes")
+
+
+def recall(nodes: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, sample: int = AUDIT) -> tuple[float, list[str]]:
+    """The found share of the true links of a node with other nodes (copies count for
+    nothing), averaged over drawn nodes that have one, and the labels found short: those below
+    RECALL_GOAL, judged alone where AUDIT_PART such nodes were seen, else if the average is
+    below it. ``sample`` nodes are drawn, then more until AUDIT_LINKED with a link are seen, all
+    nodes are drawn or AUDIT_MOST are."""
+    total, drawn, seen = nodes.count(), 0, {}
+    place = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 40)) / float(1 << 40)
+    while drawn < min(total, AUDIT_MOST) and sum(len(v) for v in seen.values()) < AUDIT_LINKED:
+        more = max(sample, 3 * drawn)
+        few = nodes.filter((place >= drawn / total) & (place < (drawn + more) / total))
+        for part, share in _shares(few, nodes, classes, threshold):
+            seen.setdefault(part, []).append(share)
+        drawn += more
+    if not seen:
+        return 1.0, []
+    mean = float(np.mean([x for v in seen.values() for x in v]))
+    return mean, sorted(p for p, v in seen.items() if np.mean(v) < RECALL_GOAL and (mean < RECALL_GOAL or len(v) >= AUDIT_PART))
+
+
+def _shares(few: DataFrame, nodes: DataFrame, classes: DataFrame, threshold: float) -> list[tuple[str, float]]:
+    """(label, found share of the true links) of those of ``few`` nodes that have any."""
     by_part: dict[str, list] = {}
-    for r in picked:
+    for r in few.select("node", F.col("shard").alias("part"), "vector").collect():
         by_part.setdefault(r["part"], []).append(r)
     shared = nodes.sparkSession.sparkContext.broadcast(
         {p: (np.array([r["node"] for r in rs]), unit([r["vector"] for r in rs])) for p, rs in by_part.items()})
@@ -379,13 +458,15 @@ def recall(nodes: DataFrame, classes: DataFrame, threshold: float = THRESHOLD, s
             for part, own in pdf.groupby("shard"):
                 if part in shared.value:
                     ids, x = shared.value[part]
-                    hit = (x @ unit(own["vector"]).T >= threshold) @ own["copies"].to_numpy()
-                    yield pd.DataFrame({"node": ids, "n": hit.astype(np.int64)})
+                    y, other = unit(own["vector"]).T, own["node"].to_numpy()
+                    hit = [((x[a:a + 256] @ y >= threshold) & (ids[a:a + 256, None] != other)).sum(axis=1)
+                           for a in range(0, len(ids), 256)]
+                    yield pd.DataFrame({"part": part, "node": ids, "n": np.concatenate(hit)})
 
-    true = (nodes.select("shard", "vector", "copies").mapInPandas(compare, "node bigint, n bigint")
-            .groupBy("node").agg((F.sum("n") - 1).alias("true")))
-    got = true.join(classes, "node").agg(F.sum("true"), F.sum(F.least("n_links", "true"))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    true = (nodes.select("shard", "node", "vector").mapInPandas(compare, "part string, node bigint, n bigint")
+            .groupBy("part", "node").agg(F.sum("n").alias("links")).filter("links > 0"))
+    share = F.least("n_others", "links") / F.col("links")
+    return [(r["part"], r["share"]) for r in true.join(classes, "node").select("part", share.alias("share")).collect()]
 
 
 def embedding_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -393,7 +474,13 @@ def embedding_groups(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame
     overlap, beam = OVERLAP, BEAM
     while True:
         nodes, classes = link_vectors(rows, threshold, overlap, beam)
-        if recall(nodes, classes, threshold) >= RECALL_GOAL or overlap >= 4 * OVERLAP:
+        short = recall(nodes, classes, threshold)[1]
+        if not short:
+            break
+        if overlap >= 4 * OVERLAP:
+            failing = nodes.filter(F.col("shard").isin(short))
+            classes = classes.join(failing.select("node"), "node", "left_anti").select(*classes.columns).unionAll(
+                compare_all(failing, threshold).select(*classes.columns))
             break
         overlap, beam = 2 * overlap, 2 * beam
     least = classes.groupBy("root").agg(F.min("name").alias("component_id"))

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
@@ -97,6 +98,39 @@ def test_elongated_group_is_not_parted_without_overlap(spark, monkeypatch, most)
     assert links > 10_000 and 0.98 * 2 * links <= found <= 2 * links, (found, links)
 
 
+def test_short_search_is_seen_and_made_whole(spark, monkeypatch):
+    """A search that finds exact copies only: copies do not hide it from the audit, nor do
+    many nodes without a link, and the labels it fails are compared exactly."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for k in range(40):                                            # pairs with many copies, and a chain
+        base = rng.standard_normal(24)
+        rows += [(100 * k + c, base.tolist(), 1) for c in range(30)]
+        rows.append((100 * k + 50, (base + rng.standard_normal(24) * 0.1).tolist(), 1))
+    rows += [(5000 + k, (np.array(rows[0][1]) + 0.15 * k).tolist(), 1) for k in range(1, 8)]
+    rows += [(6000 + k, rng.standard_normal(24).tolist(), 2) for k in range(900)]
+    real = embed_graph.link_vectors
+
+    def copies_only(rows, *more):
+        nodes, classes = real(rows, *more)
+        alone = nodes.select("node", "name", (F.col("copies") - 1).alias("n_links"), F.lit(0).cast("bigint").alias("n_others"),
+                             F.col("node").alias("root"))
+        return nodes, alone
+
+    monkeypatch.setattr(embed_graph, "link_vectors", copies_only)
+    monkeypatch.setattr(embed_graph, "SHARD", 30)                  # several blocks
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    out = {r["vec_id"]: r for r in embed_graph.embedding_groups(docs).collect()}
+    links = brute(rows)
+    degree = dict.fromkeys((r[0] for r in rows), 0)
+    for a, b in links:
+        degree[rows[a][0]] += 1
+        degree[rows[b][0]] += 1
+    comp = plain_components(range(len(rows)), links)
+    assert {v: r["n_links"] for v, r in out.items()} == degree
+    assert all(out[rows[k][0]]["component_id"] == rows[comp[k]][0] for k in range(len(rows)))
+
+
 def test_pipeline_against_plain_python(spark, tmp_path):
     """Every stage's decisions against brute force, on a small corpus."""
     from test_decontaminate import brute as leaks
