@@ -13,10 +13,13 @@ which is a probability distribution over the V counted tokens and one unseen one
 
 The model is a GRU with a class-factored softmax (words are binned by the square
 root of their frequency; P = P(class) * P(word | class)), trained in numpy by
-truncated backpropagation with Adam over a bounded sample of the training rows
-(``SAMPLE_DOCS`` in expectation, at most ``SAMPLE_TOKENS`` tokens). A document starts
-with a zero state and the end mark as input; scoring carries the state from
-window to window through the whole document, many documents in step.
+truncated backpropagation with Adam over *all* training rows: they are dealt into
+``ROUNDS`` rounds, in a round every task trains a copy of the model on all tokens of
+its rows, and the copies are averaged by their tokens (:func:`train_all`). A start for
+the first round is trained on the driver (``SAMPLE_DOCS`` texts in expectation, of each
+at most ``SAMPLE_CHARS`` characters, ``SAMPLE_TOKENS`` tokens in all). A document starts
+with a zero state and the end mark as input, however long it is; scoring carries the
+state from window to window through the whole document, many documents in step.
 
 Counts of the ``HEAD`` most frequent tokens travel with the model (a fixed bound);
 every other token of every document is joined with the full table of counts,
@@ -46,10 +49,16 @@ VOCABULARY = 2048
 HEAD = 150_000
 SAMPLE_DOCS = 800
 SAMPLE_TOKENS = 400_000
+SAMPLE_CHARS = 20_000        # characters of one text that the driver's start takes
 HIDDEN = 16
 CLASSES = 40
 EPOCHS = 3
 STREAMS, WINDOW = 32, 24     # truncated backpropagation: parallel streams, steps per window
+ROUNDS = 2                   # every training row is in one round; models are averaged after each
+TASK_STREAMS = 256           # parallel streams in a task
+TASK_TOKENS = 500_000        # tokens (whole documents) laid out at a time in a task
+TASK_RATE = 0.004            # of Adam, in the first round; falls to half of it in the last
+MODELS = 32                  # models averaged in one step
 GROUP_TOKENS, GROUP_DOCS = 3_000_000, 20_000
 FLUSH = 400_000              # distinct tokens counted in a task before they are handed on
 
@@ -185,10 +194,68 @@ def _gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, e
         d_recur += before.T @ into
         later = (dh * z + into @ m.recur.T) * (inputs[t] != end)[:, None]
         d_in[t] = np.concatenate([daz, dar, dan], axis=1)
-    np.add.at(d_embed, inputs.reshape(-1), d_in.reshape(-1, 3 * hid))
+    order = np.argsort(inputs.reshape(-1), kind="stable")
+    met, edge = np.unique(inputs.reshape(-1)[order], return_index=True)
+    d_embed[met] = np.add.reduceat(d_in.reshape(-1, 3 * hid)[order], edge, axis=0)
     return grads, h, loss / len(goal)
 
 
+class Adam:
+    """Steps on a model's arrays, in place."""
+
+    def __init__(self, m: Gru):
+        self.arrays, self.done = m.arrays(), 0
+        self.first, self.second = [np.zeros_like(a) for a in self.arrays], [np.zeros_like(a) for a in self.arrays]
+
+    def step(self, grads: list[np.ndarray], rate: float) -> None:
+        norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+        self.done += 1
+        for p, g, u, v in zip(self.arrays, grads, self.first, self.second):
+            if norm > 1.0:
+                g /= np.float32(norm)
+            u *= 0.9
+            u += 0.1 * g
+            v *= 0.99
+            v += 0.01 * g * g
+            p -= (rate / (1 - 0.9 ** self.done)) * u / (np.sqrt(v / (1 - 0.99 ** self.done)) + 1e-8)
+
+
+class Trainer:
+    """Trains a model (in place) on every token of the documents added to it. About
+    ``most`` tokens at a time are laid out in parallel streams; what does not fill all streams waits
+    for the next documents, or is one stream of its own at the end."""
+
+    def __init__(self, m: Gru, end: int, rate: float, streams: int = TASK_STREAMS, window: int = WINDOW, most: int = TASK_TOKENS):
+        self.m, self.end, self.rate, self.streams, self.window, self.most = m, end, rate, streams, window, most
+        self.adam, self.docs, self.size, self.tokens = Adam(m), [], 0, 0
+        self.rest = np.array([end], np.int64)                 # the last input, and targets that wait
+
+    def add(self, doc: np.ndarray) -> None:
+        self.docs.append(doc)
+        self.size += len(doc)
+        if self.size >= self.most:
+            self.flush()
+
+    def flush(self) -> None:
+        line, total = np.concatenate([self.rest, *self.docs]), self.size + len(self.rest) - 1
+        streams = max(1, min(self.streams, total // (64 * self.window)))      # few tokens: rather more steps
+        n = total // streams
+        self._run(line[:n * streams].reshape(streams, n).T, line[1:n * streams + 1].reshape(streams, n).T)
+        self.rest, self.docs, self.size = line[n * streams:], [], 0
+
+    def finish(self) -> None:
+        self.flush()
+        self._run(self.rest[:-1, None], self.rest[1:, None])
+        self.rest = self.rest[-1:]
+
+    def _run(self, inputs: np.ndarray, targets: np.ndarray) -> None:
+        h = np.zeros((inputs.shape[1], self.m.hidden), np.float32)
+        for a in range(0, len(inputs), self.window):
+            grads, h, _ = _gradients(self.m, inputs[a:a + self.window], targets[a:a + self.window], h, self.end)
+            self.adam.step(grads, self.rate)
+        self.tokens += targets.size
+
+
 def train(docs: list[np.ndarray], counts: np.ndarray, end: int, *, hidden: int = HIDDEN, classes: int = CLASSES,
           epochs: int = EPOCHS, streams: int = STREAMS, window: int = WINDOW, rate: float = 0.01, seed: int = 5) -> Gru:
     """A model from documents of word numbers, each ending with ``end``. The sample is
@@ -197,11 +264,10 @@ def train(docs: list[np.ndarray], counts: np.ndarray, end: int, *, hidden: int =
     if not docs:
         return m
     rng = np.random.default_rng(seed)
-    first, second = [np.zeros_like(a) for a in m.arrays()], [np.zeros_like(a) for a in m.arrays()]
+    adam = Adam(m)
     total = sum(map(len, docs))
     streams = max(1, min(streams, total // (2 * window)))
     updates = max(1, epochs * (total // (streams * window)))
-    done = 0
     for _ in range(epochs):
         line = np.concatenate([[end], *(docs[k] for k in rng.permutation(len(docs)))])
         n = (len(line) - 1) // streams
@@ -212,17 +278,7 @@ def train(docs: list[np.ndarray], counts: np.ndarray, end: int, *, hidden: int =
         h = np.zeros((streams, hidden), np.float32)
         for a in range(0, n, window):
             grads, h, _ = _gradients(m, inputs[a:a + window], targets[a:a + window], h, end)
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-            done += 1
-            step = rate * max(0.05, 1.0 - done / updates)
-            for p, g, u, v in zip(m.arrays(), grads, first, second):
-                if norm > 1.0:
-                    g /= np.float32(norm)
-                u *= 0.9
-                u += 0.1 * g
-                v *= 0.99
-                v += 0.01 * g * g
-                p -= (step / (1 - 0.9 ** done)) * u / (np.sqrt(v / (1 - 0.99 ** done)) + 1e-8)
+            adam.step(grads, rate * max(0.05, 1.0 - (adam.done + 1) / updates))
     return m
 
 
@@ -316,6 +372,7 @@ class Scorer:
     head_counts: np.ndarray
     n: int
     v: int
+    trained: int = 0             # tokens that the model was trained on, over all rounds
 
     def prepare(self) -> Scorer:
         class Numbers(dict):
@@ -351,6 +408,64 @@ class Scorer:
         return out
 
 
+MODEL = "params binary, n bigint"
+
+
+def train_all(rows: DataFrame, model: Gru, at: dict[str, int], rounds: int = ROUNDS, rate: float = TASK_RATE) -> tuple[Gru, int]:
+    """The model after training on all tokens of ``rows``, and their number. Each row is in one
+    of the rounds; in a round every task goes on from the broadcast model over its rows."""
+    spark = rows.sparkSession
+    ship(spark)
+    small_batches(spark)
+    total = 0
+    for k in range(rounds):
+        shared = spark.sparkContext.broadcast((model, at))               # bounded by VOCABULARY and HIDDEN
+
+        def run(batches, shared=shared, rate=rate * (1.0 - 0.5 * k / max(1, rounds - 1))):
+            import pyarrow as pa
+
+            start, number = shared.value
+            own = Trainer(Gru(*(a.copy() for a in start.arrays()), start.cuts), number[END], rate)
+            for batch in batches:
+                for text in batch.column("text").to_pylist():
+                    own.add(np.array([number.get(w, 0) for w in tokens(text)], np.int64))
+            own.finish()
+            if own.tokens:
+                flat = np.concatenate([a.reshape(-1) for a in own.m.arrays()]).astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([own.tokens], pa.int64())],
+                                                 names=["params", "n"])
+
+        mine = F.pmod(F.xxhash64("doc_id", "text", F.lit("round")), F.lit(rounds)) == k
+        flat, n = _average(stage(rows.filter(mine).select("text").mapInArrow(run, MODEL), "lm-models"))
+        if n:
+            cut = np.cumsum([a.size for a in model.arrays()])[:-1]
+            model = Gru(*(x.reshape(a.shape) for x, a in zip(np.split(flat, cut), model.arrays())), model.cuts)
+            total += n
+        shared.unpersist()
+    return model, total
+
+
+def _average(models: DataFrame) -> tuple[np.ndarray | None, int]:
+    """The mean of the models by their tokens; tasks average until at most MODELS are left."""
+    def mean(rows):
+        flat, n = None, 0
+        for params, tokens_n in rows:
+            x = np.frombuffer(params, np.float32).astype(np.float64) * tokens_n
+            flat, n = x if flat is None else flat + x, n + tokens_n
+        return (flat / n).astype(np.float32) if n else None, n
+
+    def add(batches):
+        import pyarrow as pa
+
+        flat, n = mean((p, c) for b in batches for p, c in zip(b.column("params").to_pylist(), b.column("n").to_pylist()))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([flat.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["params", "n"])
+
+    while (left := models.count()) > MODELS:
+        models = stage(models.coalesce(-(-left // MODELS)).mapInArrow(add, MODEL), "lm-models")
+    return mean((r["params"], r["n"]) for r in models.orderBy("n", F.xxhash64("params")).collect())
+
+
 def fit(docs: DataFrame, train_on: Column, *, vocabulary: int = VOCABULARY, head: int = HEAD,
         sample_docs: int = SAMPLE_DOCS, sample_tokens: int = SAMPLE_TOKENS, **options) -> tuple[DataFrame, Scorer]:
     """Counts of all training tokens (staged) and the scorer."""
@@ -368,19 +483,20 @@ def fit(docs: DataFrame, train_on: Column, *, vocabulary: int = VOCABULARY, head
     freq = {r["token"]: float(r["c"]) for r in top}
     docs_n = max(1, int(freq.get(END, sample_docs)))                                  # one end mark a document
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_docs / docs_n))
-    texts = [r["text"] for r in rows.filter(draw).orderBy(F.xxhash64("text", "doc_id")).limit(4 * sample_docs).collect()]
+    texts = [r["text"] for r in rows.filter(draw).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"),
+                                                         F.xxhash64("text", "doc_id").alias("k"))
+             .orderBy("k").limit(4 * sample_docs).collect()]
     # Model words: the rare word first, then by falling frequency (classes are ranges).
     scorer.words = ["\0rare", *some]
     counted = np.array([rare, *(freq.get(w, 0.0) for w in some)])
     at = {w: k for k, w in enumerate(scorer.words)}
     sample, size = [], 0
     for t in texts:
-        seq = np.array([at.get(w, 0) for w in tokens(t)], np.int64)
-        if size + len(seq) > sample_tokens:
-            continue
-        sample.append(seq)
+        seq = np.array([at.get(w, 0) for w in tokens(t)], np.int64)[:sample_tokens - size]
+        if len(seq):
+            sample.append(seq)
         size += len(seq)
-    scorer.model = train(sample, counted, at[END], **options)
+    scorer.model, scorer.trained = train_all(rows, train(sample, counted, at[END], **options), at)
     return counts, scorer
 
 

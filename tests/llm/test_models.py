@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from souk.llm import gru_lm, langid, licenses, pieces, toxicity
 
@@ -150,6 +151,19 @@ def test_language_model_scores(spark):
     assert all(r["n_known"] == 0 and r["score"] == r["base_score"] for r in nothing)
 
 
+def test_language_model_learns_from_every_training_row(spark):
+    """Documents larger than the whole sample train too, and all tokens are trained on."""
+    rng = random.Random(2)
+    ring = [f"w{k}" for k in range(40)]
+    line = lambda a, n: " ".join(ring[(a + k) % 40] for k in range(n))
+    rows = [(i, line(rng.randrange(40), 600 if i < 150 else 40)) for i in range(160)] + [(300, None), (301, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts, scorer = gru_lm.fit(docs, F.col("doc_id") != 155, vocabulary=60, head=300, sample_docs=200, sample_tokens=30)
+    assert scorer.trained == scorer.n > 80_000
+    out = {r["doc_id"]: r for r in gru_lm.score_documents(docs, counts, scorer).collect()}
+    assert out[155]["score"] > 0.7 * out[155]["base_score"]        # without training they are about equal
+
+
 def test_states_are_carried_and_the_model_is_a_distribution():
     m = gru_lm.new_model(np.arange(30, 0, -1).astype(float), hidden=5, classes=4)
     docs = [np.array([3, 4, 5, 0]), np.arange(29)[::-1].copy(), np.array([0])]
