@@ -13,10 +13,13 @@ letters and digits of the lower-cased text.
    windows at a small edit distance fall into step again after an edit, so edit
    distance becomes Hamming distance. ``WALKS`` independent walks are used.
 3. Sampling LSH. Every walk has ``TABLES`` keys of ``SAMPLES`` sampled places; a
-   window is a candidate for an item if a key agrees. The default parameters keep
-   over 0.99 of the windows at the largest edit distance (see the tests).
+   window is a candidate for an item if a key agrees. Walks agree less often the longer
+   the item is, so this step serves items of at most ``LONG`` words; of longer items
+   every window that the q-gram lemma leaves is a candidate (few are left: such an
+   item must share about two fifths of its 3-grams on near diagonals).
 4. Every candidate is verified by the exact edit distance between the item and the
-   best run of words around the window.
+   best run of words around the window; candidates of a long item whose surroundings
+   overlap are verified together, in one run.
 
 Items are broadcast in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_WORDS``
 words (counted first); a larger benchmark takes one pass over the documents per
@@ -43,6 +46,7 @@ from souk.sources.staging import stage
 
 EDITS = 0.2
 WALKS, TABLES, SAMPLES = 12, 6, 2
+LONG = 64                    # words of an item; longer ones skip the sampled keys
 BLOCK_ITEMS, BLOCK_WORDS = 20_000, 2_000_000
 BATCH_WORDS = 1_000_000
 CELLS = 4_000_000            # cells of embeddings in memory at a time (one window at least)
@@ -146,7 +150,9 @@ class Items:
         for walk in range(WALKS if longest else 0):
             places = (rng.random((len(self.size), TABLES, SAMPLES)) * (2 * self.size)[:, None, None]).astype(np.int64)
             symbols = np.full(places.shape, -1, np.int64)
-            for k in in_parts(self.size):
+            short = np.nonzero(self.size <= LONG)[0]
+            for part in in_parts(self.size[short]):
+                k = short[part]
                 symbols[k] = self.sampled(self.line, self.begin[k], k, places, walk)
             self.keys.append((places, symbols))
         return self
@@ -197,9 +203,9 @@ class Items:
         return d[keep], i[keep], s[keep]
 
     def candidates(self, line: np.ndarray, item: np.ndarray, start: np.ndarray) -> np.ndarray:
-        """Windows that agree with their item in a key of some walk. ``line`` has room on
-        both sides for windows that begin before or end after a text."""
-        found = np.zeros(len(item), bool)
+        """Windows that agree with their item in a key of some walk, and all windows of long
+        items. ``line`` has room on both sides for windows that begin before or end after a text."""
+        found = self.size[item] > LONG
         for walk, (places, symbols) in enumerate(self.keys):
             left = np.nonzero(~found)[0]
             for part in in_parts(self.size[item[left]]):
@@ -208,6 +214,17 @@ class Items:
                 found[w] = (got == symbols[item[w]]).all(axis=2).any(axis=1)
         return found
 
+    def joined(self, doc: np.ndarray, item: np.ndarray, start: np.ndarray):
+        """(document, item, first start, last start) of candidates, sorted: those of a long item
+        whose surroundings overlap are one."""
+        reach = self.size[item] + 3 * self.edits[item]
+        new = np.ones(len(doc), bool)
+        new[1:] = ((doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (self.size[item[1:]] <= LONG)
+                   | (start[1:] - start[:-1] > reach[1:]))
+        first = np.nonzero(new)[0]
+        last = np.append(first[1:], len(doc))[:len(first)] - 1
+        return zip(doc[first].tolist(), item[first].tolist(), start[first].tolist(), start[last].tolist())
+
     def matches(self, texts: list[str | None]) -> list[list[int]]:
         """For each text the numbers of the items it contains."""
         out: list[list[int]] = [[] for _ in texts]
@@ -230,11 +247,11 @@ class Items:
             d, i, s = self.windows(line, doc, begin, begin + size)
             good = self.candidates(line, i, s)
             seen: set[tuple[int, int]] = set()
-            for j, item, start in zip(d[good].tolist(), i[good].tolist(), s[good].tolist()):
+            for j, item, start, last in self.joined(d[good], i[good], s[good]):
                 if (j, item) in seen:
                     continue
                 n, e = int(self.size[item]), int(self.edits[item])
-                a, b = max(int(begin[j]), start - e), min(int(begin[j] + size[j]), start + n + 2 * e)
+                a, b = max(int(begin[j]), start - e), min(int(begin[j] + size[j]), last + n + 2 * e)
                 own = self.line[self.begin[item]:self.begin[item] + n]
                 if edit_distance(own, line[a:b]) <= e:
                     seen.add((j, item))

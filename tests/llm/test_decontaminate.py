@@ -96,3 +96,19 @@ def test_very_long_item_beside_short_ones(monkeypatch):
     assert [sorted(m) for m in block.prepare().matches(texts)] == want
     monkeypatch.setattr(dc, "CELLS", 1_000)                 # one or a few windows a part
     assert [sorted(m) for m in block.prepare().matches(texts)] == want
+
+
+def test_long_items_at_the_largest_number_of_edits():
+    """Exactly floor(n / 5) substitutions or mixed edits, at 50 to 4,000 words: nothing is lost."""
+    rng = random.Random(21)
+    vocab = [f"w{k}" for k in range(5000)]
+    for n, texts_n in ((50, 40), (64, 40), (100, 40), (200, 40), (400, 30), (1000, 25), (2000, 20), (4000, 8)):
+        item, texts = [rng.choice(vocab) for _ in range(n)], []
+        noise = lambda: [rng.choice(vocab) for _ in range(rng.randint(0, 60))]
+        for _ in range(texts_n):
+            texts.append(" ".join([*noise(), *edited(rng, item, dc.allowed(n), vocab), *noise()]))
+        block = dc.Items([0], [" ".join(item)]).prepare()
+        got = [m == [0] for m in block.matches(texts)]
+        assert sum(got) == len(texts), (n, sum(got), len(texts))
+        far = [" ".join(edited(rng, item, 2 * dc.allowed(n), vocab)) for _ in range(3)]
+        assert [m == [0] for m in block.matches(far)] == [brute(t, " ".join(item)) for t in far]
