@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -259,19 +260,20 @@ class Items:
         return out
 
 
-def item_blocks(items: DataFrame, max_items: int = BLOCK_ITEMS, max_words: int = BLOCK_WORDS) -> list[Items]:
+def item_blocks(items: DataFrame, max_items: int = BLOCK_ITEMS, max_words: int = BLOCK_WORDS) -> Iterator[Items]:
     """The items in blocks of bounded size; each block is one pass over the documents.
-    Sizes are summed before any text is collected, one block at a time."""
+    Sizes are summed before any text is collected; a block is collected when it is asked for."""
     sized = items.filter("text is not null").select("item_id", "text").withColumn(
         "size", F.greatest(F.lit(1), F.length("text") / 2))              # words are at most half the characters
     total = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0.0)).alias("w")).first()
     blocks = max(1, int(-(-total["n"] // (max_items // 2 or 1))), int(-(-total["w"] // (max_words // 2 or 1))))
-    out = []
     for k in range(blocks):                                # by hash: about half the bound each
         rows = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        if rows:
-            out.append(Items([r["item_id"] for r in rows], [r["text"] for r in rows]))
-    return out
+        block = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
+        del rows
+        if block.ids:
+            yield block
+        del block                                          # before the next one is collected
 
 
 def find_items(docs: DataFrame, items: DataFrame, **bounds) -> DataFrame:
@@ -301,7 +303,9 @@ def find_items(docs: DataFrame, items: DataFrame, **bounds) -> DataFrame:
                     [batch.column("doc_id").take(at), batch.column("k1").take(at), pa.array(item, ITEM_TYPES[item_kind])],
                     names=["doc_id", "k1", "item_id"])
 
-        found = found.unionAll(keyed.mapInArrow(run, schema))
+        found = found.unionAll(stage(keyed.mapInArrow(run, schema), "leaks-pass"))
+        shared.destroy()                                   # its matches are staged: nothing reads it again
+        del block, shared, run
     return found.distinct()
 
 

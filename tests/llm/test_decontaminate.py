@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import gc
 import random
+import weakref
 
 import numpy as np
 
@@ -112,3 +114,20 @@ def test_long_items_at_the_largest_number_of_edits():
         assert sum(got) == len(texts), (n, sum(got), len(texts))
         far = [" ".join(edited(rng, item, 2 * dc.allowed(n), vocab)) for _ in range(3)]
         assert [m == [0] for m in block.matches(far)] == [brute(t, " ".join(item)) for t in far]
+
+
+def test_one_block_of_items_is_on_the_driver_at_a_time(spark, monkeypatch):
+    made, alive, real = [], [], dc.Items.__init__
+
+    def init(self, *args):
+        gc.collect()
+        alive.append(sum(r() is not None for r in made))
+        made.append(weakref.ref(self))
+        real(self, *args)
+
+    monkeypatch.setattr(dc.Items, "__init__", init)
+    items = spark.createDataFrame([(k, f"a{k} b{k} c{k}") for k in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, f"x a{k} b{k} c{k} y") for k in range(0, 30, 2)], "doc_id long, text string")
+    found = {r["doc_id"]: r["item_ids"] for r in dc.contaminated(docs, items, max_items=10).collect()}
+    assert found == {k: [k] for k in range(0, 30, 2)}
+    assert len(alive) > 3 and max(alive) == 0, alive
