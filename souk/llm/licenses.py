@@ -1,6 +1,7 @@
 """Licence scans: a trained paragraph classifier, DataFrame operations only.
 
-Paragraphs are the lines of a text; their features are the words and word pairs
+Paragraphs are the lines of a text, and its blocks of two or more lines up to a blank one (a
+notice may be wrapped); their features are the words and word pairs
 present (lower case, runs of a-z and 0-9). A sparse multinomial logistic
 regression (L1) tells licence families from ``unknown``. It is trained on
 
@@ -14,7 +15,11 @@ Probabilities are calibrated by one temperature, chosen on a held-out fold by
 log loss; a family is predicted only where its calibrated probability reaches
 ``ACCEPT``, all else is ``unknown``. Each prediction is then compared with the
 family's templates: the share of the best template's word pairs that the paragraph
-has; ``confirmed`` from ``CONFIRM`` on.
+has; ``confirmed`` from ``CONFIRM`` on. A block also has every family of which it holds a
+whole template. A block gives way to a confirmed line of its family inside it (and an
+unconfirmed one to anything confirmed inside it); unconfirmed lines of a block's family, and
+those of any family with a similarity below ``PIECE`` inside a confirmed block, are parts of
+its notice and not reported again.
 
 Scoring all paragraphs stays cheap and exact: a family can win only with a positive
 margin over ``unknown``; common words whose terms cannot lift any family that far, all
@@ -64,6 +69,7 @@ SAMPLE_PARAGRAPHS = 2_000
 VOCABULARY = 4_096
 ACCEPT = 0.5
 CONFIRM = 0.8
+PIECE = 0.5                  # a line below this inside a confirmed block is a piece of the block's notice
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 L1 = 5e-4
 
@@ -99,9 +105,19 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, k1, at, line): the lines of every text."""
-    return docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"),
-                       F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    """(doc_id, k1, at, last, line): the lines of every text (last = at), and its blocks of several
+    lines without a blank one between, joined by spaces."""
+    full = lambda k: F.coalesce(F.get("__lines", k).rlike(r"\S"), F.lit(False))
+    places = F.sequence(F.lit(0), F.size("__lines") - 1)
+    first = F.filter(places, lambda k: full(k) & ~full(k - 1))
+    last = F.filter(places, lambda k: full(k) & ~full(k + 1))
+    lines = F.transform("__lines", lambda t, k: F.struct(k.alias("at"), k.alias("last"), t.alias("line")))
+    blocks = F.transform(F.filter(F.zip_with(first, last, lambda a, b: F.struct(a.alias("at"), b.alias("last"))), lambda x: x["last"] > x["at"]),
+                         lambda x: F.struct(x["at"].alias("at"), x["last"].alias("last"),
+                                            F.array_join(F.slice("__lines", x["at"] + 1, x["last"] - x["at"] + 1), " ").alias("line")))
+    split = docs.filter("text is not null").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"),
+                                                   F.split("text", "\n").alias("__lines"))
+    return split.select("doc_id", "k1", F.explode(F.concat(lines, blocks)).alias("p")).select("doc_id", "k1", "p.*")
 
 
 def training_rows(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS, variants: int = VARIANTS) -> DataFrame:
@@ -119,7 +135,7 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS, variants: in
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / 4 / total)) + 1
     licence_pairs = sorted({r["p"] for r in base.select(F.explode("__pairs").alias("p")).collect()})
     licence_words = sorted({r["w"] for r in base.select(F.explode("__w").alias("w")).collect()})
-    some = with_terms(paragraphs(docs.filter(draw)).filter("trim(line) != ''"), "line")
+    some = with_terms(paragraphs(docs.filter(draw)).filter("at = last and trim(line) != ''"), "line")
     plain = some.filter(F.size(F.array_intersect("__pairs", F.array(*map(F.lit, licence_pairs)))) < 2)
     plain = plain.filter(F.pmod(F.xxhash64("line", "at"), F.lit(4)) == 0).select("line")
     pick = lambda k: F.element_at(F.array(*map(F.lit, licence_words)),
@@ -231,21 +247,39 @@ def _temperature(held: DataFrame, model: Model) -> float:
 
 
 def scan(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, k1, at, family, probability, similarity, confirmed) of every paragraph
+    """(doc_id, k1, at, last, family, probability, similarity, confirmed) of every line and block
     that is given a family."""
     lines = paragraphs(docs).withColumn("__w", words(F.col("line")))
     lines = lines.filter(F.arrays_overlap("__w", F.array(*map(F.lit, model.gate)))) if model.gate else lines.filter("false")
-    lines = stage(with_terms(lines.dropDuplicates(["doc_id", "k1", "at"]), "line")
-                  .select("doc_id", "k1", "at", "terms", "__pairs"), "licence-lines")
-    lines = lines.withColumn("id", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "k1", "at"))
-    margins = _margins(lines, ["id"], model)
-    scored = lines.join(margins, "id").withColumn("best", F.array_max(_probabilities(F.col("margins"), model.temperature, model)))
-    accepted = scored.select("id", "doc_id", "k1", "at", "__pairs", F.col("best.family").alias("family"),
-                             F.col("best.probability").alias("probability")).filter(F.col("probability") >= ACCEPT)
+    # Text is staged and shuffled, not the terms, which are several times as large.
+    lines = stage(lines.drop("__w").dropDuplicates(["doc_id", "k1", "at", "last"]), "licence-lines")
+    lines = lines.withColumn("id", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "k1", "at", "last"))
+    margins = _margins(with_terms(lines, "line"), ["id"], model)
+    scored = lines.join(margins, "id").withColumn("each", _probabilities(F.col("margins"), model.temperature, model))
+    scored = scored.withColumn("best", F.array_max("each"))
+    one = F.filter("each", lambda x: (x["family"] == F.col("best.family")) & (x["probability"] >= ACCEPT))
+    tried = with_terms(scored, "line").select("doc_id", "k1", "at", "last", "terms", "best",
+                          F.explode(F.when(F.col("at") == F.col("last"), one).otherwise(F.col("each"))).alias("x"))
+    accepted = (F.col("x.family") == F.col("best.family")) & (F.col("x.probability") >= ACCEPT)
+    tried = tried.select("doc_id", "k1", "at", "last", "terms", F.col("x.family").alias("family"),
+                         F.col("x.probability").alias("probability"), accepted.alias("accepted"))
     known = F.broadcast(templates(docs.sparkSession).select(F.col("family").alias("f"), F.col("__pairs").alias("own")))   # fixed values
-    share = F.size(F.array_intersect("__pairs", "own")) / F.size(F.array_distinct("own"))
-    return (accepted.join(known, F.col("family") == F.col("f")).groupBy("doc_id", "k1", "at", "family", "probability")
-            .agg(F.max(share).alias("similarity")).withColumn("confirmed", F.col("similarity") >= CONFIRM))
+    # Terms hold the pairs: no word has a space in it.
+    share = F.size(F.array_intersect("terms", "own")) / F.size(F.array_distinct("own"))
+    compared = tried.join(known, F.col("family") == F.col("f")).withColumn("share", share).filter("accepted or share = 1")
+    return (compared.groupBy("doc_id", "k1", "at", "last", "family", "probability")
+            .agg(F.max("share").alias("similarity")).withColumn("confirmed", F.col("similarity") >= CONFIRM))
+
+
+def _once(found: Column) -> Column:
+    """The lines and blocks of a document without those that report a notice again."""
+    block = lambda x: x["last"] > x["at"]
+    inside = lambda y, x: (y["at"] >= x["at"]) & (y["last"] <= x["last"])
+    blocks = F.filter(found, lambda x: block(x) & ~F.exists(found, lambda y: y["confirmed"] & inside(y, x) & F.when(
+        x["confirmed"], ~block(y) & (y["family"] == x["family"])).otherwise(F.lit(True))))
+    lines = F.filter(found, lambda x: ~block(x) & (x["confirmed"] | ~F.exists(
+        blocks, lambda y: inside(x, y) & ((y["family"] == x["family"]) | (y["confirmed"] & (x["similarity"] < PIECE))))))
+    return F.concat(lines, blocks)
 
 
 def licence_report(docs: DataFrame, model: Model | None = None) -> DataFrame:
@@ -254,7 +288,9 @@ def licence_report(docs: DataFrame, model: Model | None = None) -> DataFrame:
     rows = docs.select("doc_id", "text")
     found = scan(rows, model or fit(rows))
     per = stage(found.groupBy(F.col("doc_id").alias("d"), F.col("k1").alias("k")).agg(
-        F.sort_array(F.collect_list(F.struct("at", "family", "probability", "similarity", "confirmed"))).alias("paragraphs")),
+        F.collect_list(F.struct("at", "last", "family", "probability", "similarity", "confirmed")).alias("found"))
+        .select("d", "k", F.sort_array(F.transform(_once(F.col("found")), lambda x: F.struct(
+            *[x[c].alias(c) for c in ("at", "family", "probability", "similarity", "confirmed")]))).alias("paragraphs")),
         "licence-found")
     keyed = rows.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("k1"))
     out = keyed.join(per, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("k1") == F.col("k")), "left")

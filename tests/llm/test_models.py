@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 import random
+import textwrap
 import zlib
 
 import numpy as np
@@ -203,6 +204,29 @@ def test_licences(licence_documents):
     assert licenses.licence_report(docs.limit(0)).collect() == []
 
 
+def test_wrapped_licences(spark):
+    """Every long template wrapped at 72 columns, alone in its block, behind prose and as a
+    comment, is found once and confirmed; two of them in one block are both found."""
+    rng = random.Random(14)
+    long = [(f, t) for f, t in licenses.TEMPLATES if len(t) > 72]
+    wrapped = lambda t, lead="": "\n".join(textwrap.wrap(t, 72, initial_indent=lead, subsequent_indent=lead))
+    say = lambda: wrapped(prose(rng, "aa", 30))
+    rows, want = [], []
+    for f, t in long:
+        rows += [say() + "\n\n" + wrapped(t) + "\n\n" + say(), say() + "\n" + wrapped(t), wrapped(t, "# ") + "\r\n \t\r\n" + say()]
+        want += [[f]] * 3
+    rows += [say() + "\n\n" + say(), wrapped(long[0][1]) + "\n" + wrapped(long[3][1])]
+    want += [[], sorted([long[0][0], long[3][0]])]
+    rows += [say() for _ in range(120)]
+    want += [[]] * 120
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in licenses.licence_report(docs).collect()}
+    got = [sorted(x["family"] for x in out[k]["paragraphs"] if x["confirmed"]) for k in range(len(rows))]
+    assert got == want, [(k, g, w) for k, (g, w) in enumerate(zip(got, want)) if g != w]
+    pieces_of = {k: [x for x in out[k]["paragraphs"] if not x["confirmed"] and x["similarity"] > 0] for k in out}
+    assert not any(pieces_of.values()), pieces_of               # no part of a notice is reported beside it
+
+
 def test_gate_words_never_hide_a_family():
     rng = random.Random(3)
     words = ["a", "b", "c", "d", "e"]
