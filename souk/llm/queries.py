@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import decontaminate, embed_graph, gru_lm, langid, licenses, pieces, repeats, sharding, simhash, toxicity
+from souk.llm import byte_pairs, decontaminate, embed_graph, gru_lm, langid, licenses, pieces, repeats, sharding, simhash, toxicity
 from souk.llm.common import documents, table
 
 SHARDS = 40
@@ -72,6 +72,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_score", "score")
 
 
+def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded with the public 50k byte-level vocabulary."""
+    return byte_pairs.encode_documents(documents(spark, sf_dir), byte_pairs.default_vocabulary())
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_repeats": op2_repeats,
@@ -83,6 +88,7 @@ QUERIES = {
     "op8_simhash": op8_simhash,
     "op9_embeddings": op9_embeddings,
     "op10_lm_score": op10_lm_score,
+    "op11_byte_pairs": op11_byte_pairs,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
