@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import byte_pairs, decontaminate, embed_graph, gru_lm, langid, licenses, pieces, repeats, sharding, simhash, toxicity
-from souk.llm.common import documents, table
+from souk.llm import byte_pairs, decontaminate, embed_graph, gru_lm, langid, licenses, pieces, repeats, sharding, simhash, toxicity, word_runs
+from souk.llm.common import crc_of_id, documents, table
 
 SHARDS = 40
 
@@ -77,6 +77,36 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_documents(documents(spark, sf_dir), byte_pairs.default_vocabulary())
 
 
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where the words behind a place that the crc32 of the id gives are
+    replaced by repetitions of the words at that place (a tenth of the documents)."""
+    h, g = crc_of_id(), F.floor(crc_of_id() / 10).cast("bigint")
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit("([^\\x20\\x09-\\x0D]+)"), F.lit(1)))
+    d = docs.select("doc_id", "text", words.alias("words"), g.alias("g"))
+    n = F.size("words").cast("bigint")
+    d = d.withColumn("a", F.when(n > 0, F.col("g") % n))
+    left = n - F.col("a")
+    d = d.withColumn("p", F.floor(left / (3 + F.col("g") % 8)).cast("bigint") + 1)
+    again = F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(left / F.col("p")).cast("int"))
+    tail = F.slice(F.flatten(again), F.lit(1), left)
+    made = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), " ")
+    return d.select("doc_id", F.when(F.col("a").isNotNull(), made).otherwise(F.col("text")).alias("text"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of at least four repetitions in every text (with planted ones), and the rest."""
+    found = word_runs.periodic_runs(with_planted_periods(documents(spark, sf_dir)), 6, 4)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(
+        F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    d = found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), best.alias("best"),
+                     F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = F.col("best.length"), -F.col("best.short")
+    return d.select("doc_id", "n_runs", (-F.col("best.back")).alias("start"), length.alias("length"), period.alias("period"),
+                    F.expr("1000 * best.length div -best.short").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_repeats": op2_repeats,
@@ -89,6 +119,7 @@ QUERIES = {
     "op9_embeddings": op9_embeddings,
     "op10_lm_score": op10_lm_score,
     "op11_byte_pairs": op11_byte_pairs,
+    "op13_word_runs": op13_word_runs,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
