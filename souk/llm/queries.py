@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from souk.llm import byte_pairs, decontaminate, embed_graph, gru_lm, langid, licenses, pieces, repeats, sharding, simhash, toxicity, word_runs
+from souk.llm import byte_pairs, collocations, decontaminate, embed_graph, gru_lm, langid, licenses, pieces, repeats, sharding, simhash
+from souk.llm import toxicity, word_runs
 from souk.llm.common import crc_of_id, documents, table
 
 SHARDS = 40
@@ -77,6 +78,11 @@ def op11_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_pairs.encode_documents(documents(spark, sf_dir), byte_pairs.default_vocabulary())
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 strongest phrases of two to five words of every language."""
+    return collocations.collocations(documents(spark, sf_dir), max_words=5, min_count=100, top=2000, closed_percent=100)
+
+
 def with_planted_periods(docs: DataFrame) -> DataFrame:
     """doc_id and text, where the words behind a place that the crc32 of the id gives are
     replaced by repetitions of the words at that place (a tenth of the documents)."""
@@ -119,8 +125,9 @@ QUERIES = {
     "op9_embeddings": op9_embeddings,
     "op10_lm_score": op10_lm_score,
     "op11_byte_pairs": op11_byte_pairs,
+    "op12_collocations": op12_collocations,
     "op13_word_runs": op13_word_runs,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_collocations": collocations.SQL}
