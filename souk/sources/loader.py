@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souk.sources.csv_records import import_csv
 from souk.sources.schemas import TABLES
 
+#: Options of the engine's own reader (streams read whole files with it).
 CSV_OPTIONS = {
     "header": "true",
     "multiLine": "true",          # review texts contain newlines
@@ -30,14 +32,20 @@ def _path(base: str, table: str, fmt: str, paths: dict[str, str] | None) -> str:
 
 
 def read_table(spark: SparkSession, table: str, base: str, fmt: str = "parquet",
-               paths: dict[str, str] | None = None) -> DataFrame:
-    schema = TABLES[table]
-    reader = spark.read.schema(schema)
+               paths: dict[str, str] | None = None, rejects: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One table. CSV is imported in parallel (:mod:`souk.sources.csv_records`); records that
+    do not fit the schema end the load with an error, or go to ``rejects`` by table name
+    where that is given."""
     path = _path(base, table, fmt, paths)
     if fmt == "csv":
-        return reader.options(**CSV_OPTIONS).csv(path)
+        got = import_csv(spark, TABLES[table], path)
+        if rejects is not None:
+            rejects[table] = got.rejects
+        elif bad := got.rejects.limit(3).collect():          # a few examples for the message
+            raise ValueError(f"{table}: records that do not fit the schema, such as {[r.record for r in bad]}")
+        return got.rows
     if fmt == "parquet":
-        return reader.parquet(path)
+        return spark.read.schema(TABLES[table]).parquet(path)
     raise ValueError(f"unsupported format {fmt!r}")
 
 
@@ -88,9 +96,10 @@ def import_report(raw: dict[str, DataFrame], loaded: dict[str, DataFrame]) -> Da
 
 def load_tables(spark: SparkSession, base: str, fmt: str = "parquet", *,
                 paths: dict[str, str] | None = None, unique_reviews: bool = True,
-                normalise_text: bool = False) -> dict[str, DataFrame]:
-    """O1: the nine tables as lazily read DataFrames keyed by table name."""
-    tables = {name: read_table(spark, name, base, fmt, paths) for name in TABLES}
+                normalise_text: bool = False, rejects: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    """O1: the nine tables as DataFrames keyed by table name (Parquet is read lazily, CSV is
+    imported once). ``rejects`` receives the CSV records that do not fit, per table."""
+    tables = {name: read_table(spark, name, base, fmt, paths, rejects) for name in TABLES}
     if unique_reviews:
         tables["order_reviews"] = dedupe_reviews(tables["order_reviews"])
     if normalise_text:
