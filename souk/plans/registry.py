@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from souk.operators import actions, categories, cohorts, kpi, quality, rfm, sellers, semantic, states
 from souk.session import configure
 from souk.sources.loader import import_report as _import_report
-from souk.sources.loader import load_tables
-from souk.sources.testdata import adapted_tables, raw_import
+from souk.sources.loader import dedupe_reviews, load_tables, read_table
+from souk.sources.testdata import adapted_tables, raw_csv, raw_import
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,31 @@ def loaded_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.select("order_id", "review_id", F.col("review_score").cast("bigint").alias("review_score"))
 
 
+def csv_import_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1 from CSV text: rows read, kept, dropped and rejected per table."""
+    configure(spark)
+    rejects: dict[str, DataFrame] = {}
+    raw = load_tables(spark, raw_csv(spark, sf_dir), "csv", unique_reviews=False, rejects=rejects)
+    loaded = {**raw, "order_reviews": dedupe_reviews(raw["order_reviews"])}
+    return _import_report(raw, loaded, rejects)
+
+
+def csv_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1 from CSV text with quotes and line ends in fields: the reviews that the load keeps."""
+    configure(spark)
+    reviews = dedupe_reviews(read_table(spark, "order_reviews", raw_csv(spark, sf_dir), "csv", rejects={}))
+    return reviews.select("order_id", "review_id", F.col("review_score").cast("bigint").alias("review_score"),
+                          "review_comment_title", "review_comment_message")
+
+
+def csv_rejected_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1 from CSV text: the review records that do not fit the schema."""
+    configure(spark)
+    rejects: dict[str, DataFrame] = {}
+    read_table(spark, "order_reviews", raw_csv(spark, sf_dir), "csv", rejects=rejects)
+    return rejects["order_reviews"].select("record")
+
+
 def order_level_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     olm = _olm(_tables(spark, sf_dir))
     return olm.select(
@@ -142,6 +167,9 @@ def action_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "import_report": import_report,
     "loaded_reviews": loaded_reviews,
+    "csv_import_report": csv_import_report,
+    "csv_reviews": csv_reviews,
+    "csv_rejected_reviews": csv_rejected_reviews,
     "order_level_metrics": order_level_metrics,
     "monthly_kpi": monthly_kpi,
     "check_constraints": check_constraints,

@@ -80,14 +80,19 @@ def normalise(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
-def import_report(raw: dict[str, DataFrame], loaded: dict[str, DataFrame]) -> DataFrame:
+def import_report(raw: dict[str, DataFrame], loaded: dict[str, DataFrame],
+                  rejects: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row per table: rows read, rows kept and rows dropped by the load (repeated
-    reviews of an order; no other table loses rows)."""
+    reviews of an order; no other table loses rows); with ``rejects`` also the records that
+    do not fit the schema."""
     parts = []
     for name in sorted(raw):
         read, kept = (t[name].agg(F.count(F.lit(1)).alias(c)) for t, c in ((raw, "rows_read"), (loaded, "rows_kept")))
-        # Two one-row frames: a scalar each, no join.
-        parts.append(read.select(F.lit(name).alias("table_name"), "rows_read", kept.scalar().alias("rows_kept")))
+        # One-row frames: a scalar each, no join.
+        cols = [F.lit(name).alias("table_name"), F.col("rows_read"), kept.scalar().alias("rows_kept")]
+        if rejects is not None:
+            cols.append(rejects[name].agg(F.count(F.lit(1))).scalar().alias("rows_rejected"))
+        parts.append(read.select(*cols))
     report = parts[0]
     for p in parts[1:]:
         report = report.unionByName(p)

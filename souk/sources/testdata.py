@@ -32,6 +32,11 @@ NO_PAYMENT_MODULUS = 97                # orders with key % 97 = 0 have no paymen
 NO_REVIEW_MODULUS = 11                 # orders with key % 11 = 0 have no review
 UNTRANSLATED_MODULUS = 3               # brands with number % 3 = 0 lack a translation
 SECOND_REVIEW_MODULUS = 9              # reviewed orders with key % 9 = 0 come with two reviews in the raw import
+REVIEW_TITLE_MODULUS = 4               # in the CSV export reviews of orders with key % 4 = 0 have a title,
+REVIEW_MESSAGE_MODULUS = 3             # with key % 3 = 0 a message over several lines,
+BAD_REVIEW_MODULUS = 13                # and orders with key % 13 = 0 a record whose score is no number
+REVIEW_TITLE = 'Says "fine", mostly'
+BAD_MESSAGE = 'not "a"\nscore'
 
 CENT = Decimal("0.01")
 
@@ -223,6 +228,37 @@ def raw_import(spark: SparkSession, sf_dir: str) -> str:
     return _RAW[key]
 
 
+_CSV: dict[tuple[str, str], str] = {}
+
+
+def raw_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the nine tables as CSV text, one folder of files per table: review titles
+    and messages with quotes, separators and line ends, and records that do not fit the
+    schema. Written once per application under the shared checkpoint folder."""
+    from souk.sources.loader import load_tables
+    from souk.sources.staging import staged_path
+
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    if key not in _CSV:
+        tables = load_tables(spark, raw_import(spark, sf_dir), unique_reviews=False)
+        ok = F.col("order_id").cast("bigint")
+        message = F.concat(F.lit("Order "), F.col("order_id"), F.lit(':\nsaid ""hm"",\n\nend'))
+        text = tables["order_reviews"].withColumns({
+            "review_score": F.col("review_score").cast("string"),
+            "review_comment_title": F.when(ok % REVIEW_TITLE_MODULUS == 0, REVIEW_TITLE),
+            "review_comment_message": F.when(ok % REVIEW_MESSAGE_MODULUS == 0, message)})
+        bad = tables["orders"].filter(ok % BAD_REVIEW_MODULUS == 0).select(
+            F.concat(F.lit("bad"), F.col("order_id")).alias("review_id"), "order_id", F.lit("five").alias("review_score"),
+            F.lit(BAD_MESSAGE).alias("review_comment_message"))
+        tables["order_reviews"] = text.unionByName(bad, allowMissingColumns=True)
+        folder = staged_path(spark, "raw-csv")
+        for name, df in tables.items():
+            (df.write.option("header", "true").option("escape", '"').option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss")
+             .csv(f"{folder}/{name}.csv"))
+        _CSV[key] = folder
+    return _CSV[key]
+
+
 _LOADED: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 # Bucketing key per table: the order-grain tables share ``order_id`` so their
