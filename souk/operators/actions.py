@@ -7,10 +7,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from souk.functions import ranking
 from souk.functions.numeric import decimal_text, pct, round2
+from souk.functions.selection import Tiles, after, cut_rows
 from souk.operators import categories, sellers
 from souk.operators.semantic import LATE, ON_TIME, delivered
+from souk.sources.staging import stage
 
 CUSTOMER = "customer_unique_id"
 
@@ -67,15 +68,15 @@ def repeat_rate_gap(olm: DataFrame, days: int = 90) -> DataFrame:
     return rates.agg(F.coalesce(round2(on - late), F.lit(0.0)).alias("repeat_rate_gap_pp"))
 
 
-def revenue_concentration(olm: DataFrame, tiles: int = 5, partitions: int | None = None) -> DataFrame:
+def revenue_concentration(olm: DataFrame, tiles: int = 5) -> DataFrame:
     """O12b (one row): percent of delivered revenue from the top spend tile
-    (NTILE over spend ascending, ties by person id)."""
-    rev = delivered(olm).groupBy(CUSTOMER).agg(F.sum("payment_value").alias("monetary"))
-    ranked = ranking.global_rank(rev, [("monetary", True), (CUSTOMER, True)], prefix="m",
-                                 partitions=partitions)
-    top = ranking.ntile("m_rn", "m_n", tiles) == tiles
-    return ranked.agg(round2(pct(F.sum(F.when(top, F.col("monetary")).otherwise(F.lit(0))),
-                                 F.sum("monetary"))).alias("top_customer_quintile_revenue_share_pct"))
+    (NTILE over spend ascending, ties by person id): what lies behind the last
+    person of the tile before it, found by exact selection."""
+    rev = stage(delivered(olm).groupBy(CUSTOMER).agg(F.sum("payment_value").alias("monetary")), "spend")
+    ((*_, cut),) = cut_rows(rev, CUSTOMER, [Tiles("monetary", tiles)]) if tiles > 1 else [[None]]
+    top = F.lit(tiles == 1) if cut is None else after("monetary", CUSTOMER, True, cut)
+    return rev.agg(round2(pct(F.sum(F.when(top, F.col("monetary")).otherwise(F.lit(0))), F.sum("monetary")))
+                   .alias("top_customer_quintile_revenue_share_pct"))
 
 
 def _row(priority: str, initiative: str, evidence: F.Column, recommendation: F.Column) -> list[F.Column]:
@@ -86,13 +87,13 @@ def _row(priority: str, initiative: str, evidence: F.Column, recommendation: F.C
 def action_board(olm: DataFrame, items: DataFrame, orders: DataFrame, products: DataFrame,
                  translation: DataFrame, *, days: int = 90, tiles: int = 5, target: float = 0.80,
                  ratio: float = 40.0, min_orders: int = 100, gap_pp: float = 5.0, share_pct: float = 50.0,
-                 seller_pct: float = 20.0, categories_over: int = 0, partitions: int | None = None) -> DataFrame:
+                 seller_pct: float = 20.0, categories_over: int = 0) -> DataFrame:
     """Four prioritised actions, each from a one-row analysis.
     Numbers are printed as two-place decimals, counts as integers. The parameters
     of the analyses and the thresholds of the advice are arguments."""
     gap = repeat_rate_gap(olm, days)
-    share = revenue_concentration(olm, tiles, partitions)
-    pareto = sellers.seller_pareto(items, orders, target, partitions)
+    share = revenue_concentration(olm, tiles)
+    pareto = sellers.seller_pareto(items, orders, target)
     alerts = categories.category_alerts(items, orders, products, translation, min_orders, ratio)
 
     g, s = F.col("repeat_rate_gap_pp"), F.col("top_customer_quintile_revenue_share_pct")

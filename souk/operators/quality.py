@@ -3,8 +3,8 @@ timestamps (O4) and payment reconciliation (O5).
 
 The reference declares keys, references and checks in its DDL and lets the
 database enforce them at load. Spark enforces none, so they are measured
-after loading: every rule becomes one aggregate and the report is their
-union, one row per rule.
+after loading: the rules of all tables that share a key come from one grouping
+by that key, and the report is their union, one row per rule.
 """
 
 from __future__ import annotations
@@ -98,35 +98,86 @@ REFERENCE_RULES = [
 ]
 
 
-def _report_row(df: DataFrame, table: str, name: str, kind: str, count: Column) -> DataFrame:
-    return df.agg(count.cast("bigint").alias("violations")).select(
-        F.lit(table).alias("table_name"), F.lit(name).alias("constraint_name"),
-        F.lit(kind).alias("kind"), "violations")
-
-
-def table_rule_counts(df: DataFrame, table: str, key: KeyRule | None,
-                      rules: list[RowRule]) -> DataFrame:
-    """One pass over ``table``: its primary-key uniqueness plus all of its
-    row rules, unpivoted to one report row per rule.
-
-    Rows are first grouped by the key (no exchange when the table is
-    bucketed on it), counting rows and rule breaches per key value; a second,
-    global aggregate counts repeated keys and sums the breaches.
-    """
-    per_row = [F.count_if(F.expr(r.bad)).alias(f"c{i}") for i, r in enumerate(rules)]
-    if key is not None:
-        g = df.groupBy(*key.columns).agg(F.count(F.lit(1)).alias("__n"), *per_row)
-        totals = g.agg(F.count_if(F.col("__n") > 1).alias("pk"),
-                       *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(rules))])
-        entries = [(key.name, "primary_key", "pk")]
+@dataclass(frozen=True)
+class KeyGroup:
+    """Rules that one grouping by a key answers: the rows of ``owned`` tables (keys and row
+    rules; each has the key as first primary-key column) and the references to the first of
+    them."""
+    key: str
+    owned: tuple[str, ...]
+    references: tuple[ReferenceRule, ...]
+
+
+def key_groups() -> list[KeyGroup]:
+    """The tables of the reference schema by the first column of their primary key; the
+    parent is the table whose whole key that column is."""
+    keys = {k.table: k.columns for k in KEY_RULES}
+    groups = []
+    for parent in [r.parent for r in REFERENCE_RULES] + list(keys):
+        column = keys[parent][0]
+        if len(keys[parent]) > 1 or any(g.owned[0] == parent for g in groups):
+            continue
+        refs = tuple(r for r in REFERENCE_RULES if r.parent == parent)
+        own = [r.table for r in refs if keys[r.table][0] == r.column]
+        if not any(parent in g.owned for g in groups):
+            groups.append(KeyGroup(column, (parent, *own), refs))
+    return groups
+
+
+def group_report(tables: dict[str, DataFrame], group: KeyGroup) -> DataFrame:
+    """All rules of a group from one tagged union of its tables, grouped by the key.
+
+    Rows of every table meet at their key with a tag: keys are counted with the rest of the
+    primary key first (a repeated key has more than one row), then per key value it is
+    known how many rows each table has, so references without a parent need no join. Tables
+    bucketed by the key are grouped where they lie; others are combined map-side, so a
+    value that very many rows share is one row a task."""
+    keys = {k.table: k for k in KEY_RULES}
+    rules = [r for r in ROW_RULES if r.table in group.owned]
+    width = max(len(keys[t].columns) for t in group.owned) - 1
+    parts = []
+    for table in group.owned:
+        rest = [F.col(c).cast("string") for c in keys[table].columns[1:]]
+        rest += [F.lit(None).cast("string")] * (width - len(rest))
+        flags = [F.when(F.expr(r.bad), 1).otherwise(0) if r.table == table else F.lit(0) for r in rules]
+        parts.append((F.col(group.key), table, rest, flags))
+    for r in group.references:
+        if r.table not in group.owned:
+            parts.append((F.col(r.column), r.name, [F.lit(None).cast("string")] * width, [F.lit(0)] * len(rules)))
+    union = None
+    for key, tag, rest, flags in parts:
+        source = tag if tag in tables else next(r.table for r in group.references if r.name == tag)
+        part = tables[source].select(key.alias("__key"), F.lit(tag).alias("__tag"), *[c.alias(f"__s{i}") for i, c in enumerate(rest)],
+                                     *[c.alias(f"c{i}") for i, c in enumerate(flags)])
+        union = part if union is None else union.unionAll(part)
+    broken = [F.sum(f"c{i}").alias(f"c{i}") for i in range(len(rules))]
+    if width:                                             # count whole primary keys first
+        union = union.groupBy("__key", "__tag", *[f"__s{i}" for i in range(width)]).agg(F.count(F.lit(1)).alias("__n"), *broken)
+        rows, repeated = F.sum, lambda tag: F.count_if((F.col("__tag") == tag) & (F.col("__n") > 1))
+        amount = F.col("__n")
     else:
-        totals = df.agg(*per_row)
-        entries = []
-    entries += [(r.name, r.kind, f"c{i}") for i, r in enumerate(rules)]
-    pairs = ", ".join(f"'{n}', '{k}', coalesce({c}, 0)" for n, k, c in entries)
-    return (totals.selectExpr(f"stack({len(entries)}, {pairs}) as (constraint_name, kind, violations)")
-            .select(F.lit(table).alias("table_name"), "constraint_name", "kind",
-                    F.col("violations").cast("bigint").alias("violations")))
+        rows, repeated, amount = F.count, None, F.lit(1)
+    tags = [tag for _, tag, _, _ in parts]
+    count = [rows(F.when(F.col("__tag") == tag, amount)).alias(f"n{i}") for i, tag in enumerate(tags)]
+    if repeated is not None:
+        count += [repeated(tag).alias(f"pk{i}") for i, tag in enumerate(group.owned)]
+    per_key = union.groupBy("__key").agg(*count, *broken)
+    orphan = F.col("__key").isNotNull() & (F.coalesce(F.col("n0"), F.lit(0)) == 0)
+    totals, entries = [], []
+    for i, table in enumerate(group.owned):
+        many = F.col(f"pk{i}") if repeated is not None else F.when(F.col(f"n{i}") > 1, 1)
+        totals.append(F.sum(many))
+        entries.append((table, keys[table].name, "primary_key"))
+    for r in group.references:
+        at = tags.index(r.table if r.table in group.owned else r.name)
+        totals.append(F.sum(F.when(orphan, F.col(f"n{at}"))))
+        entries.append((r.table, r.name, "foreign_key"))
+    for i, r in enumerate(rules):
+        totals.append(F.sum(f"c{i}"))
+        entries.append((r.table, r.name, r.kind))
+    one = per_key.agg(*[t.cast("bigint").alias(f"t{i}") for i, t in enumerate(totals)])
+    pairs = ", ".join(f"'{t}', '{n}', '{k}', coalesce(t{i}, 0)" for i, (t, n, k) in enumerate(entries))
+    return one.selectExpr(f"stack({len(entries)}, {pairs}) as ({', '.join(REPORT_COLUMNS)})")
 
 
 def duplicate_keys(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -147,20 +198,12 @@ def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
     """O2: one row per constraint of the reference schema with the number of
     violations: NULLs in NOT NULL columns, repeated primary-key values,
     references without a parent (a NULL reference is not a violation) and
-    rows failing a CHECK. One pass per table for keys and row rules, one
-    anti join per reference."""
-    keys = {k.table: k for k in KEY_RULES}
-    parts = []
-    for table in dict.fromkeys([k.table for k in KEY_RULES] + [r.table for r in ROW_RULES]):
-        parts.append(table_rule_counts(tables[table], table, keys.get(table),
-                                       [r for r in ROW_RULES if r.table == table]))
-    for r in REFERENCE_RULES:
-        parts.append(_report_row(dangling_references(tables[r.table], r.column,
-                                                     tables[r.parent], r.parent_column),
-                                 r.table, r.name, "foreign_key", F.coalesce(F.sum("count"), F.lit(0))))
-    report = parts[0]
-    for p in parts[1:]:
-        report = report.unionByName(p)
+    rows failing a CHECK. Tables that share a key are grouped together once
+    (:func:`group_report`), so each is read once per key it has or refers to."""
+    report = None
+    for group in key_groups():
+        part = group_report(tables, group)
+        report = part if report is None else report.unionByName(part)
     return report
 
 

@@ -7,9 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from souk.functions import ranking
 from souk.functions.numeric import calendar_days
+from souk.functions.selection import Tiles, cut_rows, tile
 from souk.operators.semantic import delivered
+from souk.sources.staging import stage
 
 CUSTOMER = "customer_unique_id"
 
@@ -45,26 +46,23 @@ def segment(r: str = "r_score", f: str = "f_score", m: str = "m_score") -> F.Col
 
 
 def rfm_scores(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = None,
-               tiles: int = 5, partitions: int | None = None) -> DataFrame:
+               tiles: int = 5) -> DataFrame:
     """All customers with their three scores and segment. Higher is better
     on every score: recency is tiled descending. Every ordering ends with the
-    person id so tiles are deterministic when values tie. Each score is a
-    global ranking (:func:`souk.functions.ranking.global_rank`)."""
-    x = customer_rfm(olm, orders, as_of)
-    for prefix, column, ascending in (("r", "recency", False), ("f", "frequency", True), ("m", "monetary", True)):
-        x = ranking.global_rank(x, [(column, ascending), (CUSTOMER, True)], prefix=prefix, partitions=partitions)
-    return x.select(
-        CUSTOMER, "recency", "frequency", F.col("monetary").cast("double").alias("monetary"),
-        ranking.ntile("r_rn", "r_n", tiles).alias("r_score"),
-        ranking.ntile("f_rn", "f_n", tiles).alias("f_score"),
-        ranking.ntile("m_rn", "m_n", tiles).alias("m_score"),
-    ).withColumn("segment", segment())
+    person id so tiles are deterministic when values tie. The last customers of the
+    tiles of all three scores are found together by exact selection
+    (:func:`souk.functions.selection.cut_rows`); scores are comparisons with them."""
+    x = stage(customer_rfm(olm, orders, as_of), "rfm")         # one row per person, read by every scan of the selection
+    specs = [Tiles("recency", tiles, False), Tiles("frequency", tiles), Tiles("monetary", tiles)]
+    cuts = cut_rows(x, CUSTOMER, specs)
+    r, f, m = (tile(s.value, CUSTOMER, s.ascending, c) for s, c in zip(specs, cuts, strict=True))
+    return x.select(CUSTOMER, "recency", "frequency", F.col("monetary").cast("double").alias("monetary"),
+                    r.alias("r_score"), f.alias("f_score"), m.alias("m_score")).withColumn("segment", segment())
 
 
 def rfm_segments(olm: DataFrame, orders: DataFrame, as_of: dt.datetime | None = None,
-                 limit: int | None = 50, partitions: int | None = None) -> DataFrame:
+                 limit: int | None = 50) -> DataFrame:
     """The ``limit`` customers with the highest spend (top-k report),
     ties broken by person id."""
-    out = rfm_scores(olm, orders, as_of, partitions=partitions) \
-        .orderBy(F.col("monetary").desc(), F.col(CUSTOMER).asc())
+    out = rfm_scores(olm, orders, as_of).orderBy(F.col("monetary").desc(), F.col(CUSTOMER).asc())
     return out.limit(limit) if limit is not None else out

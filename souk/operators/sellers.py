@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from souk.functions import ranking
 from souk.functions.numeric import as_double, pct, round2, safe_div, whole_days, zscore
+from souk.functions.selection import Share, cut_rows
 from souk.operators.semantic import DELIVERED
 from souk.sources.staging import stage
 
@@ -122,14 +123,11 @@ def seller_revenue(items: DataFrame, orders: DataFrame) -> DataFrame:
             .groupBy(SELLER).agg(F.sum("amount").alias("gmv")))
 
 
-def seller_pareto(items: DataFrame, orders: DataFrame, target: float = 0.80,
-                  partitions: int | None = None) -> DataFrame:
+def seller_pareto(items: DataFrame, orders: DataFrame, target: float = 0.80) -> DataFrame:
     """O12c (one row): percent of sellers, by descending GMV, needed to reach
-    ``target`` of delivered GMV: the first rank whose running GMV reaches the
-    target, over the seller count."""
-    sr = seller_revenue(items, orders)
-    ranked = ranking.global_rank(sr, [("gmv", False), (SELLER, True)], prefix="g", value="gmv",
-                                 partitions=partitions)
-    reached = F.col("g_running") >= F.col("g_total") * F.lit(Decimal(str(target)))
-    return ranked.agg(round2(pct(F.min(F.when(reached, F.col("g_rn"))), F.max("g_n")))
-                      .alias("seller_pct_for_80pct_gmv"))
+    ``target`` of delivered GMV: the place of the first seller at which the running GMV
+    reaches the target (weighted selection, no sort), over the seller count."""
+    sr = stage(seller_revenue(items, orders), "seller-revenue")
+    ((cut,),) = cut_rows(sr, SELLER, [Share("gmv", Decimal(str(target)))])
+    place = F.lit(None).cast("bigint") if cut is None else F.lit(cut.place).cast("bigint")
+    return sr.agg(round2(pct(place, F.count(F.lit(1)))).alias("seller_pct_for_80pct_gmv"))

@@ -328,7 +328,7 @@ def test_rfm_scores_are_tiles_with_id_tie_break(spark):
     pays = [_pay(f"o{i}", 1, f"{(i + 1) * 10}.00") for i in range(10)] + [_pay("later", 1, "1.00")]
     t = make_tables(spark, customers=cs, orders=orders, order_payments=pays)
     out = {r.customer_unique_id: r for r in
-           rfm.rfm_segments(_olm(t, False), t["orders"], limit=None, partitions=3).collect()}
+           rfm.rfm_segments(_olm(t, False), t["orders"], limit=None).collect()}
     assert len(out) == 10
     assert out["c9"].frequency == 2 and out["c9"].recency == 0
     assert out["c9"].r_score == 5 and out["c9"].f_score == 5 and out["c9"].m_score == 5
