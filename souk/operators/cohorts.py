@@ -59,3 +59,11 @@ def cohort_retention(olm: DataFrame, max_month: int = 12, **skew) -> DataFrame:
                     round2(pct("retained_customers", "cohort_size")).alias("retention_pct"),
                     round2("retained_revenue").alias("retained_revenue"))
             .orderBy("cohort_month", "month_number"))
+
+
+def cohort_matrix(tall: DataFrame, months: int = 12, value: str = "retention_pct") -> DataFrame:
+    """The tall table as a matrix for BI tools: a row per cohort, columns ``m0`` to
+    ``m{months}`` (NULL where a cohort has no row). The months are declared, so the pivot is
+    one aggregate without a scan for its columns; several writes give the same columns."""
+    wide = tall.groupBy("cohort_month").pivot("month_number", list(range(months + 1))).agg(F.max(value))
+    return wide.select("cohort_month", *[F.col(f"`{m}`").alias(f"m{m}") for m in range(months + 1)])

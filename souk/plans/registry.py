@@ -16,7 +16,10 @@ from souk.operators import actions, categories, cohorts, kpi, quality, rfm, sell
 from souk.session import configure
 from souk.sources.loader import import_report as _import_report
 from souk.sources.loader import dedupe_reviews, load_tables, read_table
+from souk.sources.sinks import overwrite_partitions, read_partitions
+from souk.sources.staging import stage, staged_path
 from souk.sources.testdata import adapted_tables, raw_csv, raw_import
+from souk.streaming.upsert import read_reviews, upsert_reviews
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -106,6 +109,31 @@ def cohort_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cohorts.cohort_retention(_olm(_tables(spark, sf_dir), reviews=False))
 
 
+def cohort_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O8 as a wide table for BI tools: a row per cohort, a column per month."""
+    return cohorts.cohort_matrix(cohort_retention(spark, sf_dir))
+
+
+def cohort_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O8 written as a table partitioned by cohort. The first write knows only month 0 of the
+    last cohort; a rerun rewrites that cohort and leaves the others as they are."""
+    tall = stage(cohort_retention(spark, sf_dir), "cohorts")
+    last = tall.agg(F.max("cohort_month")).scalar()
+    path = staged_path(spark, "cohort-table")
+    overwrite_partitions(tall.filter((F.col("cohort_month") != last) | (F.col("month_number") == 0)), path, ["cohort_month"])
+    overwrite_partitions(tall.filter(F.col("cohort_month") == last), path, ["cohort_month"])
+    return read_partitions(spark, path, tall.schema)
+
+
+def upserted_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O1 by increments: the raw review files one after the other, upserted by order."""
+    configure(spark)
+    target, checkpoint = staged_path(spark, "reviews-table"), staged_path(spark, "reviews-checkpoint")
+    source = f"{raw_import(spark, sf_dir)}/order_reviews.parquet"
+    upsert_reviews(spark, source, target, checkpoint, "parquet", max_files_per_trigger=4).awaitTermination()
+    return read_reviews(spark, target).select("order_id", "review_id", F.col("review_score").cast("bigint").alias("review_score"))
+
+
 def state_service_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.state_service_gap(_olm(_tables(spark, sf_dir)))
 
@@ -170,6 +198,7 @@ QUERIES: dict[str, Query] = {
     "csv_import_report": csv_import_report,
     "csv_reviews": csv_reviews,
     "csv_rejected_reviews": csv_rejected_reviews,
+    "upserted_reviews": upserted_reviews,
     "order_level_metrics": order_level_metrics,
     "monthly_kpi": monthly_kpi,
     "check_constraints": check_constraints,
@@ -177,6 +206,8 @@ QUERIES: dict[str, Query] = {
     "payment_reconciliation": payment_reconciliation,
     "payment_reconciliation_sample": payment_reconciliation_sample,
     "cohort_retention": cohort_retention,
+    "cohort_matrix": cohort_matrix,
+    "cohort_rerun": cohort_rerun,
     "state_service_gap": state_service_gap,
     "rfm_segments": rfm_segments,
     "seller_risk": seller_risk,

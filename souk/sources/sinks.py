@@ -8,12 +8,13 @@ writes with overwrite, optional partition columns, and temp views.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 
 def write_table(df: DataFrame, path: str, *, mode: str = "overwrite",
                 partition_by: list[str] | None = None) -> None:
-    """Write a result (e.g. the tall cohort matrix) as Parquet; consumers
-    may pivot it, e.g. ``groupBy("cohort_month").pivot("month_number")``."""
+    """Write a result (e.g. the tall cohort table) as Parquet; :func:`souk.operators.cohorts.cohort_matrix`
+    is its wide form."""
     writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -31,3 +32,14 @@ def register_views(spark: SparkSession, frames: dict[str, DataFrame]) -> None:
     """Expose tables and the order-level view to SQL users under their names."""
     for name, df in frames.items():
         df.createOrReplaceTempView(name)
+
+
+def overwrite_partitions(df: DataFrame, path: str, by: list[str]) -> None:
+    """Rewrite only the partitions that ``df`` has rows for (a rerun of one month leaves
+    the other months as they are); the first write makes the folder."""
+    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path))
+
+
+def read_partitions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """What :func:`overwrite_partitions` wrote, with declared types (partition values are not guessed)."""
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
