@@ -12,13 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souk.functions.collation import collate_tables
 from souk.operators import actions, categories, cohorts, kpi, quality, rfm, sellers, semantic, states
 from souk.session import configure
 from souk.sources.loader import import_report as _import_report
 from souk.sources.loader import dedupe_reviews, load_tables, read_table
 from souk.sources.sinks import overwrite_partitions, read_partitions
 from souk.sources.staging import stage, staged_path
-from souk.sources.testdata import adapted_tables, raw_csv, raw_import
+from souk.sources.testdata import adapted_tables, raw_csv, raw_import, respelled
 from souk.streaming.upsert import read_reviews, upsert_reviews
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +181,19 @@ def seller_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sellers.seller_pareto(t["order_items"], t["orders"])
 
 
+def collated_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O11 over statuses and states in many spellings, equal under the collation."""
+    t = collate_tables(respelled(_tables(spark, sf_dir)))
+    return states.state_service_gap(_olm(t))
+
+
+def collated_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O10 over statuses and categories in many spellings, equal under the collation."""
+    t = collate_tables(respelled(_tables(spark, sf_dir)))
+    return categories.category_economics(t["order_items"], t["orders"], t["products"],
+                                         t["product_category_name_translation"], t["order_reviews"])
+
+
 def category_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _tables(spark, sf_dir)
     return categories.category_alerts(t["order_items"], t["orders"], t["products"],
@@ -217,6 +231,8 @@ QUERIES: dict[str, Query] = {
     "repeat_rate_gap": repeat_rate_gap,
     "revenue_concentration": revenue_concentration,
     "seller_pareto": seller_pareto,
+    "collated_states": collated_states,
+    "collated_categories": collated_categories,
     "category_alerts": category_alerts,
     "action_board": action_board,
 }

@@ -66,9 +66,9 @@ def dedupe_reviews(reviews: DataFrame) -> DataFrame:
 
 
 def normalise(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """Approximate the reference's case/space-insensitive collation on the few
-    text columns whose values are compared or grouped: statuses, states and
-    category names. Ids are opaque and left alone."""
+    """Trim and case-fold the few text columns whose values are compared or grouped:
+    statuses, states and category names. Ids are opaque and left alone. Full equality of
+    the reference's collation (accents too) is :func:`souk.functions.collation.collate_tables`."""
     out = dict(tables)
     out["orders"] = out["orders"].withColumn("order_status", F.lower(F.trim("order_status")))
     out["customers"] = out["customers"].withColumn("customer_state", F.upper(F.trim("customer_state")))

@@ -259,6 +259,21 @@ def raw_csv(spark: SparkSession, sf_dir: str) -> str:
     return _CSV[key]
 
 
+def respelled(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Statuses, states and categories in spellings that differ by row: case, accents and
+    trailing blanks (one row in four keeps the usual one)."""
+    def spelled(column: str, key: str) -> F.Column:
+        c, turn = F.col(column), F.pmod(F.hash(key), F.lit(4))
+        return (F.when(turn == 1, F.lower(c)).when(turn == 2, F.concat(F.lower(c), F.lit("  ")))
+                .when(turn == 3, F.translate(c, "aeAE", "áéÁÉ")).otherwise(c))
+
+    out = dict(tables)
+    for table, column, key in (("orders", "order_status", "order_id"), ("customers", "customer_state", "customer_id"),
+                               ("sellers", "seller_state", "seller_id"), ("products", "product_category_name", "product_id")):
+        out[table] = tables[table].withColumn(column, spelled(column, key))
+    return out
+
+
 _LOADED: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 # Bucketing key per table: the order-grain tables share ``order_id`` so their
