@@ -23,6 +23,7 @@ same small probability in each language; with no labelled row everything is
 from __future__ import annotations
 
 import re
+import unicodedata
 import uuid
 from dataclasses import dataclass
 
@@ -40,12 +41,20 @@ SMOOTHING = 0.05             # pseudo-count of every piece in every language
 UNKNOWN_LOG = -14.0          # natural log probability of a letter without a piece
 CACHE_WORDS = 200_000
 LONGEST_WORD = 64            # longer letter runs are scored in parts of this length
-WORD = re.compile(r"[^\W\d_]+")
+#: Numbers that are no decimal digits (superscripts, fractions, Roman and circled ones) count as
+#: word characters in Python; with them and the digits taken out, Unicode's letters are left.
+NUMERALS = "".join(chr(c) for c in range(0x20000) if unicodedata.category(chr(c)) in ("Nl", "No"))
+WORD = re.compile(rf"[^\W\d_{''.join(c for c in NUMERALS if c <= chr(0xFFFF))}]+")
+#: The same for texts with characters above U+FFFF (slow there, so only used for them).
+HIGH = re.compile("[\U00010000-\U0010ffff]")
+WORD_HIGH = re.compile(rf"[^\W\d_{NUMERALS}]+")
 UNDETERMINED = "und"
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    return (WORD_HIGH if HIGH.search(text) else WORD).findall(text.lower())
 
 
 @dataclass(frozen=True)

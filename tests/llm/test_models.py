@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import unicodedata
 import random
 import textwrap
 import zlib
@@ -51,6 +52,14 @@ def test_forward_sums_all_segmentations():
         assert np.allclose(got, want)
 
 
+def test_words_are_letters_only():
+    assert langid.words_of("x² ½ ① Ⅷ 𐄇a𐄈 ٣ b_c") == ["x", "a", "b", "c"]
+    assert langid.words_of("² ½ ① Ⅷ 12 _ 𐄇") == langid.words_of(None) == []
+    other = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000
+             and bool(langid.words_of(chr(c))) != any(unicodedata.category(x)[0] == "L" for x in chr(c).lower())]
+    assert other == []
+
+
 def test_language_of_held_out_documents(spark):
     rows, docs = labelled(spark)
     model = langid.fit(docs, pieces.default_model(), ~langid.held_out())
