@@ -10,11 +10,25 @@ from pyspark.sql import DataFrame
 def physical_plan(df: DataFrame, run: bool = True) -> str:
     """The final physical plan as text. With ``run`` the frame's own query
     execution is run (rows are counted, none are collected), so the plan is the
-    one adaptive execution ended with."""
+    one adaptive execution ended with (the plans it began with are printed too and left out)."""
     execution = df._jdf.queryExecution()
     if run:
         execution.toRdd().count()
-    return execution.executedPlan().toString()
+    return without_initial_plans(execution.executedPlan().toString())
+
+
+def without_initial_plans(plan: str) -> str:
+    """The text of a plan without the subtrees of initial plans (of the query and of its
+    subqueries): what stands at least as deep as their heading."""
+    kept, deeper = [], None
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :|+-"))
+        if deeper is not None and at >= deeper:
+            continue
+        deeper = at if "== Initial Plan ==" in line else None
+        if deeper is None:
+            kept.append(line)
+    return "\n".join(kept)
 
 
 def cross_products(plan: str) -> list[str]:

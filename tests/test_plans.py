@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from souk.plans.inspect import cross_products, physical_plan, unpartitioned_windows
+from souk.plans.inspect import cross_products, physical_plan, unpartitioned_windows, without_initial_plans
 from souk.plans.registry import QUERIES
 
 SF = os.environ.get("SOUK_TEST_SF", "/root/testdata/sf0.001")
@@ -49,3 +49,17 @@ def test_monthly_kpi_single_partition_only_over_months(spark):
 def test_repeat_rate_cuts_each_person_to_two_rows_before_the_shuffle(spark):
     plan = physical_plan(QUERIES["repeat_rate_gap"](spark, SF))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_initial_plans_are_left_out(spark):
+    """Of a query and of its subqueries; what stands behind a subquery stays."""
+    t = spark.range(1000).withColumn("k", F.col("id") % 7)
+    top = t.groupBy("k").count().agg(F.max("count")).scalar()
+    df = t.groupBy("k").count().filter(F.col("count") >= top)
+    plan = physical_plan(df)
+    raw = df._jdf.queryExecution().executedPlan().toString()
+    assert raw.count("== Initial Plan ==") >= 1 and "Initial Plan" not in plan
+    assert 1 <= plan.count("== Final Plan ==") <= raw.count("== Final Plan ==")   # an initial plan prints its subqueries too
+    assert plan.splitlines()[0] == raw.splitlines()[0]
+    text = "A\n+- == Final Plan ==\n   B\n   :- Sub\n   :  +- == Initial Plan ==\n   :     X\n   :     +- Y\n   +- C\n+- == Initial Plan ==\n   Z"
+    assert without_initial_plans(text).splitlines() == ["A", "+- == Final Plan ==", "   B", "   :- Sub", "   +- C"]
