@@ -186,5 +186,5 @@ def test_stages_on_an_empty_table(spark, tmp_path):
 
 def test_entry_has_one_query_per_operator():
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in queries() and set(oracle_sql()) <= set(queries())
