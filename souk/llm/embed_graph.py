@@ -7,7 +7,8 @@ Links are pairs of vectors with equal labels and cosine of at least a threshold.
 2. Nodes are put into overlapping shards: every label is cut by spherical k-means
    fitted on a bounded sample (``SAMPLE`` nodes a parent), a node enters the shards
    of its ``overlap`` nearest centroids, the nearest is its home; shards that are
-   still larger than ``SHARD_MAX`` are cut again, up to ``LEVELS`` times. Centroids
+   still larger than ``SHARD_MAX`` are cut again, up to ``LEVELS`` times. Members meet
+   their shard's centroids in slices of about ``SLICE`` rows, so a hot label is many tasks. Centroids
    that would link with each other are merged, so a dense group is not torn apart;
    a parent with no more than ``overlap`` centroids left stays whole, as its nodes
    could only be parted without overlap.
@@ -16,10 +17,12 @@ Links are pairs of vectors with equal labels and cosine of at least a threshold.
    it, times ``ALPHA``, than the node itself is.
 4. Adjacency lists of all shards, and their reverse edges, are united per node.
 5. Each node is searched for in its home shard, with the shard's members and
-   their neighbours from elsewhere: a greedy beam search from the shard's
-   medoid, then expansion of everything within range (and a little beyond).
+   their neighbours from lists built elsewhere: a greedy beam search from the shard's
+   medoid, then expansion of everything within range (and a little beyond). Two nodes in range
+   of one query are at most twice the range's angle apart, so longer edges bring no
+   neighbour from elsewhere.
    A shard that centroids cannot cut below ``SHARD_MAX`` (a dense group) is cut into
-   blocks by a hash; each block has a graph of its own, and every node is searched for in
+   blocks of about ``BLOCK`` shards by a hash; each block has a graph of its own, and every node is searched for in
    every block, one task a pair of blocks. Memory of a task is bounded, nothing is
    lost, and only counts leave these tasks; their work grows with the square of the
    group, as its links do.
@@ -50,8 +53,10 @@ from souk.llm.components import components
 from souk.sources.staging import drop_staged, stage
 
 THRESHOLD = 0.93
-SHARD = 1_500                # nodes a shard is cut for (before overlap)
-SHARD_MAX = 8_000           # larger shards are cut again
+SHARD = 300                  # nodes a shard is cut for (before overlap)
+SHARD_MAX = 2_400           # larger shards are cut again
+BLOCK = 5                    # blocks of groups that cannot be cut: so many times SHARD
+SLICE = 1_000                # members of one shard that meet its centroids in one group
 FANOUT = 64                  # centroids of one cut, at most
 LEVELS = 6
 SAMPLE = 4_000               # nodes that k-means of one parent sees, in expectation
@@ -64,7 +69,6 @@ AUDIT_LINKED = 100           # nodes with a true link that it wants to see; it d
 AUDIT_MOST = 6_400           # nodes drawn, at most
 AUDIT_PART = 20              # nodes with a true link from which on a label is judged alone
 RECALL_GOAL = 0.95
-PARENTS = 512                # parents cut in one pass: bounds the broadcast centroids
 
 
 # -- inside a task ---------------------------------------------------------------
@@ -259,6 +263,11 @@ def _compare_blocks(pdf: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "a", "b", "n", "m"])
 
 
+def reach(threshold: float) -> float:
+    """The least cosine of two nodes that can both be in range (``SLACK`` included) of one query."""
+    return float(np.cos(min(np.pi, 2 * np.arccos(np.clip(threshold - SLACK, -1, 1))))) - 1e-9
+
+
 # -- Spark -----------------------------------------------------------------------
 
 def nodes_of(rows: DataFrame) -> DataFrame:
@@ -275,9 +284,8 @@ def nodes_of(rows: DataFrame) -> DataFrame:
 def _cut(members: DataFrame, overlap: int, level: int, threshold: float) -> tuple[DataFrame, bool]:
     """Members of shards that are too large, put into the shards of their ``overlap``
     nearest centroids (left whole where no more than these stand apart: every node would
-    enter every shard, or the shards would share no node). Centroids of at most PARENTS
-    parents are broadcast at a time."""
-    spark = members.sparkSession
+    enter every shard, or the shards would share no node). Members are read once, in slices
+    of a shard that meet a copy of its centroids."""
     limit = SHARD if level == 0 else SHARD_MAX
     sizes = stage(members.groupBy("shard").agg(F.count(F.lit(1)).alias("size"), F.sum(F.col("home").cast("int")).alias("homes")),
                   "graph-sizes")
@@ -289,46 +297,41 @@ def _cut(members: DataFrame, overlap: int, level: int, threshold: float) -> tupl
 
     def centres(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        k = int(min(FANOUT, max(2 * overlap, -(-int(pdf["size"].iloc[0]) // SHARD))))
+        size = int(pdf["size"].iloc[0])
+        k = int(min(FANOUT, max(2 * overlap, -(-size // SHARD))))
         c = apart(kmeans(unit(pdf["vector"]), k), threshold)
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "centres": [c.reshape(-1).tolist()], "k": [len(c)]})
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "slices": [-(-size // SLICE)], "centres": [c.reshape(-1).tolist()], "k": [len(c)]})
 
     table = stage(drawn.select("shard", "size", "node", "vector").groupBy("shard")
-                  .applyInPandas(centres, "shard string, centres array<double>, k int").filter(F.col("k") > overlap), "graph-centres")
+                  .applyInPandas(centres, "shard string, slices int, centres array<double>, k int").filter(F.col("k") > overlap),
+                  "graph-centres")
     if table.isEmpty():
         return members, False
-    table = table.withColumn("pass", F.floor((F.row_number().over(_by_shard()) - 1) / PARENTS))
-    passes = (table.agg(F.max("pass")).first()[0] or 0) + 1
-    out = members.join(table.select("shard"), "shard", "left_anti").select(*members.columns)
-    for k in range(passes):
-        rows = table.filter(F.col("pass") == k).collect()              # at most PARENTS x FANOUT centroids
-        shared = spark.sparkContext.broadcast(
-            {r["shard"]: np.array(r["centres"]).reshape(r["k"], -1) for r in rows})
-
-        def assign(batches, shared=shared):
-            for pdf in batches:
-                parts = []
-                for shard, part in pdf.groupby("shard", sort=False):
-                    c = shared.value.get(shard)
-                    if c is None:
-                        continue
-                    near = np.argsort(-(unit(part["vector"]) @ c.T), axis=1, kind="stable")[:, :overlap]
-                    for j in range(near.shape[1]):
-                        p = part.copy()
-                        p["shard"] = [f"{shard}.{v}" for v in near[:, j]]
-                        p["home"] = part["home"] & (j == 0)
-                        parts.append(p)
-                if parts:
-                    yield pd.concat(parts)
-
-        out = out.unionAll(members.mapInPandas(assign, members.schema))
-    return stage(out.dropDuplicates(["shard", "node"]) if level else out, "graph-members"), True
-
-
-def _by_shard():
-    from pyspark.sql import Window
-
-    return Window.orderBy("shard")           # one row per oversize shard
+    columns = members.columns
+
+    def assign(key: tuple, part: pd.DataFrame, centre: pd.DataFrame) -> pd.DataFrame:
+        if part.empty:
+            return part[columns]
+        c = np.array(centre["centres"].iloc[0]).reshape(int(centre["k"].iloc[0]), -1)
+        near = np.argsort(-(unit(part["vector"]) @ c.T), axis=1, kind="stable")[:, :overlap]
+        rows = []
+        for j in range(near.shape[1]):
+            p = part[columns].copy()
+            p["shard"] = [f"{key[0]}.{v}" for v in near[:, j]]
+            p["home"] = part["home"] & (j == 0)
+            rows.append(p)
+        return pd.concat(rows)
+
+    whole = members.join(table.select("shard"), "shard", "left_anti").select(*columns)
+    sliced = members.join(table.select("shard", "slices"), "shard").withColumn(
+        "slice", F.pmod(F.xxhash64("node", F.lit(23)), F.col("slices")).cast("int"))
+    copies = table.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    cut = (sliced.select("slice", *columns).groupBy("shard", "slice")
+           .cogroup(copies.select("shard", "slice", "centres", "k").groupBy("shard", "slice")).applyInPandas(assign, members.schema))
+    if level:                                    # a node may reach a shard through two of its parents
+        cut = cut.groupBy("shard", "node").agg(F.max("home").alias("home"), F.first("vector").alias("vector"),
+                                               F.first("copies").alias("copies")).select(*columns)
+    return stage(whole.unionAll(cut), "graph-members"), True
 
 
 def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, overlap: int = OVERLAP, beam: int = BEAM) -> tuple[DataFrame, DataFrame]:
@@ -346,24 +349,29 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, overlap: int = O
     dense = not sizes.isEmpty()
     if dense:
         members = members.join(sizes, "base", "left").withColumn(
-            "blocks", F.ceil(F.col("size") / SHARD).cast("int")).withColumn(
+            "blocks", F.ceil(F.col("size") / (BLOCK * SHARD)).cast("int")).withColumn(
             "block", F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")).withColumn(
             "shard", F.concat_ws("#", "base", "block")).drop("size")
         members = stage(members, "graph-blocks")
 
     def adjacency(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
-        node = pdf["node"].to_numpy()
-        lists = build(unit(pdf["vector"]))
-        return pd.DataFrame({"node": node, "adjacent": [node[a] for a in lists]})
-
-    lists = members.groupBy("shard").applyInPandas(adjacency, "node bigint, adjacent array<bigint>")
-    edges = stage(lists.select("node", F.explode("adjacent").alias("other")), "graph-edges")
-    both = edges.unionAll(edges.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct()
+        node, x = pdf["node"].to_numpy(), unit(pdf["vector"])
+        lists = build(x)
+        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "node": node, "adjacent": [node[a] for a in lists],
+                             "near": [x[a] @ x[k] >= reach(threshold) for k, a in enumerate(lists)]})
+
+    lists = members.groupBy("shard").applyInPandas(adjacency, "shard string, node bigint, adjacent array<bigint>, near array<boolean>")
+    edges = stage(lists.select("shard", "node", F.explode(F.arrays_zip("adjacent", "near")).alias("e"))
+                  .select(F.col("shard").alias("built"), "node", F.col("e.adjacent").alias("other"), F.col("e.near").alias("near")),
+                  "graph-edges")
+    both = edges.unionAll(edges.select("built", F.col("other").alias("node"), F.col("node").alias("other"), "near"))
     # In- and out-neighbours of a node lie in its own shards: bounded by their size.
-    united = stage(both.groupBy("node").agg(F.collect_list("other").alias("adjacent")), "graph-united")
+    united = stage(both.groupBy("node").agg(F.collect_set("other").alias("adjacent")), "graph-united")
     place = members.select("shard", "base", "node")
-    halo = (place.join(united, "node").select("shard", "base", F.explode("adjacent").alias("node")).distinct()
+    # Neighbours from lists built in other shards only: those built here are members.
+    halo = (place.join(both.filter("near").select("built", "node", "other"), "node").filter("built != shard")
+            .select("shard", "base", F.col("other").alias("node")).distinct()
             .join(members.select("shard", "node"), ["shard", "node"], "left_anti")
             .join(nodes.select("node", "vector", "copies"), "node"))
     # A neighbour whose home is another block of the same shard is counted by the pair of blocks.
@@ -394,9 +402,9 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD, overlap: int = O
 
 def compare_all(nodes: DataFrame, threshold: float) -> DataFrame:
     """Classes of ``nodes`` from the cosines of all pairs of equal label: hash blocks of about
-    SHARD nodes, one task a pair of blocks, so a task's memory is bounded and only counts leave
+    BLOCK x SHARD nodes, one task a pair of blocks, so a task's memory is bounded and only counts leave
     it. Work grows with the square of a label."""
-    sizes = nodes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("blocks"))
+    sizes = nodes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / (BLOCK * SHARD)).cast("int").alias("blocks"))
     placed = nodes.select("shard", "node", "vector", "copies").join(sizes, "shard").withColumn(
         "block", F.pmod(F.xxhash64("node", F.lit(17)), F.col("blocks")).cast("int")).withColumn(
         "other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
