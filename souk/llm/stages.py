@@ -2,7 +2,9 @@
 
 Each takes ``(spark, docs, sf_dir)`` and works on all its predecessor kept. All but
 the last return the columns of ``docs``. Null texts leave in the first stage (they have
-no language); null ids are kept apart by their text; an empty table stays empty.
+no language); a document is its id together with its text, so different texts under one
+id (or without one) are different documents, and ids may be of any orderable type; columns
+beside ``doc_id`` and ``text`` may have any name; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -18,6 +20,12 @@ MIN_LANGUAGE_SCORE = 0.5
 STAGE_CACHE = 60_000
 
 
+def neutral(docs: DataFrame) -> DataFrame:
+    """``docs`` with its other columns named by position, so that no name can meet a helper
+    column of an operator; ``toDF(*docs.columns)`` names them back."""
+    return docs.toDF(*[c if c in ("doc_id", "text") else f"c{k}" for k, c in enumerate(docs.columns)])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter and those whose best language has a
     posterior below ``MIN_LANGUAGE_SCORE``."""
@@ -25,32 +33,42 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model.languages:                      # nothing labelled: only the first rule can decide
         return docs.filter(F.col("text").rlike(r"\p{L}"))
     guess = langid.language_of(model, spark, STAGE_CACHE)
-    marked = docs.withColumn("__guess", guess("text"))
-    kept = marked.filter((F.col("__guess.lang_pred") != langid.UNDETERMINED) & (F.col("__guess.score") >= MIN_LANGUAGE_SCORE))
-    return kept.select(*docs.columns)
+    plain = neutral(docs)
+    marked = plain.withColumn("guess", guess("text"))
+    kept = marked.filter((F.col("guess.lang_pred") != langid.UNDETERMINED) & (F.col("guess.score") >= MIN_LANGUAGE_SCORE))
+    return kept.select(*plain.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents whose fingerprints are linked the one with the least id
-    stays. A null id stands for an id made from the text (greater than usual ids)."""
-    made = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)
-    named = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("bigint"), made))
-    groups = simhash.simhash_groups(named.select(F.col("__id").alias("doc_id"), "text"))
-    stay = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return named.join(stay, "__id", "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    stays (null ids come last; then the least hash of the text). Rows that are one document
+    (equal id and text) leave one: the least of their other columns, written as JSON."""
+    plain = neutral(docs)
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                   F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"))
+    named = plain.withColumn("key", key)
+    groups = simhash.simhash_groups(named.select(F.col("key").alias("doc_id"), "text"))
+    stay = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("key")).distinct()
+    rest = [c for c in plain.columns if c not in ("doc_id", "text")]
+    row = F.struct(*plain.columns)
+    first = F.min_by(row, F.to_json(F.struct(*rest))) if rest else F.first(row)
+    kept = named.join(stay, "key", "left_semi").groupBy("key").agg(first.alias("row"))
+    return kept.select(*[F.col(f"row.{c}") for c in plain.columns]).toDF(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes repeated 200-byte strings out of the texts; documents with nothing left go."""
-    out = repeats.remove_repeats(docs).filter(F.col("text").isNull() | (F.trim("text") != ""))
+    plain = neutral(docs)
+    out = (repeats.remove_repeats(plain).filter(F.col("text").isNull() | (F.trim("text") != ""))
+           .select(*plain.columns).toDF(*docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.clean_documents(neutral(docs), table(spark, sf_dir, "benchmark")).toDF(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
