@@ -12,8 +12,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from souk.functions.bitmaps import number_keys
 from souk.functions.collation import collate_tables
-from souk.operators import actions, categories, cohorts, kpi, quality, rfm, sellers, semantic, states
+from souk.operators import actions, categories, cohorts, kpi, quality, reach, rfm, sellers, semantic, states
 from souk.session import configure
 from souk.sources.loader import import_report as _import_report
 from souk.sources.loader import dedupe_reviews, load_tables, read_table
@@ -135,6 +136,20 @@ def upserted_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_reviews(spark, target).select("order_id", "review_id", F.col("review_score").cast("bigint").alias("review_score"))
 
 
+def customer_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct customers per month, quarter, state and in all, from the bitmaps of two loads:
+    the orders up to the middle of the time covered, then the later ones."""
+    olm = _olm(_tables(spark, sf_dir), reviews=False)
+    bought = F.unix_micros(F.col("order_purchase_timestamp").cast("timestamp"))
+    middle = olm.agg((F.min(bought) + F.max(bought)) / 2).scalar()
+    early = F.coalesce(bought <= middle, F.lit(True))
+    numbers, loads = None, []
+    for load in (olm.filter(early), olm.filter(~early)):
+        numbers = number_keys(load, reach.PERSON, numbers)
+        loads.append(stage(reach.reach_bitmaps(load, numbers), "reach"))
+    return reach.customer_reach(*loads)
+
+
 def state_service_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.state_service_gap(_olm(_tables(spark, sf_dir)))
 
@@ -222,6 +237,7 @@ QUERIES: dict[str, Query] = {
     "cohort_retention": cohort_retention,
     "cohort_matrix": cohort_matrix,
     "cohort_rerun": cohort_rerun,
+    "customer_reach": customer_reach,
     "state_service_gap": state_service_gap,
     "rfm_segments": rfm_segments,
     "seller_risk": seller_risk,
