@@ -20,8 +20,9 @@ from souk.sources.loader import import_report as _import_report
 from souk.sources.loader import dedupe_reviews, load_tables, read_table
 from souk.sources.sinks import overwrite_partitions, read_partitions
 from souk.sources.staging import stage, staged_path
-from souk.sources.testdata import adapted_tables, raw_csv, raw_import, respelled
+from souk.sources.testdata import adapted_tables, loads_of_orders, raw_csv, raw_import, respelled
 from souk.streaming.upsert import read_reviews, upsert_reviews
+from souk.streaming.view_refresh import read_view, refresh_view
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,7 +77,19 @@ def csv_rejected_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_level_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    olm = _olm(_tables(spark, sf_dir))
+    return _shown(_olm(_tables(spark, sf_dir)))
+
+
+def refreshed_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O3 kept up to date: a first load and two changes, then the view as stored."""
+    t = _tables(spark, sf_dir)
+    target = staged_path(spark, "view")
+    for n, (change, customers) in enumerate(loads_of_orders(t)):
+        refresh_view(change, customers, target, n)
+    return _shown(read_view(spark, target))
+
+
+def _shown(olm: DataFrame) -> DataFrame:
     return olm.select(
         *[c for c in semantic.COLUMNS if c not in ("actual_delivery_days", "payment_value", "review_score")],
         F.col("actual_delivery_days").cast("bigint").alias("actual_delivery_days"),
@@ -229,6 +242,7 @@ QUERIES: dict[str, Query] = {
     "csv_rejected_reviews": csv_rejected_reviews,
     "upserted_reviews": upserted_reviews,
     "order_level_metrics": order_level_metrics,
+    "refreshed_view": refreshed_view,
     "monthly_kpi": monthly_kpi,
     "check_constraints": check_constraints,
     "missing_timestamp_count": missing_timestamp_count,

@@ -274,6 +274,31 @@ def respelled(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     return out
 
 
+def loads_of_orders(tables: dict[str, DataFrame]) -> list[tuple[dict[str, DataFrame], DataFrame]]:
+    """The order-grain tables as they come in over time: (change, customers then known) of a first
+    load and two changes. Orders of the last 90 days are first open or missing, with one
+    payment (some booked twice) and some with an early review; then they are closed. Last, some customers move."""
+    orders, payments, reviews, now = (tables[k] for k in ("orders", "order_payments", "order_reviews", "customers"))
+    bought, key = F.col("order_purchase_timestamp"), F.col("order_id").cast("bigint")
+    cut = orders.agg(F.max(bought) - F.expr("INTERVAL 90 DAYS")).scalar()
+    recent = orders.filter(bought >= cut)
+    ids = recent.select("order_id")
+    first = payments.join(ids, "order_id", "left_semi").filter("payment_sequential = 1")
+    twice = first.filter(key % 10 == 0)
+    opened = recent.filter(key % 3 != 0).withColumns({"order_status": F.lit("processing"),
+                                                      "order_delivered_customer_date": F.lit(None).cast("timestamp_ntz")})
+    late_reviews = reviews.join(ids, "order_id", "left_semi")
+    early = late_reviews.filter(key % 2 == 0).withColumns({"review_id": F.concat(F.lit("a"), "order_id"), "review_score": F.lit(1)})
+    moves = F.col("customer_id").cast("bigint") % 20 == 0
+    then = now.withColumns({c: F.when(moves, F.lit("elsewhere")).otherwise(F.col(c)) for c in ("customer_city", "customer_state")})
+    load = {"orders": orders.filter(F.coalesce(bought < cut, F.lit(True))).unionByName(opened),
+            "order_payments": payments.join(ids, "order_id", "left_anti").unionByName(first).unionByName(twice),
+            "order_reviews": reviews.join(ids, "order_id", "left_anti").unionByName(early)}
+    closed = {"orders": recent, "order_payments": payments.join(ids, "order_id", "left_semi").filter("payment_sequential > 1"),
+              "order_payments_withdrawn": twice, "order_reviews": late_reviews}
+    return [(load, then), (closed, then), ({"customers": now.filter(moves)}, now)]
+
+
 _LOADED: dict[tuple[str, str], dict[str, DataFrame]] = {}
 
 # Bucketing key per table: the order-grain tables share ``order_id`` so their
