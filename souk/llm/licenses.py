@@ -6,7 +6,7 @@ present (lower case, runs of a-z and 0-9). A sparse multinomial logistic
 regression (L1) tells licence families from ``unknown``. It is trained on
 
 * the family templates below, each in ``VARIANTS`` variants with words dropped or the
-  ends cut, and
+  ends cut (those that lose a deciding pair are left out), and
 * ``unknown`` paragraphs: a sample of the corpus (``SAMPLE_PARAGRAPHS`` in expectation)
   without a template's word pairs, the same with a few template words put in
   front (near misses), and single template words.
@@ -15,7 +15,10 @@ Probabilities are calibrated by one temperature, chosen on a held-out fold by
 log loss; a family is predicted only where its calibrated probability reaches
 ``ACCEPT``, all else is ``unknown``. Each prediction is then compared with the
 family's templates: the share of the best template's word pairs that the paragraph
-has; ``confirmed`` from ``CONFIRM`` on. A block also has every family of which it holds a
+has. It is ``confirmed`` by a template of which it has ``CONFIRM`` of the pairs and every
+deciding one (:func:`deciding_pairs`: pairs with a number, and those that set the template apart
+from a similar one of another family), unless the paragraph says that something is not
+licensed, released or granted (``DENIED``). A block also has every family of which it holds a
 whole template. A block gives way to a confirmed line of its family inside it (and an
 unconfirmed one to anything confirmed inside it); unconfirmed lines of a block's family, and
 those of any family with a similarity below ``PIECE`` inside a confirmed block, are parts of
@@ -34,6 +37,7 @@ not trained on); extra columns are ignored.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,17 +54,40 @@ TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file "
                    "except in compliance with the License."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the "
                 "GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the "
+                "GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the "
+                 "GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the "
+                 "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                     "provided that the following conditions are met"),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted "
+            "provided that the following conditions are met"),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+            "granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                        "International License."),
+    ("CC0-1.0", "Licensed under CC0 1.0 Universal."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("proprietary", "All rights reserved. No part of this work may be reproduced or distributed without prior written permission."),
 )
 UNKNOWN = "unknown"
@@ -69,6 +96,9 @@ SAMPLE_PARAGRAPHS = 2_000
 VOCABULARY = 4_096
 ACCEPT = 0.5
 CONFIRM = 0.8
+ALIKE = 0.5                  # a template with this share of its pairs in one of another family must show the rest
+DENIED = (r"(?i)\b(?:not|never|no longer|cannot|[a-z]+n['’]t)\s+(?:[a-z]+\s+)?"
+          r"(?:licen[sc]ed|released|distributed|redistribute|granted|permitted|subject|covered|available|under)\b")
 PIECE = 0.5                  # a line below this inside a confirmed block is a piece of the block's notice
 TEMPERATURES = (0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0)
 L1 = 5e-4
@@ -92,15 +122,33 @@ def with_terms(df: DataFrame, text: str) -> DataFrame:
 
 @dataclass
 class Model:
-    """``weights``: term, family, weight (difference to unknown); biases by family."""
+    """``weights``: term, w (by family in order, difference to unknown); biases by family."""
     weights: DataFrame
     biases: dict[str, float]
     temperature: float
     gate: list[str]                  # words without which every paragraph is unknown
 
 
+def deciding_pairs(table: tuple[tuple[str, str], ...] = TEMPLATES) -> list[list[str]]:
+    """For each template the word pairs that must be there: those with a number, and those missing
+    from a template of another family that has at least ``ALIKE`` of its pairs."""
+    each = []
+    for _, text in table:
+        w = [x for x in re.split("[^a-z0-9]+", text.lower()) if x]
+        each.append({f"{a} {b}" for a, b in zip(w, w[1:])})
+    out = []
+    for (family, _), own in zip(table, each):
+        need = {p for p in own if re.search("[0-9]", p)}
+        for (other, _), theirs in zip(table, each):
+            if other != family and len(own & theirs) >= ALIKE * len(own):
+                need |= own - theirs
+        out.append(sorted(need))
+    return out
+
+
 def templates(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(k, f, t) for k, (f, t) in enumerate(TEMPLATES)], "template int, family string, line string")
+    rows = spark.createDataFrame([(k, f, t, need) for k, ((f, t), need) in enumerate(zip(TEMPLATES, deciding_pairs()))],
+                                 "template int, family string, line string, need array<string>")
     return with_terms(rows, "line")
 
 
@@ -125,11 +173,12 @@ def training_rows(docs: DataFrame, sample: int = SAMPLE_PARAGRAPHS, variants: in
     spark = docs.sparkSession
     base = templates(spark)
     chance = lambda *c: F.pmod(F.xxhash64(*c), F.lit(1000))
-    many = base.select("template", "family", "__w", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("v"))
+    many = base.select("template", "family", "need", "__w", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("v"))
     dropped = F.filter(F.transform("__w", lambda w, i: F.when((F.col("v") == 0) | (chance("template", "v", i) >= 120), w)),
                        lambda w: w.isNotNull())
     cut = F.when(F.col("v") % 4 == 3, F.expr("slice(__d, 1, greatest(3, cast(size(__d) * 0.7 as int)))")).otherwise(F.col("__d"))
-    known = many.withColumn("__d", dropped).select("family", F.concat_ws(" ", cut).alias("line"))
+    known = many.withColumn("__d", dropped).select("family", "need", F.concat_ws(" ", cut).alias("line"))
+    known = known.filter(F.size(F.array_except("need", pairs(words(F.col("line"))))) == 0).select("family", "line")
 
     total = max(1, docs.count())
     draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample / 4 / total)) + 1
@@ -177,7 +226,11 @@ def fit(docs: DataFrame, **bounds) -> Model:
     common = {r["t"]: r["n"] for r in rows.filter(F.col("family") == UNKNOWN).select(F.explode("terms").alias("t"))
               .groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
     gate = gate_words(table, biases, common)
-    weights = spark.createDataFrame(table, "term string, family string, weight double")
+    order = {f: k for k, f in enumerate(sorted(biases))}
+    rows_of: dict[str, list[float]] = {}
+    for t, f, w in table:
+        rows_of.setdefault(t, [0.0] * len(order))[order[f]] = w
+    weights = spark.createDataFrame(list(rows_of.items()), "term string, w array<double>")
     out = Model(weights, biases, 1.0, gate)
     held = rows.filter("fold = 0").select(F.monotonically_increasing_id().alias("row"), "family", "terms", "w")
     out.temperature = _temperature(stage(held, "licence-held"), out)
@@ -212,31 +265,30 @@ def gate_words(table: list[tuple[str, str, float]], biases: dict[str, float], co
 
 
 def _margins(rows: DataFrame, keys: list[str], model: Model) -> DataFrame:
-    """``keys`` and margins: array of (family, margin over unknown), from exploded terms."""
-    bias = F.create_map(*[x for f, b in model.biases.items() for x in (F.lit(f), F.lit(b))])
+    """``keys`` and margins: array of (margin over unknown, family), from exploded terms."""
+    names = sorted(model.biases)
     met = (rows.select(*keys, F.explode("terms").alias("term")).join(F.broadcast(model.weights), "term")
-           .groupBy(*keys, "family").agg(F.sum("weight").alias("weight")))
-    return (met.groupBy(*keys).agg(F.collect_list(F.struct((F.col("weight") + bias[F.col("family")]).alias("margin"), "family"))
-                                   .alias("margins")))
-
-
-def _probabilities(margins: Column, temperature: float, model: Model) -> Column:
-    """Calibrated (probability, family) pairs; families without a term keep their bias."""
-    rest = F.array(*[F.struct(F.lit(b).alias("margin"), F.lit(f).alias("family")) for f, b in sorted(model.biases.items())])
-    seen = F.transform(margins, lambda m: m["family"])
-    every = F.concat(margins, F.filter(rest, lambda m: ~F.array_contains(seen, m["family"])))
-    raised = F.transform(every, lambda m: F.struct(F.exp(F.least(m["margin"] / temperature, F.lit(50.0))).alias("e"), m["family"].alias("family")))
-    total = F.aggregate(raised, F.lit(1.0), lambda a, m: a + m["e"])
+           .groupBy(*keys).agg(*[F.sum(F.get("w", F.lit(k))).alias(f"__m{k}") for k in range(len(names))]))
+    return met.select(*keys, F.array(*[F.struct((F.col(f"__m{k}") + F.lit(model.biases[f])).alias("margin"), F.lit(f).alias("family"))
+                                       for k, f in enumerate(names)]).alias("margins"))
+
+
+def _probabilities(margins: Column, temperature: float) -> Column:
+    """Calibrated (probability, family) pairs."""
+    top = F.greatest(F.array_max(F.transform(margins, lambda m: m["margin"])), F.lit(0.0))     # unknown has margin 0
+    raised = F.transform(margins, lambda m: F.struct(F.exp((m["margin"] - top) / temperature).alias("e"), m["family"].alias("family")))
+    total = F.aggregate(raised, F.exp(-top / temperature), lambda a, m: a + m["e"])
     return F.transform(raised, lambda m: F.struct((m["e"] / total).alias("probability"), m["family"].alias("family")))
 
 
 def _temperature(held: DataFrame, model: Model) -> float:
     """The temperature with the least weighted log loss on the held-out fold."""
     rows = held.join(_margins(held, ["row"], model), "row", "left").withColumn(
-        "margins", F.coalesce("margins", F.expr("cast(array() as array<struct<margin:double,family:string>>)")))
+        "margins", F.coalesce("margins", F.array(*[F.struct(F.lit(b).alias("margin"), F.lit(f).alias("family"))
+                                                   for f, b in sorted(model.biases.items())])))
     losses = []
     for t in TEMPERATURES:
-        p = _probabilities(F.col("margins"), t, model)
+        p = _probabilities(F.col("margins"), t)
         own = F.aggregate(p, F.lit(0.0), lambda a, m: a + F.when(m["family"] == F.col("family"), m["probability"]).otherwise(0.0))
         other = F.lit(1.0) - F.aggregate(p, F.lit(0.0), lambda a, m: a + m["probability"])
         truth = F.when(F.col("family") == UNKNOWN, other).otherwise(own)
@@ -255,20 +307,21 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     lines = stage(lines.drop("__w").dropDuplicates(["doc_id", "k1", "at", "last"]), "licence-lines")
     lines = lines.withColumn("id", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "k1", "at", "last"))
     margins = _margins(with_terms(lines, "line"), ["id"], model)
-    scored = lines.join(margins, "id").withColumn("each", _probabilities(F.col("margins"), model.temperature, model))
+    scored = lines.join(margins, "id").withColumn("each", _probabilities(F.col("margins"), model.temperature))
     scored = scored.withColumn("best", F.array_max("each"))
     one = F.filter("each", lambda x: (x["family"] == F.col("best.family")) & (x["probability"] >= ACCEPT))
-    tried = with_terms(scored, "line").select("doc_id", "k1", "at", "last", "terms", "best",
+    tried = with_terms(scored, "line").select("doc_id", "k1", "at", "last", "terms", "best", F.col("line").rlike(DENIED).alias("denied"),
                           F.explode(F.when(F.col("at") == F.col("last"), one).otherwise(F.col("each"))).alias("x"))
     accepted = (F.col("x.family") == F.col("best.family")) & (F.col("x.probability") >= ACCEPT)
-    tried = tried.select("doc_id", "k1", "at", "last", "terms", F.col("x.family").alias("family"),
+    tried = tried.select("doc_id", "k1", "at", "last", "terms", "denied", F.col("x.family").alias("family"),
                          F.col("x.probability").alias("probability"), accepted.alias("accepted"))
-    known = F.broadcast(templates(docs.sparkSession).select(F.col("family").alias("f"), F.col("__pairs").alias("own")))   # fixed values
+    known = F.broadcast(templates(docs.sparkSession).select(F.col("family").alias("f"), F.col("__pairs").alias("own"), "need"))   # fixed values
     # Terms hold the pairs: no word has a space in it.
     share = F.size(F.array_intersect("terms", "own")) / F.size(F.array_distinct("own"))
+    proven = (F.col("share") >= CONFIRM) & (F.size(F.array_except("need", "terms")) == 0) & ~F.col("denied")
     compared = tried.join(known, F.col("family") == F.col("f")).withColumn("share", share).filter("accepted or share = 1")
     return (compared.groupBy("doc_id", "k1", "at", "last", "family", "probability")
-            .agg(F.max("share").alias("similarity")).withColumn("confirmed", F.col("similarity") >= CONFIRM))
+            .agg(F.max("share").alias("similarity"), F.max(proven).alias("confirmed")))
 
 
 def _once(found: Column) -> Column:

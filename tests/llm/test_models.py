@@ -236,6 +236,77 @@ def test_wrapped_licences(spark):
     assert not any(pieces_of.values()), pieces_of               # no part of a notice is reported beside it
 
 
+RIVALS = (
+    ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+    ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public "
+     "License as published by the Free Software Foundation, either version 3 of the License", "LGPL-3.0"),
+    ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+    ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+    ("Licensed under the Apache License, Version 1.1.", "Apache-1.1"),
+    ("Not licensed under the MIT License.", None),
+    ("This work is no longer licensed under the GNU General Public License, version 3.", None),
+    ("It isn't released under the MIT License.", None),
+    ("This work is licensed under the GNU General Public License, version 1.", None),
+    ("Licensed under CC BY 3.0.", None),
+    ("This work is licensed under a Creative Commons Attribution 2.5 International License.", None),
+    ("Licensed under CC BY-NC-ND 4.0.", None),
+    ("This work is licensed under the GNU Free Documentation License, version 3.", None),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", None),
+    ("We do not sell it. Licensed under the MIT License.", "MIT"),
+)
+
+
+def test_rival_licences(spark):
+    """A notice that differs in the deciding word is confirmed as its own family or as none."""
+    rng = random.Random(21)
+    texts = [prose(rng, "aa", 20) + "\n" + t + "\n" + prose(rng, "cc", 20) for t, _ in RIVALS]
+    texts += [prose(rng, rng.choice(list(SYLLABLES)), 40) for _ in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: [x["family"] for x in r["paragraphs"] if x["confirmed"]] for r in licenses.licence_report(docs).collect()}
+    for k in range(len(texts)):
+        want = [RIVALS[k][1]] if k < len(RIVALS) and RIVALS[k][1] else []
+        assert got[k] == want, (texts[k], got[k])
+
+
+def test_deciding_pairs():
+    table = (("A", "under the big red licence version 2"), ("B", "under the big blue licence version 2"), ("A", "quite other words"))
+    assert licenses.deciding_pairs(table) == [["big red", "red licence", "version 2"], ["big blue", "blue licence", "version 2"], []]
+    for (family, text), need in zip(licenses.TEMPLATES, licenses.deciding_pairs()):
+        others = [t for f, t in licenses.TEMPLATES if f != family]
+        have = lambda t: {" ".join(x) for x in itertools.pairwise(w for w in "".join(c if c.isalnum() else " " for c in t.lower()).split())}
+        share = lambda t: len(have(text) & have(t)) / len(have(text))
+        assert set(need) <= have(text)
+        assert not any(share(t) >= licenses.CONFIRM and set(need) <= have(t) for t in others), text
+
+
+def test_scan_is_the_plain_logistic_model(licence_documents):
+    """Every line's probability from the model's weights by hand; similarity from sets."""
+    rows, docs = licence_documents
+    model = licenses.fit(docs)
+    names = sorted(model.biases)
+    weights = {r["term"]: r["w"] for r in model.weights.collect()}
+    got = {(r["doc_id"], r["at"]): r for r in licenses.scan(docs, model).filter("at = last and doc_id is not null").collect()}
+    want = {}
+    for i, text, _ in rows:
+        for at, line in enumerate((text or "").split("\n")) if i is not None else ():
+            w = [x for x in "".join(c if c.isascii() and c.isalnum() else " " for c in line.lower()).split()]
+            two = {f"{a} {b}" for a, b in zip(w, w[1:])}
+            m = [model.biases[f] + sum(weights[t][k] for t in {*w, *two} if t in weights) for k, f in enumerate(names)]
+            top = max(0.0, *m)
+            e = [math.exp((x - top) / model.temperature) for x in m]
+            p, k = max((x / (math.exp(-top / model.temperature) + sum(e)), k) for k, x in enumerate(e))
+            if p >= licenses.ACCEPT:
+                own = [{f"{a} {b}" for a, b in itertools.pairwise("".join(c if c.isalnum() else " " for c in t.lower()).split())}
+                       for f, t in licenses.TEMPLATES if f == names[k]]
+                want[i, at] = (names[k], p, max(len(two & o) / len(o) for o in own))
+    assert set(got) == set(want) and len(want) >= 30
+    for key, (family, p, similarity) in want.items():
+        r = got[key]
+        assert (r["family"], r["similarity"]) == (family, similarity) and math.isclose(r["probability"], p, rel_tol=1e-9)
+
+
 def test_gate_words_never_hide_a_family():
     rng = random.Random(3)
     words = ["a", "b", "c", "d", "e"]
