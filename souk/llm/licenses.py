@@ -146,6 +146,12 @@ def deciding_pairs(table: tuple[tuple[str, str], ...] = TEMPLATES) -> list[list[
     return out
 
 
+def probes() -> list[str]:
+    """One word pair of every template: its longest."""
+    longest = lambda w: max((f"{a} {b}" for a, b in zip(w, w[1:])), key=len)
+    return sorted({longest([x for x in re.split("[^a-z0-9]+", t.lower()) if x]) for _, t in TEMPLATES})
+
+
 def templates(spark: SparkSession) -> DataFrame:
     rows = spark.createDataFrame([(k, f, t, need) for k, ((f, t), need) in enumerate(zip(TEMPLATES, deciding_pairs()))],
                                  "template int, family string, line string, need array<string>")
@@ -307,7 +313,11 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     lines = stage(lines.drop("__w").dropDuplicates(["doc_id", "k1", "at", "last"]), "licence-lines")
     lines = lines.withColumn("id", F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), "k1", "at", "last"))
     margins = _margins(with_terms(lines, "line"), ["id"], model)
-    scored = lines.join(margins, "id").withColumn("each", _probabilities(F.col("margins"), model.temperature))
+    # A family of probability ACCEPT (a half at least) has a margin of 0 or more; a block with a whole template has its probe.
+    hint = F.arrays_overlap("terms", F.array(*map(F.lit, probes())))
+    likely = F.array_max(F.transform("margins", lambda m: m["margin"])) >= 0
+    met = with_terms(lines.join(margins, "id"), "line").filter(likely | ((F.col("at") < F.col("last")) & hint))
+    scored = met.drop("terms", "__w", "__pairs").withColumn("each", _probabilities(F.col("margins"), model.temperature))
     scored = scored.withColumn("best", F.array_max("each"))
     one = F.filter("each", lambda x: (x["family"] == F.col("best.family")) & (x["probability"] >= ACCEPT))
     tried = with_terms(scored, "line").select("doc_id", "k1", "at", "last", "terms", "best", F.col("line").rlike(DENIED).alias("denied"),
