@@ -9,6 +9,7 @@ by that key, and the report is their union, one row per rule.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 from decimal import Decimal
 
@@ -124,14 +125,16 @@ def key_groups() -> list[KeyGroup]:
     return groups
 
 
-def group_report(tables: dict[str, DataFrame], group: KeyGroup) -> DataFrame:
+def group_report(tables: Mapping[str, DataFrame], group: KeyGroup, partitions: int | None = None) -> DataFrame:
     """All rules of a group from one tagged union of its tables, grouped by the key.
 
     Rows of every table meet at their key with a tag: keys are counted with the rest of the
     primary key first (a repeated key has more than one row), then per key value it is
-    known how many rows each table has, so references without a parent need no join. Tables
-    bucketed by the key are grouped where they lie; others are combined map-side, so a
-    value that very many rows share is one row a task."""
+    known how many rows each table has, so references without a parent need no join. Rows
+    carry their broken rules as one number of bits. Where whole primary keys are counted, rows
+    are shuffled by the key once for both groupings, into ``partitions`` where that is given (enough
+    of them that a grouping needs no spill); elsewhere they are combined map-side,
+    so a value that very many rows share is one row a task."""
     keys = {k.table: k for k in KEY_RULES}
     rules = [r for r in ROW_RULES if r.table in group.owned]
     width = max(len(keys[t].columns) for t in group.owned) - 1
@@ -139,28 +142,31 @@ def group_report(tables: dict[str, DataFrame], group: KeyGroup) -> DataFrame:
     for table in group.owned:
         rest = [F.col(c).cast("string") for c in keys[table].columns[1:]]
         rest += [F.lit(None).cast("string")] * (width - len(rest))
-        flags = [F.when(F.expr(r.bad), 1).otherwise(0) if r.table == table else F.lit(0) for r in rules]
-        parts.append((F.col(group.key), table, rest, flags))
+        broken = sum((F.when(F.expr(r.bad), 1 << i).otherwise(0) for i, r in enumerate(rules) if r.table == table), F.lit(0))
+        parts.append((F.col(group.key), table, rest, broken))
     for r in group.references:
         if r.table not in group.owned:
-            parts.append((F.col(r.column), r.name, [F.lit(None).cast("string")] * width, [F.lit(0)] * len(rules)))
+            parts.append((F.col(r.column), r.name, [F.lit(None).cast("string")] * width, F.lit(0)))
+    tags = [tag for _, tag, _, _ in parts]
     union = None
-    for key, tag, rest, flags in parts:
+    for at, (key, tag, rest, broken) in enumerate(parts):
         source = tag if tag in tables else next(r.table for r in group.references if r.name == tag)
-        part = tables[source].select(key.alias("__key"), F.lit(tag).alias("__tag"), *[c.alias(f"__s{i}") for i, c in enumerate(rest)],
-                                     *[c.alias(f"c{i}") for i, c in enumerate(flags)])
+        part = tables[source].select(key.alias("__key"), F.lit(at).alias("__tag"), *[c.alias(f"__s{i}") for i, c in enumerate(rest)],
+                                     broken.cast("bigint").alias("__bad"))
         union = part if union is None else union.unionAll(part)
+    if width:                                             # rows meet once, both groupings are done where they lie
+        union = union.repartition(*([partitions] if partitions else []), "__key")
+    union = union.select("*", *[F.getbit("__bad", F.lit(i)).alias(f"c{i}") for i in range(len(rules))]).drop("__bad")
     broken = [F.sum(f"c{i}").alias(f"c{i}") for i in range(len(rules))]
     if width:                                             # count whole primary keys first
         union = union.groupBy("__key", "__tag", *[f"__s{i}" for i in range(width)]).agg(F.count(F.lit(1)).alias("__n"), *broken)
-        rows, repeated = F.sum, lambda tag: F.count_if((F.col("__tag") == tag) & (F.col("__n") > 1))
+        rows, repeated = F.sum, lambda at: F.count_if((F.col("__tag") == at) & (F.col("__n") > 1))
         amount = F.col("__n")
     else:
         rows, repeated, amount = F.count, None, F.lit(1)
-    tags = [tag for _, tag, _, _ in parts]
-    count = [rows(F.when(F.col("__tag") == tag, amount)).alias(f"n{i}") for i, tag in enumerate(tags)]
+    count = [rows(F.when(F.col("__tag") == i, amount)).alias(f"n{i}") for i in range(len(tags))]
     if repeated is not None:
-        count += [repeated(tag).alias(f"pk{i}") for i, tag in enumerate(group.owned)]
+        count += [repeated(i).alias(f"pk{i}") for i in range(len(group.owned))]
     per_key = union.groupBy("__key").agg(*count, *broken)
     orphan = F.col("__key").isNotNull() & (F.coalesce(F.col("n0"), F.lit(0)) == 0)
     totals, entries = [], []
@@ -194,15 +200,16 @@ def dangling_references(child: DataFrame, column: str, parent: DataFrame, parent
             .join(keys, F.col(column) == F.col("__parent_key"), "left_anti"))
 
 
-def check_constraints(tables: dict[str, DataFrame]) -> DataFrame:
+def check_constraints(tables: Mapping[str, DataFrame], partitions: int | None = None) -> DataFrame:
     """O2: one row per constraint of the reference schema with the number of
     violations: NULLs in NOT NULL columns, repeated primary-key values,
     references without a parent (a NULL reference is not a violation) and
     rows failing a CHECK. Tables that share a key are grouped together once
-    (:func:`group_report`), so each is read once per key it has or refers to."""
+    (:func:`group_report`), so each is read once per key it has or refers to, and only in the
+    columns that rules name."""
     report = None
     for group in key_groups():
-        part = group_report(tables, group)
+        part = group_report(tables, group, partitions)
         report = part if report is None else report.unionByName(part)
     return report
 
