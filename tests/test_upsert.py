@@ -72,3 +72,23 @@ def test_rerun_of_one_month_leaves_others(spark, tmp_path):
     assert got.schema == tall.schema
     wide = {r.cohort_month: r for r in cohort_matrix(got, 2).collect()}
     assert wide["2018-01"][1:] == (100.0, None, 5.0) and wide["2018-02"][1:] == (100.0, 7.0, None)
+
+
+def test_reviews_are_rewritten_seldom(spark, tmp_path):
+    """Eight batches of one order each: 20 rows are written in all, not 36."""
+    target = f"{tmp_path}/t"
+    for n in range(8):
+        merge_batch(make_tables(spark, order_reviews=[review(n, f"o{n}", 1)])["order_reviews"], n, target, parts=1)
+        assert as_set(read_reviews(spark, target)) == [(f"o{k}", f"r{k}", 3) for k in range(n + 1)]
+    assert sum(spark.read.parquet(f"{target}/batch={n}").count() for n in range(8)) == 20
+
+
+def test_folders_of_parts_are_still_read(spark, tmp_path):
+    """Batches written as whole parts (``batch=b/part=p``) count with the runs after them."""
+    target = f"{tmp_path}/t"
+    for n, (part, rows) in enumerate([(0, [review(1, "a", 5)]), (1, [review(2, "b", 1)]), (1, [review(2, "b", 1), review(3, "d", 1)])]):
+        make_tables(spark, order_reviews=rows)["order_reviews"].write.parquet(f"{target}/batch={n}/part={part}")
+        (tmp_path / "t" / f"batch={n}" / "_SUCCESS").touch()
+    assert as_set(read_reviews(spark, target)) == [("a", "r1", 3), ("b", "r2", 3), ("d", "r3", 3)]
+    merge_batch(make_tables(spark, order_reviews=[review(4, "b", 2)])["order_reviews"], 3, target)
+    assert as_set(read_reviews(spark, target)) == [("a", "r1", 3), ("b", "r4", 3), ("d", "r3", 3)]
