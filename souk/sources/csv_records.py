@@ -102,48 +102,70 @@ def record_parts(lines: DataFrame) -> DataFrame:
     when the record ends there). ``first`` marks the first record of a file."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        here, pending, begun, first, rows = None, [], "tail", False, []
+        # The unfinished record of the split ``here``: its lines so far, how it began, and
+        # whether it is (or the next one will be) the first of its file.
+        here, pending, begun, first, open_ = None, [], "tail", False, False
+
+        def rows(file, split, part, closed, firsts, records):
+            n = len(records)
+            return pa.RecordBatch.from_arrays(
+                [pa.repeat(pa.scalar(file, pa.string()), n), pa.repeat(pa.scalar(split, pa.int64()), n),
+                 pa.repeat(pa.scalar(part, pa.string()), n), pa.repeat(pa.scalar(closed, pa.bool_()), n),
+                 pa.array(firsts, pa.bool_()), pa.array(records, pa.string()) if isinstance(records, list) else records],
+                names=["file", "split", "part", "closed", "first", "record"])
 
         def flush():
             """The unfinished record of the split that ends."""
             if pending:
-                rows.append((*here, begun, False, first, "\n".join(pending)))
+                yield rows(*here, begun, False, [first], ["\n".join(pending)])
                 pending.clear()
 
+        def joined(values, starts):
+            """Lines from each start up to the next, put together."""
+            return pc.binary_join(pa.ListArray.from_arrays(pa.array([*starts, len(values)], pa.int32()), values), "\n")
+
         for batch in batches:
-            values = batch.column("value")
-            keys = list(zip(batch.column("file").to_pylist(), batch.column("split").to_pylist(), strict=True))
-            inside = batch.column("inside").to_pylist()
-            odd = [q & 1 for q in pc.count_substring(values, '"').to_pylist()]
-            texts = values.to_pylist()
-            for key, starts_inside, flip, text in zip(keys, inside, odd, texts, strict=True):
+            if not batch.num_rows:
+                continue
+            texts = batch.column("value").cast(pa.string())
+            names = batch.column("file").dictionary_encode()
+            splits = batch.column("split").to_numpy(zero_copy_only=False)
+            odds = (pc.count_substring(texts, '"').to_numpy(zero_copy_only=False) & 1).astype(bool)
+            codes = names.indices.to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(splits) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                key = (names.dictionary[int(codes[lo])].as_py(), int(splits[lo]))
                 if key != here:
-                    flush()
-                    here, first = key, key[1] == 0
-                    open_, begun = starts_inside, "head" if starts_inside else "tail"
-                if open_ or flip:
-                    pending.append(text)
-                    if open_ and flip:
-                        rows.append((*here, "whole" if begun == "tail" else "head", True, first, "\n".join(pending)))
+                    yield from flush()
+                    here, first, open_ = key, key[1] == 0, batch.column("inside")[lo].as_py()
+                    begun = "head" if open_ else "tail"
+                values, odd = texts.slice(lo, hi - lo), odds[lo:hi]
+                after = np.logical_xor.accumulate(np.concatenate([[open_], odd]))
+                starts = np.flatnonzero(~after[:-1])               # a line that begins outside quotes begins a record
+                open_ = bool(after[-1])
+                held = int(starts[0]) if len(starts) else len(values)
+                if held:                                           # goes on with the unfinished record
+                    pending.append("\n".join(values.slice(0, held).to_pylist()))
+                    if not after[held]:
+                        yield rows(*here, "whole" if begun == "tail" else "head", True, [first], ["\n".join(pending)])
                         pending.clear()
                         first, begun = False, "tail"
-                    open_ ^= bool(flip)
+                if len(starts) and open_:                          # the last record is unfinished
+                    last, starts = int(starts[-1]), starts[:-1]
+                    rest, values = values.slice(last), values.slice(0, last)
                 else:
-                    rows.append((*here, "whole", True, first, text))
-                    first = False
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                    zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string()), strict=True)],
-                    names=["file", "split", "part", "closed", "first", "record"])
-                rows.clear()
-        flush()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-                zip(*rows, strict=True), (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.string()), strict=True)],
-                names=["file", "split", "part", "closed", "first", "record"])
+                    rest = None
+                if len(starts):
+                    firsts = np.zeros(len(starts), bool)
+                    firsts[0], first = first, False
+                    yield rows(*here, "whole", True, firsts, joined(values.slice(held), starts - held))
+                if rest is not None:
+                    pending.append("\n".join(rest.to_pylist()))
+        yield from flush()
 
     return lines.mapInArrow(run, PARTS)
 

@@ -95,3 +95,20 @@ def test_load_fails_or_reports(spark, tmp_path):
     assert [r.order_id for r in tables["order_payments"].collect()] == ["o1"]
     assert [r.record for r in rejects["order_payments"].collect()] == ["o2,one,boleto,1,3"]
     assert rejects["orders"].count() == 0
+
+
+def test_records_of_batches_of_any_length(spark, tmp_path, small_splits):
+    """Records that cross batches, splits and files come out the same however the lines are dealt."""
+    rng, want = random.Random(5), []
+    for k in range(2):
+        text = make(rng, 60, "\n")
+        (tmp_path / f"part-{k}.csv").write_text(text, newline="")
+        want += [(int(i), a, b) for i, a, b in list(csv.reader(io.StringIO(text, newline="")))[1:]]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "2", "3", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            got = csv_records.import_csv(spark, SCHEMA, str(tmp_path)).rows.collect()
+            assert sorted((r.id, r.a or "", r.b or "") for r in got) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
