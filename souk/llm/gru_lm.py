@@ -34,7 +34,6 @@ an empty table gives an empty result.
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,7 +59,8 @@ TASK_TOKENS = 500_000        # tokens (whole documents) laid out at a time in a
 TASK_RATE = 0.004            # of Adam, in the first round; falls to half of it in the last
 MODELS = 32                  # models averaged in one step
 GROUP_TOKENS, GROUP_DOCS = 3_000_000, 20_000
-FLUSH = 400_000              # distinct tokens counted in a task before they are handed on
+FLUSH = 60_000_000           # bytes of tokens gathered in a task before they are counted and handed on
+BLOCK = 16_384               # tokens whose probabilities are computed at a time
 
 
 def tokens(text: str | None) -> list[str]:
@@ -72,6 +72,35 @@ def tokens(text: str | None) -> list[str]:
     return out
 
 
+def words_of(texts):
+    """An Arrow array of texts as (all words of all texts, where each text's words end):
+    the words of :func:`tokens` without the end marks, cut by Arrow instead of one by one."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    found = cut.flatten()
+    filled = pc.not_equal(found, "")                                     # a text's ends may give empty ones
+    upto = np.concatenate(([0], np.cumsum(filled.to_numpy(zero_copy_only=False))))
+    return found.filter(filled), upto[cut.offsets.to_numpy()[1:]]
+
+
+def with_ends(codes: np.ndarray, cuts: np.ndarray, end: int) -> np.ndarray:
+    """The words' codes with one end mark after each text."""
+    out = np.full(len(codes) + len(cuts), end, np.int32)
+    inside = np.ones(len(out), bool)
+    inside[cuts + np.arange(len(cuts))] = False
+    out[inside] = codes
+    return out
+
+
+def codes_of(words, table) -> np.ndarray:
+    """Places of the words in the table, -1 where they are not in it."""
+    import pyarrow.compute as pc
+
+    return pc.fill_null(pc.index_in(words, value_set=table), -1).to_numpy()
+
+
 # -- the model -----------------------------------------------------------------
 
 @dataclass
@@ -111,93 +140,126 @@ def new_model(counts: np.ndarray, hidden: int = HIDDEN, classes: int = CLASSES,
                small(len(counts), hidden), np.log(freq / freq.sum()).astype(np.float32), cuts)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-x))
-
-
-def _step(m: Gru, words: np.ndarray, h: np.ndarray):
-    hid = m.hidden
-    e, u = m.embed[words], h @ m.recur
-    gates = _sigmoid(e[:, :2 * hid] + u[:, :2 * hid])
-    z, r, un = gates[:, :hid], gates[:, hid:], u[:, 2 * hid:]
-    n = np.tanh(e[:, 2 * hid:] + r * un)
-    return n + z * (h - n), z, r, n, un
-
-
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+# States and logits are laid out with the places in a text last: (hidden, places) and
+# (words, places). numpy's loops then run over long contiguous rows.
+
+def _gates(fed: np.ndarray, recur: np.ndarray, h: np.ndarray):
+    """One step of the recurrence from the inputs' part (3H, places) and the states (H, places)."""
+    hid = len(h)
+    u = recur @ h
+    gates, un = u[:2 * hid], u[2 * hid:]
+    gates += fed[:2 * hid]
+    np.negative(gates, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    z, r = gates[:hid], gates[hid:]
+    n = r * un
+    n += fed[2 * hid:]
+    np.tanh(n, out=n)
+    out = h - n
+    out *= z
+    out += n
+    return out, z, r, n, un
+
+
+def _softmax(weights: np.ndarray, bias: np.ndarray, states: np.ndarray):
+    """Exponentials (words, places) of the logits less their maximum, their sums, and the logits less it."""
+    x = weights @ states
+    x += bias[:, None]
+    x -= x.max(axis=0)
+    e = np.exp(x)
+    return e, e.sum(axis=0), x
+
+
+def _by_class(m: Gru, words: np.ndarray):
+    """Classes of the words, the order that sorts them by class, and the classes' edges in it."""
+    kind = np.repeat(np.arange(len(m.cuts) - 1, dtype=np.min_scalar_type(len(m.cuts))), np.diff(m.cuts))[words]
+    order = np.argsort(kind, kind="stable")
+    kind = kind[order]
+    return kind, order, np.searchsorted(kind, np.arange(len(m.cuts)))
 
 
 def log_probs(m: Gru, states: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Natural log probability of each word given the state before it."""
-    kind = np.searchsorted(m.cuts, words, side="right") - 1
-    out = _log_softmax(states @ m.to_class + m.class_bias)[np.arange(len(words)), kind].astype(np.float64)
-    order = np.argsort(kind, kind="stable")
-    edge = np.searchsorted(kind[order], np.arange(len(m.cuts)))
+    """Natural log probability of each word given the state before it, a row of ``states``."""
+    kind, order, edge = _by_class(m, words)
+    states, words, place = states.T.take(order, axis=1), words[order], np.arange(len(words))
+    _, total, x = _softmax(m.to_class.T, m.class_bias, states)
+    lp = x[kind, place].astype(np.float64) - np.log(total)
     for k in range(len(m.cuts) - 1):
-        rows = order[edge[k]:edge[k + 1]]
-        a, b = m.cuts[k], m.cuts[k + 1]
-        if len(rows) and b - a > 1:
-            inner = _log_softmax(states[rows] @ m.to_word[a:b].T + m.word_bias[a:b])
-            out[rows] += inner[np.arange(len(rows)), words[rows] - a]
+        rows, a, b = slice(edge[k], edge[k + 1]), m.cuts[k], m.cuts[k + 1]
+        if edge[k] < edge[k + 1] and b - a > 1:
+            _, total, x = _softmax(m.to_word[a:b], m.word_bias[a:b], states[:, rows])
+            lp[rows] += x[words[rows] - a, place[:x.shape[1]]] - np.log(total)
+    out = np.empty(len(words))
+    out[order] = lp
     return out
 
 
+def _flat(x: np.ndarray) -> np.ndarray:
+    """(steps, rows, streams) as (rows, places)."""
+    return x.transpose(1, 0, 2).reshape(x.shape[1], -1)
+
+
 def _gradients(m: Gru, inputs: np.ndarray, targets: np.ndarray, h: np.ndarray, end: int):
-    """Gradients of the mean loss of one window (T, B) and the last state."""
-    hid, (steps, width) = m.hidden, inputs.shape
-    saved, states = [], np.empty((steps, width, hid), np.float32)
+    """Gradients of the mean loss of one window (T, B) and the last state (B, H)."""
+    hid, (steps, width), real = m.hidden, inputs.shape, m.recur.dtype
+    goes_on = (inputs != end).astype(real)                     # a document starts anew
+    fed = np.ascontiguousarray(m.embed[inputs].transpose(0, 2, 1))
+    recur, h = np.ascontiguousarray(m.recur.T), h.T
+    before, z, r, n, un, states = (np.empty((steps, hid, width), real) for _ in range(6))
     for t in range(steps):
-        h = np.where((inputs[t] == end)[:, None], np.float32(0), h)     # a document starts anew
-        before = h
-        h, z, r, n, un = _step(m, inputs[t], h)
-        saved.append((before, z, r, n, un))
+        before[t] = h * goes_on[t]
+        h, z[t], r[t], n[t], un[t] = _gates(fed[t], recur, before[t])
         states[t] = h
-    flat, goal = states.reshape(-1, hid), targets.reshape(-1)
     grads = [np.zeros_like(a) for a in m.arrays()]
     d_embed, d_recur, d_class, d_class_bias, d_word, d_word_bias = grads
-    scale = np.float32(1.0 / len(goal))
-    kind = np.searchsorted(m.cuts, goal, side="right") - 1
-    lp = _log_softmax(flat @ m.to_class + m.class_bias)
-    loss = -lp[np.arange(len(goal)), kind].sum()
-    d = np.exp(lp)
-    d[np.arange(len(goal)), kind] -= 1
-    d *= scale
-    d_class += flat.T @ d
-    d_class_bias += d.sum(axis=0)
-    d_flat = d @ m.to_class.T
-    order = np.argsort(kind, kind="stable")
-    edge = np.searchsorted(kind[order], np.arange(len(m.cuts)))
+    kind, order, edge = _by_class(m, targets.reshape(-1))
+    flat, goal, place = _flat(states).take(order, axis=1), targets.reshape(-1)[order], np.arange(targets.size)
+    scale = real.type(1.0 / len(goal))
+    e, total, x = _softmax(m.to_class.T, m.class_bias, flat)
+    loss = float(np.log(total).sum() - x[kind, place].sum())
+    e *= scale / total
+    e[kind, place] -= scale
+    d_class += flat @ e.T
+    d_class_bias += e.sum(axis=1)
+    d_flat = m.to_class @ e
     for k in range(len(m.cuts) - 1):
-        rows, a, b = order[edge[k]:edge[k + 1]], m.cuts[k], m.cuts[k + 1]
-        if not len(rows) or b - a < 2:
+        rows, a, b = slice(edge[k], edge[k + 1]), m.cuts[k], m.cuts[k + 1]
+        if edge[k] == edge[k + 1] or b - a < 2:
             continue
-        lp = _log_softmax(flat[rows] @ m.to_word[a:b].T + m.word_bias[a:b])
-        loss -= lp[np.arange(len(rows)), goal[rows] - a].sum()
-        d = np.exp(lp)
-        d[np.arange(len(rows)), goal[rows] - a] -= 1
-        d *= scale
-        d_word[a:b] += d.T @ flat[rows]
-        d_word_bias[a:b] += d.sum(axis=0)
-        d_flat[rows] += d @ m.to_word[a:b]
-    d_states = d_flat.reshape(steps, width, hid)
-    d_in = np.empty((steps, width, 3 * hid), np.float32)
-    later = np.zeros((width, hid), np.float32)
+        own = flat[:, rows]
+        e, total, x = _softmax(m.to_word[a:b], m.word_bias[a:b], own)
+        word, at = goal[rows] - a, place[:len(total)]
+        loss += float(np.log(total).sum() - x[word, at].sum())
+        e *= scale / total
+        e[word, at] -= scale
+        d_word[a:b] = e @ own.T
+        d_word_bias[a:b] = e.sum(axis=1)
+        d_flat[:, rows] += m.to_word[a:b].T @ e
+    back = np.empty_like(order)
+    back[order] = place
+    d_states = d_flat.take(back, axis=1).reshape(hid, steps, width)
+    by_z, by_r, by_n = (before - n) * z * (1 - z), un * r * (1 - r), (1 - z) * (1 - n * n)
+    into = np.empty((steps, 3 * hid, width), real)               # gradients of the gates' sums
+    later = np.zeros((hid, width), real)
     for t in range(steps - 1, -1, -1):
-        before, z, r, n, un = saved[t]
-        dh = d_states[t] + later
-        dan = dh * (1 - z) * (1 - n * n)
-        daz = dh * (before - n) * z * (1 - z)
-        dar = dan * un * r * (1 - r)
-        into = np.concatenate([daz, dar, dan * r], axis=1)
-        d_recur += before.T @ into
-        later = (dh * z + into @ m.recur.T) * (inputs[t] != end)[:, None]
-        d_in[t] = np.concatenate([daz, dar, dan], axis=1)
-    order = np.argsort(inputs.reshape(-1), kind="stable")
-    met, edge = np.unique(inputs.reshape(-1)[order], return_index=True)
-    d_embed[met] = np.add.reduceat(d_in.reshape(-1, 3 * hid)[order], edge, axis=0)
-    return grads, h, loss / len(goal)
+        dh, x = d_states[:, t] + later, into[t]
+        dan = np.multiply(dh, by_n[t], out=by_n[t])
+        np.multiply(dh, by_z[t], out=x[:hid])
+        np.multiply(dan, by_r[t], out=x[hid:2 * hid])
+        np.multiply(dan, r[t], out=x[2 * hid:])
+        later = m.recur @ x
+        dh *= z[t]
+        later += dh
+        later *= goes_on[t]
+    d_recur += _flat(before) @ _flat(into).T
+    into[:, 2 * hid:] = by_n
+    words = inputs.reshape(-1).astype(np.min_scalar_type(len(m.embed)))
+    order = np.argsort(words, kind="stable")
+    met, first = np.unique(words[order], return_index=True)
+    d_embed[met] = np.add.reduceat(into.transpose(0, 2, 1).reshape(-1, 3 * hid).take(order, axis=0), first, axis=0)
+    return grads, h.T, loss / len(goal)
 
 
 class Adam:
@@ -208,16 +270,23 @@ class Adam:
         self.first, self.second = [np.zeros_like(a) for a in self.arrays], [np.zeros_like(a) for a in self.arrays]
 
     def step(self, grads: list[np.ndarray], rate: float) -> None:
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
+        norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads))
         self.done += 1
         for p, g, u, v in zip(self.arrays, grads, self.first, self.second):
             if norm > 1.0:
-                g /= np.float32(norm)
+                g /= g.dtype.type(norm)
             u *= 0.9
             u += 0.1 * g
             v *= 0.99
-            v += 0.01 * g * g
-            p -= (rate / (1 - 0.9 ** self.done)) * u / (np.sqrt(v / (1 - 0.99 ** self.done)) + 1e-8)
+            g *= g
+            g *= 0.01
+            v += g
+            x = np.multiply(v, 1 / (1 - 0.99 ** self.done), out=g)
+            np.sqrt(x, out=x)
+            x += 1e-8
+            np.divide(u, x, out=x)
+            x *= rate / (1 - 0.9 ** self.done)
+            p -= x
 
 
 class Trainer:
@@ -291,23 +360,24 @@ def score_sequences(m: Gru, docs: list[np.ndarray], end: int, window: int = 64)
     flat = np.concatenate([docs[k] for k in order]) if docs else np.zeros(0, np.int64)
     begin = np.concatenate(([0], np.cumsum(sizes[order])[:-1])) if docs else np.zeros(0, np.int64)
     ordered = sizes[order]
-    h = np.zeros((len(docs), m.hidden), np.float32)
+    h = np.zeros((m.hidden, len(docs)), np.float32)
+    recur = np.ascontiguousarray(m.recur.T)
     last = np.full(len(docs), end, np.int64)
     most = int(ordered[0]) if len(ordered) else 0
     for a in range(0, most, window):
         states, goals, owners = [], [], []
         for t in range(a, min(a + window, most)):
             live = int(np.searchsorted(-ordered, -t, side="left"))        # documents longer than t
-            h = _step(m, last[:live], h[:live])[0]
+            h = _gates(np.ascontiguousarray(m.embed[last[:live]].T), recur, h[:, :live])[0]
             word = flat[begin[:live] + t]
             states.append(h)
             goals.append(word)
             owners.append(np.arange(live))
             last = word
-        goal, owner, state = np.concatenate(goals), np.concatenate(owners), np.concatenate(states)
-        for k in range(0, len(goal), 65536):
-            lp = log_probs(m, state[k:k + 65536], goal[k:k + 65536])
-            out += np.bincount(owner[k:k + 65536], lp, len(docs))
+        goal, owner, state = np.concatenate(goals), np.concatenate(owners), np.concatenate(states, axis=1)
+        for k in range(0, len(goal), BLOCK):
+            lp = log_probs(m, state[:, k:k + BLOCK].T, goal[k:k + BLOCK])
+            out += np.bincount(owner[k:k + BLOCK], lp, len(docs))
     back = np.empty(len(docs))
     back[order] = out
     return back
@@ -327,19 +397,22 @@ def count_tokens(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        def table(c):
-            return pa.RecordBatch.from_arrays([pa.array(c.keys(), pa.string()), pa.array(c.values(), pa.int64())],
+        def table(held, texts):
+            n = pa.chunked_array(held, pa.large_string()).value_counts()
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([n.field("values").cast(pa.string()), pa.array([END])]),
+                                               pa.concat_arrays([n.field("counts"), pa.array([texts], pa.int64())])],
                                               names=["token", "n"])
 
-        held: Counter = Counter()
+        held, size, texts = [], 0, 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.update(tokens(text))
-                if len(held) >= FLUSH:
-                    yield table(held)
-                    held = Counter()
-        if held:
-            yield table(held)
+            words, cuts = words_of(batch.column("text"))
+            held.append(words)
+            size, texts = size + words.nbytes, texts + len(cuts)
+            if size >= FLUSH:
+                yield table(held, texts)
+                held, size, texts = [], 0, 0
+        if texts:
+            yield table(held, texts)
 
     return (docs.select("text").mapInArrow(run, "token string, n bigint")
             .groupBy("token").agg(F.sum("n").alias("c")))
@@ -375,37 +448,48 @@ class Scorer:
     trained: int = 0             # tokens that the model was trained on, over all rounds
 
     def prepare(self) -> Scorer:
-        class Numbers(dict):
-            def __missing__(self, key):
-                return -1
+        import pyarrow as pa
 
-        self.number = Numbers(zip(self.head, range(len(self.head))))
+        self.table = pa.array(self.head, pa.large_string())
+        number = dict(zip(self.head, range(len(self.head))))
         at = {w: k for k, w in enumerate(self.words)}
-        self.word_of = np.array([at.get(w, 0) for w in self.head] + [0], np.int64)      # last: not in the head
-        self.end = at.get(END, 0)
+        self.word_of = np.array([at.get(w, 0) for w in self.head] + [0], np.int32)      # last: not in the head
+        self.end, self.end_in_head = at.get(END, 0), number.get(END, -1)
         per = np.log10((self.head_counts + 1.0) / (self.n + self.v + 1.0))
         self.base = np.append(per, 0.0)
         self.spelled = np.append(np.where(self.word_of[:-1] == 0, per, 0.0), 0.0)
-        inside = sum((self.head_counts[self.number[w]] + 1.0) / (self.n + self.v + 1.0) for w in self.words[1:])
+        inside = sum((self.head_counts[number[w]] + 1.0) / (self.n + self.v + 1.0) for w in self.words[1:])
         self.rest = float(np.log10(max(1.0 - inside, 1e-300)))
         return self
 
-    def run(self, texts: list[str | None]):
-        """Per text: tokens, known ones, base score and score without the tail, and the
-        tail tokens with their times."""
-        split = [tokens(t) for t in texts]
-        found = [np.fromiter(map(self.number.__getitem__, w), np.int64, len(w)) for w in split]
+    def run(self, texts):
+        """Per text of an Arrow array: tokens, known ones, base score and score without the
+        tail, and the tail tokens with their times."""
+        import pyarrow as pa
+
+        words, cuts = words_of(texts)
+        found = codes_of(words, self.table)
+        every = with_ends(found, cuts, self.end_in_head)
+        size = np.diff(cuts, prepend=0) + 1
+        begin = np.cumsum(size) - size                               # a text has one token at least
+        base = np.add.reduceat(self.base[every], begin)
+        score = base
         if self.model is not None:
-            deep = score_sequences(self.model, [self.word_of[f] for f in found], self.end) / np.log(10.0)
-        out = []
-        for k, (w, f) in enumerate(zip(split, found)):
-            missing = np.nonzero(f < 0)[0]
-            tail = Counter([w[i] for i in missing])
-            rare = int((self.word_of[f] == 0).sum())
-            base = float(self.base[f].sum())
-            score = float(deep[k] + self.spelled[f].sum() - rare * self.rest) if self.model is not None else base
-            out.append((len(w), len(w) - len(missing), base, score, list(tail.keys()), list(tail.values())))
-        return out
+            inside = self.word_of[every]
+            deep = score_sequences(self.model, np.split(inside, begin[1:]), self.end) / np.log(10.0)
+            score = deep + np.add.reduceat(self.spelled[every], begin) - np.add.reduceat(inside == 0, begin, dtype=np.int64) * self.rest
+        gone = np.flatnonzero(every < 0)
+        owner = np.searchsorted(begin, gone, side="right") - 1
+        coded = words.filter(pa.array(found < 0)).dictionary_encode()
+        names = pa.concat_arrays([coded.dictionary, pa.array([END], pa.large_string())])
+        code = np.full(len(gone), len(names) - 1)
+        code[gone != (begin + size - 1)[owner]] = coded.indices.to_numpy()            # the others are end marks
+        met, times = np.unique(owner * len(names) + code, return_counts=True)
+        offsets = pa.array(np.searchsorted(met, np.arange(len(size) + 1) * len(names)), pa.int32())
+        missing = np.bincount(owner, minlength=len(size))
+        return (pa.array(size, pa.int64()), pa.array(size - missing, pa.int64()), pa.array(base), pa.array(score),
+                pa.ListArray.from_arrays(offsets, names.take(pa.array(met % len(names))).cast(pa.string())),
+                pa.ListArray.from_arrays(offsets, pa.array(times, pa.int64())))
 
 
 MODEL = "params binary, n bigint"
@@ -425,10 +509,14 @@ def train_all(rows: DataFrame, model: Gru, at: dict[str, int], rounds: int = ROU
             import pyarrow as pa
 
             start, number = shared.value
+            table = pa.array(number.keys(), pa.large_string())
+            number_of = np.array([*number.values(), 0], np.int64)                # last: the rare word
             own = Trainer(Gru(*(a.copy() for a in start.arrays()), start.cuts), number[END], rate)
             for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    own.add(np.array([number.get(w, 0) for w in tokens(text)], np.int64))
+                words, cuts = words_of(batch.column("text"))
+                line = with_ends(number_of[codes_of(words, table)], cuts, number[END])
+                for doc in np.split(line, (cuts + np.arange(1, len(cuts) + 1))[:-1]):
+                    own.add(doc)
             own.finish()
             if own.tokens:
                 flat = np.concatenate([a.reshape(-1) for a in own.m.arrays()]).astype(np.float32)
@@ -511,28 +599,31 @@ def score_documents(docs: DataFrame, counts: DataFrame, scorer: Scorer) -> DataF
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
         ready, at = held(key, shared.value.prepare), TaskContext.get().partitionId() << 40
-        ids, texts, size = [], [], 0
+        ids, texts, size, docs_n = [], [], 0, 0
 
         def table():
             nonlocal at
-            cols = list(zip(*ready.run(texts)))
-            rows = pa.array(range(at, at + len(texts)), pa.int64())
-            at += len(texts)
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int64()))
-            return pa.RecordBatch.from_arrays([rows, pa.concat_arrays(ids), *(pa.array(c, k) for c, k in zip(cols, kinds))],
+            cols = ready.run(pa.concat_arrays(texts))
+            pa.default_memory_pool().release_unused()
+            rows = pa.array(range(at, at + len(cols[0])), pa.int64())
+            at += len(cols[0])
+            return pa.RecordBatch.from_arrays([rows, pa.concat_arrays(ids), *cols],
                                               names=["ord", "doc_id", "n_tokens", "known", "base", "deep", "tail", "times"])
 
         for batch in batches:
+            if not len(batch):
+                continue
             ids.append(batch.column("doc_id"))
-            fresh = batch.column("text").to_pylist()
-            texts += fresh
-            size += sum(len(t) // 5 for t in fresh if t)
-            if size >= GROUP_TOKENS or len(texts) >= GROUP_DOCS:
+            texts.append(batch.column("text").cast(pa.large_string()))
+            docs_n += len(batch)
+            size += (pc.sum(pc.utf8_length(texts[-1])).as_py() or 0) // 5
+            if size >= GROUP_TOKENS or docs_n >= GROUP_DOCS:
                 yield table()
-                ids, texts, size = [], [], 0
+                ids, texts, size, docs_n = [], [], 0, 0
         if texts:
             yield table()
 

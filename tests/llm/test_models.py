@@ -6,10 +6,12 @@ import itertools
 import math
 import unicodedata
 import random
+import sys
 import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,6 +176,73 @@ def test_language_model_learns_from_every_training_row(spark):
     assert out[155]["score"] > 0.7 * out[155]["base_score"]        # without training they are about equal
 
 
+def test_gradients_in_double_precision():
+    """Every parameter against differences, far below the error of single precision."""
+    rng = np.random.default_rng(4)
+    m = gru_lm.new_model(np.array([50.0, 30, 20, 10, 9, 8, 7, 6]), hidden=3, classes=3)
+    for name in ("embed", "recur", "to_class", "class_bias", "to_word", "word_bias"):
+        setattr(m, name, rng.standard_normal(getattr(m, name).shape) * 0.4)
+    inputs, targets, h = rng.integers(0, 8, (6, 4)), rng.integers(0, 8, (6, 4)), rng.standard_normal((4, 3))
+    grads, _, _ = gru_lm._gradients(m, inputs, targets, h, 2)
+    for a, g in zip(m.arrays(), grads):
+        for at in np.ndindex(a.shape):
+            kept = a[at]
+            a[at] = kept + 1e-5
+            up = gru_lm._gradients(m, inputs, targets, h, 2)[2]
+            a[at] = kept - 1e-5
+            down = gru_lm._gradients(m, inputs, targets, h, 2)[2]
+            a[at] = kept
+            assert abs((up - down) / 2e-5 - g[at]) < 1e-8
+
+
+def test_words_cut_by_arrow_are_the_tokens():
+    rng = random.Random(6)
+    letters = " \t\n\x0b\x0c\r\x1c\x85\xa0\u2003aZÉİ\0"
+    texts = [None, "", "  ", "\n", *("".join(rng.choice(letters) for _ in range(rng.randrange(12))) for _ in range(2000))]
+    for some in (texts, texts[:4], [], ["a"]):
+        words, cuts = gru_lm.words_of(pa.array(some, pa.string()))
+        words, begin = words.to_pylist(), [0, *cuts]
+        assert [[*words[a:b], gru_lm.END] for a, b in itertools.pairwise(begin)] == [gru_lm.tokens(t) for t in some]
+    assert gru_lm.with_ends(np.array([4, 5, 6]), np.array([0, 2, 2, 3]), 1).tolist() == [1, 4, 5, 1, 1, 6, 1]
+
+
+def test_scorer_by_hand():
+    """Head and tail of every text, with and without a training row."""
+    rng = random.Random(8)
+    texts = [None, " ", *(" ".join(f"W{rng.randrange(40)}" for _ in range(rng.randrange(50))) for _ in range(60)), "É w1\n"]
+    for head in ([], [gru_lm.END, *(f"w{k}" for k in range(15))]):
+        counts = np.arange(len(head), 0, -1).astype(float)
+        scorer = gru_lm.Scorer(None, ["\0rare"], head, counts, int(counts.sum()) + 9, len(head) + 5).prepare()
+        got = [dict(zip(("n", "known", "base", "score", "tail", "times"), r)) for r in zip(*(c.to_pylist() for c in scorer.run(pa.array(texts, pa.string()))))]
+        for text, r in zip(texts, got, strict=True):
+            own = gru_lm.tokens(text)
+            inside = [w for w in own if w in head]
+            assert (r["n"], r["known"]) == (len(own), len(inside))
+            assert dict(zip(r["tail"], r["times"], strict=True)) == {w: own.count(w) for w in own if w not in head}
+            want = sum(math.log10((counts[head.index(w)] + 1) / (scorer.n + scorer.v + 1)) for w in inside)
+            assert math.isclose(r["base"], want, abs_tol=1e-9) and r["score"] == r["base"]
+
+
+def test_scoring_makes_no_call_for_each_token():
+    """CPU time of splitting and looking up: Python calls depend on the texts' number alone."""
+    head = [gru_lm.END, *(f"w{k}" for k in range(100))]
+    scorer = gru_lm.Scorer(None, ["\0rare"], head, np.ones(len(head)), 1000, 900).prepare()
+    calls = []
+    for n in (20, 20, 2000):                               # the first run imports
+        texts = pa.array([" ".join(f"w{(i * 7 + k) % 900}" for k in range(n)) for i in range(20)])
+        calls.append(0)
+
+        def count(frame, event, arg):
+            calls[-1] += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        try:
+            scorer.run(texts)
+        finally:
+            sys.setprofile(None)
+    assert calls[1] == calls[2]
+
+
 def test_states_are_carried_and_the_model_is_a_distribution():
     m = gru_lm.new_model(np.arange(30, 0, -1).astype(float), hidden=5, classes=4)
     docs = [np.array([3, 4, 5, 0]), np.arange(29)[::-1].copy(), np.array([0])]
