@@ -120,7 +120,10 @@ def near_fingerprints(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         cells = vec.select(*[F.col(c).alias(f"{c}_a") for c in cols], F.col(f"c{half}").alias("cell"))
         asks = vec.select(*[F.col(c).alias(f"{c}_b") for c in cols],
                           F.explode(_steps(F.col(f"c{half}"), reach)).alias("cell"))
-        found.append(cells.join(asks, (cells["cell"] == asks["cell"]) & (cells["fp_a"] < asks["fp_b"])))
+        # The engine takes the asks for no larger than the fingerprints before the explode (each
+        # has up to 33 asks at 3 bits) and would broadcast them: the hint keeps both sides shuffled.
+        found.append(cells.hint("merge").join(asks.hint("merge"),
+                                              (cells["cell"] == asks["cell"]) & (cells["fp_a"] < asks["fp_b"])))
     met = reduce(DataFrame.unionAll, found)
     apart = F.lit(0)
     for h in (0, 1):                            # Manhattan distance over all segments, packed

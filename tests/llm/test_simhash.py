@@ -53,6 +53,18 @@ def test_all_pairs_within_three_bits_are_found(spark):
     assert got == want and len(want) > 100
 
 
+def test_asks_are_never_broadcast(spark):
+    """An explode counts as its input in the engine's sizes: few fingerprints looked small enough."""
+    assert int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()) > 0
+    fps = spark.createDataFrame([(1 << k,) for k in range(40)], "fp long")
+    pairs = simhash.near_fingerprints(fps)
+    before = pairs._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == 40 * 39 // 2
+    pairs.collect()
+    for plan in (before, pairs._jdf.queryExecution().executedPlan().toString()):
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+
+
 def test_groups_against_brute_force(spark):
     rng = random.Random(6)
     words = [f"w{i}" for i in range(40)]
