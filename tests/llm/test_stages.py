@@ -6,7 +6,7 @@ import random
 
 import pytest
 
-from souk.llm import stages
+from souk.llm import simhash, stages
 
 
 def corpus():
@@ -32,6 +32,16 @@ def test_documents_under_one_id(spark, kind):
     assert stages.near_duplicates(spark, docs.limit(0), "").collect() == []
 
 
+def test_near_duplicates_broadcast_no_asks(spark, monkeypatch):
+    """The exploded cells of the fingerprints look small to the engine, whatever their number."""
+    plans, write = {}, simhash.stage
+    monkeypatch.setattr(simhash, "stage", lambda df, label: (
+        plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()), write(df, label))[1])
+    docs = spark.createDataFrame([(k, t, "en") for k, t in enumerate(corpus())], "doc_id long, text string, lang string")
+    assert stages.near_duplicates(spark, docs, "").count() == 6
+    assert "Generate explode" in plans["simhash-links"] and "BroadcastExchange" not in plans["simhash-links"]
+
+
 def test_columns_named_like_helpers(spark, tmp_path):
     t = corpus()
     names = ["__h", "__s", "__guess", "__id", "key", "guess", "c1", "fp", "row", "lang"]
