@@ -2,37 +2,42 @@
 
 Texts are cut into pieces, equal pieces of a language are one row with a count, and
 
-1. the occurrence relation R(1) holds (piece, position, word) of all frequent words,
-   written in buckets by piece and sorted by piece and position;
-2. a merge join of R(k) with itself on the piece and the adjacent position gives the
-   occurrences of all phrases of k + 1 words whose two parts of k words are frequent. The
-   join is bucket by bucket: nothing is shuffled;
-3. occurrences are counted by phrase (combined before the shuffle, so a phrase that very
-   many pieces hold is one row a task), rare phrases go;
-4. R(k + 1) is what a semi-join with the frequent phrases leaves of the join, written like
-   R(1) before the next length.
+1. the occurrence relation R(1) holds the frequent words of every piece by position. A
+   relation is nested, one row a piece: the numbers of the phrases that begin at its
+   positions (-1: a rare one). It is written in buckets by piece;
+2. R(k) meets itself on the piece and the adjacent position, which is the next place of the
+   row, and gives the occurrences of all phrases of k + 1 words whose two parts of k words
+   are frequent;
+3. occurrences are counted by bucket and phrase, the counts of a phrase meet in one shuffle
+   (a phrase that very many pieces hold is one row a bucket), rare phrases go, the others are
+   numbered and each bucket gets the numbers of the phrases that it holds;
+4. R(k + 1) is what a semi-join with these leaves of the occurrences, bucket by bucket,
+   written like R(1) before the next length. Pieces without neighbours go.
 
 A phrase is a number; a phrase of k + 1 words is the pair of its first and its last k
 words, so words and counts of every cut are carried along the frequent phrases alone.
 
-Frequent phrases are broadcast only while there are at most ``BROADCAST_PHRASES`` of them
-(a counted bound); beyond it the join shuffles both sides, where the engine splits hot
-phrases, and R is dealt to its buckets again. Both ways give the same relation.
+Occurrences are never shuffled or broadcast, however many phrases are frequent: what moves
+is a row a bucket and phrase, and a bucket's list is never longer than its occurrences. Only
+words are text, and joined with their numbers by the engine: broadcast while there are at most
+``BROADCAST_PHRASES`` of them (a counted bound), shuffled beyond it.
 
 Cases: null text has no piece, null language counts as ``und``; pieces without a word give
 nothing; an empty table gives no rows; repeated rows count as often as they occur; ties in
 score are told apart by count, then phrase (bytes); other columns are ignored whatever
-their names. A very long piece is rows like others.
+their names. A very long piece is a long row.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections import Counter
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from souk.llm.common import partitions, ship, small_batches
@@ -40,8 +45,12 @@ from souk.sources.staging import drop_staged, stage, staged_path
 
 CUTS = rb"[.,;:!?\x0a-\x0d]"
 UNKNOWN_LANGUAGE = "und"
-#: Frequent phrases of one length are broadcast up to this count (about 20 MB of pairs of numbers).
+#: Frequent words are broadcast up to this count (about 40 MB of words and numbers).
 BROADCAST_PHRASES = 250_000
+#: Rows of an Arrow batch of pieces, its bytes, and the bytes that are worked on at a time.
+PIECE_ROWS = 20_000
+PIECE_BYTES = 8 << 20
+CHUNK_BYTES = 24 << 20
 COUNT = "decimal(16,0)"
 
 
@@ -80,11 +89,20 @@ class Relations:
         self.spark, self.buckets = spark, partitions(spark)
         self.names: dict[str, str] = {}
 
-    def write(self, df: DataFrame, label: str, dealt: bool, order: tuple[str, ...]) -> DataFrame:
-        """``df`` in buckets by its column b; ``dealt`` says that its rows lie so already."""
+    def bucket(self, *names: str) -> Column:
+        """A bucket for the values of these columns: a number that alone is hashed into its
+        bucket, so that the rows of a number are one bucket."""
+        n = self.buckets
+        tried = self.spark.range(int(n * (math.log(n) + 20)) + 20).select(
+            F.col("id").cast("int").alias("id"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("b"))
+        found = {r["b"]: r["id"] for r in tried.groupBy("b").agg(F.min("id").alias("id")).collect()}
+        keys = F.split(F.lit(",".join(str(found.get(k, k)) for k in range(n))), ",").cast("array<int>")
+        return F.element_at(keys, F.pmod(F.hash(*names), F.lit(n)) + 1)
+
+    def write(self, df: DataFrame, label: str) -> DataFrame:
+        """``df``, whose rows lie in their buckets by the column p."""
         name = f"souk_setm_{label}_{uuid.uuid4().hex}"
-        df = df if dealt else df.repartition(self.buckets, "b")
-        (df.write.bucketBy(self.buckets, "b").sortBy(*order).mode("overwrite")
+        (df.write.bucketBy(self.buckets, "p").mode("overwrite")
          .option("path", staged_path(self.spark, f"setm-{label}")).saveAsTable(name))
         self.names[label] = name
         return self.spark.table(name)
@@ -96,37 +114,273 @@ class Relations:
 
 
 @contextmanager
-def joins_within_buckets(spark: SparkSession):
-    """Joins on more columns than the bucket column need no shuffle while this holds."""
-    key = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
+def batches_of_pieces(spark: SparkSession):
+    """Arrow batches of many rows while this holds: pieces are short, and bytes are bounded too."""
+    wanted = {"spark.sql.execution.arrow.maxRecordsPerBatch": PIECE_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": PIECE_BYTES}
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, str(value))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
-def semi_join(df: DataFrame, phrases: DataFrame, on: list[str], count: int) -> tuple[DataFrame, bool]:
-    """Rows of ``df`` whose key is frequent, with the phrase's number; whether they still lie
-    in their buckets."""
+def semi_join(df: DataFrame, phrases: DataFrame, on: list[str], count: int) -> DataFrame:
+    """Rows of ``df`` whose key is frequent, with the phrase's number."""
     if count <= BROADCAST_PHRASES:
-        return df.join(F.broadcast(phrases), on), True
-    return df.join(phrases.hint("shuffle_merge"), on), False
+        return df.join(F.broadcast(phrases), on)
+    return df.join(phrases.hint("shuffle_merge"), on)
 
 
-def adjacent(r: DataFrame) -> DataFrame:
-    """Merge join of an occurrence relation with itself: the phrase at a position and the one
-    at the next position of the same piece."""
-    x = r.select("piece", "b", F.col("pos"), (F.col("pos") + 1).alias("next"), "n", F.col("g").alias("g1"))
-    y = r.select("piece", "b", F.col("pos").alias("next"), F.col("g").alias("g2"))
-    return x.hint("merge").join(y, ["piece", "b", "next"]).drop("next")
+# -- chunks of a relation in Arrow and numpy ------------------------------------
 
+def chunks(batches):
+    """Tables of about CHUNK_BYTES from Arrow batches, each of one bucket: (p, table)."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
 
-def frequent(counted: DataFrame, min_count: int, label: str) -> tuple[DataFrame, int]:
-    """Groups with at least ``min_count`` occurrences, numbered, and how many they are."""
-    kept = stage(counted.filter(F.col("f") >= min_count).withColumn("g", F.monotonically_increasing_id()), label)
-    return kept, kept.count()
+    def apart(held):
+        table = pa.Table.from_batches(held).combine_chunks()
+        for p in pc.unique(table["p"]).to_pylist():
+            yield p, table.filter(pc.equal(table["p"], p)).combine_chunks()
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= CHUNK_BYTES:
+            yield from apart(held)
+            held, size = [], 0
+    if held:
+        yield from apart(held)
+
+
+def whole(column):
+    """One array of a column of a table."""
+    import pyarrow as pa
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
+
+
+def numbers(column) -> np.ndarray:
+    return whole(column).to_numpy(zero_copy_only=False)
+
+
+def unnested(lists) -> tuple[np.ndarray, object]:
+    """The row of every value of a list array, and the values."""
+    import pyarrow.compute as pc
+
+    return np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False)), lists.flatten()
+
+
+def small(*arrays: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The arrays themselves while their numbers have 31 bits, else numbers of this call."""
+    if all(x.max(initial=0) < 1 << 31 for x in arrays):
+        return arrays
+    seen = np.unique(np.concatenate(arrays))
+    return tuple(np.searchsorted(seen, x) for x in arrays)
+
+
+def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order by key, and where in it each key begins."""
+    order = np.argsort(key, kind="stable")
+    k = key[order]
+    new = np.ones(len(k), bool)
+    new[1:] = k[1:] != k[:-1]
+    return order, np.flatnonzero(new)
+
+
+def pairs_of(row: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Places at which a frequent phrase begins, as at the next place of the row."""
+    return np.flatnonzero((g[:-1] >= 0) & (g[1:] >= 0) & (row[1:] == row[:-1]))
+
+
+def word_codes(lang, words, row, langs, phrases) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of this call for (language of the row, word), and for (langs, phrases)."""
+    import pyarrow as pa
+
+    def coded(a, b):
+        kind = pa.large_string()
+        codes = pa.concat_arrays([a.cast(kind), b.cast(kind)]).dictionary_encode().indices
+        codes = codes.to_numpy(zero_copy_only=False).astype(np.int64)
+        return codes[:len(a)], codes[len(a):]
+
+    (l1, l2), (w1, w2) = coded(lang, langs), coded(words, phrases)
+    return (l1[row] << 32) | w1, (l2 << 32) | w2
+
+
+def looked_up(key: np.ndarray, known: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """``g`` of each key, -1 for one that is not known."""
+    if not len(known):
+        return np.full(len(key), -1, np.int64)
+    order = np.argsort(known, kind="stable")
+    known, g = known[order], g[order]
+    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+    return np.where(known[at] == key, g[at], -1)
+
+
+def nested(p: int, n: np.ndarray, row: np.ndarray, g: np.ndarray):
+    """A part of a relation: the rows that still have neighbours."""
+    import pyarrow as pa
+
+    live = np.zeros(len(n), bool)
+    live[row[pairs_of(row, g)]] = True
+    keep = live[row]
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(n))[live])))
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(g[keep], pa.int64()))
+    return pa.table({"p": pa.array(np.full(len(lists), p), pa.int32()), "n": pa.array(n[live], pa.int64()), "g": lists})
+
+
+RELATION = "p int, n bigint, g array<bigint>"
+
+
+def together(parts: list):
+    import pyarrow as pa
+
+    empty = pa.schema([("p", pa.int32()), ("n", pa.int64()), ("g", pa.list_(pa.int64()))]).empty_table()
+    return pa.concat_tables([empty, *(x.cast(empty.schema) for x in parts)])
+
+
+# -- the steps ------------------------------------------------------------------
+
+def counted_words(pieces: DataFrame) -> DataFrame:
+    """(p, lang, phrase, f): words of every bucket, counted in each chunk."""
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for p, table in chunks(batches):
+            row, words = unnested(pc.split_pattern(whole(table["piece"]), " "))
+            lang = whole(table["lang"])
+            key, _ = word_codes(lang, words, row, lang.slice(0, 0), words.slice(0, 0))
+            order, start = groups(key)
+            first = order[start]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(first), p), pa.int32()), lang.take(pa.array(row[first])), words.take(pa.array(first)),
+                 pa.array(np.add.reduceat(numbers(table["n"])[row[order]], start), pa.int64())],
+                names=["p", "lang", "phrase", "f"])
+
+    return pieces.select("p", "lang", "piece", "n").mapInArrow(run, "p int, lang string, phrase string, f bigint")
+
+
+def counted_pairs(r: DataFrame) -> DataFrame:
+    """(p, g1, g2, f): phrases at adjacent positions in every bucket, counted in each chunk."""
+    def run(batches):
+        import pyarrow as pa
+
+        for p, table in chunks(batches):
+            row, g = unnested(whole(table["g"]))
+            g = numbers(g)
+            at = pairs_of(row, g)
+            if not len(at):
+                continue
+            g1, g2 = g[at], g[at + 1]
+            x, y = small(g1, g2)
+            order, start = groups((x << 32) | y)
+            first = order[start]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(first), p), pa.int32()), pa.array(g1[first]), pa.array(g2[first]),
+                 pa.array(np.add.reduceat(numbers(table["n"])[row[at[order]]], start), pa.int64())],
+                names=["p", "g1", "g2", "f"])
+
+    return r.select("p", "n", "g").mapInArrow(run, "p int, g1 bigint, g2 bigint, f bigint")
+
+
+def place(k: np.ndarray, width: int) -> np.ndarray:
+    """Numbers of this task's phrases: no other of the ``width`` tasks gives them."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get().partitionId()
+    if task >= width:
+        raise ValueError(f"task {task} of {width}")
+    return k * width + task
+
+
+def numbered_words(counted: DataFrame, width: int) -> DataFrame:
+    """(lang, phrase, f, g): frequent words with their numbers."""
+    def run(batches):
+        import pyarrow as pa
+
+        n = 0
+        for batch in batches:
+            g = place(np.arange(n, n + batch.num_rows), width)
+            n += batch.num_rows
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(g, pa.int64())], names=["lang", "phrase", "f", "g"])
+
+    return (counted.select("lang", "phrase", "f").repartition(width, "lang", "phrase")
+            .mapInArrow(run, "lang string, phrase string, f bigint, g bigint"))
+
+
+def numbered_pairs(counted: DataFrame, min_count: int, width: int) -> DataFrame:
+    """(p, g1, g2, f, g, first): the frequent pairs, numbered, in every bucket that holds them;
+    f is the sum over all buckets, ``first`` marks one row of each pair."""
+    def run(batches):
+        import pyarrow as pa
+
+        table = [b for b in batches if b.num_rows]
+        if not table:
+            return
+        table = pa.Table.from_batches(table)
+        p, g1, g2, n = (numbers(table[c]) for c in ("p", "g1", "g2", "f"))
+        x, y = small(g1, g2)
+        order, start = groups((x << 32) | y)
+        f = np.add.reduceat(n[order], start)
+        often = f >= min_count
+        g = place(np.cumsum(often) - 1, width)
+        size = np.diff(np.append(start, len(order)))
+        keep = np.repeat(often, size)
+        first = np.zeros(len(order), bool)
+        first[start] = True
+        at = order[keep]
+        out = pa.table({"p": pa.array(p[at], pa.int32()), "g1": g1[at], "g2": g2[at], "f": np.repeat(f, size)[keep],
+                        "g": np.repeat(g, size)[keep], "first": first[keep]})
+        yield from out.to_batches(max_chunksize=100_000)
+
+    return counted.repartition(width, "g1", "g2").mapInArrow(
+        run, "p int, g1 bigint, g2 bigint, f bigint, g bigint, first boolean")
+
+
+def first_relation(pieces: DataFrame, places: DataFrame) -> DataFrame:
+    """R(1) from the pieces and the numbers of the words that each bucket holds."""
+    def run(left, right):
+        import pyarrow.compute as pc
+
+        langs, phrases, g = whole(right["lang"]), whole(right["phrase"]), numbers(right["g"])
+        parts = []
+        for p, table in chunks(left.to_batches()):
+            row, words = unnested(pc.split_pattern(whole(table["piece"]), " "))
+            key, known = word_codes(whole(table["lang"]), words, row, langs, phrases)
+            parts.append(nested(p, numbers(table["n"]), row, looked_up(key, known, g)))
+        return together(parts)
+
+    return (pieces.select("p", "lang", "piece", "n").groupBy("p")
+            .cogroup(places.select("p", "lang", "phrase", "g").groupBy("p")).applyInArrow(run, RELATION))
+
+
+def next_relation(r: DataFrame, places: DataFrame) -> DataFrame:
+    """R(k + 1) from R(k) and the numbers of the pairs that each bucket holds."""
+    def run(left, right):
+        g1, g2, number = (numbers(right[c]) for c in ("g1", "g2", "g"))
+        parts = []
+        for p, table in chunks(left.to_batches()):
+            row, g = unnested(whole(table["g"]))
+            g = numbers(g)
+            at = pairs_of(row, g)
+            x, y, x2, y2 = small(g[at], g[at + 1], g1, g2)
+            out = np.full(len(g), -1, np.int64)
+            out[at] = looked_up((x << 32) | y, (x2 << 32) | y2, number)
+            parts.append(nested(p, numbers(table["n"]), row, out))
+        return together(parts)
+
+    return (r.select("p", "n", "g").groupBy("p")
+            .cogroup(places.select("p", "g1", "g2", "g").groupBy("p")).applyInArrow(run, RELATION))
 
 
 def phrase_counts(docs: DataFrame, max_words: int, min_count: int) -> tuple[list[DataFrame], DataFrame]:
@@ -135,29 +389,30 @@ def phrase_counts(docs: DataFrame, max_words: int, min_count: int) -> tuple[list
     number of words per language."""
     spark = docs.sparkSession
     rel = Relations(spark)
-    pieces = (cut_pieces(docs).withColumn("b", F.hash("lang", "piece")).repartition(rel.buckets, "b")
-              .groupBy("b", "lang", "piece", "words").agg(F.sum("n").alias("n"))
-              .withColumn("id", F.monotonically_increasing_id()))
-    pieces = rel.write(pieces, "pieces", True, ("b",))
+    width = rel.buckets
+    pieces = (cut_pieces(docs).withColumn("p", rel.bucket("lang", "piece")).repartition(rel.buckets, "p")
+              .groupBy("p", "lang", "piece", "words").agg(F.sum("n").alias("n")))
+    pieces = rel.write(pieces, "pieces")
     totals = stage(pieces.groupBy("lang").agg(F.sum(F.col("n") * F.col("words")).cast(COUNT).alias("total")), "setm-totals")
 
-    at = pieces.select("lang", "b", F.col("id").alias("piece"), "n", F.posexplode(F.split("piece", " ")).alias("pos", "phrase"))
-    words, count = frequent(at.groupBy("lang", "phrase").agg(F.sum("n").alias("f")), min_count, "setm-c1")
-    none = F.array().cast("array<bigint>")
-    phrases = [words.select("lang", "phrase", "f", "g", F.col("phrase").alias("last"), none.alias("heads"), none.alias("tails"))]
-    order = ("piece", "pos")
-    kept, dealt = semi_join(at, words.select("lang", "phrase", "g"), ["lang", "phrase"], count)
-    r = rel.write(kept.select("b", "piece", "pos", "g", "n"), "r1", dealt, order)
-    rel.drop("pieces")
-
-    for k in range(2, max_words + 1):
-        joined = adjacent(r)
-        pairs, count = frequent(joined.groupBy("g1", "g2").agg(F.sum("n").alias("f")), min_count, f"setm-c{k}")
-        phrases.append(stage(grown(pairs, phrases[-1]), f"setm-phrases{k}"))
-        if k < max_words:
-            kept, dealt = semi_join(joined, pairs.select("g1", "g2", "g"), ["g1", "g2"], count)
-            r = rel.write(kept.select("b", "piece", "pos", "g", "n"), f"r{k}", dealt, order)
-        rel.drop(f"r{k - 1}")
+    with batches_of_pieces(spark):
+        held = stage(counted_words(pieces), "setm-words")
+        counted = held.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
+        words = stage(numbered_words(counted, width), "setm-c1")
+        none = F.array().cast("array<bigint>")
+        phrases = [words.select("lang", "phrase", "f", "g", F.col("phrase").alias("last"), none.alias("heads"), none.alias("tails"))]
+        r = rel.write(first_relation(pieces, semi_join(held, words.select("lang", "phrase", "g"), ["lang", "phrase"], words.count())), "r1")
+        drop_staged(held)
+        rel.drop("pieces")
+
+        for k in range(2, max_words + 1):
+            places = stage(numbered_pairs(counted_pairs(r), min_count, width), f"setm-c{k}")
+            pairs = places.filter("first").select("g1", "g2", "f", "g")
+            phrases.append(stage(grown(pairs, phrases[-1]), f"setm-phrases{k}"))
+            if k < max_words:
+                r = rel.write(next_relation(r, places), f"r{k}")
+            drop_staged(places)
+            rel.drop(f"r{k - 1}")
     return phrases, totals
 
 
@@ -187,8 +442,7 @@ def collocations(docs: DataFrame, max_words: int = 5, min_count: int = 100, top:
     """The ``top`` phrases of 2 to ``max_words`` words of every language: lang, rank, phrase,
     a (count), l and r (counts of the two parts of the lowest-scoring cut), n (words of the
     language) and score = floor(1000 a n / (l r)). Products are decimals, so exact."""
-    with joins_within_buckets(docs.sparkSession):
-        phrases, totals = phrase_counts(docs, max_words, min_count)
+    phrases, totals = phrase_counts(docs, max_words, min_count)
     found = None
     for k, longer in zip(range(1, max_words), [*phrases[2:], None], strict=True):
         part = closed(phrases[k], longer, closed_percent).select("lang", "phrase", "f", "g", "heads", "tails")
