@@ -146,8 +146,9 @@ def chunks(batches):
 
     def apart(held):
         table = pa.Table.from_batches(held).combine_chunks()
-        for p in pc.unique(table["p"]).to_pylist():
-            yield p, table.filter(pc.equal(table["p"], p)).combine_chunks()
+        found = pc.unique(table["p"]).to_pylist()
+        for p in found:
+            yield p, table if len(found) == 1 else table.filter(pc.equal(table["p"], p)).combine_chunks()
 
     held, size = [], 0
     for batch in batches:
@@ -190,7 +191,7 @@ def small(*arrays: np.ndarray) -> tuple[np.ndarray, ...]:
 
 def groups(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """An order by key, and where in it each key begins."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     k = key[order]
     new = np.ones(len(k), bool)
     new[1:] = k[1:] != k[:-1]
@@ -202,30 +203,52 @@ def pairs_of(row: np.ndarray, g: np.ndarray) -> np.ndarray:
     return np.flatnonzero((g[:-1] >= 0) & (g[1:] >= 0) & (row[1:] == row[:-1]))
 
 
-def word_codes(lang, words, row, langs, phrases) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of this call for (language of the row, word), and for (langs, phrases)."""
+def word_codes(lang, words, row, langs, phrases):
+    """Numbers of this call for (language of the row, word) and for (langs, phrases), and the
+    languages and words behind them: number = place of the language * len(words) + place of the word."""
     import pyarrow as pa
 
     def coded(a, b):
-        kind = pa.large_string()
-        codes = pa.concat_arrays([a.cast(kind), b.cast(kind)]).dictionary_encode().indices
-        codes = codes.to_numpy(zero_copy_only=False).astype(np.int64)
-        return codes[:len(a)], codes[len(a):]
+        found = pa.concat_arrays([a, b]).dictionary_encode()
+        codes = found.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        return codes[:len(a)], codes[len(a):], found.dictionary
 
-    (l1, l2), (w1, w2) = coded(lang, langs), coded(words, phrases)
-    return (l1[row] << 32) | w1, (l2 << 32) | w2
+    (l1, l2, langs), (w1, w2, words) = coded(lang, langs), coded(words, phrases)
+    return l1[row] * len(words) + w1, l2 * len(words) + w2, langs, words
 
 
-def looked_up(key: np.ndarray, known: np.ndarray, g: np.ndarray) -> np.ndarray:
-    """``g`` of each key, -1 for one that is not known."""
+def sums(key: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (below ``size``) that occur, and the sum of ``n`` of each."""
+    if size <= 4 * len(key) + 1000 and n.sum() < 1 << 53:         # exact in double precision
+        f = np.bincount(key, n, size).astype(np.int64)
+        return np.flatnonzero(f), f[f > 0]
+    order, start = groups(key)
+    return key[order[start]], np.add.reduceat(n[order], start)
+
+
+def looked_up(key: np.ndarray, known: np.ndarray, g: np.ndarray, size: int) -> np.ndarray:
+    """``g`` of each key (keys are below ``size``), -1 for one that is not known."""
     if not len(known):
         return np.full(len(key), -1, np.int64)
-    order = np.argsort(known, kind="stable")
+    if size <= 4 * len(key) + 1000:
+        table = np.full(size, -1, np.int64)
+        table[known] = g
+        return table[key]
+    order = np.argsort(known)
     known, g = known[order], g[order]
     at = np.minimum(np.searchsorted(known, key), len(known) - 1)
     return np.where(known[at] == key, g[at], -1)
 
 
+def numbers_within(column) -> tuple[np.ndarray, np.ndarray]:
+    """The row of every number of a relation's column g, and the numbers."""
+    column = whole(column)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    g = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]].view(np.int64) if data else np.zeros(0, np.int64)
+    return np.repeat(np.arange(len(column)), np.diff(offsets) // 8), g
+
+
 def nested(p: int, n: np.ndarray, row: np.ndarray, g: np.ndarray):
     """A part of a relation: the rows that still have neighbours."""
     import pyarrow as pa
@@ -233,19 +256,20 @@ def nested(p: int, n: np.ndarray, row: np.ndarray, g: np.ndarray):
     live = np.zeros(len(n), bool)
     live[row[pairs_of(row, g)]] = True
     keep = live[row]
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(row[keep], minlength=len(n))[live])))
-    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(g[keep], pa.int64()))
-    return pa.table({"p": pa.array(np.full(len(lists), p), pa.int32()), "n": pa.array(n[live], pa.int64()), "g": lists})
+    offsets = np.concatenate(([0], 8 * np.cumsum(np.bincount(row[keep], minlength=len(n))[live]))).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(g[keep])])
+    return pa.table({"p": pa.array(np.full(len(packed), p), pa.int32()), "n": pa.array(n[live], pa.int64()), "g": packed})
 
 
-RELATION = "p int, n bigint, g array<bigint>"
+#: g holds numbers of 8 bytes: a row is moved as a whole, not number by number.
+RELATION = "p int, n bigint, g binary"
 
 
 def together(parts: list):
     import pyarrow as pa
 
-    empty = pa.schema([("p", pa.int32()), ("n", pa.int64()), ("g", pa.list_(pa.int64()))]).empty_table()
-    return pa.concat_tables([empty, *(x.cast(empty.schema) for x in parts)])
+    empty = pa.schema([("p", pa.int32()), ("n", pa.int64()), ("g", pa.binary())]).empty_table()
+    return pa.concat_tables([empty, *parts])
 
 
 # -- the steps ------------------------------------------------------------------
@@ -259,12 +283,11 @@ def counted_words(pieces: DataFrame) -> DataFrame:
         for p, table in chunks(batches):
             row, words = unnested(pc.split_pattern(whole(table["piece"]), " "))
             lang = whole(table["lang"])
-            key, _ = word_codes(lang, words, row, lang.slice(0, 0), words.slice(0, 0))
-            order, start = groups(key)
-            first = order[start]
+            key, _, langs, words = word_codes(lang, words, row, lang.slice(0, 0), words.slice(0, 0))
+            key, f = sums(key, numbers(table["n"])[row], len(langs) * len(words))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(first), p), pa.int32()), lang.take(pa.array(row[first])), words.take(pa.array(first)),
-                 pa.array(np.add.reduceat(numbers(table["n"])[row[order]], start), pa.int64())],
+                [pa.array(np.full(len(key), p), pa.int32()), langs.take(pa.array(key // len(words))),
+                 words.take(pa.array(key % len(words))), pa.array(f, pa.int64())],
                 names=["p", "lang", "phrase", "f"])
 
     return pieces.select("p", "lang", "piece", "n").mapInArrow(run, "p int, lang string, phrase string, f bigint")
@@ -276,8 +299,7 @@ def counted_pairs(r: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for p, table in chunks(batches):
-            row, g = unnested(whole(table["g"]))
-            g = numbers(g)
+            row, g = numbers_within(table["g"])
             at = pairs_of(row, g)
             if not len(at):
                 continue
@@ -356,8 +378,9 @@ def first_relation(pieces: DataFrame, places: DataFrame) -> DataFrame:
         parts = []
         for p, table in chunks(left.to_batches()):
             row, words = unnested(pc.split_pattern(whole(table["piece"]), " "))
-            key, known = word_codes(whole(table["lang"]), words, row, langs, phrases)
-            parts.append(nested(p, numbers(table["n"]), row, looked_up(key, known, g)))
+            key, known, *all_of = word_codes(whole(table["lang"]), words, row, langs, phrases)
+            size = len(all_of[0]) * len(all_of[1])
+            parts.append(nested(p, numbers(table["n"]), row, looked_up(key, known, g, size)))
         return together(parts)
 
     return (pieces.select("p", "lang", "piece", "n").groupBy("p")
@@ -370,12 +393,11 @@ def next_relation(r: DataFrame, places: DataFrame) -> DataFrame:
         g1, g2, number = (numbers(right[c]) for c in ("g1", "g2", "g"))
         parts = []
         for p, table in chunks(left.to_batches()):
-            row, g = unnested(whole(table["g"]))
-            g = numbers(g)
+            row, g = numbers_within(table["g"])
             at = pairs_of(row, g)
             x, y, x2, y2 = small(g[at], g[at + 1], g1, g2)
             out = np.full(len(g), -1, np.int64)
-            out[at] = looked_up((x << 32) | y, (x2 << 32) | y2, number)
+            out[at] = looked_up((x << 32) | y, (x2 << 32) | y2, number, 1 << 63)
             parts.append(nested(p, numbers(table["n"]), row, out))
         return together(parts)
 

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
 from souk.llm import collocations
@@ -93,3 +94,37 @@ def test_query_against_sql(spark):
     theirs = sorted(con.execute(f"SELECT {','.join(COLUMNS)} FROM ({collocations.SQL})").fetchall())
     ours = sorted(tuple(r[c] for c in COLUMNS) for r in op12_collocations(spark, "/root/testdata/sf0.001").collect())
     assert ours == theirs and ours
+
+
+def test_occurrences_are_not_shuffled(spark, monkeypatch):
+    """However many phrases are frequent, a relation is written from buckets as they lie."""
+    monkeypatch.setattr(collocations, "BROADCAST_PHRASES", 0)
+    read, write = [], collocations.Relations.write
+
+    def watched(self, df, label, *rest):
+        if label != "pieces":
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            scans = [k for k, line in enumerate(plan.splitlines()) if "souk_setm_" in line]
+            moved = [k for k, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line and any(
+                s > k and plan.splitlines()[s].index("Scan") > line.index("Exchange") for s in scans[:1])]
+            read.append((label, len(scans) > 0, moved, plan.count("SortMergeJoin") + plan.count("Generate")))
+        return write(self, df, label, *rest)
+
+    monkeypatch.setattr(collocations.Relations, "write", watched)
+    rows = corpus(random.Random(2), 60)
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    made = sorted(tuple(r) for r in collocations.collocations(docs, 4, 4, 50, 100).collect())
+    assert made == brute(rows, 4, 4, 50, 100)
+    assert [r[:3] for r in read] == [(f"r{k}", True, []) for k in (1, 2, 3)]
+
+
+def test_numbers_beyond_31_bits():
+    """Phrase numbers of any size meet in one key; sums and look-ups of few and of many keys."""
+    a, b = np.array([5, 1 << 40, 5, 7]), np.array([1 << 50, 3, 1 << 50, 1 << 40])
+    x, y = collocations.small(a, b)
+    assert x.max() < 1 << 31 and x[0] == x[2] and y[3] == x[1] and len({*x, *y}) == len({*a, *b})
+    for size in (8, 1 << 60):
+        key, f = collocations.sums(np.array([7, 2, 7, 0]), np.array([1, 10, 100, 1000]), size)
+        assert (key.tolist(), f.tolist()) == ([0, 2, 7], [1000, 10, 101])
+        got = collocations.looked_up(np.array([7, 2, 7, 0]), np.array([7, 0]), np.array([70, 90]), size)
+        assert got.tolist() == [70, -1, 70, 90]
